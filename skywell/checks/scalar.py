@@ -300,7 +300,7 @@ def _(spark, sf):
 
 
 @query("label_over_window", """
-  SELECT vec_id, len(embedding) AS steps, round(label * 1.0 * len(embedding), 6) AS label_sum,
+  SELECT vec_id, len(embedding) AS steps, CAST(label * len(embedding) AS DOUBLE) AS label_sum,
          round(list_sum(list_transform(embedding, lambda x: (CAST(x AS DOUBLE) + label) * 0.1)), 4) AS density_sum
   FROM embeddings""")
 def _(spark, sf):

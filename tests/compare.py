@@ -80,7 +80,8 @@ def main(argv):
     spark, con = make_session(), connect(sf)
     sqls, failed = oracle_sql(), []
     for name, fn in queries().items():
-        if parts and not any(p in name for p in parts):
+        group = fn.__closure__[0].cell_contents.__module__.rsplit(".", 1)[-1]
+        if parts and not any(p in name or p == f"@{group}" for p in parts):
             continue
         start = time.time()
         try:
