@@ -88,7 +88,9 @@ obs AS (
 
 
 def with_obs(body: str, *ctes: str) -> str:
-    return "WITH " + ",\n".join([OBS, *ctes]) + "\n" + body
+    head = "WITH " + ",\n".join([OBS, *ctes])
+    text = body.strip()
+    return f"{head},\n{text[5:]}" if text.startswith("WITH ") else f"{head}\n{text}"
 
 
 # --- hourly indices ----------------------------------------------------------------------------------
@@ -120,10 +122,10 @@ def predictions_wide(spark: SparkSession, sf: str) -> DataFrame:
 
     o = observations(spark, sf)
     layout = lay_out(o, ["Station"], ["Timestamp", "event_id"], before=3)
-    by_type = o.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("by_type"))
+    by_type = o.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("by_type"))
     rows = layout.finish(layout.rows.withColumns({
         "persistence": F.lag("value").over(layout.window),
-        "rolling": F.round(F.avg("value").over(layout.frame(-3, -1)), 6),
+        "rolling": F.round(F.avg("value").over(layout.frame(-3, -1)), 4),
     }))
     return rows.join(F.broadcast(by_type), "event_type").select(
         "event_id", F.col("Station").alias("station"), F.col("Timestamp").alias("ts"),
@@ -147,8 +149,8 @@ wide AS (
   SELECT event_id, station, ts, value AS y_true,
          lag(value) OVER s AS persistence,
          round(avg(value) OVER (PARTITION BY station ORDER BY ts, event_id
-               ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS rolling,
-         round(avg(value) OVER (PARTITION BY event_type), 6) AS by_type,
+               ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 4) AS rolling,
+         round(avg(value) OVER (PARTITION BY event_type), 4) AS by_type,
          kp, dst, latitude, dayofyear(ts) AS doy, f107,
          CASE WHEN day(ts) <= 20 THEN 'train' ELSE 'test' END AS split
   FROM obs WINDOW s AS (PARTITION BY station ORDER BY ts, event_id)),

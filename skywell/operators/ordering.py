@@ -1,24 +1,30 @@
-"""Order statistics over whole columns without a single-task sort.
-
-Every function here follows one scheme.  Equal values are counted first (partial aggregation
-collapses heavy values), each distinct value falls into a bin given by a pure, monotone function
-of the value, bins are accumulated in a small table, and only values inside one bin are ordered
-together.  The number of bins is bounded by the floating-point range, not by the data.
+"""Order statistics over whole columns.
+
+A frame of counted, bounded size (``SMALL_ROWS``) is ordered with a plain window or the built-in
+exact percentile.  Beyond that no task may see a whole group, and every function follows one
+scheme: equal values are counted first (partial aggregation collapses heavy values), each distinct
+value falls into a bin given by a pure, monotone function of the value, bins are accumulated in a
+small table, and only values inside one bin are ordered together.  The number of bins is bounded by
+the floating-point range, not by the data.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from math import ceil, floor
-
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from skywell.schema import col
 
+SMALL_ROWS = 2_000_000
 BINS_PER_OCTAVE = 4096
 TIME_BIN_MICROS = 3_600_000_000
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether the frame has at most ``SMALL_ROWS`` rows; counting needs no column values."""
+    return df.count() <= SMALL_ROWS
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where null matches null; the right keys are dropped."""
     renamed = right.select(
@@ -81,11 +87,18 @@ def _within_bins(values: DataFrame, bins: DataFrame, by: list[str], value: str)
     )
 
 
-def prefix_counts(df: DataFrame, value: str, by=(), weight: str | None = None) -> DataFrame:
+def prefix_counts(df: DataFrame, value: str, by=(), weight: str | None = None,
+                  small: bool | None = None) -> DataFrame:
     """One row per (group, value): ``_n`` ties, ``_before`` smaller rows, ``_total`` group rows."""
     by = list(by)
     values = _counted(df, by, value, weight)
-    out = _within_bins(values, _bins(values, by), by, value)
+    if is_small(df) if small is None else small:
+        group = Window.partitionBy(*[col(k) for k in by])
+        lower = group.orderBy(col(value)).rowsBetween(Window.unboundedPreceding, -1)
+        out = values.withColumn("_before", F.coalesce(F.sum("_n").over(lower), F.lit(0))).withColumn(
+            "_total", F.sum("_n").over(group))
+    else:
+        out = _within_bins(values, _bins(values, by), by, value)
     return out.select(*[col(k) for k in by], col(value), "_n", "_before", "_total")
 
 
@@ -94,10 +107,19 @@ def average_rank() -> Column:
     return F.col("_before") + (F.col("_n") + F.lit(1)) / F.lit(2.0)
 
 
-def with_average_rank(df: DataFrame, value: str, out: str, by=(), weight=None) -> DataFrame:
+def tied_rank(value: Column, window: WindowSpec) -> Column:
+    """Average-tie rank as a window expression over ``window`` (already ordered by ``value``)."""
+    upto = F.count(value).over(window.rangeBetween(Window.unboundedPreceding, 0))
+    return F.when(value.isNotNull(), (F.rank().over(window) + upto) / F.lit(2.0))
+
+
+def with_average_rank(df: DataFrame, value: str, out: str, by=()) -> DataFrame:
     """Add the average-tie rank of ``value`` inside each group; null stays null."""
     by = list(by)
-    ranks = prefix_counts(df, value, by, weight).select(
+    if is_small(df):
+        window = Window.partitionBy(*[col(k) for k in by]).orderBy(col(value).asc_nulls_last())
+        return df.withColumn(out, tied_rank(col(value), window))
+    ranks = prefix_counts(df, value, by, small=False).select(
         *[col(k) for k in by], col(value), average_rank().alias(out)
     )
     return null_safe_join(df, ranks, [*by, value], "left")
@@ -107,13 +129,24 @@ def _pick(k: Column) -> Column:
     return (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
 
 
-def quantiles(df: DataFrame, columns: dict[str, Column], probs, by=()) -> DataFrame:
+def quantiles(df: DataFrame, columns: dict[str, Column], probs, by=(),
+              small: bool | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles, one row per group.
 
     Output columns are ``<name>__<i>`` for the i-th probability.  Only the bins that hold a wanted
     rank are ordered; the others are dropped at the bin join.
     """
     by, names = list(by), list(columns)
+    if is_small(df) if small is None else small:
+        cells = [(f"_v{i}", columns[n].cast("double")) for i, n in enumerate(names)]
+        rows = df.select(*[col(k) for k in by],
+                         *[F.when(~F.isnan(v), v).alias(a) for a, v in cells])
+        wide = rows.groupBy(*[col(k) for k in by]).agg(*[
+            F.percentile(F.col(a), F.array(*[F.lit(float(p)) for p in probs])).alias(a) for a, _ in cells
+        ])
+        return wide.select(*[col(k) for k in by], *[
+            F.col(f"_v{i}")[j].alias(f"{n}__{j}") for i, n in enumerate(names) for j in range(len(probs))
+        ])
     long = df.select(
         *[col(k) for k in by],
         F.explode(F.array(*[
@@ -154,10 +187,11 @@ def rows_at_rank(df: DataFrame, order: list[str], ranks: dict[str, Column]) -> D
     The first column is located by prefix counts, then only its ties go on to the next column.
     """
     prefixes = list(ranks)
+    small = is_small(df)
     level = df.select(*[col(c) for c in order])
     cells = None
     for depth, name in enumerate(order):
-        counts = prefix_counts(level, name, [] if depth == 0 else ["_slot"])
+        counts = prefix_counts(level, name, [] if depth == 0 else ["_slot"], small=small)
         if depth == 0:
             slots = F.array(*[
                 F.struct(F.lit(i).alias("s"), ranks[p].cast("long").alias("k"))
