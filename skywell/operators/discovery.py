@@ -12,7 +12,8 @@ from skywell.functions.rules import event_class
 from skywell.operators.forest import isolation_forest
 from skywell.operators.layout import last_valid, lay_out, next_valid
 from skywell.operators.ordering import prefix_counts, quantiles, value_bin
-from skywell.schema import col
+from skywell.schema import col, complete
+from skywell.session import durable
 
 LOF_CHUNK_ROWS = 50_000
 
@@ -22,7 +23,7 @@ LOF_CHUNK_ROWS = 50_000
 def mutual_information(df: DataFrame, features: list[str], target: str, bins: int = 10) -> DataFrame:
     """(feature, mi, score): information in nats between quantile bins, and its share of the largest."""
     names = [*features, target]
-    rows = df.dropna(subset=names)
+    rows = complete(df, names)
     edges = quantiles(rows, {f"e{i}": col(c) for i, c in enumerate(names)},
                       [j / bins for j in range(1, bins)])
 
@@ -108,7 +109,7 @@ def dbscan_line(df: DataFrame, value: str, eps: float = 0.5, min_points: int = 5
     values = df.select(col(value).cast("double").alias("_v")).filter("_v is not null").groupBy("_v").agg(
         F.count(F.lit(1)).alias("_n"))
     near = _count_within(values, "_v", eps)
-    cores = near.withColumn("_core", F.when(F.col("_near") >= min_points, F.col("_v")))
+    cores = durable(near.withColumn("_core", F.when(F.col("_near") >= min_points, F.col("_v"))))
     first = lay_out(cores, [], ["_v"], valid=["_core"], chunk_rows=chunk_rows)
     prev = F.last("_core", True).over(first.frame(Window.unboundedPreceding, -1))
     opens = F.col("_core").isNotNull() & (F.col("_prev").isNull() | (F.col("_v") - F.col("_prev") > eps))
@@ -125,7 +126,7 @@ def dbscan_line(df: DataFrame, value: str, eps: float = 0.5, min_points: int = 5
     from_p = back.isNotNull() & (back <= eps) & (ahead.isNull() | (ahead > eps) | (back <= ahead))
     label = F.when(from_p, F.col("_ps")).when(
         ahead <= eps, F.coalesce(F.col("_q")["s"], F.col("_ps")))
-    labelled = second.finish(rows.withColumn("_label", label)).select("_v", "_label")
+    labelled = durable(second.finish(rows.withColumn("_label", label)).select("_v", "_label"))
     ids = prefix_counts(labelled.filter("_label is not null").select("_label").distinct(), "_label")
     named = labelled.join(ids.select("_label", F.col("_before").alias("_id")), "_label", "left").select(
         "_v", F.coalesce(F.col("_id"), F.lit(-1)).cast("long").alias(out))
@@ -188,7 +189,9 @@ def novelty(df: DataFrame, features: list[str], identity: list[str], contaminati
 # --- clusters through Spark ML -------------------------------------------------------------------
 
 def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="_vec", handleInvalid="skip").transform(df)
+    names = [f"_f{i}" for i in range(len(features))]
+    plain = df.withColumns({n: col(f).cast("double") for n, f in zip(names, features)})
+    return VectorAssembler(inputCols=names, outputCol="_vec", handleInvalid="skip").transform(plain).drop(*names)
 
 
 def _kmeans(df: DataFrame, features: list[str], k: int, seed: int, out: str) -> DataFrame:
@@ -238,7 +241,7 @@ REGRESSORS = {
 def fit_baseline(df: DataFrame, kind: str, features: list[str], target: str,
                  train: Column | None = None) -> DataFrame:
     """Predictions (``model``, ``y_pred``) of one fitted regression baseline for every complete row."""
-    rows = _assembled(df.dropna(subset=[*features, target]), features)
+    rows = _assembled(complete(df, [*features, target]), features)
     fit_on = rows.filter(train) if train is not None else rows
     model = REGRESSORS[kind]().setLabelCol(target).setPredictionCol("y_pred").fit(fit_on)
     return model.transform(rows).withColumn("model", F.lit(kind)).drop("_vec")
@@ -285,3 +288,144 @@ def discover(df: DataFrame, features: list[str], prediction: str, kp: str, ident
         "events": novel.withColumn("event_class", event_class(col(kp), F.col("is_novel"))),
         "hypotheses": hypotheses(scores, novel.agg(F.count_if("is_novel").alias("n_novel")), shift),
     }
+
+
+# --- density in the plane ------------------------------------------------------------------------
+
+def dbscan_plane(df: DataFrame, key: str, x: str, y: str, eps: float, min_points: int = 5,
+                 out: str = "cluster") -> DataFrame:
+    """Density clusters of points in the plane: (key, cluster), -1 for noise.
+
+    Points are put into square cells whose diagonal is ``eps``, so all points of a cell are
+    neighbours: a cell with ``min_points`` rows is core as a whole, and only the few points of
+    thinner cells need their neighbours counted.  Linked cells are found from their occupied
+    sub-cells (:func:`_linked_cells`), so no two rich cells are compared point by point.
+    """
+    side = eps / 2 ** 0.5
+    pts = durable(df.filter(col(x).isNotNull() & col(y).isNotNull()).select(
+        col(key).alias("_id"), col(x).cast("double").alias("_x"), col(y).cast("double").alias("_y"),
+        F.floor(col(x) / side).alias("_cx"), F.floor(col(y) / side).alias("_cy")))
+    # Equal points count as one weighted site.
+    sites = pts.groupBy("_cx", "_cy", "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
+    cells = sites.groupBy("_cx", "_cy").agg(F.sum("_w").alias("_n"))
+    thin = sites.join(cells.filter(F.col("_n") < min_points), ["_cx", "_cy"])
+    around = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)
+        if abs(i) + abs(j) < 4]))
+    ask = thin.select("_x", "_y", around.alias("_o")).select(
+        F.col("_x").alias("_ax"), F.col("_y").alias("_ay"),
+        (F.floor(F.col("_x") / side) + F.col("_o.i")).alias("_cx"),
+        (F.floor(F.col("_y") / side) + F.col("_o.j")).alias("_cy"))
+    # A thin cell holds fewer than min_points rows, so a site is met by at most 21 x min_points askers.
+    close = lambda: ((F.col("_ax") - F.col("_x")) * (F.col("_ax") - F.col("_x"))
+                     + (F.col("_ay") - F.col("_y")) * (F.col("_ay") - F.col("_y"))) <= eps * eps
+    met = sites.join(ask, ["_cx", "_cy"]).filter(close())
+    thin_core = met.groupBy("_ax", "_ay").agg(F.sum("_w").alias("_near")).filter(
+        F.col("_near") >= min_points).select(F.col("_ax").alias("_x"), F.col("_ay").alias("_y"))
+    rich = sites.join(cells.filter(F.col("_n") >= min_points).select("_cx", "_cy"), ["_cx", "_cy"], "left_semi")
+    core = durable(rich.select("_x", "_y", "_cx", "_cy").unionByName(
+        sites.join(thin_core, ["_x", "_y"], "left_semi").select("_x", "_y", "_cx", "_cy")))
+    labels = _components(core.select("_cx", "_cy").distinct(), _linked_cells(core, eps, side))
+    core = core.join(labels, ["_cx", "_cy"])
+    # Border: a point that is not core takes the label of its nearest core point within eps.
+    loose = sites.join(core.select("_x", "_y"), ["_x", "_y"], "left_anti").select(
+        "_x", "_y", around.alias("_o")).select(
+        F.col("_x").alias("_ax"), F.col("_y").alias("_ay"),
+        (F.floor(F.col("_x") / side) + F.col("_o.i")).alias("_cx"),
+        (F.floor(F.col("_y") / side) + F.col("_o.j")).alias("_cy"))
+    d2 = ((F.col("_ax") - F.col("_x")) * (F.col("_ax") - F.col("_x"))
+          + (F.col("_ay") - F.col("_y")) * (F.col("_ay") - F.col("_y")))
+    border = core.join(loose, ["_cx", "_cy"]).filter(close()).groupBy("_ax", "_ay").agg(
+        F.min_by("_label", F.struct(d2, F.col("_x"), F.col("_y"))).alias("_label")).select(
+        F.col("_ax").alias("_x"), F.col("_ay").alias("_y"), "_label")
+    named = core.select("_x", "_y", "_label").unionByName(border)
+    joined = pts.join(named, ["_x", "_y"], "left")
+    # Number clusters by their smallest key.
+    order = joined.filter("_label is not null").groupBy("_label").agg(F.min("_id").alias("_first"))
+    ids = prefix_counts(order, "_first").select("_first", F.col("_before").alias("_num"))
+    order = order.join(ids, "_first").select("_label", "_num")
+    return joined.join(order, "_label", "left").select(
+        F.col("_id").alias(key), F.coalesce("_num", F.lit(-1)).cast("long").alias(out))
+
+
+_NEAR_CELLS = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4 and (i, j) > (0, 0)]
+
+
+def _linked_cells(core: DataFrame, eps: float, side: float, split: int = 8, rounds: int = 12) -> DataFrame:
+    """Pairs of cells (ax, ay, bx, by) with core points at most ``eps`` apart, exactly.
+
+    Each round looks at the occupied squares of a finer grid.  Two squares whose farthest corners
+    are within ``eps`` settle the pair of cells; two whose nearest corners are not are dropped;
+    the rest is refined.  A square holding one distinct point has no extent, so the question is
+    always settled; ``rounds`` of 8-fold refinement reach the resolution of a double.
+    """
+    boxes = core.groupBy("_cx", "_cy").agg(*_extent())
+    a = boxes.select(*[F.col(c).alias(f"a{c}") for c in boxes.columns],
+                     F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
+                                         for i, j in _NEAR_CELLS])).alias("_o"))
+    b = boxes.select(*[F.col(c).alias(f"b{c}") for c in boxes.columns])
+    pairs = a.join(b, (F.col("a_cx") + F.col("_o.i") == F.col("b_cx"))
+                   & (F.col("a_cy") + F.col("_o.j") == F.col("b_cy"))).drop("_o")
+    found, size = None, side
+    for _ in range(rounds):
+        near, far = _gap2(pairs, min_gap=True), _gap2(pairs, min_gap=False)
+        pairs = durable(pairs.withColumns({"_near2": near, "_far2": far}).filter(
+            F.col("_near2") <= eps * eps))
+        sure = pairs.filter(F.col("_far2") <= eps * eps).select("a_cx", "a_cy", "b_cx", "b_cy").distinct()
+        found = sure if found is None else found.unionByName(sure)
+        open_pairs = pairs.join(sure, ["a_cx", "a_cy", "b_cx", "b_cy"], "left_anti").drop("_near2", "_far2")
+        if open_pairs.isEmpty():
+            break
+        size = size / split
+        still = open_pairs.select(F.col("a_cx").alias("_cx"), F.col("a_cy").alias("_cy")).unionByName(
+            open_pairs.select(F.col("b_cx").alias("_cx"), F.col("b_cy").alias("_cy"))).distinct()
+        fine = durable(core.join(still, ["_cx", "_cy"], "left_semi").groupBy("_cx", "_cy", F.floor(F.col("_x") / size).alias("_sx"),
+                                    F.floor(F.col("_y") / size).alias("_sy")).agg(*_extent()))
+        pairs = _refine(_refine(open_pairs, fine, "a", split), fine, "b", split)
+    return found
+
+
+def _extent() -> list[Column]:
+    return [F.min("_x").alias("_x0"), F.max("_x").alias("_x1"), F.min("_y").alias("_y0"), F.max("_y").alias("_y1")]
+
+
+def _gap2(pairs: DataFrame, min_gap: bool) -> Column:
+    """Squared least (or greatest) distance between the bounding boxes of both sides."""
+    total = None
+    for lo, hi in (("_x0", "_x1"), ("_y0", "_y1")):
+        u, v = F.col(f"a{lo}") - F.col(f"b{hi}"), F.col(f"b{lo}") - F.col(f"a{hi}")
+        d = F.greatest(u, v, F.lit(0.0)) if min_gap else F.greatest(F.abs(u), F.abs(v))
+        total = d * d if total is None else total + d * d
+    return total
+
+
+def _refine(pairs: DataFrame, fine: DataFrame, tag: str, split: int) -> DataFrame:
+    """Replace one side's boxes by the boxes of the finer grid inside them."""
+    ren = fine.select(*[F.col(c).alias(f"n{c}") for c in fine.columns])
+    inside = ((F.col(f"{tag}_cx") == F.col("n_cx")) & (F.col(f"{tag}_cy") == F.col("n_cy"))
+              & (F.col("n_x0") >= F.col(f"{tag}_x0")) & (F.col("n_x1") <= F.col(f"{tag}_x1"))
+              & (F.col("n_y0") >= F.col(f"{tag}_y0")) & (F.col("n_y1") <= F.col(f"{tag}_y1")))
+    swap = ("_x0", "_x1", "_y0", "_y1")
+    return pairs.join(ren, inside).select(
+        *[c for c in pairs.columns if c not in {f"{tag}{s}" for s in swap}],
+        *[F.col(f"n{s}").alias(f"{tag}{s}") for s in swap])
+
+
+def _components(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """Connected components of cells: (_cx, _cy, _label), by repeated minimum over links.
+
+    Each round also follows the label's own label, so chains shrink by halves; every round is
+    checkpointed because the plan would double otherwise.
+    """
+    name = lambda cx, cy: F.struct(F.col(cx).alias("x"), F.col(cy).alias("y"))
+    edges = links.select(name("a_cx", "a_cy").alias("u"), name("b_cx", "b_cy").alias("v"))
+    edges = durable(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    labels = durable(cells.select(name("_cx", "_cy").alias("u")).withColumn("l", F.col("u")))
+    while True:
+        seen = edges.join(labels.withColumnsRenamed({"u": "v"}), "v").groupBy("u").agg(F.min("l").alias("m"))
+        step = labels.join(seen, "u", "left").select("u", "l", F.least("l", F.coalesce("m", "l")).alias("n"))
+        jump = step.select(F.col("u").alias("n"), F.col("n").alias("nn"))
+        new = durable(step.join(jump, "n", "left").select("u", "l", F.coalesce("nn", "n").alias("n")))
+        if new.filter("n <> l").isEmpty():
+            return new.select(F.col("u.x").alias("_cx"), F.col("u.y").alias("_cy"), F.col("n").alias("_label"))
+        labels = new.select("u", F.col("n").alias("l"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skywell.operators.layout import Layout, last_valid, lay_out, next_valid
 from skywell.operators.ordering import micros, null_safe_join, quantiles
-from skywell.schema import col, numeric_columns
+from skywell.schema import col, complete, numeric_columns
 
 
 def _neighbours(layout: Layout, name: str, ts: str) -> tuple[Column, Column]:
@@ -85,7 +85,7 @@ def fill_statistic(df: DataFrame, columns: list[str], statistic: str = "median",
 
 
 def drop_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    return df.dropna(subset=columns) if columns else df.dropna()
+    return complete(df, columns or df.columns)
 
 
 # Strategy name -> function (df, columns, limit, keys, order); open for further strategies.

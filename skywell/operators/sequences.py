@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from skywell.functions.rules import finite
 from skywell.operators.layout import lay_out
-from skywell.schema import Settings, col
+from skywell.schema import Settings, col, complete
 
 
 def _cells(features) -> list:
@@ -76,7 +76,7 @@ def too_short(df: DataFrame, width: int, keys=("Station",)) -> DataFrame:
 def sequences_ahead(df: DataFrame, features, target: str, width: int = 96, horizon: int = 1,
                     **options) -> DataFrame:
     """Rows with a null feature or target are dropped first; the label lies ``horizon`` rows ahead."""
-    clean = df.dropna(subset=list(dict.fromkeys([*features, target])))
+    clean = complete(df, list(dict.fromkeys([*features, target])))
     return sequences(clean, features, target, width, min_completeness=0.0, mode="full",
                      horizon=horizon, **options)
 

@@ -158,6 +158,16 @@ def numeric_columns(df, exclude=()) -> list[str]:
     ]
 
 
+def complete(df, names):
+    """Rows in which every named column is present (neither null nor NaN)."""
+    for name in names:
+        ok = col(name).isNotNull()
+        if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+            ok = ok & ~F.isnan(col(name))
+        df = df.filter(ok)
+    return df
+
+
 @dataclass(frozen=True)
 class Settings:
     """Defaults of the preparation pipeline."""
