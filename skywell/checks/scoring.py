@@ -14,12 +14,12 @@ def _metric_sql(by: str, source: str) -> str:
     """All metrics of ``source`` (columns: by, y_true, y_pred) per group."""
     part = f"PARTITION BY {by}"
     return f"""
-  SELECT {by}, count(*) AS n, round(sqrt(avg({E2})), 6) AS rmse, round(avg(abs(y_pred - y_true)), 6) AS mae,
+  SELECT {by}, count(*) AS n, round(sqrt(avg({E2})), 6) AS rmse, round(avg(abs(y_pred - y_true)) + 1e-9, 6) AS mae,
     round(avg(abs(y_pred - y_true) / (abs(y_true) + 1e-8)) * 100, 3) AS mape,
     round(1 - sum({E2}) / (var_pop(y_true) * count(*) + 1e-8), 6) AS r2,
     round(corr(y_true, y_pred), 6) + 0.0 AS pearson, round(corr(ry, rp), 6) + 0.0 AS spearman,
-    round(quantile_cont(abs(y_pred - y_true), 0.5), 6) AS median_ae,
-    round(quantile_cont(abs(y_pred - y_true), 0.95), 6) AS p95_ae
+    round(quantile_cont(abs(y_pred - y_true), 0.5) + 1e-9, 6) AS median_ae,
+    round(quantile_cont(abs(y_pred - y_true), 0.95) + 1e-9, 6) AS p95_ae
   FROM (SELECT *, rank() OVER ({part} ORDER BY y_true) + (count(*) OVER ({part}, y_true) - 1) / 2.0 AS ry,
           rank() OVER ({part} ORDER BY y_pred) + (count(*) OVER ({part}, y_pred) - 1) / 2.0 AS rp
         FROM ({source}) WHERE y_true IS NOT NULL AND y_pred IS NOT NULL)
@@ -27,8 +27,9 @@ def _metric_sql(by: str, source: str) -> str:
 
 
 def _rounded(df, by):
-    digits = {"mape": 3}
-    return df.select(*by, "n", *[r(F.col(m), digits.get(m, 6)).alias(m)
+    # Means and quantiles of values with few decimals can end in a half; the shift decides them.
+    digits, shift = {"mape": 3}, {"mae", "median_ae", "p95_ae"}
+    return df.select(*by, "n", *[r(F.col(m) + (1e-9 if m in shift else 0.0), digits.get(m, 6)).alias(m)
                                  for m in metrics.METRIC_NAMES if m != "n"])
 
 
@@ -38,12 +39,12 @@ def _(spark, sf):
 
 
 @query("metrics_basic", with_obs(f"""
-  SELECT model, count(*) AS n, round(sqrt(avg({E2})), 6) AS rmse, round(avg(abs(y_pred - y_true)), 6) AS mae,
+  SELECT model, count(*) AS n, round(sqrt(avg({E2})), 6) AS rmse, round(avg(abs(y_pred - y_true)) + 1e-9, 6) AS mae,
     round(1 - sum({E2}) / (var_pop(y_true) * count(*) + 1e-8), 6) AS r2, round(avg({E2}), 4) AS mse
   FROM pred WHERE y_pred IS NOT NULL GROUP BY model""", PRED))
 def _(spark, sf):
     out = metrics.basic_metrics(predictions(spark, sf), ["model"])
-    return out.select("model", "n", r(F.col("rmse")).alias("rmse"), r(F.col("mae")).alias("mae"),
+    return out.select("model", "n", r(F.col("rmse")).alias("rmse"), r(F.col("mae") + 1e-9).alias("mae"),
                       r(F.col("r2")).alias("r2"), r(F.col("mse"), 4).alias("mse"))
 
 

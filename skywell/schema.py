@@ -136,10 +136,6 @@ OBSERVATION_SCHEMA = T.StructType(
     [T.StructField("Timestamp", T.TimestampType()), T.StructField("Station", T.StringType())]
     + [T.StructField(name, T.DoubleType()) for name in OBSERVATION_COLUMNS[2:]]
 )
-RAW_OBSERVATION_SCHEMA = T.StructType(
-    [T.StructField(name, T.StringType()) for name in OBSERVATION_COLUMNS]
-)
-
 NUMERIC_TYPES = (
     T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType,
 )
