@@ -122,7 +122,7 @@ def predictions_wide(spark: SparkSession, sf: str) -> DataFrame:
 
     o = observations(spark, sf)
     layout = lay_out(o, ["Station"], ["Timestamp", "event_id"], before=3)
-    by_type = o.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("by_type"))
+    by_type = o.groupBy("event_type").agg(F.round(F.avg("value") + 1e-9, 4).alias("by_type"))
     rows = layout.finish(layout.rows.withColumns({
         "persistence": F.lag("value").over(layout.window),
         "rolling": F.round(F.avg("value").over(layout.frame(-3, -1)), 4),
@@ -150,7 +150,7 @@ wide AS (
          lag(value) OVER s AS persistence,
          round(avg(value) OVER (PARTITION BY station ORDER BY ts, event_id
                ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 4) AS rolling,
-         round(avg(value) OVER (PARTITION BY event_type), 4) AS by_type,
+         round(avg(value) OVER (PARTITION BY event_type) + 1e-9, 4) AS by_type,
          kp, dst, latitude, dayofyear(ts) AS doy, f107,
          CASE WHEN day(ts) <= 20 THEN 'train' ELSE 'test' END AS split
   FROM obs WINDOW s AS (PARTITION BY station ORDER BY ts, event_id)),

@@ -61,11 +61,11 @@ def _drift(spark, sf, by):
 
 
 @query("concept_drift", with_obs("""
-  SELECT station, round(current_mean, 6) AS current_mean, round(drift_z, 6) AS drift_z, drift_z > 0.5 AS is_drifting FROM z""",
+  SELECT station, round(current_mean + 1e-9, 6) AS current_mean, round(drift_z, 6) AS drift_z, drift_z > 0.5 AS is_drifting FROM z""",
     DRIFT))
 def _(spark, sf):
     return _drift(spark, sf, ["Station"]).select(
-        F.col("Station").alias("station"), r(F.col("current_mean")).alias("current_mean"),
+        F.col("Station").alias("station"), r(F.col("current_mean") + 1e-9).alias("current_mean"),
         r(F.col("drift_z")).alias("drift_z"), "is_drifting")
 
 

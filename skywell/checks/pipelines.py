@@ -34,7 +34,7 @@ def _(spark, sf):
 
 
 @query("synchronised_tables", with_obs("""
-  SELECT epoch_us(ts) AS ts_us, round(a, 6) AS a, round(b, 6) AS b FROM (
+  SELECT epoch_us(ts) AS ts_us, round(a + 1e-9, 6) AS a, round(b + 1e-9, 6) AS b FROM (
     SELECT ts, coalesce(a1, CASE WHEN i - ai2 <= 2 THEN av2 END) AS a, coalesce(b1, CASE WHEN i - bi2 <= 2 THEN bv2 END) AS b FROM (
       SELECT ts, i, a1, b1, last_value(a1 IGNORE NULLS) OVER w AS av2, last_value(b1 IGNORE NULLS) OVER w AS bv2,
         last_value(CASE WHEN a1 IS NOT NULL THEN i END IGNORE NULLS) OVER w AS ai2,
@@ -44,8 +44,8 @@ def _(spark, sf):
       WINDOW w AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))
   WHERE a IS NOT NULL AND b IS NOT NULL""",
     """
-ta AS (SELECT date_trunc('hour', ts) AS ts, round(avg(value), 4) AS a FROM obs WHERE event_type IN ('click', 'view') GROUP BY 1),
-tb AS (SELECT date_trunc('hour', ts) AS ts, round(avg(kp_raw), 4) AS b FROM obs WHERE event_type IN ('error', 'view') GROUP BY 1),
+ta AS (SELECT date_trunc('hour', ts) AS ts, round(avg(value) + 1e-9, 4) AS a FROM obs WHERE event_type IN ('click', 'view') GROUP BY 1),
+tb AS (SELECT date_trunc('hour', ts) AS ts, round(avg(kp_raw) + 1e-9, 4) AS b FROM obs WHERE event_type IN ('error', 'view') GROUP BY 1),
 j AS (SELECT ts, a, b, row_number() OVER (ORDER BY ts) AS i FROM ta FULL JOIN tb USING (ts)),
 g AS (SELECT *, """ + ", ".join(
         f"""last_value(CASE WHEN {c} IS NOT NULL THEN i END IGNORE NULLS) OVER p AS {c}pi, last_value({c} IGNORE NULLS) OVER p AS {c}pv,
@@ -57,9 +57,9 @@ g AS (SELECT *, """ + ", ".join(
 def _(spark, sf):
     o = observations(spark, sf).withColumn("hour", F.date_trunc("hour", "Timestamp"))
     side = lambda types, c, out: o.filter(F.col("event_type").isin(types)).groupBy(
-        F.col("hour").alias("Timestamp")).agg(F.round(F.avg(c), 4).alias(out))
+        F.col("hour").alias("Timestamp")).agg(F.round(F.avg(c) + 1e-9, 4).alias(out))
     out = jobs.synchronise(side(["click", "view"], "value", "a"), side(["error", "view"], "kp_raw", "b"), ["a", "b"])
-    return out.select(us(F.col("Timestamp")).alias("ts_us"), r(F.col("a")).alias("a"), r(F.col("b")).alias("b"))
+    return out.select(us(F.col("Timestamp")).alias("ts_us"), r(F.col("a") + 1e-9).alias("a"), r(F.col("b") + 1e-9).alias("b"))
 
 
 @query("preprocessing")

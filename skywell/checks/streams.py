@@ -65,14 +65,14 @@ def _(spark, sf):
 
 
 @query("stream_drift", with_obs(f"""
-  SELECT epoch_us(s) AS start_us, round(avg(value), 6) AS current_mean,
+  SELECT epoch_us(s) AS start_us, round(avg(value) + 1e-9, 6) AS current_mean,
     round(abs((avg(value) - any_value(hm)) / (any_value(hs) + 1e-8)), 6) AS drift_z
   FROM (SELECT value, date_trunc('day', ts) AS s FROM obs), (SELECT avg(value) AS hm, stddev_pop(value) AS hs FROM obs)
   WHERE s + INTERVAL 1 DAY <= {CLOSED} GROUP BY s"""))
 def _(spark, sf):
     history = discovery.history_of(observations(spark, sf), "value")
     out = m.run_available(m.drift_stream(events_stream(spark, sf), history, "value"), spark)
-    return out.select(us(F.col("start")).alias("start_us"), r(F.col("current_mean")).alias("current_mean"),
+    return out.select(us(F.col("start")).alias("start_us"), r(F.col("current_mean") + 1e-9).alias("current_mean"),
                       r(F.col("drift_z")).alias("drift_z"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skywell.operators.forest import isolation_forest
 from skywell.operators.ordering import quantiles
 from skywell.schema import Settings, col, numeric_columns
+from skywell.session import durable
 
 MASK = "_mask_{method}_{column}"
 
@@ -142,6 +143,9 @@ def treat_outliers(df: DataFrame, settings: Settings = Settings(),
     for method in settings.outlier_methods:
         df = OUTLIER_METHODS[method](df, settings, identity)
     df, columns = union_mask(df)
+    if "isolation_forest" in settings.outlier_methods:
+        # Scoring runs in Python; the action's statistics must not run it again.
+        df = durable(df)
     if columns:
         df = OUTLIER_ACTIONS[settings.outlier_action](df, columns)
     return df.drop(*[c for c in df.columns if c.startswith(("_mask_", "_out_"))])

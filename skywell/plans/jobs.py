@@ -114,7 +114,8 @@ def fill_build(df: DataFrame, columns: list[str], start: str, end: str, settings
                key: str = "Station", tie: tuple[str, ...] = ()) -> DataFrame:
     """Date range, first row per time, forward interpolation up to the modal-step limit, driver hold."""
     df = rules.between_days(df, start, end)
-    df = fills.keep_first(df, [key, "Timestamp"], list(tie) or ["Timestamp"])
+    # The merged rows feed the modal step and both fills: keep them instead of merging three times.
+    df = durable(fills.keep_first(df, [key, "Timestamp"], list(tie) or ["Timestamp"]))
     step = fills.modal_step(df, [key], ["Timestamp"])
     limits = step.select(col(key), fills.step_limit(F.col("step_seconds"), settings.interpolation_hours).alias("_limit"))
     df = df.join(joins.broadcast_if_small(limits), key, "left")

@@ -68,9 +68,9 @@ def export(df: DataFrame, base: str, formats=("csv", "json")) -> dict[str, str]:
 
 def land(df: DataFrame, root: str, station: str = "Station", ts: str = "Timestamp") -> None:
     """Write months of stations, replacing only the (station, year, month) folders present in ``df``."""
-    df.withColumns({"year": F.year(col(ts)), "month": F.month(col(ts))}).repartition(
-        col(station), "year", "month", F.dayofmonth(col(ts))
-    ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+    dated = df.withColumns({"year": F.year(col(ts)), "month": F.month(col(ts))})
+    # Rebalancing gathers the rows of a folder and lets Spark split a folder that is too large.
+    dated.hint("rebalance", station, "year", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         station, "year", "month").parquet(root)
 
 
