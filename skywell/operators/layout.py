@@ -85,8 +85,8 @@ def lay_out(
     by_time = _is_time(df, order[0])
     tick = micros(col(order[0])) if by_time else value_bin(col(order[0]), df.schema[order[0]].dataType)
     counts = df.groupBy(*[col(k) for k in keys]).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min(tick).alias("_lo"), F.max(tick).alias("_hi")
-    ).filter(F.col("_rows") > size)
+        F.count(F.lit(1)).alias("_lay_rows"), F.min(tick).alias("_lay_lo"), F.max(tick).alias("_lay_hi")
+    ).filter(F.col("_lay_rows") > size)
     if counts.isEmpty():
         rows = df.withColumn("_pos", (F.row_number().over(_spec(keys, order, False)) - 1).cast("long"))
         return Layout(rows, list(keys), list(order), False)
@@ -95,36 +95,36 @@ def lay_out(
 
 
 def _chunked(df, keys, order, tick, hot, before, after, valid, size) -> Layout:
-    parts = F.ceil(F.col("_rows") / F.lit(size)) * BUCKETS_PER_CHUNK
-    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / parts)).cast("long")
-    hot = hot.select(*[col(k) for k in keys], "_lo", width.alias("_width"))
+    parts = F.ceil(F.col("_lay_rows") / F.lit(size)) * BUCKETS_PER_CHUNK
+    width = F.greatest(F.lit(1), F.ceil((F.col("_lay_hi") - F.col("_lay_lo") + 1) / parts)).cast("long")
+    hot = hot.select(*[col(k) for k in keys], "_lay_lo", width.alias("_lay_width"))
     small = hot.count() <= BROADCAST_ROWS
     hot = F.broadcast(hot) if small else hot
     no_tick = F.lit(1 << 50)
     bucket = F.when(tick.isNull(), no_tick).otherwise(
-        F.floor((tick - F.col("_lo")) / F.col("_width"))
+        F.floor((tick - F.col("_lay_lo")) / F.col("_lay_width"))
     ).cast("long")
 
     def tagged(how):
         joined = df.join(hot, keys, how) if keys else df.crossJoin(hot)
-        return joined.withColumn("_bucket", F.when(F.col("_width").isNotNull(), bucket)).drop(
-            "_lo", "_width"
+        return joined.withColumn("_lay_bucket", F.when(F.col("_lay_width").isNotNull(), bucket)).drop(
+            "_lay_lo", "_lay_width"
         )
 
     keyed = [col(k) for k in keys]
-    stats = tagged("inner").groupBy(*keyed, "_bucket").agg(
-        F.count(F.lit(1)).alias("_n"),
+    stats = tagged("inner").groupBy(*keyed, "_lay_bucket").agg(
+        F.count(F.lit(1)).alias("_lay_n"),
         *[F.count(col(v)).alias(f"_valid{i}") for i, v in enumerate(valid)],
     )
     plan = _placement(stats, keys, before, after, len(valid), size)
     plan = durable(plan)
     placed = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
-    rows = tagged("left").join(placed, [*keys, "_bucket"], "left").select(
+    rows = tagged("left").join(placed, [*keys, "_lay_bucket"], "left").select(
         *[col(c) for c in df.columns],
-        F.coalesce("_target", F.lit(0)).alias("_chunk"),
-        F.coalesce("_bucket", F.lit(0)).alias("_run"),
-        F.coalesce("_start", F.lit(0)).alias("_base"),
-        F.coalesce("_mine", F.lit(True)).alias("_own"),
+        F.coalesce("_lay_target", F.lit(0)).alias("_chunk"),
+        F.coalesce("_lay_bucket", F.lit(0)).alias("_run"),
+        F.coalesce("_lay_start", F.lit(0)).alias("_base"),
+        F.coalesce("_lay_mine", F.lit(True)).alias("_own"),
     ).repartition(*keyed, F.col("_chunk"))
     in_run = Window.partitionBy(*keyed, "_chunk", "_run").orderBy(
         *[col(o).asc_nulls_last() for o in order]
@@ -136,47 +136,47 @@ def _chunked(df, keys, order, tick, hot, before, after, valid, size) -> Layout:
 def _placement(stats, keys, before, after, n_valid, size) -> DataFrame:
     """(key, bucket) -> chunk it is computed in, and chunks that borrow it."""
     keyed = [col(k) for k in keys]
-    w = Window.partitionBy(*keyed).orderBy("_bucket")
+    w = Window.partitionBy(*keyed).orderBy("_lay_bucket")
     past = w.rowsBetween(Window.unboundedPreceding, -1)
-    falling = Window.partitionBy(*keyed).orderBy(F.col("_bucket").desc())
+    falling = Window.partitionBy(*keyed).orderBy(F.col("_lay_bucket").desc())
     future = falling.rowsBetween(Window.unboundedPreceding, -1)
     b = (
-        stats.withColumn("_start", F.coalesce(F.sum("_n").over(past), F.lit(0)))
-        .withColumn("_end", F.col("_start") + F.col("_n"))
-        .withColumn("_home", F.floor(F.col("_start") / F.lit(size)).cast("long"))
-        .withColumn("_next", F.lead("_home").over(w))
-        .withColumn("_prev", F.lag("_home").over(w))
+        stats.withColumn("_lay_start", F.coalesce(F.sum("_lay_n").over(past), F.lit(0)))
+        .withColumn("_lay_end", F.col("_lay_start") + F.col("_lay_n"))
+        .withColumn("_lay_home", F.floor(F.col("_lay_start") / F.lit(size)).cast("long"))
+        .withColumn("_lay_next", F.lead("_lay_home").over(w))
+        .withColumn("_lay_prev", F.lag("_lay_home").over(w))
     )
     for i in range(n_valid):
-        held = F.when(F.col(f"_valid{i}") > 0, F.col("_bucket"))
+        held = F.when(F.col(f"_valid{i}") > 0, F.col("_lay_bucket"))
         b = b.withColumn(f"_last{i}", F.last(held, True).over(past)).withColumn(
             f"_first{i}", F.last(held, True).over(future)
         )
-    targets = [F.array(F.col("_home"))]
+    targets = [F.array(F.col("_lay_home"))]
     if before:
-        ahead = Window.partitionBy(*keyed).orderBy("_end").rangeBetween(0, before - 1)
-        b = b.withColumn("_upto", F.max("_next").over(ahead))
-        targets.append(F.when(F.col("_upto") > F.col("_home"),
-                              F.sequence(F.col("_home") + 1, F.col("_upto"))))
+        ahead = Window.partitionBy(*keyed).orderBy("_lay_end").rangeBetween(0, before - 1)
+        b = b.withColumn("_lay_upto", F.max("_lay_next").over(ahead))
+        targets.append(F.when(F.col("_lay_upto") > F.col("_lay_home"),
+                              F.sequence(F.col("_lay_home") + 1, F.col("_lay_upto"))))
     if after:
-        behind = Window.partitionBy(*keyed).orderBy("_start").rangeBetween(-(after - 1), 0)
-        b = b.withColumn("_from", F.min("_prev").over(behind))
-        targets.append(F.when(F.col("_from") < F.col("_home"),
-                              F.sequence(F.col("_from"), F.col("_home") - 1)))
+        behind = Window.partitionBy(*keyed).orderBy("_lay_start").rangeBetween(-(after - 1), 0)
+        b = b.withColumn("_lay_from", F.min("_lay_prev").over(behind))
+        targets.append(F.when(F.col("_lay_from") < F.col("_lay_home"),
+                              F.sequence(F.col("_lay_from"), F.col("_lay_home") - 1)))
     empty = F.array().cast("array<bigint>")
     lent = F.concat(*[F.coalesce(t, empty) for t in targets])
-    pairs = b.select(*keyed, "_bucket", F.explode(lent).alias("_target"))
-    opens = F.col("_prev").isNull() | (F.col("_prev") != F.col("_home"))
-    closes = F.col("_next").isNull() | (F.col("_next") != F.col("_home"))
+    pairs = b.select(*keyed, "_lay_bucket", F.explode(lent).alias("_lay_target"))
+    opens = F.col("_lay_prev").isNull() | (F.col("_lay_prev") != F.col("_lay_home"))
+    closes = F.col("_lay_next").isNull() | (F.col("_lay_next") != F.col("_lay_home"))
     for i in range(n_valid):
         for edge, name in ((opens, f"_last{i}"), (closes, f"_first{i}")):
             pairs = pairs.unionByName(b.filter(edge & F.col(name).isNotNull()).select(
-                *keyed, F.col(name).alias("_bucket"), F.col("_home").alias("_target")
+                *keyed, F.col(name).alias("_lay_bucket"), F.col("_lay_home").alias("_lay_target")
             ))
-    where = b.select(*keyed, "_bucket", "_start", "_home")
+    where = b.select(*keyed, "_lay_bucket", "_lay_start", "_lay_home")
     return (
-        pairs.distinct().join(where, [*keys, "_bucket"])
-        .withColumn("_mine", F.col("_target") == F.col("_home")).drop("_home")
+        pairs.distinct().join(where, [*keys, "_lay_bucket"])
+        .withColumn("_lay_mine", F.col("_lay_target") == F.col("_lay_home")).drop("_lay_home")
     )
 
 
