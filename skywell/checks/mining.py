@@ -125,8 +125,7 @@ kd AS (SELECT num.i, num.x, m.kd FROM num JOIN (SELECT i, max(d) AS kd FROM n1 G
 n2 AS ({_near_sql("kd", ", b.kd")})""", """
 lrd AS (SELECT i, 1 / (avg(greatest(kd, d)) + 1e-10) AS lrd FROM n2 GROUP BY i)"""))
 def _(spark, sf):
-    out = discovery.lof_line(observations(spark, sf).select("event_id", "Timestamp", "value"), "value",
-                             ["Timestamp", "event_id"])
+    out = discovery.lof_line(observations(spark, sf).select("event_id", "Timestamp", "value"), "value")
     return out.select("event_id", r(F.col("lof"), 5).alias("lof"))
 
 

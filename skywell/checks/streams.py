@@ -131,10 +131,8 @@ def _(spark, sf):
 def _(spark, sf):
     checks = {"null_kp": F.col("kp").isNull(), "low_dst": F.col("dst") < -100}
     seen = m.observe_stream(events_stream(spark, sf), "quality", checks)
-
-    # The observed counts of each batch are in the query progress; batches add up to the totals.
-    totals = m.observed_totals(seen, spark, "quality")
-    return totals.select("rows", "null_kp", "low_dst")
+    out = m.run_batches(seen, spark, lambda root, sink: m.validation_batch(checks, sink))
+    return out.agg(*[F.sum(c).alias(c) for c in ("rows", "null_kp", "low_dst")])
 
 
 @query("stream_event_class", with_obs("""

@@ -43,11 +43,9 @@ def _(spark, sf):
 @query("station_mean_centred", with_obs("""
   SELECT event_id, round(value - avg(value) OVER (PARTITION BY station) + 1e-9, 6) + 0.0 AS centred FROM obs"""))
 def _(spark, sf):
-    def centre(pdf):
-        pdf["centred"] = pdf["value"] - pdf["value"].mean()
-        return pdf[["event_id", "centred"]]
     o = observations(spark, sf).select("Station", "event_id", "value")
-    return features.per_station(o, centre, "event_id long, centred double").select(
+    means = o.groupBy("Station").agg(F.avg("value").alias("mean"))
+    return o.join(means, "Station").withColumn("centred", F.col("value") - F.col("mean")).select(
         "event_id", r(F.col("centred") + 1e-9).alias("centred"))
 
 

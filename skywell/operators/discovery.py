@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -139,42 +141,53 @@ def cluster_summary(df: DataFrame, label: str = "cluster") -> DataFrame:
         F.count_if(col(label) == -1).alias("n_noise"))
 
 
-def lof_line(df: DataFrame, value: str, tie: list[str], k: int = 20, threshold: float = 1.5,
-             score: str = "lof", flag: str = "is_outlier", chunk_rows: int = LOF_CHUNK_ROWS) -> DataFrame:
+def _lof_of_values(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Factor of each distinct value of one sorted stretch; ``_n`` holds multiplicities."""
+    pdf = pdf.sort_values("_v")
+    copies = np.minimum(pdf["_n"].to_numpy(), k + 1)
+    x = np.repeat(pdf["_v"].to_numpy(dtype=float), copies)
+    offsets = np.concatenate([np.arange(-k, 0), np.arange(1, k + 1)])
+    near = np.empty((len(x), k), dtype=np.int64)
+    dist = np.empty((len(x), k))
+    for at in range(0, len(x), 20_000):
+        i = np.arange(at, min(at + 20_000, len(x)))
+        j = i[:, None] + offsets
+        outside = (j < 0) | (j >= len(x))
+        j = np.clip(j, 0, len(x) - 1)
+        d = np.where(outside, np.inf, np.abs(x[j] - x[i][:, None]))
+        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        near[i], dist[i] = np.take_along_axis(j, best, 1), np.take_along_axis(d, best, 1)
+    lrd = 1.0 / (np.maximum(dist[:, -1][near], dist).mean(axis=1) + 1e-10)
+    lof = lrd[near].mean(axis=1) / lrd
+    first = np.cumsum(copies) - copies
+    out = pd.DataFrame({"_v": pdf["_v"].to_numpy(), "_own": pdf["_own"].to_numpy(), "_lof": lof[first]})
+    return out[out["_own"]][["_v", "_lof"]]
+
+
+def lof_line(df: DataFrame, value: str, k: int = 20, threshold: float = 1.5, score: str = "lof",
+             flag: str = "is_outlier", chunk_rows: int = LOF_CHUNK_ROWS) -> DataFrame:
     """Local outlier factor of one column.
 
-    In value order the k neighbours of a row lie within k rows on either side, so three passes of
-    frames over the same sorted chunks give distance, density and factor.  ``tie`` orders equal
-    values.
+    Equal values have equal factors and never use more than k + 1 of each other, so the work is done
+    on distinct values with capped multiplicity and joined back.  In value order the k neighbours lie
+    within k places on either side; a stretch of values with 3k borrowed ones at each end is complete
+    for distance, density and factor.
     """
-    rows = df.filter(col(value).isNotNull())
-    n = rows.count()
-    k = min(k, n - 1)
+    values = df.filter(col(value).isNotNull()).groupBy(col(value).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    values = durable(values)
+    total = values.agg(F.sum("_n")).first()[0] or 0
+    k = min(k, total - 1)
     if k < 1:
         return df.withColumns({score: F.lit(None).cast("double"), flag: F.lit(False)})
-    layout = lay_out(rows, [], [value, *tie], before=3 * k, after=3 * k, chunk_rows=chunk_rows)
-    span = layout.frame(-k, k)
-    x = F.col("_x")
-    out = layout.rows.withColumn("_x", col(value).cast("double"))
-
-    def nearest(fields: list[str]) -> Column:
-        """The k rows of the frame nearest to this one, by (distance, position)."""
-        around = F.filter(F.col("_around"), lambda r: r["p"] != F.col("_pos"))
-        return F.slice(F.array_sort(F.transform(around, lambda r: F.struct(
-            F.abs(r["x"] - x).alias("d"), r["p"].alias("p"), *[r[f].alias(f) for f in fields]))), 1, k)
-
-    def gather(frame_rows: DataFrame, fields: list[str]) -> DataFrame:
-        cell = F.struct(F.col("_pos").alias("p"), x.alias("x"), *[F.col(f"_{f}").alias(f) for f in fields])
-        return frame_rows.withColumn("_around", F.collect_list(cell).over(span)).withColumn(
-            "_near", nearest(fields))
-
-    mean = lambda arr, f: F.aggregate(arr, F.lit(0.0), lambda a, r: a + f(r)) / F.size(arr)
-    out = gather(out, []).withColumn("_kd", F.element_at("_near", -1)["d"])
-    out = gather(out, ["kd"]).withColumn(
-        "_lrd", 1.0 / (mean(F.col("_near"), lambda r: F.greatest(r["kd"], r["d"])) + 1e-10))
-    out = gather(out, ["lrd"]).withColumn(score, mean(F.col("_near"), lambda r: r["lrd"]) / F.col("_lrd"))
-    out = layout.finish(out.drop("_around", "_near", "_kd", "_lrd", "_x"))
-    return out.withColumn(flag, col(score) > threshold)
+    layout = lay_out(values, [], ["_v"], before=3 * k, after=3 * k, chunk_rows=chunk_rows)
+    rows = layout.rows
+    if not layout.chunked:
+        rows = rows.withColumns({"_chunk": F.lit(0), "_own": F.lit(True)})
+    scored = rows.select("_v", "_n", "_chunk", "_own").groupBy("_chunk").applyInPandas(
+        lambda pdf: _lof_of_values(pdf, k), "_v double, _lof double").withColumnRenamed("_lof", score)
+    out = df.join(scored, col(value).cast("double") == F.col("_v"), "left").drop("_v")
+    return out.withColumn(flag, F.coalesce(F.col(score) > threshold, F.lit(False)))
 
 
 # --- novelty -------------------------------------------------------------------------------------
@@ -281,7 +294,7 @@ def discover(df: DataFrame, features: list[str], prediction: str, kp: str, ident
         "relationships": scores,
         "edges": relation_edges(scores),
         "novelty": novel,
-        "outliers": lof_line(df, prediction, identity),
+        "outliers": lof_line(df, prediction),
         "drift": shift,
         "states": behaviour_states(df, prediction),
         "patterns": dbscan_line(df, prediction),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skywell.functions import rules
-from skywell.operators.layout import Layout, lay_out
+from skywell.operators.layout import CHUNK_ROWS, Layout, lay_out
 from skywell.operators.ordering import micros
 from skywell.schema import col
 
@@ -100,11 +100,15 @@ def persistence(df: DataFrame, name: str, k: int = 1, out: str = "prediction",
     return layout.finish(layout.rows.withColumn(out, F.lag(col(name), k).over(layout.window)))
 
 
-def per_station(df: DataFrame, apply, schema, keys=("Station",)) -> DataFrame:
-    """Hook for user code on one pandas frame per group (the built-in operators do not use it).
+def per_station(df: DataFrame, apply, schema, keys=("Station",), group_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Hook for user code on one pandas frame per group; no built-in operator uses it.
 
-    The group is held in one task, so it is for keys known to be small.
+    A group is held in one task, so sizes are counted first and a larger group is refused: such code
+    has to be written with windows or aggregates.
     """
+    large = df.groupBy(*[col(k) for k in keys]).count().filter(F.col("count") > group_rows)
+    if not large.isEmpty():
+        raise ValueError(f"a group has more than {group_rows} rows; express the function with windows")
     return df.groupBy(*[col(k) for k in keys]).applyInPandas(apply, schema)
 
 

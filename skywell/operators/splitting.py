@@ -45,6 +45,15 @@ def split_station(df: DataFrame, key: str = "Station", seed: int = 42, train=70,
     )
 
 
+# Strategy name -> function (df, order, key, seed, fractions); open for further strategies.
+SPLIT_STRATEGIES = {
+    "temporal": lambda df, order, key, seed, f: split_ordered(df, order, *f),
+    "random": lambda df, order, key, seed, f: split_random(df, order, seed, *f),
+    "station": lambda df, order, key, seed, f: split_station(
+        df, key, seed, round(f[0] * 100), round(f[1] * 100)),
+}
+
+
 def leave_one_out(df: DataFrame, fold: str, key: str = "Station") -> DataFrame:
     """Role of each row when station ``fold`` is held out.
 

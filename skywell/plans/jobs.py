@@ -42,14 +42,15 @@ def preprocess(df: DataFrame, settings: Settings = Settings(), identity=("Statio
     The filled table is checkpointed once, because quantiles, masks, boundaries and scaler each read
     it again.
     """
-    order = order or ["Timestamp", "Station"]
+    order = order or list(dict.fromkeys(["Timestamp", "Station", *identity]))
     numeric = numeric_columns(df, identity)
     df = df.withColumns({c: rules.finite(col(c)) for c in numeric})
     df = fills.handle_missing(df, settings.fill_strategy, settings.fill_limit, settings.fill_fallback, numeric,
                               ["Station"], [*dict.fromkeys(["Timestamp", *[c for c in identity if c != "Station"]])])
     df = durable(df)
     df = outliers.treat_outliers(df, settings, identity)
-    df = splitting.split_ordered(df, order, *settings.split)
+    df = splitting.SPLIT_STRATEGIES[settings.split_strategy](
+        df, order, "Station", settings.seed, settings.split)
     scaled = scaling.eligible(df, [*settings.scale_exclude, *identity])
     params = durable(scaling.fit_scaler(df, scaled, settings.scaler, F.col("split") == "train"))
     return scaling.transform(df, params, scaled), params

@@ -174,6 +174,7 @@ class Settings:
     stride: int = 1
     min_completeness: float = 0.80
     split: tuple[float, float] = (0.70, 0.15)
+    split_strategy: str = "temporal"
     fill_strategy: str = "interpolate"
     fill_limit: int = 6
     fill_fallback: str = "median"

@@ -160,6 +160,14 @@ def discovery_batch(discover, sink):
     return handle
 
 
+def validation_batch(checks: dict, sink):
+    """``foreachBatch`` function: row count and failures of each check, one row per micro-batch."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        sink(batch.agg(F.count(F.lit(1)).alias("rows"),
+                       *[F.count_if(cond).alias(k) for k, cond in checks.items()]), batch_id)
+    return handle
+
+
 def parquet_sink(path: str):
     """Write a batch's result to its own folder, so that a repeated batch replaces itself."""
     def write(df: DataFrame, batch_id: int) -> None:
@@ -188,15 +196,3 @@ def run_batches(stream: DataFrame, spark: SparkSession, make_handler, name: str
     stream.writeStream.foreachBatch(handler).option("checkpointLocation", f"{path}/checkpoint").trigger(
         availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/data")
-
-
-def observed_totals(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """Run an observed stream over everything available and add up its per-batch counts (one row)."""
-    path = scratch_path(spark, name)
-    run = stream.writeStream.format("noop").outputMode("append").option(
-        "checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
-    rows = [p.observedMetrics[name].asDict() for p in run.recentProgress if name in p.observedMetrics]
-    columns = list(rows[0]) if rows else ["rows"]
-    return spark.range(1).select(*[
-        F.lit(sum(row[c] for row in rows)).cast("long").alias(c) for c in columns])

@@ -29,7 +29,7 @@ def test_lof(spark, size):
     rng = np.random.default_rng(8)
     x = np.sort(np.concatenate([rng.normal(0, 1, 60), np.repeat(2.5, 12), [9.0, 9.1, 40.0]]))
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id long, x double")
-    got = discovery.lof_line(df, "x", ["id"], k=7, chunk_rows=size).orderBy("id").toPandas()
+    got = discovery.lof_line(df, "x", k=7, chunk_rows=size).orderBy("id").toPandas()
     np.testing.assert_allclose(got["lof"], brute_line_lof(x, 7), rtol=1e-7)
     assert bool(got["is_outlier"].iloc[-1])
 

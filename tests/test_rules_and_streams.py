@@ -177,3 +177,22 @@ def test_windows_over_several_batches(spark, two_files):
     want = want[[h + pd.Timedelta(hours=1) <= pdf["ts"].max() - pd.Timedelta(minutes=30) for h in want.index]]
     have = got.toPandas().set_index("start")["max_kp"].sort_index()
     np.testing.assert_allclose(have.to_numpy(), want.to_numpy())
+
+
+def test_observed_counts_reach_the_progress(spark, two_files):
+    full, stream = two_files
+    seen = monitors.observe_stream(stream, "quality", {"high": F.col("topside") > 30})
+    run = seen.writeStream.format("noop").option("checkpointLocation", scratch_path(spark, "noop")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    seen = [p.observedMetrics["quality"] for p in run.recentProgress if "quality" in p.observedMetrics]
+    assert sum(r["rows"] for r in seen) == 60 and sum(r["high"] for r in seen) == full.filter("topside > 30").count()
+
+
+def test_user_code_per_station(spark, two_files):
+    from skywell.operators import features
+
+    full, _ = two_files
+    low = lambda pdf: pdf.nsmallest(1, "topside")[["id", "topside"]]
+    assert features.per_station(full, low, "id long, topside double", ["station"]).count() == 2
+    with pytest.raises(ValueError):
+        features.per_station(full, low, "id long, topside double", ["station"], group_rows=10)
