@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from skywell.functions.rules import event_class
 from skywell.operators.forest import isolation_forest
 from skywell.operators.layout import last_valid, lay_out, next_valid
-from skywell.operators.ordering import prefix_counts, quantiles, value_bin
+from skywell.operators.ordering import prefix_counts, quantiles, value_bin, with_row
 from skywell.schema import col, complete
 from skywell.session import durable
 
@@ -33,7 +33,7 @@ def mutual_information(df: DataFrame, features: list[str], target: str, bins: in
         return sum(((col(names[i]).cast("double") > F.col(f"e{i}__{j}")).cast("int")
                     for j in range(bins - 1)), F.lit(0))
 
-    cells = rows.crossJoin(F.broadcast(edges)).select(
+    cells = with_row(rows, edges).select(
         slot(len(features)).alias("b"),
         F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), slot(i).alias("a"))
                             for i, f in enumerate(features)])).alias("r"),
@@ -68,7 +68,7 @@ def drift(current: DataFrame, history: DataFrame, value: str, by=(), threshold:
     """
     now = current.groupBy(*[col(k) for k in by]).agg(F.avg(col(value)).alias("current_mean"))
     z = F.abs((F.col("current_mean") - F.col("hist_mean")) / (F.col("hist_std") + 1e-8))
-    return now.crossJoin(F.broadcast(history)).withColumn("drift_z", z).withColumn(
+    return with_row(now, history).withColumn("drift_z", z).withColumn(
         "is_drifting", F.col("drift_z") > threshold).drop("hist_mean", "hist_std")
 
 

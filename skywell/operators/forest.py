@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from skywell.operators.ordering import quantiles
+from skywell.operators.ordering import quantiles, with_row
 from skywell.schema import col
 
 SAMPLE = 256
@@ -140,6 +140,6 @@ def isolation_forest(
     args = [F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in columns]
     scored = df.withColumn(score, F.when(whole, scorer(*args)))
     cut = quantiles(scored, {"_cut": col(score)}, [1.0 - contamination])
-    return scored.crossJoin(F.broadcast(cut)).withColumn(
+    return with_row(scored, cut).withColumn(
         flag, F.coalesce(col(score) > F.col("_cut__0"), F.lit(False))
     ).drop("_cut__0")

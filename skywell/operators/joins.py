@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from skywell.operators.layout import last_valid, lay_out, next_valid
-from skywell.operators.ordering import micros
+from skywell.operators.ordering import micros, with_row
 from skywell.schema import SPACE_WEATHER, col
 
 SMALL_ROWS = 2_000_000
@@ -135,16 +135,15 @@ def align(targets: DataFrame, predictions: DataFrame, index: str = "idx") -> Dat
     The list of models is attached as an array, so no per-pair join is needed.
     """
     models = predictions.agg(F.array_sort(F.collect_set("model")).alias("_models"))
-    grid = targets.crossJoin(F.broadcast(models)).withColumn("model", F.explode("_models")).drop("_models")
+    grid = with_row(targets, models).withColumn("model", F.explode("_models")).drop("_models")
     return grid.join(predictions, ["model", index], "left")
 
 
 def length_guard(targets: DataFrame, predictions: DataFrame) -> DataFrame:
     """(model, n_pred, n_target, same_length)."""
     n = targets.agg(F.count(F.lit(1)).alias("n_target"))
-    return predictions.groupBy("model").agg(F.count(F.lit(1)).alias("n_pred")).crossJoin(
-        F.broadcast(n)
-    ).withColumn("same_length", F.col("n_pred") == F.col("n_target"))
+    per_model = predictions.groupBy("model").agg(F.count(F.lit(1)).alias("n_pred"))
+    return with_row(per_model, n).withColumn("same_length", F.col("n_pred") == F.col("n_target"))
 
 
 def spread_label(windows: DataFrame, label: str, steps: str, out: str = "label_seq") -> DataFrame:

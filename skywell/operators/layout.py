@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
-from skywell.operators.ordering import micros, value_bin
+from skywell.operators.ordering import micros, value_bin, with_row
 from skywell.schema import col
 from skywell.session import durable
 
@@ -99,14 +99,14 @@ def _chunked(df, keys, order, tick, hot, before, after, valid, size) -> Layout:
     width = F.greatest(F.lit(1), F.ceil((F.col("_lay_hi") - F.col("_lay_lo") + 1) / parts)).cast("long")
     hot = hot.select(*[col(k) for k in keys], "_lay_lo", width.alias("_lay_width"))
     small = hot.count() <= BROADCAST_ROWS
-    hot = F.broadcast(hot) if small else hot
+    hot = F.broadcast(hot) if small and keys else hot
     no_tick = F.lit(1 << 50)
     bucket = F.when(tick.isNull(), no_tick).otherwise(
         F.floor((tick - F.col("_lay_lo")) / F.col("_lay_width"))
     ).cast("long")
 
     def tagged(how):
-        joined = df.join(hot, keys, how) if keys else df.crossJoin(hot)
+        joined = df.join(hot, keys, how) if keys else with_row(df, hot)
         return joined.withColumn("_lay_bucket", F.when(F.col("_lay_width").isNotNull(), bucket)).drop(
             "_lay_lo", "_lay_width"
         )

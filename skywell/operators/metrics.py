@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skywell.operators.layout import lay_out
 from skywell.operators.ordering import (
-    average_rank, is_small, null_safe_join, prefix_counts, quantiles, tied_rank,
+    average_rank, is_small, null_safe_join, prefix_counts, quantiles, tied_rank, with_row,
 )
 from skywell.schema import col
 from skywell.session import durable
@@ -181,10 +181,10 @@ def compare(per_model: DataFrame, ours: str) -> DataFrame:
 
     ``per_model`` holds one row per model, so its size is the number of models.
     """
-    mine = per_model.filter(F.col("model") == ours).select(F.col("rmse").alias("_ours"))
+    mine = per_model.filter(F.col("model") == ours).agg(F.max("rmse").alias("_ours"))
     best = per_model.filter(F.col("model") != ours).agg(
         F.min_by("model", F.struct("rmse", "model")).alias("_best"))
-    return per_model.crossJoin(F.broadcast(mine)).crossJoin(F.broadcast(best)).withColumns({
+    return with_row(with_row(per_model, mine), best).withColumns({
         "improvement_pct": (F.col("rmse") - F.col("_ours")) / (F.col("rmse") + EPS) * 100.0,
         "is_best_baseline": F.col("model") == F.col("_best"),
     }).drop("_ours", "_best")
@@ -329,7 +329,7 @@ def residual_histogram(df: DataFrame, bins: int = 50, y="y_true", p="y_pred") ->
     width = (F.col("_hi") - F.col("_lo")) / bins
     slot = F.when(F.col("_hi") > F.col("_lo"), F.least(
         F.floor((F.col("_e") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
-    counts = e.crossJoin(F.broadcast(ends)).groupBy(slot.alias("bin")).agg(
+    counts = with_row(e, ends).groupBy(slot.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"))
     grid = ends.filter("_lo is not null").select(
         F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),

@@ -25,14 +25,23 @@ def is_small(df: DataFrame) -> bool:
     return df.count() <= SMALL_ROWS
 
 
+def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row, as a scalar subquery (null when empty)."""
+    row = one_row.select(F.struct(*[col(c) for c in one_row.columns]).alias("_row")).scalar()
+    return df.withColumn("_row", row).withColumns(
+        {c: F.col("_row")[c] for c in one_row.columns}).drop("_row")
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` where null matches null; the right keys are dropped."""
+    """Equi-join on ``keys`` where null matches null; the right keys are dropped.
+
+    Without keys the right side is a one-row aggregate."""
+    if not keys:
+        return with_row(left, right)
     renamed = right.select(
         *[col(k).alias(f"__r{i}") for i, k in enumerate(keys)],
         *[col(c) for c in right.columns if c not in keys],
     )
-    if not keys:
-        return left.crossJoin(F.broadcast(renamed))
     cond = reduce(
         lambda a, b: a & b,
         [left[f"`{k}`"].eqNullSafe(renamed[f"__r{i}"]) for i, k in enumerate(keys)],

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skywell.operators.forest import isolation_forest
-from skywell.operators.ordering import quantiles
+from skywell.operators.ordering import quantiles, with_row
 from skywell.schema import Settings, col, numeric_columns
 from skywell.session import durable
 
@@ -19,11 +19,6 @@ def _present(df, columns) -> list[str]:
     return [c for c in columns if c.lower() in have] if columns else numeric_columns(df)
 
 
-def _attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row aggregate to every row."""
-    return df.crossJoin(F.broadcast(one_row))
-
-
 def iqr_mask(df: DataFrame, columns=None, k: float = 2.5, method: str = "iqr") -> DataFrame:
     columns = _present(df, columns)
     stats = quantiles(df, {f"_q{i}": col(c) for i, c in enumerate(columns)}, [0.25, 0.75])
@@ -32,7 +27,7 @@ def iqr_mask(df: DataFrame, columns=None, k: float = 2.5, method: str = "iqr") -
         q1, q3 = F.col(f"_q{i}__0"), F.col(f"_q{i}__1")
         out = (col(c) < q1 - k * (q3 - q1)) | (col(c) > q3 + k * (q3 - q1))
         masks[MASK.format(method=method, column=c)] = F.coalesce(out, F.lit(False))
-    return _attach(df, stats).withColumns(masks).drop(*stats.columns)
+    return with_row(df, stats).withColumns(masks).drop(*stats.columns)
 
 
 def z_mask(df: DataFrame, columns=None, threshold: float = 3.5, method: str = "zscore") -> DataFrame:
@@ -44,7 +39,7 @@ def z_mask(df: DataFrame, columns=None, threshold: float = 3.5, method: str = "z
         mu, sigma = F.col(f"_m{i}"), F.col(f"_s{i}")
         out = (sigma >= 1e-10) & (F.abs(col(c) - mu) / sigma > threshold)
         masks[MASK.format(method=method, column=c)] = F.coalesce(out, F.lit(False))
-    return _attach(df, stats).withColumns(masks).drop(*stats.columns)
+    return with_row(df, stats).withColumns(masks).drop(*stats.columns)
 
 
 def forest_mask(df: DataFrame, columns=None, contamination: float = 0.05, trees: int = 100,
@@ -119,7 +114,7 @@ def act_clip(df: DataFrame, columns: list[str]) -> DataFrame:
         lo, hi = F.col(f"_c{i}__0"), F.col(f"_c{i}__1")
         clipped = F.when(col(c).isNotNull(), F.greatest(F.least(col(c), hi), lo))
         out[c] = F.when(F.col(f"_h{i}"), clipped).otherwise(col(c))
-    return _attach(_attach(df, stats), hit).withColumns(out).drop(*stats.columns, *hit.columns)
+    return with_row(with_row(df, stats), hit).withColumns(out).drop(*stats.columns, *hit.columns)
 
 
 def act_null(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skywell.functions.rules import is_infinite, to_number
 from skywell.operators.features import time_deltas
-from skywell.operators.ordering import quantiles
+from skywell.operators.ordering import quantiles, with_row
 from skywell.schema import OBSERVATION_COLUMNS, PHYSICAL_BOUNDS, col, numeric_columns
 
 def _long(wide: DataFrame, cells: list[dict[str, Column]]) -> DataFrame:
@@ -60,7 +60,7 @@ def describe(df: DataFrame, columns=None) -> DataFrame:
             ("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))
     ])
     q = quantiles(df, {f"q{i}": col(c) for i, c in enumerate(columns)}, list(probs.values()))
-    wide = base.crossJoin(F.broadcast(q))
+    wide = with_row(base, q)
     return _long(wide, [{
         "column": F.lit(c),
         **{n: col(f"{n}:{i}").cast("long" if n == "count" else "double")

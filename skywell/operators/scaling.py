@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skywell.operators.ordering import quantiles
+from skywell.operators.ordering import quantiles, with_row
 from skywell.schema import col, numeric_columns
 
 
@@ -44,7 +44,7 @@ def _apply(df: DataFrame, params: DataFrame, columns: list[str], formula) -> Dat
     wide = _wide(params, columns)
     out = {c: formula(col(c), F.col(f"_center{i}"), F.col(f"_scale{i}"))
            for i, c in enumerate(columns)}
-    return df.crossJoin(F.broadcast(wide)).withColumns(out).drop(*wide.columns)
+    return with_row(df, wide).withColumns(out).drop(*wide.columns)
 
 
 def transform(df: DataFrame, params: DataFrame, columns: list[str]) -> DataFrame:

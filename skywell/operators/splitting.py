@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from skywell.operators.ordering import comes_before, rows_at_rank
+from skywell.operators.ordering import comes_before, rows_at_rank, with_row
 from skywell.schema import col
 
 
@@ -20,7 +20,7 @@ def split_ordered(df: DataFrame, order: list[str], train: float = 0.70, val: flo
     end_val = F.floor(n * F.lit(train + val)) if truncate_sum else end_train + F.floor(n * F.lit(val))
     cuts = rows_at_rank(df, order, {"_a": end_train, "_b": end_val})
     bound = lambda p: [F.col(f"{p}_{i}") for i in range(len(order))]
-    return df.crossJoin(F.broadcast(cuts)).withColumn(
+    return with_row(df, cuts).withColumn(
         out,
         F.when(comes_before(order, bound("_a")), "train")
         .when(comes_before(order, bound("_b")), "val").otherwise("test"),
@@ -69,6 +69,6 @@ def fold_sizes(df: DataFrame, key: str = "Station") -> DataFrame:
     """(fold, test rows, train rows) of every leave-one-out fold from one count per station."""
     per = df.groupBy(col(key).alias("fold")).agg(F.count(F.lit(1)).alias("n_test"))
     total = df.agg(F.count(F.lit(1)).alias("_n"))
-    return per.crossJoin(F.broadcast(total)).select(
+    return with_row(per, total).select(
         "fold", "n_test", (F.col("_n") - F.col("n_test")).alias("n_train")
     )

@@ -7,7 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skywell.operators.ordering import average_rank, prefix_counts
+from skywell.operators.ordering import average_rank, prefix_counts, with_row
 from skywell.schema import col
 
 
@@ -134,7 +134,7 @@ def friedman(long: DataFrame, idx="idx", model="model", value="abs_error") -> Da
     per = Window.partitionBy(col(idx))
     ties = Window.partitionBy(col(idx), col(value))
     models = long.filter(col(value).isNotNull()).agg(F.countDistinct(col(model)).alias("_k"))
-    ranked = long.filter(col(value).isNotNull()).crossJoin(F.broadcast(models)).withColumns({
+    ranked = with_row(long.filter(col(value).isNotNull()), models).withColumns({
         "_have": F.count(F.lit(1)).over(per),
         "_tie": F.count(F.lit(1)).over(ties),
         "_rank": F.rank().over(per.orderBy(col(value))),
@@ -159,5 +159,5 @@ def friedman(long: DataFrame, idx="idx", model="model", value="abs_error") -> Da
 def all_tests(df: DataFrame, y="y_true", a="pred_a", b="pred_b", level: float = 0.05) -> DataFrame:
     """t-test, Wilcoxon and Cohen's d in one row, significant when the Wilcoxon test is."""
     d = paired_errors(df, y, a, b)
-    out = t_test(d).crossJoin(wilcoxon(d)).crossJoin(cohens_d(d))
+    out = with_row(with_row(t_test(d), wilcoxon(d)), cohens_d(d))
     return out.withColumn("is_significant", F.coalesce(F.col("w_p_value") < level, F.lit(False)))

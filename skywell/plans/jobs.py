@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from skywell.functions import rules
 from skywell.operators import features, fills, joins, metrics, outliers, quality, scaling, sequences, splitting, stats
+from skywell.operators.ordering import with_row
 from skywell.schema import (
     FEED_BOUNDS, SPACE_WEATHER, Settings, col, complete, numeric_columns,
 )
@@ -149,7 +150,7 @@ def build_dataset(giro: DataFrame, omni: DataFrame, start: str, end: str, featur
     score = quality.quality_score(rows, lost["dropped_quality"], lost["initial_rows"])
     stores.save_json(stores.metadata(done, use, targets, settings.build_window, settings.horizon),
                      f"{root}/{version}/metadata")
-    stores.save_json(score.crossJoin(quality.storm_population(rows)), f"{root}/{version}/quality")
+    stores.save_json(with_row(score, quality.storm_population(rows)), f"{root}/{version}/quality")
     return {"version": version, "rows": done, "sequences": seq, "feeds": feeds, "score": score}
 
 
@@ -172,7 +173,7 @@ def evaluate(predictions: DataFrame, physics: DataFrame | None = None, ours: str
     parts = whole.select("model", "r2").join(gap.select("model", "gap_pct"), "model", "left").join(factor, "model", "left")
     if physics is not None:
         out["physics"] = metrics.physics_score(physics, keys, order)
-        parts = parts.crossJoin(F.broadcast(out["physics"].select("physics_score")))
+        parts = with_row(parts, out["physics"].select("physics_score"))
         adherence = F.col("physics_score")
     out["score"] = parts.select("model", metrics.scientific_score(
         F.col("r2"), adherence, F.col("gap_pct"), F.col("storm_degradation_factor")).alias("scientific_score"))

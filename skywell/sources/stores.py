@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from skywell.functions.rules import TIME_FORMAT
+from skywell.operators.ordering import with_row
 from skywell.schema import CYCLIC_ENGINEERED, GEOPHYSICAL, IONOSONDE, SPACE_WEATHER, TEC_ENGINEERED, TEMPORAL_ENGINEERED, col
 from skywell.session import durable
 
@@ -145,7 +146,7 @@ def metadata(df: DataFrame, features: list[str], targets: list[str], window: int
     counts = df.agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(nulls).alias("n_missing"),
         *[F.count_if(col(split) == s).alias(f"n_{s}") for s in ("train", "val", "test")])
-    return counts.crossJoin(dataset_hash(df).select("hash")).withColumns({
+    return with_row(counts, dataset_hash(df).select("hash")).withColumns({
         "features": names(features), "targets": names(targets),
         **{f"features_{g}": names([f for f in features if f in members]) for g, members in groups.items()},
         "window": F.lit(window), "horizon": F.lit(horizon)})
