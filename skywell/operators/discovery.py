@@ -28,16 +28,19 @@ def mutual_information(df: DataFrame, features: list[str], target: str, bins: in
     rows = complete(df, names)
     edges = quantiles(rows, {f"e{i}": col(c) for i, c in enumerate(names)},
                       [j / bins for j in range(1, bins)])
+    packed = edges.select(F.array(*[
+        F.array(*[F.col(f"e{i}__{j}") for j in range(bins - 1)]) for i in range(len(names))]).alias("_edges"))
 
-    def slot(i: int) -> Column:
-        return sum(((col(names[i]).cast("double") > F.col(f"e{i}__{j}")).cast("int")
-                    for j in range(bins - 1)), F.lit(0))
+    def slot(x: Column, i: Column) -> Column:
+        return sum(((x > F.get(F.get("_edges", i), F.lit(j))).cast("int") for j in range(bins - 1)), F.lit(0))
 
-    cells = with_row(rows, edges).select(
-        slot(len(features)).alias("b"),
-        F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), slot(i).alias("a"))
+    x = lambda c: col(c).cast("double")
+    cells = with_row(rows.select(
+        x(target).alias("_y"),
+        F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f).alias("feature"), x(f).alias("x"))
                             for i, f in enumerate(features)])).alias("r"),
-    ).select("r.feature", "r.a", "b")
+    ), packed).select("r.feature", slot(F.col("r.x"), F.col("r.i")).alias("a"),
+                      slot(F.col("_y"), F.lit(len(features))).alias("b"))
     joint = cells.groupBy("feature", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     # At most bins^2 cells per feature from here on.
     whole, left, right = (Window.partitionBy("feature"), Window.partitionBy("feature", "a"),

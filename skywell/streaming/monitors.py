@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skywell.functions.rules import event_class, storm_state
 from skywell.operators.layout import lay_out
 from skywell.operators.metrics import anomaly_aggregates, is_anomalous, readiness
+from skywell.operators.ordering import with_row
 from skywell.schema import col
 from skywell.session import scratch_path
 
@@ -51,7 +52,7 @@ def drift_stream(stream: DataFrame, history: DataFrame, value: str, length="1 da
     """Mean of each tumbling window against a static one-row history (hist_mean, hist_std)."""
     agg = stream.groupBy(F.window(ts, length)).agg(F.avg(col(value)).alias("current_mean"))
     z = F.abs((F.col("current_mean") - F.col("hist_mean")) / (F.col("hist_std") + 1e-8))
-    return _bounds(agg.crossJoin(F.broadcast(history)).withColumn("drift_z", z), "current_mean", "drift_z",
+    return _bounds(with_row(agg, history).withColumn("drift_z", z), "current_mean", "drift_z",
                    (z > threshold).alias("is_drifting"))
 
 
