@@ -20,7 +20,9 @@ from skywell.session import durable
 
 CHUNK_ROWS = 4_000_000
 BUCKETS_PER_CHUNK = 32
+BUCKET_SPLIT = 256
 BROADCAST_ROWS = 1_000_000
+NO_TICK = 1 << 62
 _HELPERS = ("_chunk", "_run", "_base", "_own", "_pos")
 
 
@@ -98,28 +100,38 @@ def _chunked(df, keys, order, tick, hot, before, after, valid, size) -> Layout:
     parts = F.ceil(F.col("_lay_rows") / F.lit(size)) * BUCKETS_PER_CHUNK
     width = F.greatest(F.lit(1), F.ceil((F.col("_lay_hi") - F.col("_lay_lo") + 1) / parts)).cast("long")
     hot = hot.select(*[col(k) for k in keys], "_lay_lo", width.alias("_lay_width"))
-    small = hot.count() <= BROADCAST_ROWS
-    hot = F.broadcast(hot) if small and keys else hot
-    no_tick = F.lit(1 << 50)
-    bucket = F.when(tick.isNull(), no_tick).otherwise(
-        F.floor((tick - F.col("_lay_lo")) / F.col("_lay_width"))
-    ).cast("long")
+    hot = _small(hot) if keys else hot
+    keyed = [col(k) for k in keys]
+    # A bucket is named by its first tick; rows without one go last.
+    step = lambda at, w: (at + F.floor((tick - at) / w) * w).cast("long")
+    levels: list[DataFrame] = []
 
     def tagged(how):
         joined = df.join(hot, keys, how) if keys else with_row(df, hot)
-        return joined.withColumn("_lay_bucket", F.when(F.col("_lay_width").isNotNull(), bucket)).drop(
-            "_lay_lo", "_lay_width"
-        )
-
-    keyed = [col(k) for k in keys]
-    stats = tagged("inner").groupBy(*keyed, "_lay_bucket").agg(
-        F.count(F.lit(1)).alias("_lay_n"),
-        *[F.count(col(v)).alias(f"_valid{i}") for i, v in enumerate(valid)],
-    )
-    plan = _placement(stats, keys, before, after, len(valid), size)
-    plan = durable(plan)
-    placed = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
-    rows = tagged("left").join(placed, [*keys, "_lay_bucket"], "left").select(
+        named = F.when(tick.isNull(), F.lit(NO_TICK)).otherwise(step(F.col("_lay_lo"), F.col("_lay_width")))
+        joined = joined.withColumn("_lay_bucket", F.when(F.col("_lay_width").isNotNull(), named)).drop("_lay_lo")
+        for finer in levels:
+            joined = joined.join(_small(finer), [*keys, "_lay_bucket"], "left").withColumns({
+                "_lay_bucket": F.when(F.col("_lay_fine").isNull(), F.col("_lay_bucket")).otherwise(
+                    step(F.col("_lay_bucket"), F.col("_lay_fine"))),
+                "_lay_width": F.coalesce("_lay_fine", "_lay_width"),
+            }).drop("_lay_fine")
+        return joined
+
+    while True:
+        stats = durable(tagged("inner").groupBy(*keyed, "_lay_bucket").agg(
+            F.count(F.lit(1)).alias("_lay_n"), F.max("_lay_width").alias("_lay_width"),
+            *[F.count(col(v)).alias(f"_valid{i}") for i, v in enumerate(valid)],
+        ))
+        # A burst can fill one bucket: split such buckets further, down to single ticks.
+        heavy = stats.filter((F.col("_lay_n") > size) & (F.col("_lay_width") > 1)
+                             & (F.col("_lay_bucket") < NO_TICK))
+        if heavy.isEmpty():
+            break
+        levels.append(durable(heavy.select(
+            *keyed, "_lay_bucket", F.ceil(F.col("_lay_width") / F.lit(BUCKET_SPLIT)).cast("long").alias("_lay_fine"))))
+    plan = durable(_placement(stats.drop("_lay_width"), keys, before, after, len(valid), size))
+    rows = tagged("left").join(_small(plan), [*keys, "_lay_bucket"], "left").select(
         *[col(c) for c in df.columns],
         F.coalesce("_lay_target", F.lit(0)).alias("_chunk"),
         F.coalesce("_lay_bucket", F.lit(0)).alias("_run"),
@@ -133,6 +145,11 @@ def _chunked(df, keys, order, tick, hot, before, after, valid, size) -> Layout:
     return Layout(rows, keys, order, True)
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """Broadcast hint for a checkpointed helper table after counting it."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _placement(stats, keys, before, after, n_valid, size) -> DataFrame:
     """(key, bucket) -> chunk it is computed in, and chunks that borrow it."""
     keyed = [col(k) for k in keys]

@@ -6,8 +6,13 @@ import os
 import tempfile
 import uuid
 
+import skywell
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# Functions of this package travel to the Python workers with the task, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(skywell)
+
 SESSION_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",

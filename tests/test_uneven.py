@@ -67,6 +67,21 @@ def test_chunks_stay_small(frame, size):
     assert own <= 40  # one bucket may overrun the size, never the whole key
 
 
+def test_bursts_are_split(spark):
+    """Most rows of the key fall into one second of a year, some at one instant."""
+    ids = spark.range(400)
+    at = (F.when(F.col("id") < 20, F.col("id") * 1_500_000_000_000).when(F.col("id") < 350, F.lit(7_000_000_000_000) + F.col("id") * 2500)
+          .otherwise(F.lit(9_000_000_000_000)))
+    df = ids.select(F.lit(1).alias("Station"), F.timestamp_micros(at).alias("Timestamp"), "id",
+                    F.when(F.col("id") % 3 > 0, F.col("id").cast("double")).alias("TEC"))
+    cut = lay_out(df, ["Station"], ORDER, 3, 3, ["TEC"], 20)
+    sizes = sorted(r["count"] for r in cut.rows.filter("_own").groupBy("_chunk").count().collect())
+    assert sizes[-1] <= 75 and sizes[-2] <= 45  # only rows of one instant stay together
+    a = features.series_features(df, order=ORDER)
+    b = features.series_features(df, order=ORDER, chunk_rows=20)
+    assert rows_of(a, a.columns) == rows_of(b, b.columns)
+
+
 @pytest.mark.parametrize("size", SIZES)
 def test_series_features(frame, size):
     a = features.series_features(frame, order=ORDER)
