@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skywell.checks.base import HOURLY, PRED, hourly, observations, predictions, query, r, us, with_obs
-from skywell.checks.scoring import _metric_sql, _phys, _rounded
+from skywell.checks.scoring import PHYS, _metric_sql, _phys, _rounded
 from skywell.operators import features
 from skywell.plans import jobs
 from skywell.schema import Settings, col
@@ -78,14 +78,25 @@ def _(spark, sf):
                       r(F.col("Month_sin")).alias("month_sin"), F.col("value_lag1").alias("lag1"))
 
 
-@query("preparation")
+@query("preparation", with_obs("""
+  SELECT split, 2 AS window_h, CAST(sum(greatest(c - 8, 0)) AS BIGINT) AS n_windows FROM (
+    SELECT station, CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.7) + floor(n * 0.15) THEN 'val'
+           ELSE 'test' END AS split, count(*) AS c
+    FROM (SELECT station, row_number() OVER (ORDER BY ts, station, event_id) - 1 AS i,
+                 CAST(count(*) OVER () AS DOUBLE) AS n FROM obs) GROUP BY ALL)
+  GROUP BY split HAVING sum(greatest(c - 8, 0)) > 0"""))
 def _(spark, sf):
     settings = Settings(outlier_methods=("iqr", "zscore"), window_hours=(2,))
     out = jobs.prepare(_slim(spark, sf), "TEC", ["TEC", "Kp"], settings, IDENTITY)
     return out["windows"].groupBy("split", "window_h").agg(F.count("*").alias("n_windows"))
 
 
-@query("versioned_build")
+@query("versioned_build", with_obs("""
+  WITH c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM (SELECT DISTINCT station, ts FROM obs
+             WHERE ts <= TIMESTAMP '2024-01-31 23:59:59'))
+  SELECT 'train' AS split, CAST(floor(n * 0.7) AS BIGINT) AS n_rows FROM c
+  UNION ALL SELECT 'val', CAST(floor(n * 0.85::DOUBLE) - floor(n * 0.7) AS BIGINT) FROM c
+  UNION ALL SELECT 'test', CAST(n - floor(n * 0.85::DOUBLE) AS BIGINT) FROM c"""))
 def _(spark, sf):
     o = observations(spark, sf)
     giro = o.select("Station", "Timestamp", "event_id", "TEC", "foF2", "Longitude")
@@ -101,7 +112,19 @@ def _(spark, sf):
     return _rounded(out["metrics"], ["model"])
 
 
-@query("evaluation_score")
+@query("evaluation_score", with_obs("""
+  WITH ph AS (SELECT 0.3 * avg((topside >= 0)::INT) * 100 + 0.3 * avg((density >= 0)::INT) * 100
+      + 0.25 * avg((abs(net - (topside + bottomside)) / (abs(topside + bottomside) + 1e-8) <= 0.15)::INT) * 100
+      + 0.15 * avg(CASE WHEN prev IS NOT NULL THEN (abs(topside - prev) <= abs(prev) * 0.5 + 5)::INT END) * 100 AS p
+    FROM phys),
+  m AS (SELECT model, 1 - sum(e2) / (var_pop(y_true) * count(*) + 1e-8) AS r2,
+      (sqrt(avg(e2) FILTER (WHERE split = 'test')) - sqrt(avg(e2) FILTER (WHERE split = 'train')))
+        / (sqrt(avg(e2) FILTER (WHERE split = 'train')) + 1e-8) * 100 AS gap,
+      sqrt(avg(e2) FILTER (WHERE kp >= 6 OR dst <= -80))
+        / (sqrt(avg(e2) FILTER (WHERE kp <= 2 OR dst > -30)) + 1e-8) AS deg
+    FROM (SELECT *, (y_pred - y_true) * (y_pred - y_true) AS e2 FROM pred WHERE y_pred IS NOT NULL) GROUP BY model)
+  SELECT model, round(greatest(0, least(100, greatest(0, r2 * 40) + p / 100 * 30 + greatest(0, 15 - gap / 20 * 15)
+    + greatest(0, 10 - (deg - 1) / 2 * 10) + 5)), 4) AS scientific_score FROM m, ph""", PRED, PHYS))
 def _(spark, sf):
     out = jobs.evaluate(predictions(spark, sf), _phys(spark, sf), order=("ts", "event_id"))
     return out["score"].select("model", r(F.col("scientific_score"), 4).alias("scientific_score"))
