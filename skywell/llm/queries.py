@@ -1,4 +1,4 @@
 """All registered queries of the text operators."""
 
-from skywell.llm import classifier, fingerprints, jaccard, languages, packing, rules, sharding  # noqa: F401
+from skywell.llm import classifier, fingerprints, jaccard, languages, packing, rules, sharding, suffixes  # noqa: F401
 from skywell.llm.registry import QUERIES, SQL  # noqa: F401
