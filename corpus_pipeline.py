@@ -1,7 +1,80 @@
-"""Stages of the corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: five stages from raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of its documents, whatever they
+are called. Stages keep nulls, repeated rows and extra columns as stated with each.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from skywell.llm import classifier, jaccard, languages, packing, suffixes
+from skywell.llm.common import stored
+
+# A document stays if one language holds at least this share of its pooled probability.
+LEAST_LANGUAGE = 0.4
+
+
+def _boxed(docs: DataFrame, *without: str) -> DataFrame:
+    """All columns in one struct, so that no name can clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in without]).alias("_doc"), "doc_id", "text")
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language. Texts that are null or without a letter go, as do undecided ones."""
+    teachers = docs.select("doc_id", "text", "lang").where(~languages.held_out())
+    named = languages.identify(_boxed(docs), languages.fit(teachers), ["_doc"])
+    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select("_doc.*")
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality is predicted as 1."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return classifier.score_quality(_boxed(docs), labels, ["_doc"]).where("predicted = 1").select("_doc.*")
+
+
+def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component, the one with the smallest doc_id.
+
+    Rows that share a doc_id count as one document, and one stays; rows without a doc_id cannot be told apart
+    and all stay.
+    """
+    found = jaccard.near_components(docs.select("doc_id", "text").where("doc_id IS NOT NULL"))
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of any 200-byte string that occurs twice; n_chars follows. Every row stays.
+
+    Characters of which a cut leaves a part go too.
+    """
+    left = suffixes.without_repeats(_boxed(docs, "text", "n_chars"), ["_doc"], as_text=True)
+    own = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return left.select(*[own[c].alias(c) if c in own else F.col(f"_doc.`{c}`") for c in docs.columns])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 1024 tokens."""
+    return packing.pack(docs.select("doc_id", "text"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identified),
+    ("quality_classifier", good),
+    ("ngram_jaccard_join", single),
+    ("suffix_array_dedup", unrepeated),
+    ("best_fit_packing", packed),
+]
+# Trained models and byte strings are beyond SQL; tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return stored(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])

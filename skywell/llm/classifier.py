@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skywell.llm.common import documents, stored
+from skywell.llm.common import broadcast_within, documents
 from skywell.llm.registry import query
 from skywell.llm.statistics import text_counts
 
@@ -109,34 +109,41 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
 
 
-def learn(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_rules: int = MOST_RULES) -> tuple[float, list]:
-    """Fit on about ``sample`` labelled rows, chosen by a hash of the id; null labels and ids are left out."""
+def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
+    return text_counts(docs, keep).select(*keep, *[c.alias(n) for n, c in features().items()])
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_rules: int = MOST_RULES) -> Column:
+    """Score column, fitted on about ``sample`` labelled rows chosen by a hash of the id.
+
+    Null labels and ids are left out; an id labelled twice counts once, with its worse label.
+    """
     truth = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(
         F.min("quality").alias("quality"))
     share = min(1.0, sample / max(1, truth.count()))
     chosen = truth.where(F.pmod(F.xxhash64("doc_id", F.lit("labels")), F.lit(1_000_003)) < int(share * 1_000_003))
     names = list(features())
-    rows = stats.dropDuplicates(["doc_id"]).join(chosen, "doc_id").select("doc_id", *names, "quality").orderBy("doc_id").collect()
+    taught = docs.select("doc_id", "text").join(broadcast_within(chosen, 16), "doc_id").dropDuplicates(["doc_id"])
+    rows = statistics(taught, ["doc_id", "quality"]).orderBy("doc_id").collect()
     if not rows:
-        return 0.0, []
+        return compiled(0.0, [])
     x = np.array([[r[n] for n in names] for r in rows], dtype=np.float64)
     y = np.array([float(r["quality"] > 0) for r in rows])
-    return fit(x, y, names, most_rules)
+    return compiled(*fit(x, y, names, most_rules))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_rules: int = MOST_RULES) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row.
+def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str], sample: int = SAMPLE) -> DataFrame:
+    """``keep`` columns, score and predicted (1 from 0.3 on) for every row.
 
     Null and empty texts have statistics of zero and are scored like any other. Without labels all score 0.5.
-    Repeated rows score alike; extra columns are ignored; an empty table gives no rows.
+    Repeated rows score alike; an empty table gives no rows.
     """
-    stats = stored(text_counts(docs, ["doc_id"]).select("doc_id", *[c.alias(n) for n, c in features().items()]), "stats")
-    score = compiled(*learn(stats, labels, sample, most_rules))
-    return stats.select("doc_id", held_out().alias("held_out"), score.alias("score")).withColumn(
+    return statistics(docs, keep).select(*keep, learn(docs, labels, sample).alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.3).cast("int"))
 
 
 @query("op2_quality_classifier")
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return score_quality(documents(spark, sf_dir, "doc_id", "text"), labels)
+    return score_quality(documents(spark, sf_dir, "doc_id", "text"), labels, ["doc_id"]).select(
+        "doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skywell.llm.common import documents
@@ -160,19 +161,18 @@ def identify(docs: DataFrame, model: tuple[dict, list[str]] | None, keep: list[s
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         known: dict[str, int] = {}
         table = None
         for batch in batches:
-            texts = batch["text"]
+            texts = batch.column("text").to_pylist()
             preds, scores = ["und"] * len(texts), [0.0] * len(texts)
             for lo in range(0, len(texts) if model else 0, 500):
-                part = list(texts.iloc[lo:lo + 500])
-                at = [i for i, t in enumerate(part) if has_letter(t)]
+                at = [i for i in range(lo, min(lo + 500, len(texts))) if has_letter(texts[i])]
                 if not at:
                     continue
-                lists = [WORD.findall(part[i]) for i in at]
+                lists = [WORD.findall(texts[i]) for i in at]
                 codes, words = pd.factorize(np.array([w for x in lists for w in x], dtype=object))
                 if table is None or len(known) > REMEMBERED:
                     known, table = {}, np.zeros((0, len(model[1]) + 1))
@@ -189,13 +189,13 @@ def identify(docs: DataFrame, model: tuple[dict, list[str]] | None, keep: list[s
                 prob = np.exp(mean - mean.max(1, keepdims=True))
                 prob /= prob.sum(1, keepdims=True)
                 for i, k, s in zip(at, prob.argmax(1), prob.max(1)):
-                    preds[lo + i], scores[lo + i] = model[1][k], float(s)
-            out = batch[keep].copy()
-            out["lang_pred"], out["score"] = preds, scores
-            yield out
+                    preds[i], scores[i] = model[1][k], float(s)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in keep), pa.array(preds, pa.string()), pa.array(scores, pa.float64())],
+                names=[*keep, "lang_pred", "score"])
 
     extra = [] if "text" in keep else ["text"]
-    return docs.select(*keep, *extra).mapInPandas(label, schema)
+    return docs.select(*keep, *extra).mapInArrow(label, schema)
 
 
 def held_out():

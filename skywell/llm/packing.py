@@ -14,7 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skywell.llm.common import clean_text, documents, numbered, stored
@@ -29,19 +29,21 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, voca
     """One row per piece: a document's ids plus ``end_id``, cut from the back into full pieces."""
     packed = docs.sparkSession.sparkContext.broadcast(rank_file(vocabulary))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(packed.value)
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = np.append(coder.encode_to_numpy(text), np.uint32(end_id)).astype("<u4")
-                first = (len(ids) - 1) % capacity + 1
-                edges = [0, *range(first, len(ids) + 1, capacity)]
-                out += [(doc_id, i, a, b - a, zlib.crc32(ids[a:b])) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64", "piece": "int32"})
+            at, out = [], []
+            for k, text in enumerate(batch.column("text")):
+                ids = np.append(coder.encode_to_numpy(text.as_py()), np.uint32(end_id)).astype("<u4")
+                edges = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
+                at += [k] * (len(edges) - 1)
+                out += [(i, a, b - a, zlib.crc32(ids[a:b])) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+            piece, start, length, crc = zip(*out) if out else [()] * 4
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id").take(pa.array(at, pa.int64())), "piece": pa.array(piece, pa.int32()),
+                "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return docs.select("doc_id", clean_text().alias("text")).mapInPandas(cut, PIECES)
+    return docs.select("doc_id", clean_text().alias("text")).mapInArrow(cut, PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -114,20 +116,20 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
     layout = np.array(plan(counts, capacity), dtype=np.int64).reshape(-1, 6)
     keys = (layout[:, 0] << 44) + layout[:, 1]
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            at = np.searchsorted(keys, (x["length"].to_numpy() << 44) + x["_n"].to_numpy(), side="right") - 1
-            row = layout[at]
-            step = x["_n"].to_numpy() - row[:, 1]
-            x["sequence_id"] = row[:, 3] + step // row[:, 4]
-            x["offset"] = row[:, 5] + step % row[:, 4] * x["length"].to_numpy()
-            yield x.drop(columns="_n")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, number = batch.column("length").to_numpy(), batch.column("_n").to_numpy()
+            row = layout[np.searchsorted(keys, (length << 44) + number, side="right") - 1]
+            step = number - row[:, 1]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in columns), pa.array(row[:, 3] + step // row[:, 4]),
+                 pa.array(row[:, 5] + step % row[:, 4] * length)], names=[*columns, "sequence_id", "offset"])
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     short = cut.where(F.col("length") < capacity)
     named = numbered(short, "length", ["doc_id", "piece", "ids_crc32"], "_n").select(
         *columns, F.col("_n").cast("long").alias("_n"))
-    placed = named.mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    placed = named.mapInArrow(place, PIECES + ", sequence_id long, offset long")
     full = cut.where(F.col("length") == capacity).select(
         *columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return placed.unionByName(full)

@@ -192,8 +192,10 @@ def joined(spans):
     return F.aggregate(spans, F.array().cast("array<struct<a:bigint,b:bigint>>"), step)
 
 
-def without_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH) -> DataFrame:
-    """``keep`` columns plus n_bytes, n_removed, n_spans, kept (binary) for every row.
+def without_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """``keep`` columns plus n_bytes, n_removed, n_spans, kept for every row.
+
+    ``kept`` is binary, as a cut may part a character; ``as_text`` gives a string without such remainders.
 
     A null text is empty; texts shorter than ``length`` keep everything; both occurrences of a repeated string go,
     in equal rows too. Null doc_ids are rows like others. An empty table gives no rows.
@@ -220,14 +222,15 @@ def without_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH) -> D
                         removed += b - at
                         at = b
                 parts.append(data[at:])
-                out.append((len(data), removed, n, b"".join(parts)))
+                left = b"".join(parts)
+                out.append((len(data), removed, n, left.decode("utf-8", "ignore") if as_text else left))
             done = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), *(pa.array(v, t) for v, t in zip(done, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))],
+                [*(batch.column(c) for c in names), *(pa.array(v, t) for v, t in zip(done, (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())))],
                 names=[*keep, "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = docs.select(*keep).schema
-    for c, t in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")):
+    for c, t in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "string" if as_text else "binary")):
         schema = schema.add(c, t)
     return both.select(*names, "text", "spans").mapInArrow(cut, schema)
 
