@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from skywell.llm.common import LOWER, SHINGLE, UPPER, clean_text, documents, let, words_of
+from skywell.llm.common import LOWER, SHINGLE, UPPER, broadcast_within, clean_text, documents, let, stored, words_of
 from skywell.llm.registry import query
 
 K = 128
@@ -111,6 +111,7 @@ def with_next(docs: DataFrame, rows_per_block: int = 512) -> DataFrame:
     sent = seen.join(F.broadcast(back), "_c").select(
         "_id", F.coalesce(F.when(F.col("_pf").isNotNull(), F.col("_c")), F.col("_pc")).alias("_c"),
         F.coalesce("_pf", "_pl").alias("_f"), F.lit(1).alias("_extra"))
+    sent = broadcast_within(stored(sent, "edges"), 32)  # one narrow row per block
     extra = cut.drop("_c", "_f").join(sent, "_id").select("_id", "doc_id", "text", "_c", "_f", "_extra")
     order = Window.partitionBy("_c", "_f").orderBy("_extra", "_id", "text")
     rows = cut.select("_id", "doc_id", "text", "_c", "_f", F.lit(0).alias("_extra")).union(extra)
