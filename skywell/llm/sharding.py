@@ -1,10 +1,11 @@
 """Balanced label propagation over equal texts (operator 6, DataFrame operations only).
 
 Documents with equal texts are linked; a document's neighbours are the others of its group, so what it sees
-of them is a count per (group, shard). Labels start from a hash of the id. Each round every group names the
-shard that holds most of it among shards with room, and its members elsewhere propose to move there; a
-shard accepts proposals, large groups first, up to its free quota. Rounds end when nothing moves. Documents
-without a link then fill every shard to its exact count (law ``rows``: counts at most one apart).
+of them is a count per (group, shard). Labels start from a hash of the id. Each round every group that is
+not settled names the shard with room for it that holds most of its members, and all of them propose to move
+there; a shard takes proposals, large groups first, up to its free quota. A group too large for any shard's
+room fills what there is and goes on with the rest. Rounds end when nothing moves. Documents without a link
+then fill every shard to its exact count (law ``rows``: counts at most one apart).
 """
 
 from __future__ import annotations
@@ -18,19 +19,18 @@ SHARDS = 24
 ROUNDS = 12
 
 
-def _accumulated(moves: DataFrame, key: str, size: str, name: str) -> DataFrame:
-    """Sum of ``size`` over the rows before each row of ``key``, larger groups first.
+def _accumulated(groups: DataFrame, key: str, size: str, name: str) -> DataFrame:
+    """Sum of ``size`` over the groups before each group of ``key``, larger ones first.
 
-    Rows are ordered by (power of two of the group, hash group) and only within one such cell by the group, so
-    no shard's proposals are ordered in one task; the cells' table has a fixed number of rows.
+    Groups are ordered by (power of two of the size, hash) cells and only within one cell by their key, so no
+    shard's proposals are ordered in one task; the table of cells has a fixed number of rows.
     """
-    cells = moves.withColumns({
-        "_p": 64 - F.floor(F.log2(F.col("members"))).cast("int"), "_h": F.pmod(F.xxhash64("g1", "g2"), F.lit(512))})
+    cells = groups.withColumns({
+        "_p": 64 - F.floor(F.log2(F.col(size))).cast("int"), "_h": F.pmod(F.xxhash64("g1", "g2"), F.lit(512))})
     before = Window.partitionBy(key).orderBy("_p", "_h").rowsBetween(Window.unboundedPreceding, -1)
     start = cells.groupBy(key, "_p", "_h").agg(F.sum(size).alias("_s")).select(
         key, "_p", "_h", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(key, "_p", "_h").orderBy("g1", "g2", "shard").rowsBetween(
-        Window.unboundedPreceding, -1)
+    within = Window.partitionBy(key, "_p", "_h").orderBy("g1", "g2").rowsBetween(Window.unboundedPreceding, -1)
     return cells.withColumn("_in", F.coalesce(F.sum(size).over(within), F.lit(0))).join(
         start, [key, "_p", "_h"]).withColumn(name, F.col("_start") + F.col("_in")).drop("_p", "_h", "_in", "_start")
 
@@ -40,29 +40,37 @@ def _by_shard(values: dict, shard: str) -> Column:
 
 
 def propagate(cells: DataFrame, quota: dict[int, int], rounds: int = ROUNDS) -> DataFrame:
-    """Rounds of label propagation over (g1, g2, members, shard, n); loads per shard (24 numbers) reach the driver."""
-    group = Window.partitionBy("g1", "g2")
-    cells = stored(cells, "cells")
+    """Settled (g1, g2, shard, n) after rounds over (g1, g2, shard, n); no shard beyond its quota.
+
+    Only 24 loads reach the driver in a round. Members of groups that are still open at the end are missing.
+    """
+    spark, room = cells.sparkSession, dict(quota)
+    settled = spark.createDataFrame([], "g1 long, g2 long, shard int, n long")
+    open_cells = stored(cells.select("g1", "g2", "shard", "n"), "cells")
     for _ in range(rounds):
-        load = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        free = {s: max(0, quota[s] - load.get(s, 0)) for s in range(SHARDS)}
-        # A group's target: its fullest shard with room; all its cells see it (at most one row per shard).
-        rank = F.struct((_by_shard(free, "shard") > 0).cast("int").alias("open"), F.col("n"), F.hash("g1", "shard").alias("tie"),
-                        F.col("shard").alias("to"))
-        seen = cells.withColumn("to", F.max(rank).over(group)["to"]).withColumn(
-            "room", _by_shard(free, "to")).withColumn("mine", F.max(F.when(F.col("shard") == F.col("to"), F.col("n"))).over(group))
-        move = seen.where((F.col("shard") != F.col("to")) & (F.col("room") > 0) & (
-            (F.col("n") <= F.col("mine"))))
-        took = _accumulated(move, "to", "n", "before").withColumn(
-            "k", F.greatest(F.lit(0), F.least(F.col("n"), F.col("room") - F.col("before"))))
-        took = stored(took.where("k > 0").select("g1", "g2", "members", "shard", "to", F.col("k").cast("long").alias("k")), "moves")
-        if took.isEmpty():
+        largest = max(room.values())
+        rooms = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(int(v)).alias("room")) for s, v in room.items()])
+        held = open_cells.groupBy("g1", "g2").agg(F.sum("n").alias("r"), F.collect_list(F.struct("shard", "n")).alias("at"))
+        # The shard that holds most members among those with room; another one with room if there is none.
+        choice = F.array_max(F.transform(rooms, lambda x: F.struct(
+            F.when(x["room"] >= F.col("r"), F.lit(2)).when(x["room"] > 0, F.lit(1)).otherwise(F.lit(0)).alias("fits"),
+            F.coalesce(F.get(F.filter("at", lambda y: y["shard"] == x["s"]), F.lit(0))["n"], F.lit(0)).alias("n"),
+            F.hash("g1", x["s"]).alias("tie"), x["s"].alias("to"), x["room"].alias("room"))))
+        asked = held.withColumn("_c", choice).where("_c.fits > 0").select("g1", "g2", "r", "_c.to", "_c.room")
+        left = F.greatest(F.lit(0), F.col("room") - F.col("before"))
+        taken = F.when(left >= F.col("r"), F.col("r")).when(F.col("r") > largest, left).otherwise(F.lit(0))
+        took = stored(_accumulated(asked, "to", "r", "before").select(
+            "g1", "g2", F.col("to").alias("shard"), taken.cast("long").alias("n")).where("n > 0"), "moves")
+        gained = {x["shard"]: x["n"] for x in took.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        if not gained:
             break
-        change = took.select("g1", "g2", "members", "shard", (-F.col("k")).alias("n")).union(
-            took.select("g1", "g2", "members", F.col("to").alias("shard"), F.col("k").alias("n")))
-        cells = stored(cells.unionByName(change).groupBy("g1", "g2", "members", "shard").agg(
-            F.sum("n").alias("n")).where("n > 0"), "cells")
-    return cells
+        room = {s: v - gained.get(s, 0) for s, v in room.items()}
+        settled = stored(settled.unionByName(took).groupBy("g1", "g2", "shard").agg(F.sum("n").alias("n")), "settled")
+        gone = took.select("g1", "g2", F.col("n").alias("gone"))
+        rest = open_cells.groupBy("g1", "g2").agg(F.sum("n").alias("r"), F.min("shard").alias("shard")).join(gone, ["g1", "g2"])
+        open_cells = stored(open_cells.join(gone, ["g1", "g2"], "left_anti").unionByName(
+            rest.where("r > gone").select("g1", "g2", "shard", (F.col("r") - F.col("gone")).alias("n"))), "cells")
+    return settled
 
 
 def shard_documents(docs: DataFrame) -> DataFrame:
@@ -81,13 +89,9 @@ def shard_documents(docs: DataFrame) -> DataFrame:
     quota = {s: total // SHARDS + int(s < total % SHARDS) for s in range(SHARDS)}
     by_shard = rows.groupBy("g1", "g2", "shard").agg(F.count(F.lit(1)).alias("n"))
     members = by_shard.groupBy("g1", "g2").agg(F.sum("n").alias("members")).where("members > 1")
-    start = by_shard.join(members, ["g1", "g2"]).select("g1", "g2", "members", "shard", "n")
-    cells = propagate(start, quota)
-
-    # What a shard keeps of its linked rows; a surplus over the quota is released to the free rows.
-    load = _accumulated(cells, "shard", "n", "before").withColumn(
-        "n", F.greatest(F.lit(0), F.least(F.col("n"), _by_shard(quota, "shard") - F.col("before"))).cast("long"))
-    kept = stored(load.where("n > 0").select("g1", "g2", "members", "shard", "n"), "kept")
+    cells = by_shard.join(members.select("g1", "g2"), ["g1", "g2"])
+    kept = propagate(cells, quota).join(members, ["g1", "g2"])
+    kept = stored(kept.select("g1", "g2", "members", "shard", "n"), "kept")
     sums = {r["shard"]: r["n"] for r in kept.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     need = [quota[s] - sums.get(s, 0) for s in range(SHARDS)]
 
