@@ -15,7 +15,7 @@ from skywell.llm.common import broadcast_within, documents
 from skywell.llm.registry import query
 from skywell.llm.statistics import text_counts
 
-TREES, DEPTH, BINS, SAMPLE, MOST_RULES = 40, 3, 24, 20_000, 32
+TREES, DEPTH, BINS, LEAF, SAMPLE, MOST_RULES = 40, 3, 24, 5, 20_000, 32
 Rule = tuple[tuple[str, bool, float], ...]  # (statistic, above, threshold) each
 
 
@@ -37,14 +37,14 @@ def features() -> dict[str, Column]:
 def grow(codes: np.ndarray, residual: np.ndarray, rows: np.ndarray, path: tuple, paths: set, out: np.ndarray) -> None:
     """One regression tree on binned statistics; adds each node's path to ``paths``, leaf means to ``out``."""
     n, best = len(rows), None
-    if len(path) < DEPTH and n >= 40:
+    if len(path) < DEPTH and n >= 2 * LEAF:
         r = residual[rows]
         for f in range(codes.shape[1]):
             c = codes[rows, f]
             count, total = np.bincount(c, minlength=BINS + 1), np.bincount(c, r, BINS + 1)
             left, sums = np.cumsum(count)[:-1], np.cumsum(total)[:-1]
             right = n - left
-            gain = np.where((left >= 15) & (right >= 15), sums ** 2 / np.maximum(left, 1)
+            gain = np.where((left >= LEAF) & (right >= LEAF), sums ** 2 / np.maximum(left, 1)
                             + (r.sum() - sums) ** 2 / np.maximum(right, 1), -np.inf)
             k = int(gain.argmax())
             if gain[k] > r.sum() ** 2 / n + 1e-9 and (best is None or gain[k] > best[0]):
@@ -75,6 +75,8 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], most_rules: int = MOST_R
         grow(codes, y - 1 / (1 + np.exp(-margin)), rows, (), paths, leaf)
         margin += 2.0 * leaf
     paths = sorted(p for p in paths if all(k < len(cuts[f]) for f, _, k in p))
+    if not paths:
+        return base, []
     hold = np.column_stack([np.all([(codes[:, f] > k) == side for f, side, k in p], axis=0) for p in paths]).astype(np.float32)
     some = (hold.mean(0) > 0) & (hold.mean(0) < 1)
     hold, paths = hold[:, some], [p for p, s in zip(paths, some) if s]

@@ -93,6 +93,8 @@ def prefixes(docs: DataFrame) -> DataFrame:
         seen: set[int] = set()
         known: dict[bytes, int] = {}
         for batch in batches:
+            if not batch.num_rows:
+                continue
             sizes, classes, parts = [], [], []
             if len(seen) > 500_000:
                 seen = set()
