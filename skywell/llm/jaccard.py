@@ -9,10 +9,12 @@ the smaller. So every class emits a prefix lengthened by ``extension(n)``:
 * a class without hot shingles in the plain prefix stays at l = 1;
 * another is lengthened to its full extension and asks for correspondingly more shared shingles, which
   leaves at least one that is not hot as long as it has fewer hot shingles than the least l of any partner;
-* a class where even that fails (large groups of near copies, texts of boilerplate) is *dense*. Dense
-  classes are linked among themselves through their hot shingles: rounds compare each class with one pivot
-  of its shingle's list, which joins a group of m copies with about m comparisons, and a last pass
-  compares all pairs that share enough shingles but still lie in different components.
+* a class where even that fails is *dense* and is lengthened to its whole set: partners share at least
+  three quarters of it, so unless three quarters are hot among the dense classes one shared shingle is not;
+* what is left, large groups of near copies, is *packed*. Packed classes are linked through their hot
+  shingles: rounds compare each class with one pivot of its shingle's list, which joins a group of m copies
+  with about m comparisons, and a last pass compares all pairs that share enough shingles but still lie in
+  different components.
 
 No link between components is lost, so the components are exact; pairs inside a component need not all be
 compared. Candidates are verified on whole sets.
@@ -83,6 +85,30 @@ def class_of(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), seed=len(s)) - 2 ** 63 if len(s) else 0
 
 
+def hot_apart(parts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(plain, longer, hot) per class from its plain and longer part: shingles in more than ``HOT`` of these classes
+    go to ``hot``, which starts with the number of them that lie in the plain part."""
+    ends = np.cumsum([len(x) for x in parts])
+    _, at, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    hot = np.split(count[at] > HOT, ends[:-1])
+    return [(a[~x], b[~y], np.concatenate([[x.sum()], a[x], b[y]]) if x.any() or y.any() else a[:0])
+            for a, b, x, y in zip(parts[::2], parts[1::2], hot[::2], hot[1::2])]
+
+
+def whole_prefixes(items: DataFrame) -> DataFrame:
+    """Classes that are lengthened to their whole sets, in the shape of :func:`prefixes`."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                parts = [x for s in batch.column("items") for x in (np.asarray(s.values, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+                rows = hot_apart(parts)
+                yield pa.RecordBatch.from_pydict({"c": batch.column("c"), **{
+                    name: pa.array([r[k].astype(np.int64) for r in rows], pa.list_(pa.int64()))
+                    for k, name in enumerate(("plain", "longer", "hot"))}})
+
+    return items.select("c", "items").mapInArrow(cut, "c long, plain array<bigint>, longer array<bigint>, hot array<bigint>")
+
+
 def prefixes(docs: DataFrame) -> DataFrame:
     """One row per document: set size, class, and the class's prefix the first time a task meets it.
 
@@ -105,12 +131,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 seen.add(c)
                 sizes.append(len(s)), classes.append(c)
                 parts += [s[:p], s[p:p + extension(len(s))]] if new else [s[:0], s[:0]]
-            ends = np.cumsum([len(x) for x in parts])
-            _, at, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-            hot = np.split(count[at] > HOT, ends[:-1])
-            rows = [(a[~x], b[~y], np.concatenate([[x.sum()], a[x], b[y]]) if x.any() or y.any() else a[:0])
-                    for a, b, x, y in zip(parts[::2], parts[1::2], hot[::2], hot[1::2])]
-            # A row's hot shingles start with the number that lie in the plain part.
+            rows = hot_apart(parts)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int32()), "c": pa.array(classes, pa.int64()),
                 **{name: pa.array([r[k].astype(np.int64) for r in rows], pa.list_(pa.int64()))
@@ -230,7 +251,18 @@ def near_components(docs: DataFrame) -> DataFrame:
     wanted = calm.select(F.col("a").alias("c")).union(calm.select(F.col("b").alias("c"))).union(dense.select("c")).distinct()
     items = stored(whole_sets(docs, classes.join(wanted, "c").select("c", "doc_id")), "items")
 
-    edges = stored(verified(calm, items), "links")
+    # Dense classes by their whole sets; those with too few shingles that are not hot even so are packed.
+    whole = items.join(heat.where("level = 2").select("c"), "c")
+    tokens = stored(shared_tokens(whole_prefixes(whole)), "tokens")
+    heat = stored(tokens.groupBy("c").agg(F.count_if("hot").alias("hot_all")).join(classes.select("c", "n"), "c"), "heat")
+    posted = tokens.where("NOT hot").join(heat, "c").select("token", "c", "n", "hot_all")
+    right = posted.select("token", *[F.col(x).alias(x + "2") for x in ("c", "n", "hot_all")])
+    need = F.greatest(F.lit(1), F.ceil(0.75 * F.greatest("n", "n2")) - F.least("hot_all", "hot_all2"))
+    more = posted.join(right, "token").where((F.col("c") < F.col("c2")) & close).groupBy(
+        F.col("c").alias("a"), F.col("c2").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(need).alias("need")).where(
+            "k >= need").select("a", "b")
+    dense = stored(dense.join(heat.where("4 * hot_all >= 3 * n").select("c"), "c"), "packed")
+    edges = stored(verified(calm.union(more).distinct(), items), "links")
     label = components(edges, "a", "b")
     for turn in range(0 if dense.isEmpty() else PIVOTS + 1):
         rest = dense.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
