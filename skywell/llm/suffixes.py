@@ -11,8 +11,10 @@ q-byte buckets at an offset and q later, again and again, and one of ``length``
 2. Runs are put in buckets by their q-gram. A bucket with one run is finished: nothing in it repeats.
 3. A bucket is refined by whole runs: equal runs repeat at all their starts. In the middle of a repeated
    passage all runs are equal, so copies cost one row each and are counted with a map-side combine.
-4. Only buckets with different runs (the ends of passages) are refined by single starts, once per different
-   run, and starts whose identifier has two owners repeat.
+4. Only buckets with different runs (the ends of passages, short common lines) go on, once per different run. The
+   starts of a run fall into ``CLASSES`` classes by their distance to the q-gram. The strings of one class
+   share a core, at one offset from the q-gram; a class whose core has one owner is finished.
+5. Classes with shared cores are refined by single starts; starts whose identifier has two owners repeat.
 
 Identifiers are 64 bits at each of two levels (q-gram, then run or start), 128 bits together.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skywell.llm.common import broadcast_within, clean_text, documents, stored
 from skywell.llm.registry import query
 
-LENGTH, BLOCK = 200, 1 << 20
+LENGTH, BLOCK, CLASSES = 200, 1 << 20, 8
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BYTES = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
 
@@ -140,32 +142,14 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         F.count(F.lit(1)).alias("copies"), F.first("mixed").alias("mixed"),
         F.min(F.struct("doc_id", "th", "start", "span")).alias("at")), "kinds")
 
-    # Starts of one occurrence of each different run in a mixed bucket.
-    asked = kinds.where("mixed").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th")).agg(
-        F.collect_list(F.struct("gram", "run", "copies", "at.start", "at.span")).alias("asked"))
-    asked = stored(asked, "asked")
-    asked_bytes = asked.select(F.sum(F.size("asked") * 40 + 40)).first()[0] or 0
-
-    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, want in zip(batch.column("text"), batch.column("asked")):
-                data, want = text.as_py().encode(), want.values
-                gram, run, copies, start, span = (want.field(x).to_numpy(zero_copy_only=False) for x in ("gram", "run", "copies", "start", "span"))
-                parts = [data[a:a + s + length] for a, s in zip(start.tolist(), span.tolist())]
-                sizes = span.astype(np.int64) + length
-                base = np.cumsum(sizes) - sizes
-                string = identifiers(np.frombuffer(b"".join(parts), dtype=np.uint8), length)[1].view(np.int64)
-                each = span.astype(np.int64) + 1
-                k = np.repeat(np.arange(len(span)), each)
-                off = np.arange(len(k)) - np.repeat(np.cumsum(each) - each, each)
-                yield pa.RecordBatch.from_pydict({
-                    "gram": pa.array(gram[k], pa.int64()), "run": pa.array(run[k], pa.int64()),
-                    "off": pa.array(off, pa.int32()), "string": pa.array(string[base[k] + off], pa.int64()),
-                    "copies": pa.array(copies[k], pa.int64())})
-
-    texts = docs.join(F.broadcast(asked) if asked_bytes <= 32 << 20 else asked, ["doc_id", "th"])
-    each = stored(texts.dropDuplicates(["doc_id", "th"]).select("text", "asked").mapInArrow(
-        starts, "gram long, run long, off int, string long, copies long"), "starts")
+    # One occurrence of each different run in a mixed bucket, refined by classes of starts, then by starts.
+    runs = kinds.where("mixed").select("gram", "run", "copies", "at.*")
+    cores = stored(_looked_up(docs, runs.withColumn("classes", F.lit(0)), length, True), "cores")
+    shared_cores = cores.groupBy("gram", "at", "id").agg(F.sum("copies").alias("k")).where("k > 1").select("gram", "at", "id")
+    open_runs = cores.join(shared_cores, ["gram", "at", "id"]).groupBy("gram", "run").agg(
+        F.bit_or(F.expr("shiftleft(1, at)")).alias("classes"))
+    each = stored(_looked_up(docs, runs.join(open_runs, ["gram", "run"]), length, False), "starts").withColumnsRenamed(
+        {"id": "string", "at": "off"})
     twice = each.groupBy("gram", "string").agg(F.sum("copies").alias("k")).where("k > 1").select("gram", "string")
     hits = each.join(twice, ["gram", "string"]).groupBy("gram", "run").agg(
         F.sort_array(F.collect_list("off")).alias("offs"))  # at most one per start of the run
@@ -181,6 +165,46 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return pieces.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
+def _looked_up(docs: DataFrame, runs: DataFrame, length: int, cores: bool) -> DataFrame:
+    """(gram, run, copies, at, id) of the cores of all classes of the runs (``at``: the class), or of the starts in
+    their open ``classes``, a bit set (``at``: the start within the run)."""
+    asked = stored(runs.groupBy("doc_id", "th").agg(
+        F.collect_list(F.struct("gram", "run", "copies", "start", "span", "classes")).alias("asked")), "asked")
+    size = asked.select(F.sum(F.size("asked") * 48 + 40)).first()[0] or 0
+    width = length - gram_length(length) + 1
+    step = -(-width // CLASSES)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, want in zip(batch.column("text"), batch.column("asked")):
+                data, want = text.as_py().encode(), want.values
+                gram, run, copies, start, span, classes = (want.field(i).to_numpy(zero_copy_only=False) for i in range(6))
+                span = span.astype(np.int64)
+                part = np.frombuffer(b"".join(data[a:a + n + length] for a, n in zip(start.tolist(), span.tolist())), dtype=np.uint8)
+                base = np.cumsum(span + length) - (span + length)
+                grams, strings = identifiers(part, length)
+                # Where in its run each run's least q-gram starts, at the last string's first such place.
+                at = span + np.concatenate([grams[(base + span)[i:i + 4096, None] + np.arange(width)].argmin(1) for i in range(0, len(span), 4096)])
+                if cores:
+                    low, high = (at - span) // step, at // step
+                    k = np.repeat(np.arange(len(span)), high - low + 1)
+                    where = np.arange(len(k)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[k]
+                    ids = identifiers(part, length - step + 1)[1][base[k] + at[k] - step * where]
+                else:
+                    k = np.repeat(np.arange(len(span)), span + 1)
+                    where = np.arange(len(k)) - np.repeat(np.cumsum(span + 1) - (span + 1), span + 1)
+                    is_open = (classes[k] >> ((at[k] - where) // step)) & 1 == 1
+                    k, where = k[is_open], where[is_open]
+                    ids = strings[base[k] + where]
+                yield pa.RecordBatch.from_pydict({
+                    "gram": pa.array(gram[k], pa.int64()), "run": pa.array(run[k], pa.int64()), "copies": pa.array(copies[k], pa.int64()),
+                    "at": pa.array(where, pa.int32()), "id": pa.array(ids.view(np.int64), pa.int64())})
+
+    texts = docs.join(F.broadcast(asked) if size <= 32 << 20 else asked, ["doc_id", "th"])
+    return texts.dropDuplicates(["doc_id", "th"]).select("text", "asked").mapInArrow(
+        look, "gram long, run long, copies long, at int, id long")
+
+
 def joined(spans):
     """Ascending spans with overlapping ones joined."""
     def step(acc, x):
