@@ -13,8 +13,9 @@ q-byte buckets at an offset and q later, again and again, and one of ``length``
    passage all runs are equal, so copies cost one row each and are counted with a map-side combine.
 4. Only buckets with different runs (the ends of passages, short common lines) go on, once per different run. The
    starts of a run fall into ``CLASSES`` classes by their distance to the q-gram. The strings of one class
-   share a core, at one offset from the q-gram; a class whose core has one owner is finished.
-5. Classes with shared cores are refined by single starts; starts whose identifier has two owners repeat.
+   share a core and together make a hull, both at fixed offsets from the q-gram: a class whose core has one
+   owner is finished, one whose hull has two repeats at all its starts.
+5. The classes in between are refined by single starts; starts whose identifier has two owners repeat.
 
 Identifiers are 64 bits at each of two levels (q-gram, then run or start), 128 bits together.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skywell.llm.common import broadcast_within, clean_text, documents, stored
 from skywell.llm.registry import query
 
-LENGTH, BLOCK, CLASSES = 200, 1 << 20, 8
+LENGTH, BLOCK, CLASSES = 200, 1 << 20, 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BYTES = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
 
@@ -145,20 +146,27 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # One occurrence of each different run in a mixed bucket, refined by classes of starts, then by starts.
     runs = kinds.where("mixed").select("gram", "run", "copies", "at.*")
     cores = stored(_looked_up(docs, runs.withColumn("classes", F.lit(0)), length, True), "cores")
-    shared_cores = cores.groupBy("gram", "at", "id").agg(F.sum("copies").alias("k")).where("k > 1").select("gram", "at", "id")
-    open_runs = cores.join(shared_cores, ["gram", "at", "id"]).groupBy("gram", "run").agg(
+    one = cores.groupBy("gram", "at", "id").agg(F.sum("copies").alias("k")).where("k > 1").select("gram", "at", "id")
+    two = cores.where("hull IS NOT NULL").groupBy("gram", "at", "hull").agg(F.sum("copies").alias("k")).where(
+        "k > 1").select("gram", "at", "hull", F.lit(True).alias("all"))
+    near = stored(cores.join(one, ["gram", "at", "id"]).join(two, ["gram", "at", "hull"], "left"), "near")
+    # A start of an open class may repeat one of a finished class, so one owner of such a hull comes along.
+    unsure = near.where("all IS NULL").select("gram", "at", "id", "run")
+    owners = near.where("all").join(unsure.drop("run"), ["gram", "at", "id"], "left_semi").groupBy("gram", "at", "hull").agg(
+        F.min("run").alias("run"))
+    open_runs = unsure.select("gram", "at", "run").union(owners.select("gram", "at", "run")).groupBy("gram", "run").agg(
         F.bit_or(F.expr("shiftleft(1, at)")).alias("classes"))
-    each = stored(_looked_up(docs, runs.join(open_runs, ["gram", "run"]), length, False), "starts").withColumnsRenamed(
-        {"id": "string", "at": "off"})
-    twice = each.groupBy("gram", "string").agg(F.sum("copies").alias("k")).where("k > 1").select("gram", "string")
-    hits = each.join(twice, ["gram", "string"]).groupBy("gram", "run").agg(
-        F.sort_array(F.collect_list("off")).alias("offs"))  # at most one per start of the run
+    each = stored(_looked_up(docs, runs.join(open_runs, ["gram", "run"]), length, False), "starts")
+    twice = each.groupBy("gram", "id").agg(F.sum("copies").alias("k")).where("k > 1").select("gram", "id")
+    found = each.join(twice, ["gram", "id"]).select("gram", "run", "lo", "hi").union(
+        near.where("all").select("gram", "run", "lo", "hi"))
+    hits = found.groupBy("gram", "run").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("offs"))  # within one run
 
     # All starts of equal runs repeat; of the other runs those that were hit.
     marked = kinds.join(hits, ["gram", "run"], "left").where("copies > 1 OR offs IS NOT NULL").select(
         "gram", "run", F.when(F.col("copies") == 1, F.col("offs")).alias("offs"))
-    at = F.transform(F.coalesce("offs", F.array().cast("array<int>")), lambda o: F.struct(
-        (F.col("start") + o).alias("a"), (F.col("start") + o + length).alias("b")))
+    at = F.transform(F.coalesce("offs", F.array().cast("array<struct<lo:int,hi:int>>")), lambda o: F.struct(
+        (F.col("start") + o["lo"]).alias("a"), (F.col("start") + o["hi"] + length).alias("b")))
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("span") + length).alias("b")))
     pieces = shared.select("doc_id", "th", "gram", "run", "start", "span").join(marked, ["gram", "run"]).select(
         "doc_id", "th", F.when(F.col("offs").isNull(), whole).otherwise(joined(at)).alias("s"))
@@ -166,8 +174,9 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _looked_up(docs: DataFrame, runs: DataFrame, length: int, cores: bool) -> DataFrame:
-    """(gram, run, copies, at, id) of the cores of all classes of the runs (``at``: the class), or of the starts in
-    their open ``classes``, a bit set (``at``: the start within the run)."""
+    """(gram, run, copies, at, lo, hi, id, hull) of the runs' classes ``at`` with their first and last start in the run
+    and the identifiers of core and hull (null for a class that the run holds in part); or of the single starts in
+    the classes named by the bit set ``classes``."""
     asked = stored(runs.groupBy("doc_id", "th").agg(
         F.collect_list(F.struct("gram", "run", "copies", "start", "span", "classes")).alias("asked")), "asked")
     size = asked.select(F.sum(F.size("asked") * 48 + 40)).first()[0] or 0
@@ -185,31 +194,39 @@ def _looked_up(docs: DataFrame, runs: DataFrame, length: int, cores: bool) -> Da
                 grams, strings = identifiers(part, length)
                 # Where in its run each run's least q-gram starts, at the last string's first such place.
                 at = span + np.concatenate([grams[(base + span)[i:i + 4096, None] + np.arange(width)].argmin(1) for i in range(0, len(span), 4096)])
+                low, high = (at - span) // step, at // step
+                k = np.repeat(np.arange(len(span)), high - low + 1)
+                kind = np.arange(len(k)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[k]
+                first = at[k] - np.minimum(step * kind + step - 1, at[k])
+                last = at[k] - np.maximum(step * kind, at[k] - span[k])
+                hull, full = np.zeros(len(k), dtype=np.uint64), last - first + 1 == step
                 if cores:
-                    low, high = (at - span) // step, at // step
-                    k = np.repeat(np.arange(len(span)), high - low + 1)
-                    where = np.arange(len(k)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[k]
-                    ids = identifiers(part, length - step + 1)[1][base[k] + at[k] - step * where]
+                    ids = identifiers(part, length - step + 1)[1][base[k] + at[k] - step * kind]
+                    if full.any():
+                        hull[full] = identifiers(part, length + step - 1)[1][(base[k] + first)[full]]
                 else:
-                    k = np.repeat(np.arange(len(span)), span + 1)
-                    where = np.arange(len(k)) - np.repeat(np.cumsum(span + 1) - (span + 1), span + 1)
-                    is_open = (classes[k] >> ((at[k] - where) // step)) & 1 == 1
-                    k, where = k[is_open], where[is_open]
-                    ids = strings[base[k] + where]
+                    wanted = (classes[k] >> kind) & 1 == 1
+                    k, kind, first, last = k[wanted], kind[wanted], first[wanted], last[wanted]
+                    n = last - first + 1
+                    own = np.repeat(np.arange(len(k)), n)
+                    first = last = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + first[own]
+                    k, kind = k[own], kind[own]
+                    ids, hull, full = strings[base[k] + first], np.zeros(len(k), dtype=np.uint64), np.zeros(len(k), dtype=bool)
                 yield pa.RecordBatch.from_pydict({
                     "gram": pa.array(gram[k], pa.int64()), "run": pa.array(run[k], pa.int64()), "copies": pa.array(copies[k], pa.int64()),
-                    "at": pa.array(where, pa.int32()), "id": pa.array(ids.view(np.int64), pa.int64())})
+                    "at": pa.array(kind, pa.int32()), "lo": pa.array(first, pa.int32()), "hi": pa.array(last, pa.int32()),
+                    "id": pa.array(ids.view(np.int64), pa.int64()), "hull": pa.array(hull.view(np.int64), pa.int64(), mask=~full)})
 
     texts = docs.join(F.broadcast(asked) if size <= 32 << 20 else asked, ["doc_id", "th"])
     return texts.dropDuplicates(["doc_id", "th"]).select("text", "asked").mapInArrow(
-        look, "gram long, run long, copies long, at int, id long")
+        look, "gram long, run long, copies long, at int, lo int, hi int, id long, hull long")
 
 
 def joined(spans):
     """Ascending spans with overlapping ones joined."""
     def step(acc, x):
         last = F.element_at(acc, -1)
-        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), x["b"].alias("b"))))
+        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))
         return F.when(F.size(acc) == 0, F.array(x)).when(x["a"] <= F.try_element_at(acc, F.lit(-1))["b"], longer).otherwise(
             F.concat(acc, F.array(x)))
 
