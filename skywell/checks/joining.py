@@ -23,16 +23,15 @@ NEAREST = """
 PICK = "d::HUGEINT * 10000000000000000 + hts"
 
 
-def _nearest(name, tolerance, cond, method):
+def _nearest(name, tolerance, cond):
     @query(name, with_obs(NEAREST.format(pick=PICK, cond=cond), HOURLY))
     def _(spark, sf):
-        out = joins.asof_nearest(observations(spark, sf), hourly(spark, sf), "Timestamp", tolerance,
-                                 method=method)
+        out = joins.asof_nearest(observations(spark, sf), hourly(spark, sf), "Timestamp", tolerance)
         return out.select("event_id", "idx_kp")
 
 
-_nearest("asof_nearest", 900.0, "abs(epoch_us(o.ts) - epoch_us(h.ts)) <= 900000000", None)
-_nearest("asof_nearest_merged", 1500.0, "abs(epoch_us(o.ts) - epoch_us(h.ts)) <= 1500000000", "merge")
+_nearest("asof_nearest", 900.0, "abs(epoch_us(o.ts) - epoch_us(h.ts)) <= 900000000")
+_nearest("asof_nearest_merged", 1500.0, "abs(epoch_us(o.ts) - epoch_us(h.ts)) <= 1500000000")
 
 
 @query("asof_nearest_keyed", """
@@ -49,6 +48,23 @@ def _(spark, sf):
     return joins.asof_nearest(left, right, "ts", None, ["user_id"]).select("event_id", "v_value")
 
 
+@query("asof_nearest_ties", """
+  WITH l AS (SELECT event_id, CASE WHEN user_id % 7 = 0 THEN NULL ELSE user_id % 40 END AS k,
+                    date_trunc('hour', ts) AS ts FROM events),
+  r AS (SELECT CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id % 40 END AS k,
+               date_trunc('day', ts) AS ts, min(event_id) AS first_id FROM events GROUP BY ALL),
+  c AS (SELECT l.event_id, r.first_id, abs(epoch_us(l.ts) - epoch_us(r.ts)) AS d, epoch_us(r.ts) AS rts
+        FROM l LEFT JOIN r ON l.k = r.k)
+  SELECT event_id, arg_min(first_id, d::HUGEINT * 10000000000000000 + rts) AS first_id FROM c GROUP BY event_id""")
+def _(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    left = e.select("event_id", F.when(F.col("user_id") % 7 != 0, F.col("user_id") % 40).alias("k"),
+                    F.date_trunc("hour", "ts").alias("ts"))
+    right = e.select(F.when(F.col("user_id") % 5 != 0, F.col("user_id") % 40).alias("k"),
+                     F.date_trunc("day", "ts").alias("ts"), F.col("event_id").alias("first_id"))
+    return joins.asof_nearest(left, right, "ts", None, ["k"]).select("event_id", "first_id")
+
+
 @query("merge_statistics", with_obs("""
   SELECT count(*) AS total, count(k) AS matched, count(*) - count(k) AS unmatched,
          round(count(k) * 100.0 / count(*), 6) AS match_pct

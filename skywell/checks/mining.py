@@ -70,8 +70,8 @@ def _(spark, sf):
 
 
 @query("hypotheses", with_obs("""
-  SELECT 'Mutual Information Analysis' AS evidence, 100.0::DOUBLE AS confidence
-  UNION ALL SELECT 'Isolation Forest Anomaly Density', 85.0::DOUBLE""", MI))
+  SELECT 'binned mutual information' AS evidence, 100.0::DOUBLE AS confidence
+  UNION ALL SELECT 'isolation depth', 85.0::DOUBLE""", MI))
 def _(spark, sf):
     m = _mining(spark, sf)
     scores = discovery.mutual_information(m, list(FEATURES), "prediction")

@@ -273,13 +273,11 @@ def hypotheses(scores: DataFrame, n_novel: DataFrame, drifting: DataFrame) -> Da
     """
     top = scores.agg(F.max_by("feature", F.struct("score", "feature")).alias("f"),
                      F.max("score").alias("s")).filter("s > 0.8").select(
-        F.format_string("'%s' strongly dominates the nonlinear predictive mapping of Topside TEC.",
-                        F.col("f")).alias("statement"),
-        (F.col("s") * 100).alias("confidence"), F.lit("Mutual Information Analysis").alias("evidence"))
+        F.format_string("Topside TEC shares most information with %s.", F.col("f")).alias("statement"),
+        (F.col("s") * 100).alias("confidence"), F.lit("binned mutual information").alias("evidence"))
     novel = n_novel.filter("n_novel > 0").select(
-        F.format_string("Discovered %d unprecedented ionospheric signatures deviating from known "
-                        "physics boundaries.", F.col("n_novel")).alias("statement"),
-        F.lit(85.0).alias("confidence"), F.lit("Isolation Forest Anomaly Density").alias("evidence"))
+        F.format_string("%d rows are isolated from all others.", F.col("n_novel")).alias("statement"),
+        F.lit(85.0).alias("confidence"), F.lit("isolation depth").alias("evidence"))
     moved = drifting.filter("is_drifting").select(
         F.lit("The mean state drifts against the stored history.").alias("statement"),
         F.least(F.lit(99.0), F.col("drift_z") * 20.0).alias("confidence"),
@@ -367,13 +365,13 @@ def dbscan_plane(df: DataFrame, key: str, x: str, y: str, eps: float, min_points
 _NEAR_CELLS = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4 and (i, j) > (0, 0)]
 
 
-def _linked_cells(core: DataFrame, eps: float, side: float, split: int = 8, rounds: int = 12) -> DataFrame:
+def _linked_cells(core: DataFrame, eps: float, side: float, split: int = 8) -> DataFrame:
     """Pairs of cells (ax, ay, bx, by) with core points at most ``eps`` apart, exactly.
 
     Each round looks at the occupied squares of a finer grid.  Two squares whose farthest corners
     are within ``eps`` settle the pair of cells; two whose nearest corners are not are dropped;
-    the rest is refined.  A square holding one distinct point has no extent, so the question is
-    always settled; ``rounds`` of 8-fold refinement reach the resolution of a double.
+    the rest is refined until no pair is open.  A square holding one distinct point has no extent,
+    so that ends once the squares part all distinct points.
     """
     boxes = core.groupBy("_cx", "_cy").agg(*_extent())
     a = boxes.select(*[F.col(c).alias(f"a{c}") for c in boxes.columns],
@@ -383,7 +381,7 @@ def _linked_cells(core: DataFrame, eps: float, side: float, split: int = 8, roun
     pairs = a.join(b, (F.col("a_cx") + F.col("_o.i") == F.col("b_cx"))
                    & (F.col("a_cy") + F.col("_o.j") == F.col("b_cy"))).drop("_o")
     found, size = None, side
-    for _ in range(rounds):
+    while True:
         near, far = _gap2(pairs, min_gap=True), _gap2(pairs, min_gap=False)
         pairs = durable(pairs.withColumns({"_near2": near, "_far2": far}).filter(
             F.col("_near2") <= eps * eps))
@@ -391,14 +389,13 @@ def _linked_cells(core: DataFrame, eps: float, side: float, split: int = 8, roun
         found = sure if found is None else found.unionByName(sure)
         open_pairs = pairs.join(sure, ["a_cx", "a_cy", "b_cx", "b_cy"], "left_anti").drop("_near2", "_far2")
         if open_pairs.isEmpty():
-            break
+            return found
         size = size / split
         still = open_pairs.select(F.col("a_cx").alias("_cx"), F.col("a_cy").alias("_cy")).unionByName(
             open_pairs.select(F.col("b_cx").alias("_cx"), F.col("b_cy").alias("_cy"))).distinct()
         fine = durable(core.join(still, ["_cx", "_cy"], "left_semi").groupBy("_cx", "_cy", F.floor(F.col("_x") / size).alias("_sx"),
                                     F.floor(F.col("_y") / size).alias("_sy")).agg(*_extent()))
         pairs = _refine(_refine(open_pairs, fine, "a", split), fine, "b", split)
-    return found
 
 
 def _extent() -> list[Column]:

@@ -49,30 +49,29 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     return nodes
 
 
-def _samples(df: DataFrame, columns, identity, total: int, trees: int, seed: int) -> DataFrame:
-    """At most ``SAMPLE`` rows per tree, chosen by hash so that reruns choose the same rows."""
-    share = SAMPLE * 1.3 / max(total, 1)
+def _samples(df: DataFrame, columns, identity, total: int, trees: int, seed: int, sample: int = SAMPLE) -> DataFrame:
+    """At most ``sample`` rows per tree by one rule for every size: a hash of (row, tree) against a share.
+
+    A row is copied only for the trees that take it.
+    """
+    share = sample * 1.3 / max(total, 1)
     picked = df.select(*[col(c) for c in columns], *[col(c).alias(f"_id{i}") for i, c in enumerate(identity)])
     ids = [F.col(f"_id{i}") for i in range(len(identity))]
     h = lambda salt: F.pmod(F.xxhash64(*ids, salt), F.lit(1 << 30)) / float(1 << 30)
-    if share * trees < 1:
-        # Large input: one hash test thins the table, a second hash names the tree.
-        picked = picked.filter(h(F.lit(seed)) < share * trees).withColumn(
-            "_tree", F.pmod(F.xxhash64(*ids, F.lit(seed + 1)), F.lit(trees)).cast("int")
-        )
-    else:
-        picked = picked.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).filter(
-            h(F.col("_tree") + seed) < share
-        )
+    takers = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: h(t + seed) < share)
+    picked = picked.withColumn("_tree", F.explode(takers))
     order = F.xxhash64(*ids, F.col("_tree"), F.lit(seed + 2))
     first = Window.partitionBy("_tree").orderBy(order, *ids)
-    return picked.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= SAMPLE)
+    return picked.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= sample)
 
 
-def grow_forest(df: DataFrame, columns, identity, total: int, trees=100, seed=42) -> pd.DataFrame:
-    """All nodes of all trees; at most ``trees * 511`` rows reach the driver."""
+def grow_forest(df: DataFrame, columns, identity, total: int, trees=100, seed=42, sample=SAMPLE) -> pd.DataFrame:
+    """All nodes of all trees; at most ``trees * (2 * sample - 1)`` rows reach the driver.
+
+    ``sample``, the rows per tree, is part of the published algorithm (256 there).
+    """
     names = [f"x{i}" for i in range(len(columns))]
-    limit = max(1, math.ceil(math.log2(max(2, min(SAMPLE, total)))))
+    limit = max(1, math.ceil(math.log2(max(2, min(sample, total)))))
 
     def plant(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["_tree"].iloc[0])
@@ -83,10 +82,10 @@ def grow_forest(df: DataFrame, columns, identity, total: int, trees=100, seed=42
         out.insert(0, "tree", tree)
         return out
 
-    sample = _samples(df, columns, identity, total, trees, seed).select(
+    rows = _samples(df, columns, identity, total, trees, seed, sample).select(
         "_tree", "_rn", *[col(c).cast("double").alias(n) for c, n in zip(columns, names)]
     )
-    return sample.groupBy("_tree").applyInPandas(
+    return rows.groupBy("_tree").applyInPandas(
         plant, "tree int, node int, feature int, cut double, left int, right int, path double"
     ).toPandas()
 

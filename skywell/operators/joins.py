@@ -13,7 +13,6 @@ from skywell.operators.ordering import micros, with_row
 from skywell.schema import SPACE_WEATHER, col
 
 SMALL_ROWS = 2_000_000
-DENSE_BUCKET = 32
 
 
 def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
@@ -34,54 +33,24 @@ def join_hourly(obs: DataFrame, indices: DataFrame | None, ts: str = "Timestamp"
 
 def asof_nearest(
     left: DataFrame, right: DataFrame, on: str = "Timestamp", tolerance_s: float | None = 900.0,
-    keys=(), suffix: str = "", chunk_rows: int | None = None, method: str | None = None,
+    keys=(), suffix: str = "", chunk_rows: int | None = None,
 ) -> DataFrame:
     """Nearest right row in time for each left row; the earlier one wins a tie.
 
-    With a tolerance and few right rows per tolerance-wide bucket, each bucket becomes one row
-    holding its candidates and the join is a plain equi-join.  Otherwise both sides are merged in
-    time order and each left row looks at its two neighbours.
+    Right rows of one key and time are first reduced to the least of them by their columns in order,
+    with a map-side combine. Both sides are then merged in time order and each left row looks at its
+    two neighbours. Null keys match nothing.
     """
     keys = list(keys)
     extra = [c for c in right.columns if c != on and c not in keys]
     payload = F.struct(micros(col(on)).alias("_at"), *[col(c).alias(f"{c}{suffix}") for c in extra])
-    if method is None and tolerance_s is not None:
-        tol = int(tolerance_s * 1_000_000)
-        dense = right.groupBy(*[col(k) for k in keys], F.floor(micros(col(on)) / tol).alias("_b")).agg(
-            F.count(F.lit(1)).alias("_n")
-        ).filter(F.col("_n") > DENSE_BUCKET)
-        method = "bucket" if dense.isEmpty() else "merge"
-    if method == "bucket":
-        return _asof_bucket(left, right, on, int(tolerance_s * 1_000_000), keys, payload, extra, suffix)
-    return _asof_merge(left, right, on, tolerance_s, keys, payload, extra, suffix, chunk_rows)
-
-
-def _asof_bucket(left, right, on, tol, keys, payload, extra, suffix) -> DataFrame:
-    slot = lambda: F.floor(micros(col(on)) / F.lit(tol)).cast("long")
-    spread = right.filter(col(on).isNotNull()).select(
-        *[col(k) for k in keys], payload.alias("_r"),
-        F.explode(F.sequence(slot() - 1, slot() + 1)).alias("_slot"),
-    )
-    packed = spread.groupBy(*[col(k) for k in keys], "_slot").agg(F.collect_list("_r").alias("_rs"))
-    at = micros(col(on))
-    near = F.array_min(F.transform(
-        F.filter("_rs", lambda r: F.abs(r["_at"] - at) <= tol),
-        lambda r: F.struct(F.abs(r["_at"] - at).alias("d"), r.alias("r")),
-    ))
-    joined = left.withColumn("_slot", slot()).join(broadcast_if_small(packed), [*keys, "_slot"], "left")
-    return joined.withColumn("_hit", near).select(
-        *[col(c) for c in left.columns],
-        *[F.col("_hit")["r"][f"{c}{suffix}"].alias(f"{c}{suffix}") for c in extra],
-    )
-
-
-def _asof_merge(left, right, on, tolerance_s, keys, payload, extra, suffix, chunk_rows) -> DataFrame:
     names = [c for c in left.columns if c != on and c not in keys]
     l = left.select(*[col(k) for k in keys], col(on), F.lit(1).alias("_side"),
                     F.struct(*[col(c) for c in names]).alias("_l") if names
                     else F.struct(F.lit(1).alias("_x")).alias("_l"))
-    r = right.filter(col(on).isNotNull()).select(
-        *[col(k) for k in keys], col(on), F.lit(0).alias("_side"), payload.alias("_r"))
+    for c in (on, *keys):
+        right = right.filter(col(c).isNotNull())
+    r = right.groupBy(*[col(k) for k in keys], col(on)).agg(F.min(payload).alias("_r")).withColumn("_side", F.lit(0))
     both = l.unionByName(r, allowMissingColumns=True)
     # Right rows sort first among equal times, so an exact match is always the earlier neighbour.
     layout = lay_out(both, keys, [on, "_side"], valid=["_r"], chunk_rows=chunk_rows)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skywell.operators.layout import lay_out
 from skywell.operators.ordering import (
-    average_rank, is_small, null_safe_join, prefix_counts, quantiles, tied_rank, with_row,
+    average_rank, null_safe_join, prefix_counts, quantiles, with_row,
 )
 from skywell.schema import col
 from skywell.session import durable
@@ -48,7 +48,7 @@ def spearman(df: DataFrame, y: str = "y_true", p: str = "y_pred", by=()) -> Data
         F.count(F.lit(1)).alias("_w"))
     centred = average_rank() - (F.col("_total") + 1) / 2.0
     for name, out in (("_y", "_a"), ("_p", "_b")):
-        ranks = prefix_counts(pairs, name, by, "_w", small=False).select(*keys, name, centred.alias(out))
+        ranks = prefix_counts(pairs, name, by, "_w").select(*keys, name, centred.alias(out))
         pairs = null_safe_join(pairs, ranks, [*by, name])
     w = F.col("_w")
     s = lambda a, b: F.sum(w * F.col(a) * F.col(b))
@@ -59,28 +59,16 @@ def spearman(df: DataFrame, y: str = "y_true", p: str = "y_pred", by=()) -> Data
 def metrics(df: DataFrame, by=(), y: str = "y_true", p: str = "y_pred") -> DataFrame:
     """One row per group with every metric; a group without a valid pair has no row.
 
-    Up to a counted size, ranks come from windows and everything is one pass.  Beyond it, moments,
-    ranks and quantiles read the pairs several times, so the narrow pair columns are checkpointed
+    Moments, ranks and quantiles read the pairs several times, so the narrow pair columns are written
     once instead of computing the input again for each.
     """
     by = list(by)
     keys = [col(k) for k in by]
     pairs = valid_pairs(df, y, p).select(*keys, col(y), col(p))
     names = [*keys, *METRIC_NAMES]
-    if is_small(df):
-        group = Window.partitionBy(*keys)
-        ranked = pairs.withColumns({
-            "_ry": tied_rank(col(y), group.orderBy(col(y))),
-            "_rp": tied_rank(col(p), group.orderBy(col(p))),
-        })
-        ae = F.percentile(F.abs(col(p) - col(y)), F.array(F.lit(0.5), F.lit(0.95)))
-        out = ranked.groupBy(*keys).agg(
-            *moment_columns(y, p), F.corr("_ry", "_rp").alias("spearman"), ae.alias("_ae"))
-        out = out.withColumns({"median_ae": F.col("_ae")[0], "p95_ae": F.col("_ae")[1]})
-        return out.filter("n > 0").select(*names)
     pairs = durable(pairs)
     base = pairs.groupBy(*keys).agg(*moment_columns(y, p)).filter("n > 0")
-    ae = quantiles(pairs, {"ae": F.abs(col(p) - col(y))}, [0.5, 0.95], by, small=False)
+    ae = quantiles(pairs, {"ae": F.abs(col(p) - col(y))}, [0.5, 0.95], by)
     ae = ae.withColumnsRenamed({"ae__0": "median_ae", "ae__1": "p95_ae"})
     out = null_safe_join(base, spearman(pairs, y, p, by), by, "left")
     return null_safe_join(out, ae, by, "left").select(*names)

@@ -1,28 +1,22 @@
-"""Order statistics over whole columns.
-
-A frame of counted, bounded size (``SMALL_ROWS``) is ordered with a plain window or the built-in
-exact percentile.  Beyond that no task may see a whole group, and every function follows one
-scheme: equal values are counted first (partial aggregation collapses heavy values), each distinct
-value falls into a bin given by a pure, monotone function of the value, bins are accumulated in a
-small table, and only values inside one bin are ordered together.  The number of bins is bounded by
-the floating-point range, not by the data.
+"""Order statistics over whole columns, by one plan for every size.
+
+Equal values are counted first (partial aggregation collapses heavy values). The counted values of a group
+fall into bins between approximate quantiles of themselves, so a narrow range of values is spread as evenly
+as a wide one; bins are accumulated in a small table, and only the values inside one bin are ordered
+together. Any edges give exact results. NaN counts as missing everywhere.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from skywell.schema import col
 
-SMALL_ROWS = 2_000_000
+BINS = 256
 BINS_PER_OCTAVE = 4096
 TIME_BIN_MICROS = 3_600_000_000
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether the frame has at most ``SMALL_ROWS`` rows; counting needs no column values."""
-    return df.count() <= SMALL_ROWS
+LAST_BIN = 1 << 40
 
 
 def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -53,24 +47,38 @@ def micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def _is_time(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType))
+
+
+def present(c: Column, dtype: T.DataType) -> Column:
+    """The value, with NaN as null."""
+    return F.when(~F.isnan(c), c) if isinstance(dtype, (T.DoubleType, T.FloatType)) else c
+
+
 def value_bin(c: Column, dtype: T.DataType) -> Column:
-    """Monotone bin number: hours for times, 1/4096 octaves of the magnitude for numbers."""
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+    """Monotone bin number: hours for times, 1/4096 octaves of the magnitude for numbers; NaN comes last."""
+    if _is_time(dtype):
         return F.floor(micros(c) / F.lit(TIME_BIN_MICROS)).cast("long")
     x = c.cast("double")
     size = F.floor(F.log2(F.lit(1.0) + F.abs(x) * 1024.0) * BINS_PER_OCTAVE)
-    return F.when(x < 0, -size).otherwise(size).cast("long")
+    return F.when(F.isnan(x), F.lit(LAST_BIN)).when(x < 0, -size).otherwise(size).cast("long")
 
 
 def _counted(df: DataFrame, by: list[str], value: str, weight: str | None) -> DataFrame:
+    """One row per (group, value) with its count ``_n`` and its bin ``_bin`` within the group."""
     n = F.sum(col(weight)) if weight else F.count(F.lit(1))
     dtype = df.schema[value].dataType
-    return (
-        df.filter(col(value).isNotNull())
-        .groupBy(*[col(k) for k in by], col(value))
-        .agg(n.cast("long").alias("_n"))
-        .withColumn("_bin", value_bin(col(value), dtype))
-    )
+    keys = [col(k) for k in by]
+    values = df.withColumn(value, present(col(value), dtype)).filter(col(value).isNotNull()).groupBy(
+        *keys, col(value)).agg(n.cast("long").alias("_n"))
+    at = micros(col(value)) if _is_time(dtype) else F.expr(f"try_cast(`{value}` AS double)")
+    values = values.withColumn("_at", at)
+    fractions = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
+    edges = values.groupBy(*keys).agg(F.percentile_approx("_at", fractions, F.lit(16 * BINS)).alias("_e")).select(
+        *keys, F.array_distinct("_e").alias("_edges"))
+    below = F.size(F.filter("_edges", lambda e: e < F.col("_at")))
+    return null_safe_join(values, edges, by).withColumn("_bin", F.coalesce(below, F.lit(0))).drop("_edges", "_at")
 
 
 def _bins(values: DataFrame, by: list[str]) -> DataFrame:
@@ -96,18 +104,11 @@ def _within_bins(values: DataFrame, bins: DataFrame, by: list[str], value: str)
     )
 
 
-def prefix_counts(df: DataFrame, value: str, by=(), weight: str | None = None,
-                  small: bool | None = None) -> DataFrame:
+def prefix_counts(df: DataFrame, value: str, by=(), weight: str | None = None) -> DataFrame:
     """One row per (group, value): ``_n`` ties, ``_before`` smaller rows, ``_total`` group rows."""
     by = list(by)
     values = _counted(df, by, value, weight)
-    if is_small(df) if small is None else small:
-        group = Window.partitionBy(*[col(k) for k in by])
-        lower = group.orderBy(col(value)).rowsBetween(Window.unboundedPreceding, -1)
-        out = values.withColumn("_before", F.coalesce(F.sum("_n").over(lower), F.lit(0))).withColumn(
-            "_total", F.sum("_n").over(group))
-    else:
-        out = _within_bins(values, _bins(values, by), by, value)
+    out = _within_bins(values, _bins(values, by), by, value)
     return out.select(*[col(k) for k in by], col(value), "_n", "_before", "_total")
 
 
@@ -116,19 +117,10 @@ def average_rank() -> Column:
     return F.col("_before") + (F.col("_n") + F.lit(1)) / F.lit(2.0)
 
 
-def tied_rank(value: Column, window: WindowSpec) -> Column:
-    """Average-tie rank as a window expression over ``window`` (already ordered by ``value``)."""
-    upto = F.count(value).over(window.rangeBetween(Window.unboundedPreceding, 0))
-    return F.when(value.isNotNull(), (F.rank().over(window) + upto) / F.lit(2.0))
-
-
 def with_average_rank(df: DataFrame, value: str, out: str, by=()) -> DataFrame:
-    """Add the average-tie rank of ``value`` inside each group; null stays null."""
+    """Add the average-tie rank of ``value`` inside each group; null and NaN have none."""
     by = list(by)
-    if is_small(df):
-        window = Window.partitionBy(*[col(k) for k in by]).orderBy(col(value).asc_nulls_last())
-        return df.withColumn(out, tied_rank(col(value), window))
-    ranks = prefix_counts(df, value, by, small=False).select(
+    ranks = prefix_counts(df, value, by).select(
         *[col(k) for k in by], col(value), average_rank().alias(out)
     )
     return null_safe_join(df, ranks, [*by, value], "left")
@@ -138,24 +130,13 @@ def _pick(k: Column) -> Column:
     return (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
 
 
-def quantiles(df: DataFrame, columns: dict[str, Column], probs, by=(),
-              small: bool | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles, one row per group.
+def quantiles(df: DataFrame, columns: dict[str, Column], probs, by=()) -> DataFrame:
+    """Exact linear-interpolated quantiles, one row per group; nulls for a group without values.
 
     Output columns are ``<name>__<i>`` for the i-th probability.  Only the bins that hold a wanted
     rank are ordered; the others are dropped at the bin join.
     """
     by, names = list(by), list(columns)
-    if is_small(df) if small is None else small:
-        cells = [(f"_v{i}", columns[n].cast("double")) for i, n in enumerate(names)]
-        rows = df.select(*[col(k) for k in by],
-                         *[F.when(~F.isnan(v), v).alias(a) for a, v in cells])
-        wide = rows.groupBy(*[col(k) for k in by]).agg(*[
-            F.percentile(F.col(a), F.array(*[F.lit(float(p)) for p in probs])).alias(a) for a, _ in cells
-        ])
-        return wide.select(*[col(k) for k in by], *[
-            F.col(f"_v{i}")[j].alias(f"{n}__{j}") for i, n in enumerate(names) for j in range(len(probs))
-        ])
     long = df.select(
         *[col(k) for k in by],
         F.explode(F.array(*[
@@ -163,7 +144,6 @@ def quantiles(df: DataFrame, columns: dict[str, Column], probs, by=(),
             for i, n in enumerate(names)
         ])).alias("_cell"),
     ).select(*[col(k) for k in by], F.col("_cell.c").alias("_c"), F.col("_cell.v").alias("_v"))
-    long = long.filter(~F.isnan("_v"))
     group = [*by, "_c"]
     values = _counted(long, group, "_v", None)
 
@@ -185,7 +165,10 @@ def quantiles(df: DataFrame, columns: dict[str, Column], probs, by=(),
             hi = F.max(F.when(mine & _pick(rank(p, True)), F.col("_v")))
             k = F.lit(float(p)) * (F.max(F.when(mine, F.col("_total"))) - 1)
             aggs.append((lo + (hi - lo) * (k - F.floor(k))).alias(f"{name}__{j}"))
-    return picked.groupBy(*[col(k) for k in by]).agg(*aggs)
+    found = picked.groupBy(*[col(k) for k in by]).agg(*aggs)
+    if not by:
+        return found
+    return null_safe_join(df.select(*[col(k) for k in by]).distinct(), found, by, "left")
 
 
 def rows_at_rank(df: DataFrame, order: list[str], ranks: dict[str, Column]) -> DataFrame:
@@ -196,11 +179,10 @@ def rows_at_rank(df: DataFrame, order: list[str], ranks: dict[str, Column]) -> D
     The first column is located by prefix counts, then only its ties go on to the next column.
     """
     prefixes = list(ranks)
-    small = is_small(df)
     level = df.select(*[col(c) for c in order])
     cells = None
     for depth, name in enumerate(order):
-        counts = prefix_counts(level, name, [] if depth == 0 else ["_slot"], small=small)
+        counts = prefix_counts(level, name, [] if depth == 0 else ["_slot"])
         if depth == 0:
             slots = F.array(*[
                 F.struct(F.lit(i).alias("s"), ranks[p].cast("long").alias("k"))

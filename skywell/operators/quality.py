@@ -102,9 +102,9 @@ def _stated(df: DataFrame, check: str, severity: str, message: str, cols: list[s
 def required_report(df: DataFrame, required=OBSERVATION_COLUMNS) -> DataFrame:
     gone = missing_required(df, required)
     if gone:
-        issue = ("ERROR", f"Missing required columns: {gone}", gone)
+        issue = ("ERROR", f"Required but absent: {', '.join(gone)}", gone)
     else:
-        issue = ("INFO", f"All {len(required)} required columns present.", [])
+        issue = ("INFO", f"Found each of the {len(required)} columns.", [])
     return _stated(df, "RequiredColumns", *issue)
 
 
@@ -221,18 +221,18 @@ def value_report(df: DataFrame, bounds=PHYSICAL_BOUNDS, max_null: float = 0.30,
     if "low:foF2" in m:
         low, high = m["low:foF2"], m["high:foF2"]
         issues.append(_issue(low + high > 0, "WARNING", "FoF2Range",
-                             say("foF2: %d values low and %d values high.", low, high),
+                             say("foF2 out of range: %d below, %d above.", low, high),
                              low + high, ["foF2"]))
     if "b0_hmf2" in m:
         issues.append(_issue(m["b0_hmf2"] > 0, "WARNING", "CrossColumnConsistency",
-                             say("B0 > hmF2 in %d rows.", m["b0_hmf2"]), m["b0_hmf2"], ["B0", "hmF2"]))
+                             say("%d rows have a B0 beyond their hmF2.", m["b0_hmf2"]), m["b0_hmf2"], ["B0", "hmF2"]))
     if "ratio" in m:
         issues.append(_issue(m["ratio"] > 0, "WARNING", "CrossColumnConsistency",
-                             say("TopsideTEC/TEC ratio > 10 in %d rows.", m["ratio"]),
+                             say("%d rows have more than ten times TEC in TopsideTEC.", m["ratio"]),
                              m["ratio"], ["TopsideTEC", "TEC"]))
     if "qf_null" in m:
         issues.append(_issue(m["qf_null"] > 0, "WARNING", "QualityFlags",
-                             say("QF column has %d missing values.", m["qf_null"]), m["qf_null"], ["QF"]))
+                             say("%d rows carry no QF.", m["qf_null"]), m["qf_null"], ["QF"]))
         issues.append(_issue(m["qf_poor"] / rows > 0.20, "WARNING", "QualityFlags",
                              say("%d records have QF of 3 or more.", m["qf_poor"]), m["qf_poor"], ["QF"]))
     return wide.select(F.explode(F.array_compact(F.array(*issues))).alias("r")).select("r.*")

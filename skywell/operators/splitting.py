@@ -2,29 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from skywell.operators.ordering import comes_before, rows_at_rank, with_row
+from skywell.operators.ordering import comes_before, micros, present, rows_at_rank, with_row
 from skywell.schema import col
 
 
+def _nulls_last(df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
+    """Helper columns that order like ``order`` and hold the greatest value of their type where it is missing."""
+    made: dict[str, Column] = {}
+    for i, name in enumerate(order):
+        dtype = df.schema[name].dataType
+        if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            c, most = micros(col(name)), F.lit(2 ** 63 - 1)
+        elif isinstance(dtype, T.IntegralType):
+            c, most = col(name).cast("long"), F.lit(2 ** 63 - 1)
+        elif isinstance(dtype, T.StringType):
+            c, most = col(name), F.lit(chr(0x10FFFF) * 4)
+        else:
+            c, most = present(col(name).cast("double"), T.DoubleType()), F.lit(float("inf"))
+        made[f"_key{i}"] = F.coalesce(c, most)
+    return df.withColumns(made), list(made)
+
+
 def split_ordered(df: DataFrame, order: list[str], train: float = 0.70, val: float = 0.15,
                   truncate_sum: bool = False, out: str = "split") -> DataFrame:
     """First ``int(n * train)`` rows by ``order`` are train, the next ``int(n * val)`` val.
 
     Only the two boundary rows are located; each row is then compared with them.  ``order`` must
-    end in a column that makes it unique.  ``truncate_sum`` ends val at ``int(n * (train + val))``.
+    end in a column that makes it unique; rows with a missing key come last and are counted.
+    ``truncate_sum`` ends val at ``int(n * (train + val))``.
     """
     n = F.col("_total")
     end_train = F.floor(n * F.lit(train))
     end_val = F.floor(n * F.lit(train + val)) if truncate_sum else end_train + F.floor(n * F.lit(val))
-    cuts = rows_at_rank(df, order, {"_a": end_train, "_b": end_val})
-    bound = lambda p: [F.col(f"{p}_{i}") for i in range(len(order))]
-    return with_row(df, cuts).withColumn(
+    keyed, keys = _nulls_last(df, order)
+    cuts = rows_at_rank(keyed, keys, {"_a": end_train, "_b": end_val})
+    bound = lambda p: [F.col(f"{p}_{i}") for i in range(len(keys))]
+    return with_row(keyed, cuts).withColumn(
         out,
-        F.when(comes_before(order, bound("_a")), "train")
-        .when(comes_before(order, bound("_b")), "val").otherwise("test"),
-    ).drop(*cuts.columns)
+        F.when(comes_before(keys, bound("_a")), "train")
+        .when(comes_before(keys, bound("_b")), "val").otherwise("test"),
+    ).drop(*cuts.columns, *keys)
 
 
 def split_random(df: DataFrame, identity: list[str], seed: int = 42, train=0.70, val=0.15,

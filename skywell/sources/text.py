@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from skywell.functions.rules import TIME_FORMAT, clean_indices, finite, parse_timestamp, to_number, year_day_hour
 from skywell.operators.joins import broadcast_if_small
@@ -101,10 +101,11 @@ def canonical_name(name: str) -> str:
 
 def format_columns(spark: SparkSession, path: str) -> list[str]:
     """Column names of a format file with lines ``<n> <name> <format>``; the default when none match."""
-    shape = r"^\s*(\d+)\s+(.+?)\s+[A-ZIF][0-9.]+\s*$"
+    # A number, a name that may hold blanks, and a last word such as I4, F6.1 or A10.
+    shape = r"^[ \t]*([0-9]+)[ \t]+(\S.*?)[ \t]+[A-Z][0-9]+(?:\.[0-9]+)?[ \t]*$"
     found = spark.read.text(path).filter(F.col("value").rlike(shape)).select(
         F.regexp_extract("value", shape, 1).cast("int").alias("n"),
-        F.trim(F.regexp_extract("value", shape, 2)).alias("name")).orderBy("n").limit(1000).collect()
+        F.trim(F.regexp_extract("value", shape, 2)).alias("name")).orderBy("n").collect()  # one row per column
     return [row["name"] for row in found] or LISTING_COLUMNS
 
 
@@ -142,8 +143,13 @@ def read_baselines(spark: SparkSession, directory: str, names=None) -> DataFrame
     known = F.array(*[F.lit(f) for f in files])
     part = F.array_intersect(F.split("_file", "/"), known)
     rows = raw.withColumn("model", F.try_element_at(to_model, F.try_element_at(part, F.lit(-1))))
-    rows = rows.filter("model is not null").withColumn("_line", F.monotonically_increasing_id())
-    layout = lay_out(rows, ["model"], ["_block", "_line"])
+    # Rows of one block keep their order; blocks follow each other by file name and offset.
+    rows = rows.filter("model is not null").withColumns({
+        "_place": F.concat_ws(" ", "_file", F.lpad(F.col("_block").cast("string"), 20, "0")),
+        "_line": F.monotonically_increasing_id()})
+    places = rows.select("model", "_place").distinct().withColumn(  # one row per file block
+        "_nth", F.row_number().over(Window.partitionBy("model").orderBy("_place")))
+    layout = lay_out(rows.join(places, ["model", "_place"]), ["model"], ["_nth", "_line"])
     return layout.finish(layout.rows, "idx").select(
         "model", "idx", finite(to_number(F.col("predicted_tec"))).alias("y_pred"))
 

@@ -1,4 +1,4 @@
-"""Binned order statistics (used above the counted size) against NumPy and against the small paths."""
+"""Order statistics against NumPy and pandas: narrow ranges, heavy values, NaN, groups without values."""
 
 from __future__ import annotations
 
@@ -12,11 +12,6 @@ from pyspark.sql import functions as F
 from skywell.operators import metrics, ordering, scaling, splitting, stats
 
 
-@pytest.fixture
-def binned(monkeypatch):
-    monkeypatch.setattr(ordering, "SMALL_ROWS", 0)
-
-
 @pytest.fixture(scope="module")
 def values():
     rng = np.random.default_rng(11)
@@ -36,7 +31,7 @@ def frame(spark, values):
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.733, 0.99, 1.0]
 
 
-def test_quantiles_binned(frame, values, binned):
+def test_quantiles_binned(frame, values):
     got = ordering.quantiles(frame, {"x": F.col("x")}, PROBS, ["g"]).toPandas().set_index("g")
     for g, part in values.groupby("g"):
         want = part["x"].quantile(PROBS).to_numpy()
@@ -50,7 +45,7 @@ def test_quantiles_small(frame, values):
 
 
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_ranks_binned(frame, values, binned, by):
+def test_ranks_binned(frame, values, by):
     got = ordering.with_average_rank(frame, "x", "rank", by).toPandas().set_index("id")["rank"]
     want = (values.groupby("g")["x"].rank() if by else values["x"].rank())
     np.testing.assert_allclose(got.loc[values["id"]].to_numpy(float), want.to_numpy())
@@ -63,7 +58,7 @@ def test_value_bins_are_monotone(frame):
     assert all(a[1] <= b[1] for a, b in zip(rows, rows[1:]))
 
 
-def test_split_boundaries_with_ties(spark, binned):
+def test_split_boundaries_with_ties(spark):
     # A third of all rows share one time.
     df = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, 500).otherwise(F.col("id") * 7 % 1000).alias("t"))
     out = splitting.split_ordered(df, ["t", "id"]).toPandas().sort_values(["t", "id"])
@@ -75,15 +70,46 @@ def test_split_of_tiny_frame(spark):
     assert [r["split"] for r in out] == ["test"]
 
 
-def test_metrics_large_path_equals_small_path(spark, monkeypatch):
+def test_metrics_equal_pandas(spark):
     rng = np.random.default_rng(2)
     y = np.round(rng.normal(50, 9, 400), 1)
     rows = [(int(i % 2), float(y[i]), None if i % 37 == 0 else float(np.round(y[i] + rng.normal(0, 5), 1))) for i in range(400)]
     df = spark.createDataFrame(rows, "model long, y_true double, y_pred double")
-    small = metrics.metrics(df, ["model"]).orderBy("model").toPandas()
-    monkeypatch.setattr(ordering, "SMALL_ROWS", 0)
-    large = metrics.metrics(df, ["model"]).orderBy("model").toPandas()
-    np.testing.assert_allclose(small.to_numpy(float), large.to_numpy(float), rtol=1e-9)
+    got = metrics.metrics(df, ["model"]).toPandas().set_index("model")
+    for model, part in pd.DataFrame(rows, columns=["model", "y", "p"]).dropna().groupby("model"):
+        ae = (part["p"] - part["y"]).abs()
+        assert got.loc[model, "spearman"] == pytest.approx(part["y"].rank().corr(part["p"].rank()))
+        assert got.loc[model, "median_ae"] == pytest.approx(ae.median())
+        assert got.loc[model, "p95_ae"] == pytest.approx(ae.quantile(0.95))
+
+
+def test_nan_is_missing_and_empty_groups_stay(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(0, -5.0), (0, 1.0), (0, 2.0), (0, nan), (0, nan), (1, None), (1, nan)], "g long, x double")
+    counts = {r["x"]: r["_before"] for r in ordering.prefix_counts(df, "x").collect()}
+    assert counts == {-5.0: 0, 1.0: 1, 2.0: 2}
+    ranks = ordering.with_average_rank(df, "x", "r").collect()
+    assert sorted(r["r"] for r in ranks if r["r"] is not None) == [1.0, 2.0, 3.0] and len(ranks) == 7
+    q = {r["g"]: r["x__0"] for r in ordering.quantiles(df, {"x": F.col("x")}, [0.5], ["g"]).collect()}
+    assert q == {0: 1.0, 1: None}
+    cut = ordering.value_bin(F.col("x"), df.schema["x"].dataType)
+    assert df.agg(F.max(cut)).first()[0] == ordering.LAST_BIN
+
+
+@pytest.mark.parametrize("value", ["1.7e9D + id / 10D", "cast(least(id, 1000) as double)"])
+def test_no_bin_holds_many_values(spark, value):
+    df = spark.range(20_000).withColumn("x", F.expr(value))
+    values = ordering._counted(df, [], "x", None)
+    distinct = values.count()
+    assert values.groupBy("_bin").count().agg(F.max("count")).first()[0] <= max(8, 4 * distinct / ordering.BINS)
+    assert ordering.prefix_counts(df, "x").agg(F.max(F.col("_before") + F.col("_n"))).first()[0] == 20_000
+
+
+def test_rows_without_a_time_come_last_and_count(spark):
+    df = spark.createDataFrame([(i, None if i % 5 < 2 else float(i)) for i in range(10)], "id long, t double")
+    got = {r["id"]: r["split"] for r in splitting.split_ordered(df, ["t", "id"]).collect()}
+    order = [i for i in range(10) if i % 5 >= 2] + [i for i in range(10) if i % 5 < 2]
+    assert [got[i] for i in order] == ["train"] * 7 + ["val"] + ["test"] * 2
 
 
 def test_metrics_by_hand(spark):
@@ -94,7 +120,7 @@ def test_metrics_by_hand(spark):
     assert metrics.metrics(df.filter("y_pred > 99")).count() == 0
 
 
-def test_wilcoxon_and_friedman_large_paths(spark, binned):
+def test_wilcoxon_and_friedman_large_paths(spark):
     d = spark.createDataFrame([(float(v),) for v in (1, 1, -2, 3, 3, -3, 0, 5)], "d double")
     got = stats.wilcoxon(d).first()
     assert (got["n_nonzero"], got["w_statistic"]) == (7, 8.0)
@@ -118,7 +144,7 @@ def test_chi_tail(x, k):
 
 
 @pytest.mark.parametrize("kind", ["robust", "standard", "minmax"])
-def test_scalers_and_inverse(spark, binned, kind):
+def test_scalers_and_inverse(spark, kind):
     x = np.round(np.random.default_rng(4).normal(20, 6, 97), 2)
     df = spark.createDataFrame([(i, float(v), 3.0) for i, v in enumerate(x)], "id long, a double, c double")
     p = scaling.fit_scaler(df, ["a", "c"], kind)

@@ -186,13 +186,3 @@ def test_observed_counts_reach_the_progress(spark, two_files):
     run.awaitTermination()
     seen = [p.observedMetrics["quality"] for p in run.recentProgress if "quality" in p.observedMetrics]
     assert sum(r["rows"] for r in seen) == 60 and sum(r["high"] for r in seen) == full.filter("topside > 30").count()
-
-
-def test_user_code_per_station(spark, two_files):
-    from skywell.operators import features
-
-    full, _ = two_files
-    low = lambda pdf: pdf.nsmallest(1, "topside")[["id", "topside"]]
-    assert features.per_station(full, low, "id long, topside double", ["station"]).count() == 2
-    with pytest.raises(ValueError):
-        features.per_station(full, low, "id long, topside double", ["station"], group_rows=10)

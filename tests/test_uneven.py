@@ -184,13 +184,13 @@ def test_modal_step_and_jumps_cut(frame, size):
     assert rows_of(a, a.columns) == rows_of(b, a.columns)
 
 
-@pytest.mark.parametrize("method,size", [("bucket", None), ("merge", None), ("merge", 9)])
-def test_asof_equals_pandas(spark, frame, series, method, size):
+@pytest.mark.parametrize("size", [None, 9])
+def test_asof_equals_pandas(spark, frame, series, size):
     rng = np.random.default_rng(5)
     times = sorted({START + dt.timedelta(seconds=int(x)) for x in rng.integers(0, 900000, 150)})
     right = pd.DataFrame({"Timestamp": times, "idx": [float(i) for i in range(len(times))]})
     r = spark.createDataFrame([tuple(x) for x in zip(times, right["idx"].tolist())], "Timestamp timestamp, idx double")
-    got = joins.asof_nearest(frame, r, "Timestamp", 900.0, method=method, chunk_rows=size)
+    got = joins.asof_nearest(frame, r, "Timestamp", 900.0, chunk_rows=size)
     want = pd.merge_asof(series.sort_values("Timestamp"), right, on="Timestamp", direction="nearest",
                          tolerance=pd.Timedelta(seconds=900)).set_index("id")["idx"].sort_index()
     have = got.select("id", "idx").toPandas().set_index("id")["idx"].sort_index()
@@ -201,9 +201,18 @@ def test_asof_ties_and_tolerance(spark):
     t = lambda s: START + dt.timedelta(seconds=s)
     left = spark.createDataFrame([(1, t(50)), (2, t(1000)), (3, t(1001)), (4, t(5000))], "id long, Timestamp timestamp")
     right = spark.createDataFrame([(t(0), 10.0), (t(100), 20.0)], "Timestamp timestamp, v double")
-    for method in ("bucket", "merge"):
-        got = {r["id"]: r["v"] for r in joins.asof_nearest(left, right, "Timestamp", 900.0, method=method).collect()}
-        assert got == {1: 10.0, 2: 20.0, 3: None, 4: None}
+    got = {r["id"]: r["v"] for r in joins.asof_nearest(left, right, "Timestamp", 900.0).collect()}
+    assert got == {1: 10.0, 2: 20.0, 3: None, 4: None}
+
+
+def test_asof_equal_times_and_null_keys(spark):
+    t = lambda s: START + dt.timedelta(seconds=s)
+    left = spark.createDataFrame([(1, "a", t(10)), (2, None, t(10)), (3, "b", t(10))], "id long, k string, Timestamp timestamp")
+    right = spark.createDataFrame([("a", t(12), v) for v in (9.0, 5.0, 7.0)] + [(None, t(10), 1.0)],
+                                  "k string, Timestamp timestamp, v double")
+    for size in (None, 1):
+        got = {r["id"]: r["v"] for r in joins.asof_nearest(left, right, "Timestamp", 900.0, ["k"], chunk_rows=size).collect()}
+        assert got == {1: 5.0, 2: None, 3: None}
 
 
 def test_no_lag_crosses_a_station(frame):
