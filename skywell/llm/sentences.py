@@ -60,10 +60,9 @@ def words_in(text: Column) -> Column:
 def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
     """(word, edges): the substrings of each word that are pieces, as (a, b, score), best first and then leftmost."""
     n = F.length("word")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(LONGEST), n - i)),
-        lambda k: F.struct(i.alias("a"), k.alias("k"), F.substring(F.col("word"), i + 1, k).alias("piece")))))
-    found = words.select("word", F.explode(spans).alias("s")).select("word", "s.*").join(F.broadcast(pieces), "piece")
+    starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("a"))
+    spans = starts.select("word", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), n - F.col("a")))).alias("k"))
+    found = spans.withColumn("piece", F.substring(F.col("word"), F.col("a") + 1, F.col("k"))).join(F.broadcast(pieces), "piece")
     edge = F.struct((-F.col("score")).alias("cost"), F.col("a"), (F.col("a") + F.col("k")).alias("b"))
     edges = found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     return words.join(edges, "word", "left").select("word", F.coalesce("edges", F.array().cast(
