@@ -5,7 +5,7 @@ corpus. Suffixes are sorted only as deep as that takes. Buckets are named by ide
 content alone, so any task can name them: an identifier of 2q bytes is made of the identifiers of the two
 q-byte buckets at an offset and q later, again and again, and one of ``length`` bytes of two overlapping ones.
 
-1. Each start of a ``length``-byte string points to its least q-gram (q = 32 of 200), the same for equal
+1. Each start of a ``length``-byte string points to its least q-gram (q = 64 of 200), the same for equal
    strings. Neighbouring starts with one least q-gram occurrence form a *run*; a run is known by the
    identifiers of its first and last string, which together cover it.
 2. Runs are put in buckets by their q-gram. A bucket with one run is finished: nothing in it repeats.
@@ -47,7 +47,7 @@ def pointed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def gram_length(length: int) -> int:
-    return 1 << max(0, (length // 4).bit_length() - 1)
+    return 1 << max(0, (length // 2).bit_length() - 1)
 
 
 def identifiers(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +138,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("run").alias("lo"), F.max("run").alias("hi")).where(
         "k > 1").select("gram", (F.col("lo") != F.col("hi")).alias("mixed"))
     buckets = stored(buckets, "buckets")
-    shared = stored(runs.join(broadcast_within(buckets, 24, 32 << 20), "gram"), "shared")
+    shared = stored(runs.join(broadcast_within(buckets, 24), "gram"), "shared")
     kinds = stored(shared.groupBy("gram", "run").agg(
         F.count(F.lit(1)).alias("copies"), F.first("mixed").alias("mixed"),
         F.min(F.struct("doc_id", "th", "start", "span")).alias("at")), "kinds")
@@ -173,13 +173,18 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return pieces.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
+def _listed(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """``docs`` with _listed true for those that have a row in ``lists``, so that only their texts are shuffled to it."""
+    keys = lists.select("doc_id", "th", F.lit(True).alias("_listed"))
+    return docs.join(broadcast_within(keys, 24), ["doc_id", "th"], "left")
+
+
 def _looked_up(docs: DataFrame, runs: DataFrame, length: int, cores: bool) -> DataFrame:
     """(gram, run, copies, at, lo, hi, id, hull) of the runs' classes ``at`` with their first and last start in the run
     and the identifiers of core and hull (null for a class that the run holds in part); or of the single starts in
     the classes named by the bit set ``classes``."""
     asked = stored(runs.groupBy("doc_id", "th").agg(
         F.collect_list(F.struct("gram", "run", "copies", "start", "span", "classes")).alias("asked")), "asked")
-    size = asked.select(F.sum(F.size("asked") * 48 + 40)).first()[0] or 0
     width = length - gram_length(length) + 1
     step = -(-width // CLASSES)
 
@@ -217,7 +222,7 @@ def _looked_up(docs: DataFrame, runs: DataFrame, length: int, cores: bool) -> Da
                     "at": pa.array(kind, pa.int32()), "lo": pa.array(first, pa.int32()), "hi": pa.array(last, pa.int32()),
                     "id": pa.array(ids.view(np.int64), pa.int64()), "hull": pa.array(hull.view(np.int64), pa.int64(), mask=~full)})
 
-    texts = docs.join(F.broadcast(asked) if size <= 32 << 20 else asked, ["doc_id", "th"])
+    texts = _listed(docs, asked).where("_listed").drop("_listed").join(asked, ["doc_id", "th"])
     return texts.dropDuplicates(["doc_id", "th"]).select("text", "asked").mapInArrow(
         look, "gram long, run long, copies long, at int, lo int, hi int, id long, hull long")
 
@@ -245,8 +250,10 @@ def without_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, as_t
     keyed = docs.select(*[F.col(c).alias("k_" + c) for c in keep], F.coalesce("doc_id", mark).alias("doc_id"), clean_text().alias("text")).withColumn(
         "th", F.xxhash64("text"))
     spans = stored(repeated(keyed.select("doc_id", "th", "text"), length), "spans")
-    size = spans.select(F.sum(F.size("spans") * 24 + 40)).first()[0] or 0
-    both = keyed.join(F.broadcast(spans) if size <= 32 << 20 else spans, ["doc_id", "th"], "left")
+    known = _listed(keyed, spans)
+    both = known.where("_listed IS NULL").drop("_listed").withColumn(
+        "spans", F.lit(None).cast(spans.schema["spans"].dataType)).unionByName(
+            known.where("_listed").drop("_listed").join(spans, ["doc_id", "th"]))
     names = ["k_" + c for c in keep]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
