@@ -238,6 +238,30 @@ def _(spark, sf):
     return splitting.split_station(observations(spark, sf)).select("event_id", "Station", "split")
 
 
+@query("split_random_sizes", """
+  SELECT 'train' AS split, CAST(floor(count(*) * 0.7::DOUBLE) AS BIGINT) AS n FROM orders
+  UNION ALL SELECT 'val', CAST(floor(count(*) * 0.15::DOUBLE) AS BIGINT) FROM orders
+  UNION ALL SELECT 'test', CAST(count(*) - floor(count(*) * 0.7::DOUBLE) - floor(count(*) * 0.15::DOUBLE) AS BIGINT) FROM orders""")
+def _(spark, sf):
+    return splitting.split_random(table(spark, sf, "orders"), ["o_orderkey"]).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("split_by_station_whole", with_obs("""
+  SELECT station, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_splits FROM obs GROUP BY station"""))
+def _(spark, sf):
+    return splitting.split_station(observations(spark, sf)).groupBy(F.col("Station").alias("station")).agg(
+        F.count("*").alias("n_rows"), F.count_distinct("split").alias("n_splits"))
+
+
+@query("isolation_forest_share", with_obs("""
+  SELECT count(*) AS n, true AS within_one_rank FROM obs"""))
+def _(spark, sf):
+    o = outliers.forest_mask(observations(spark, sf), ["TEC", "foF2", "hmF2", "F10.7", "Kp", "Dst"], identity=("event_id",))
+    usable = F.count_if(F.col("_mask_isolation_forest_TEC").isNotNull())
+    flagged = F.count_if(F.col("_mask_isolation_forest_TEC"))
+    return o.agg(F.count("*").alias("n"), (flagged <= F.ceil(0.05 * usable) + 1).alias("within_one_rank"))
+
+
 @query("leave_one_station_out", with_obs("""
   SELECT station AS fold, count(*) AS n_test, (SELECT count(*) FROM obs) - count(*) AS n_train
   FROM obs GROUP BY station"""))

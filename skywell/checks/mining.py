@@ -71,13 +71,12 @@ def _(spark, sf):
 
 @query("hypotheses", with_obs("""
   SELECT 'binned mutual information' AS evidence, 100.0::DOUBLE AS confidence
-  UNION ALL SELECT 'isolation depth', 85.0::DOUBLE""", MI))
+  UNION ALL SELECT 'isolation depth', 85.0::DOUBLE FROM obs HAVING count(*) FILTER (value * 2 + coalesce(kp, 0) > 300) > 0""", MI))
 def _(spark, sf):
     m = _mining(spark, sf)
     scores = discovery.mutual_information(m, list(FEATURES), "prediction")
     n_novel = m.agg(F.count_if(F.col("prediction") > 300).alias("n_novel"))
-    out = discovery.hypotheses(scores, n_novel.select(F.greatest("n_novel", F.lit(1)).alias("n_novel")),
-                               _drift(spark, sf, []))
+    out = discovery.hypotheses(scores, n_novel, _drift(spark, sf, []))
     return out.select("evidence", r(F.col("confidence"), 4).alias("confidence"))
 
 
@@ -153,6 +152,15 @@ def _(spark, sf):
         "vec_id", r(F.col("pc1")).alias("pc1"), r(F.col("pc2")).alias("pc2"))
 
 
+@query("latent_plane_axes", "SELECT count(*) AS n, true AS centred, true AS uncorrelated, true AS ordered FROM embeddings")
+def _(spark, sf):
+    """Invariants of the two axes: no mean, no correlation, the first carries more variance."""
+    p = discovery.pca_plane(table(spark, sf, "embeddings"), "embedding")
+    return p.agg(
+        F.count("*").alias("n"), (F.abs(F.avg("pc1")) + F.abs(F.avg("pc2")) < 1e-9).alias("centred"),
+        (F.abs(F.corr("pc1", "pc2")) < 1e-6).alias("uncorrelated"), (F.var_pop("pc1") >= F.var_pop("pc2")).alias("ordered"))
+
+
 @query("latent_clusters")
 def _(spark, sf):
     plane = discovery.pca_plane(table(spark, sf, "embeddings"), "embedding").select("vec_id", "pc1", "pc2")

@@ -64,7 +64,7 @@ def _(spark, sf):
 
 @query("preprocessing")
 def _(spark, sf):
-    rows, _ = jobs.preprocess(_slim(spark, sf), Settings(forest_trees=50), IDENTITY)
+    rows, _ = jobs.preprocess(_slim(spark, sf), Settings(), IDENTITY)
     return rows.select("event_id", "split", r(F.col("TEC"), 4).alias("tec"), r(F.col("Kp"), 4).alias("kp"))
 
 

@@ -171,7 +171,7 @@ def _(spark, sf):
 def _(spark, sf):
     root = scratch_path(spark, "versions")
     c = table(spark, sf, "customer")
-    stores.write_version(c.limit(5), root, None)
+    stores.write_version(c.withColumn("c_acctbal", F.lit(0.0)), root, None)
     version = stores.write_version(c, root, None)
     return stores.read_latest(spark, root).agg(F.lit(version).alias("version"), F.count("*").alias("n"))
 

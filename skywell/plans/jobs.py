@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from skywell.functions import rules
@@ -142,8 +144,9 @@ def build_dataset(giro: DataFrame, omni: DataFrame, start: str, end: str, featur
     done = scaled.sparkSession.read.parquet(f"{root}/{version}/data")
     stores.save_scaler(f_params, f"{root}/{version}/feature_scaler")
     stores.save_scaler(t_params, f"{root}/{version}/target_scaler")
-    seq = sequences.sequences_ahead(done, use, targets[0], settings.build_window, settings.horizon,
-                                    keys=["split", key])
+    per_target = [sequences.sequences_ahead(done, use, t, settings.build_window, settings.horizon, keys=["split", key])
+                  .withColumn("target", F.lit(t)) for t in targets]
+    seq = reduce(DataFrame.unionByName, per_target)
     stores.write_sequences(seq, f"{root}/{version}/sequences")
     feeds = quality.feed_report(giro, 0, 0.0, FEED_BOUNDS)
     lost = feeds.first()
@@ -180,13 +183,16 @@ def evaluate(predictions: DataFrame, physics: DataFrame | None = None, ours: str
     return out
 
 
-def benchmark(predictions: DataFrame, ours: str) -> dict[str, DataFrame]:
-    """All models against ``ours``: comparison, tests against the best other model, figure data."""
+def benchmark(predictions: DataFrame, ours: str, key: str = "event_id") -> dict[str, DataFrame]:
+    """All models against ``ours``: comparison, tests against the best other model, figure data.
+
+    ``key`` names the observation that several models predict.
+    """
     p = durable(predictions)
     per_model = metrics.metrics(p, ["model"])
     comparison = durable(metrics.compare(per_model, ours))
     best = comparison.filter("is_best_baseline").select("model").first()["model"]
-    pair = p.filter(F.col("model").isin(ours, best)).groupBy("event_id").agg(
+    pair = p.filter(F.col("model").isin(ours, best)).groupBy(col(key)).agg(
         F.max("y_true").alias("y_true"),
         F.max(F.when(F.col("model") == ours, F.col("y_pred"))).alias("pred_a"),
         F.max(F.when(F.col("model") == best, F.col("y_pred"))).alias("pred_b"))
