@@ -11,8 +11,8 @@ the smaller. So every class emits a prefix lengthened by ``extension(n)``:
   leaves at least one that is not hot as long as it has fewer hot shingles than the least l of any partner;
 * a class where even that fails is *dense* and is lengthened to its whole set: partners share at least
   three quarters of it, so unless three quarters are hot among the dense classes one shared shingle is not;
-* what is left, large groups of near copies, is *packed*. Packed classes are linked through their hot
-  shingles: rounds compare each class with one pivot of its shingle's list, which joins a group of m copies
+* what is left, large groups of near copies, is *packed*. Packed classes order their whole sets by frequency
+  and post the hot rest of a plain prefix, which is short as their own edits come first: rounds compare each class with one pivot of its shingle's list, which joins a group of m copies
   with about m comparisons, and a last pass compares all pairs that share enough shingles but still lie in
   different components.
 
@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from skywell.llm.common import LOWER, SHINGLE, UPPER, broadcast_within, components, documents, stored
 from skywell.llm.registry import query
@@ -246,8 +246,7 @@ def near_components(docs: DataFrame) -> DataFrame:
         F.col("c").alias("a"), F.col("c2").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(need).alias("need")).where(
             "k >= need").select("a", "b")
     calm = stored(calm, "pairs")
-    dense = tokens.where("hot").join(heat.where("level = 2").select("c", "n"), "c").select("token", "c", "n")
-    dense = stored(dense, "dense")
+    dense = heat.where("level = 2").select("c", "n")
     wanted = calm.select(F.col("a").alias("c")).union(calm.select(F.col("b").alias("c"))).union(dense.select("c")).distinct()
     items = stored(whole_sets(docs, classes.join(wanted, "c").select("c", "doc_id")), "items")
 
@@ -261,7 +260,15 @@ def near_components(docs: DataFrame) -> DataFrame:
     more = posted.join(right, "token").where((F.col("c") < F.col("c2")) & close).groupBy(
         F.col("c").alias("a"), F.col("c2").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(need).alias("need")).where(
             "k >= need").select("a", "b")
-    dense = stored(dense.join(heat.where("4 * hot_all >= 3 * n").select("c"), "c"), "packed")
+    # Packed classes in the order (not hot, then hot by frequency): of a plain prefix only its hot rest is posted.
+    hot = tokens.where("hot").select("token", "c").distinct()
+    common = hot.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    counts = hot.groupBy("c").agg(F.count(F.lit(1)).alias("hots"))
+    room = F.col("n") - F.ceil(0.75 * F.col("n")) + 1 - (F.col("n") - F.col("hots"))
+    packed = heat.where("4 * hot_all >= 3 * n").select("c", "n").join(counts, "c").select("c", "n", room.alias("room")).where("room > 0")
+    first = Window.partitionBy("c").orderBy("df", "token")  # a class has as many shingles as its text
+    dense = stored(hot.join(packed, "c").join(common, "token").withColumn("_r", F.row_number().over(first)).where(
+        "_r <= room").select("token", "c", "n"), "packed")
     edges = stored(verified(calm.union(more).distinct(), items), "links")
     label = components(edges, "a", "b")
     for turn in range(0 if dense.isEmpty() else PIVOTS + 1):
@@ -274,12 +281,11 @@ def near_components(docs: DataFrame) -> DataFrame:
                 "component <> pc AND 4 * least(n, pn) >= 3 * greatest(n, pn)")
             pairs = met.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
         else:
-            # Every pair still apart that shares l hot shingles; pairs that share others were compared above.
+            # Every pair still apart that shares a posted shingle; pairs that share others were compared above.
             left = rest.join(open_lists.select("token"), "token")
             other = left.select("token", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("component").alias("k2"))
-            pairs = left.join(other, "token").where((F.col("component") < F.col("k2")) & close).groupBy("c", "c2").agg(
-                F.count(F.lit(1)).alias("k"), F.least(F.first(matches(F.col("n"))), F.first(matches(F.col("n2")))).alias("l"))
-            pairs = pairs.where("k >= l").select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b"))
+            pairs = left.join(other, "token").where((F.col("component") < F.col("k2")) & close).select(
+                F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
         found = stored(verified(pairs, items), "links")
         if not found.isEmpty():
             edges = stored(edges.union(found), "links")
