@@ -19,22 +19,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skywell.llm.common import clean_text, documents, numbered, stored
 from skywell.llm.registry import query
-from skywell.llm.tokenizing import encoding, rank_file
+from skywell.llm.tokenizing import ADDED, encoding, rank_file
 
 CAPACITY, END_ID = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None,
+           added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: a document's ids plus ``end_id``, cut from the back into full pieces."""
-    packed = docs.sparkSession.sparkContext.broadcast(rank_file(vocabulary))
+    packed, special = docs.sparkSession.sparkContext.broadcast(rank_file(vocabulary)), tuple((added or {}).items())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoding(packed.value)
+        coder = encoding(packed.value, special)
         for batch in batches:
             at, out = [], []
             for k, text in enumerate(batch.column("text")):
-                ids = np.append(coder.encode_to_numpy(text.as_py()), np.uint32(end_id)).astype("<u4")
+                ids = np.append(coder.encode_to_numpy(text.as_py(), allowed_special="all"), np.uint32(end_id)).astype("<u4")
                 edges = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
                 at += [k] * (len(edges) - 1)
                 out += [(i, a, b - a, zlib.crc32(ids[a:b])) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
@@ -104,14 +105,16 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return sorted(out)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None,
+         added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece with its sequence and offset; sequences are gapless from offset 0.
 
     A null or empty text is the end id alone. Null and repeated doc_ids are rows of their own. Pieces that fill a
     sequence take negative sequence numbers, all others numbers from 0. Extra columns are ignored; an empty
-    table gives no rows.
+    table gives no rows. ``added`` texts become their one id, as the library's plain call has it (``ADDED``);
+    without it they are ordinary text, as with the library's ``encode_special_tokens``.
     """
-    cut = stored(pieces(docs, capacity, end_id, vocabulary), "pieces")
+    cut = stored(pieces(docs, capacity, end_id, vocabulary, added), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     layout = np.array(plan(counts, capacity), dtype=np.int64).reshape(-1, 6)
     keys = (layout[:, 0] << 44) + layout[:, 1]
@@ -137,4 +140,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
 
 @query("op3_best_fit_packing")
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir, "doc_id", "text"))
+    return pack(documents(spark, sf_dir, "doc_id", "text"), added=ADDED)

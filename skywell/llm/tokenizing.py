@@ -9,6 +9,9 @@ import zlib
 # Fixed value: the published splitting pattern of the vocabulary, written without needless backtracking.
 PATTERN = (r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s")
 
+# Fixed value: the added token of byte_bpe_50k.json, one id wherever its text occurs.
+ADDED = {"<|endoftext|>": 50256}
+
 
 def rank_file(path: str | None = None) -> bytes:
     """The rank file that holds byte_bpe_50k.json's vocabulary, packed; read on the driver."""
@@ -20,10 +23,11 @@ def rank_file(path: str | None = None) -> bytes:
         return zlib.compress(f.read())
 
 
-@functools.lru_cache(maxsize=2)
-def encoding(packed: bytes):
+@functools.lru_cache(maxsize=4)
+def encoding(packed: bytes, added: tuple[tuple[str, int], ...] = ()):
+    """``added`` texts are found before the pattern splits what lies between them; without any, all text is ordinary."""
     import tiktoken
 
     lines = zlib.decompress(packed).splitlines()
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=dict(added))

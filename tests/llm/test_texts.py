@@ -127,6 +127,28 @@ def test_packing_is_gapless_and_matches_ids(spark):
     assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 1024) + 2
 
 
+def test_packing_query_takes_the_added_token_as_the_library(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    import zlib
+    rng, end = random.Random(7), "<|endoftext|>"
+    parts = [end, end[:-1], " ", "  ", "\n", "a", "def ", "é", "12", "'s", "<|", "|>"]
+    rows = [None, "abc <|endoftext|> def", end, end * 3, (" longer" + end) * 900,
+            *["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(400)]]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for out in (packing.op3_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, str(tmp_path))):
+        by_doc = {k: g.sort_values("piece") for k, g in out.toPandas().groupby("doc_id")}
+        for i, t in enumerate(rows):
+            ids = np.array([*coder.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
+            mine = by_doc[3 * i + 1]
+            assert mine["length"].sum() == len(ids), t
+            assert [zlib.crc32(ids[r.start:r.start + r.length].tobytes()) for r in mine.itertuples()] == list(mine["ids_crc32"]), t
+
+
 def test_plan_places_every_piece_once():
     rng = random.Random(2)
     for _ in range(30):
