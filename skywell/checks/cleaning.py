@@ -170,12 +170,18 @@ iqr0 AS (SELECT tec, coalesce(tec < t1 - 2.5 * (t3 - t1) OR tec > t3 + 2.5 * (t3
     stddev_samp(tec) AS sd FROM obs))
 """))
 def _(spark, sf):
-    settings = Settings(outlier_methods=("iqr", "zscore"))
-    o = outliers.treat_outliers(observations(spark, sf), settings)
+    # The SQL has one column; `outlier_treatment_rows` has all that are treated, row by row.
+    o = outliers.treat_outliers(observations(spark, sf), Settings(), ("event_id",))
     return o.agg(F.count(F.lit(1)).alias("n"), r(F.min("TEC")).alias("lo"), r(F.max("TEC")).alias("hi"),
                  r(F.avg("TEC")).alias("mean"))
 
 
+@query("outlier_treatment_rows")
+def _(spark, sf):
+    o = outliers.treat_outliers(observations(spark, sf), Settings(), ("event_id",))
+    return o.select("event_id", *[r(col(c)).alias(c.lower().replace(".", "")) for c in Settings().forest_columns])
+
+
 LINE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 

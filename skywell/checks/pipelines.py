@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from skywell.checks.base import HOURLY, PRED, hourly, observations, predictions, query, r, us, with_obs
 from skywell.checks.scoring import PHYS, _metric_sql, _phys, _rounded
@@ -86,9 +88,26 @@ def _(spark, sf):
                  CAST(count(*) OVER () AS DOUBLE) AS n FROM obs) GROUP BY ALL)
   GROUP BY split HAVING sum(greatest(c - 8, 0)) > 0"""))
 def _(spark, sf):
-    settings = Settings(outlier_methods=("iqr", "zscore"), window_hours=(2,))
-    out = jobs.prepare(_slim(spark, sf), "TEC", ["TEC", "Kp"], settings, IDENTITY)
-    return out["windows"].groupBy("split", "window_h").agg(F.count("*").alias("n_windows"))
+    # The SQL has the smallest size; `preparation_windows` has the rows of every size.
+    out = jobs.prepare(_slim(spark, sf), "TEC", ["TEC", "Kp"], Settings(), IDENTITY)
+    return out["windows"].where("window_h = 2").groupBy("split", "window_h").agg(F.count("*").alias("n_windows"))
+
+
+@query("preparation_windows")
+def _(spark, sf):
+    rows = [jobs.prepare(_slim(spark, sf), target, ["TEC", "Kp", "Dst"], Settings(), IDENTITY)["windows"].select(
+        F.lit(target).alias("target"), "split", F.col("Station").alias("station"), "window_h", "start",
+        us(F.col("start_ts")).alias("start_us"), us(F.col("end_ts")).alias("end_us"), r(F.col("completeness")).alias("completeness"),
+        r(F.col("y"), 4).alias("y")) for target in ("TEC", "Dst")]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _build(spark, sf, root):
+    o = observations(spark, sf)
+    giro = o.select("Station", "Timestamp", "event_id", "TEC", "foF2", "Longitude")
+    omni = hourly(spark, sf).select("Timestamp", F.col("idx_ap").alias("Kp"), F.col("idx_dst").alias("Dst"))
+    return jobs.build_dataset(giro, omni, "2024-01-01", "2024-01-31", ["TEC", "foF2", "Kp", "Dst"], ["foF2", "TEC"],
+                              root, Settings(), tie=("event_id",))
 
 
 @query("versioned_build", with_obs("""
@@ -98,14 +117,20 @@ def _(spark, sf):
   UNION ALL SELECT 'val', CAST(floor(n * 0.85::DOUBLE) - floor(n * 0.7) AS BIGINT) FROM c
   UNION ALL SELECT 'test', CAST(n - floor(n * 0.85::DOUBLE) AS BIGINT) FROM c"""))
 def _(spark, sf):
-    o = observations(spark, sf)
-    giro = o.select("Station", "Timestamp", "event_id", "TEC", "foF2", "Longitude")
-    omni = hourly(spark, sf).select("Timestamp", F.col("idx_ap").alias("Kp"), F.col("idx_dst").alias("Dst"))
-    out = jobs.build_dataset(giro, omni, "2024-01-01", "2024-01-31", ["TEC", "foF2", "Kp", "Dst"], ["foF2"],
-                             scratch_path(spark, "build"), Settings(build_window=12), tie=("event_id",))
+    # The SQL counts the rows; `versioned_build_sequences` has what is written of every target.
+    out = _build(spark, sf, scratch_path(spark, "build"))
     return out["rows"].groupBy("split").agg(F.count("*").alias("n_rows"))
 
 
+@query("versioned_build_sequences")
+def _(spark, sf):
+    root = scratch_path(spark, "build")
+    version = _build(spark, sf, root)["version"]
+    return spark.read.parquet(f"{root}/{version}/sequences").select(
+        "target", "split", F.col("Station").alias("station"), "start", us(F.col("start_ts")).alias("start_us"),
+        us(F.col("end_ts")).alias("end_us"), "x", "y")
+
+
 @query("evaluation_run", with_obs(_metric_sql("model", "SELECT * FROM pred"), PRED))
 def _(spark, sf):
     out = jobs.evaluate(predictions(spark, sf), _phys(spark, sf), order=("ts", "event_id"))

@@ -42,8 +42,8 @@ def preprocess(df: DataFrame, settings: Settings = Settings(), identity=("Statio
                order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Infinities, gaps, outliers, split, scaling: (rows with ``split``, scaler parameters).
 
-    The filled table is checkpointed once, because quantiles, masks, boundaries and scaler each read
-    it again.
+    The filled, the treated and the split table are checkpointed once each, because quantiles, masks, boundaries
+    and scaler each read them several times, and their plans would multiply.
     """
     order = order or list(dict.fromkeys(["Timestamp", "Station", *identity]))
     numeric = numeric_columns(df, identity)
@@ -51,9 +51,9 @@ def preprocess(df: DataFrame, settings: Settings = Settings(), identity=("Statio
     df = fills.handle_missing(df, settings.fill_strategy, settings.fill_limit, settings.fill_fallback, numeric,
                               ["Station"], [*dict.fromkeys(["Timestamp", *[c for c in identity if c != "Station"]])])
     df = durable(df)
-    df = outliers.treat_outliers(df, settings, identity)
-    df = splitting.SPLIT_STRATEGIES[settings.split_strategy](
-        df, order, "Station", settings.seed, settings.split)
+    df = durable(outliers.treat_outliers(df, settings, identity))
+    df = durable(splitting.SPLIT_STRATEGIES[settings.split_strategy](
+        df, order, "Station", settings.seed, settings.split))
     scaled = scaling.eligible(df, [*settings.scale_exclude, *identity])
     params = durable(scaling.fit_scaler(df, scaled, settings.scaler, F.col("split") == "train"))
     return scaling.transform(df, params, scaled), params
