@@ -16,7 +16,6 @@ from skywell.llm.common import clean_text, documents, numbered, stored
 from skywell.llm.registry import query
 
 SHARDS = 24
-ROUNDS = 12
 
 
 def _accumulated(groups: DataFrame, key: str, size: str, name: str) -> DataFrame:
@@ -39,15 +38,15 @@ def _by_shard(values: dict, shard: str) -> Column:
     return F.get(F.array(*[F.lit(int(values.get(s, 0))) for s in range(SHARDS)]), F.col(shard))
 
 
-def propagate(cells: DataFrame, quota: dict[int, int], rounds: int = ROUNDS) -> DataFrame:
-    """Settled (g1, g2, shard, n) after rounds over (g1, g2, shard, n); no shard beyond its quota.
+def propagate(cells: DataFrame, quota: dict[int, int]) -> DataFrame:
+    """Settled (g1, g2, shard, n) after rounds over (g1, g2, shard, n), until nothing moves; no shard beyond its quota.
 
-    Only 24 loads reach the driver in a round. Members of groups that are still open at the end are missing.
+    Only 24 loads reach the driver in a round. Each round with a move settles a member, so the rounds end.
     """
     spark, room = cells.sparkSession, dict(quota)
     settled = spark.createDataFrame([], "g1 long, g2 long, shard int, n long")
     open_cells = stored(cells.select("g1", "g2", "shard", "n"), "cells")
-    for _ in range(rounds):
+    while True:
         largest = max(room.values())
         rooms = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(int(v)).alias("room")) for s, v in room.items()])
         held = open_cells.groupBy("g1", "g2").agg(F.sum("n").alias("r"), F.collect_list(F.struct("shard", "n")).alias("at"))

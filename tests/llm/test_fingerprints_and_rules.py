@@ -133,3 +133,18 @@ def test_groups_stay_whole_where_shards_have_room(spark):
     got = sharding.shard_documents(documents(spark, [f"t{i // 3}" for i in range(1200)])).toPandas()
     got["g"] = (got["doc_id"] - 1) // 9
     assert (got.groupby("g")["shard"].nunique() > 1).mean() < 0.1
+
+
+def test_rounds_go_on_until_every_member_has_a_shard(spark):
+    groups = [2000, *[2 + i % 49 for i in range(150)]]
+    cells, total = [], sum(groups)
+    for g, n in enumerate(groups):
+        cells += [(g, g, s, n // 24 + int((s + g) % 24 < n % 24)) for s in range(24)]
+    quota = {s: total // 24 + int(s < total % 24) for s in range(24)}
+    df = spark.createDataFrame([c for c in cells if c[3]], "g1 long, g2 long, shard int, n long")
+    got = sharding.propagate(df, quota).collect()
+    held, loads = [0] * len(groups), dict.fromkeys(quota, 0)
+    for r in got:
+        held[r["g1"]] += r["n"]
+        loads[r["shard"]] += r["n"]
+    assert held == groups and loads == quota
