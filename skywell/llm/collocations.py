@@ -353,14 +353,14 @@ listed AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pi
 grams AS (
   SELECT lang, len(p) AS m, p, count(*) AS f
   FROM (SELECT lang, unnest(flatten(list_transform(range(1, {DEPTH + 1}),
-               m -> list_transform(range(1, greatest(len(w) - m + 2, 1)), s -> w[s:s + m - 1])))) AS p FROM listed)
+               lambda m: list_transform(range(1, greatest(len(w) - m + 2, 1)), lambda s: w[s:s + m - 1])))) AS p FROM listed)
   GROUP BY ALL),
 totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE m = 1 GROUP BY lang),
 candidates AS (SELECT * FROM grams WHERE m > 1 AND f >= {LEAST}),
 inside AS (
   SELECT lang, p, max(f) AS longer
   FROM (SELECT lang, f, unnest(flatten(list_transform(range(2, m),
-               k -> list_transform(range(1, m - k + 2), s -> p[s:s + k - 1])))) AS p
+               lambda k: list_transform(range(1, m - k + 2), lambda s: p[s:s + k - 1])))) AS p
         FROM candidates WHERE m > 2)
   GROUP BY ALL),
 kept AS (
