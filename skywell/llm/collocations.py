@@ -29,8 +29,8 @@ BREAK = b"\n"
 # A-Z to a-z, tab to space, every separator of pieces to the break.
 MAPPED = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 HELD = 200_000
-HELD_ROUTES = 2_000_000
-POINTERS_A_TASK, MOST_POINTERS = 1_000_000, 4_000_000
+HELD_ROUTES, HELD_POINTERS, BATCH_ROWS = 1_000_000, 800_000, 50_000
+BLOCK_WORDS, POINTERS_A_TASK, MOST_POINTERS = 500_000, 500_000, 3_000_000
 
 
 def tokens(body: bytes) -> Iterator[list[bytes]]:
@@ -116,7 +116,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], salt: str, word_bits: np.ndarra
             for part in tokens(body.as_py()):
                 held.append(np.fromiter(map(known.__getitem__, part), np.int64, len(part)))
                 size += len(part)
-            if size > MOST_POINTERS // 4:
+            if size > BLOCK_WORDS:
                 yield block()
                 held, size = [], 0
     if held:
@@ -142,8 +142,8 @@ def _count_routes(salt: str, word_bits: np.ndarray) -> Callable:
 
         def rows() -> Iterator[pa.RecordBatch]:
             r, n = merged()
-            for at in range(0, len(r), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(r[at:at + 100_000].astype(np.int32)), pa.array(n[at:at + 100_000])], ["route", "n"])
+            for at in range(0, len(r), BATCH_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(r[at:at + BATCH_ROWS].astype(np.int32)), pa.array(n[at:at + BATCH_ROWS])], ["route", "n"])
 
         for flat in _suffixes(batches, salt, word_bits):
             r, n = np.unique(_routes(flat)[1], return_counts=True)
@@ -161,37 +161,61 @@ def _count_routes(salt: str, word_bits: np.ndarray) -> Callable:
     return run
 
 
+def combined(words: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Equal pointers as one with the sum of their weights. A mix brings them together, the words decide equality."""
+    order = np.argsort(mixed(*words))
+    words = [w[order] for w in words]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([w[1:] != w[:-1] for w in words])
+    first = np.flatnonzero(new)
+    return [w[first] for w in words], np.add.reduceat(n[order], first)
+
+
 def _point(salt: str, word_bits: np.ndarray, route_bits: np.ndarray, heavy: np.ndarray) -> Callable:
     """Pointers (part, whole, w0..w4, n): ``whole`` is false where a route is dealt by its third word, too."""
+    def pointers(flat: np.ndarray) -> list[np.ndarray] | None:
+        at, route = _routes(flat)
+        at = at[has_bit(route_bits, route)]
+        if not len(at):
+            return None
+        goes_on = np.zeros(len(flat) + DEPTH, bool)  # the pair that starts here is alive
+        goes_on[at] = True
+        padded = np.concatenate([flat, np.zeros(DEPTH, np.int64)])
+        words, on = [padded[at], padded[at + 1]], np.ones(len(at), bool)
+        for d in range(2, DEPTH):
+            on &= goes_on[at + d - 1]
+            words.append(np.where(on, padded[at + d], 0))
+        return words
+
+    def rows(words: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        tidy = np.lexsort(words[::-1])  # neighbours alike, which compresses well
+        words, n = [w[tidy] for w in words], n[tidy]
+        pair = mixed(words[0], words[1])
+        whole = ~np.isin(pair >> np.uint64(64 - ROUTE_BITS), heavy)
+        part = np.where(whole, pair, mixed(words[0], words[1], words[2])).view(np.int64)
+        for i in range(0, len(n), BATCH_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i:i + BATCH_ROWS]) for c in (part, whole, *words, n)], POINTER_NAMES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def merged() -> tuple[list[np.ndarray], np.ndarray]:
+            return combined([np.concatenate(c) for c in zip(*(w for w, _ in held))], np.concatenate([n for _, n in held]))
+
         for flat in _suffixes(batches, salt, word_bits):
-            at, route = _routes(flat)
-            alive = has_bit(route_bits, route)
-            at, route = at[alive], route[alive]
-            if not len(at):
+            found = pointers(flat)
+            if found is None:
                 continue
-            goes_on = np.zeros(len(flat) + DEPTH, bool)  # the pair that starts here is alive
-            goes_on[at] = True
-            padded = np.concatenate([flat, np.zeros(DEPTH, np.int64)])
-            words, on = [padded[at], padded[at + 1]], np.ones(len(at), bool)
-            for d in range(2, DEPTH):
-                on &= goes_on[at + d - 1]
-                words.append(np.where(on, padded[at + d], 0))
-            whole = ~np.isin(route, heavy)
-            part = np.where(whole, mixed(words[0], words[1]), mixed(words[0], words[1], words[2])).view(np.int64)
-            order = np.argsort(mixed(*words))  # brings equal pointers together; which are equal is compared exactly
-            words = [w[order] for w in words]
-            new = np.ones(len(order), bool)
-            new[1:] = np.logical_or.reduce([w[1:] != w[:-1] for w in words])
-            first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(order)))
-            # In order of the words, which compresses well.
-            kept = order[first]
-            words = [w[first] for w in words]
-            tidy = np.lexsort(words[::-1])
-            columns = [part[kept][tidy], whole[kept][tidy], *[w[tidy] for w in words], n[tidy]]
-            for i in range(0, len(tidy), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i:i + 100_000]) for c in columns], POINTER_NAMES)
+            held.append(combined(found, np.ones(len(found[0]), np.int64)))
+            size += len(held[-1][1])
+            if size > HELD_POINTERS:
+                held = [merged()]
+                size = len(held[0][1])
+                if size > HELD_POINTERS // 2:
+                    yield from rows(*held[0])
+                    held, size = [], 0
+        if held:
+            yield from rows(*merged())
     return run
 
 
@@ -239,7 +263,7 @@ def _sorted_phrases(least: int) -> Callable:
             if found:
                 row, length, weight = (np.array(x, np.int64) for x in zip(*found))
                 cut = [np.where(length > d, words[d][row], 0) for d in range(DEPTH)]
-                yield from pa.Table.from_arrays([pa.array(x) for x in (*cut, weight)], [*POINTER_NAMES[2:7], "a"]).to_batches(100_000)
+                yield from pa.Table.from_arrays([pa.array(x) for x in (*cut, weight)], [*POINTER_NAMES[2:7], "a"]).to_batches(BATCH_ROWS)
 
         over = False
         for batch in batches:

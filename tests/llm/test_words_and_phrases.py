@@ -242,6 +242,8 @@ def test_collocations_match_brute_force(spark, monkeypatch, tight):
         monkeypatch.setattr(collocations, "POINTERS_A_TASK", 40)
         monkeypatch.setattr(collocations, "MOST_POINTERS", 400)
         monkeypatch.setattr(collocations, "HELD_ROUTES", 10)
+        monkeypatch.setattr(collocations, "HELD_POINTERS", 50)
+        monkeypatch.setattr(collocations, "BLOCK_WORDS", 300)
         monkeypatch.setattr(collocations, "HELD", 5)
     rows = phrase_rows(1)
     docs = spark.createDataFrame([(t, l, "clash", 1) for l, t in rows], "text string, lang string, word string, n int")
