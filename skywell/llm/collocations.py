@@ -2,8 +2,9 @@
 
 Every word position is a pointer to the suffix of its piece that starts there, at most five words long. Pointers are
 routed over the cluster by their two leading words. The sizes of all routes are counted first and routes below the
-least count are abandoned before any pointer moves; equal pointers of one task travel as one with a weight. Within a
-task a three-way quicksort splits the pointers by one word at a time: smaller, equal, larger; an equal part is one
+least count are abandoned before any pointer moves; a counting sketch of fixed size does the same for three leading
+words, so that a pointer is cut where its phrase cannot be frequent any more. Equal pointers of one task travel as one
+with a weight. Within a task a three-way quicksort splits the pointers by one word at a time: smaller, equal, larger; an equal part is one
 phrase and its weight is the phrase's count, and parts below the least count are abandoned at once.
 
 A word is known by a 64-bit hash of language and word. All words of the corpus are counted beforehand, and the hash is
@@ -25,6 +26,7 @@ from skywell.llm.registry import query
 # Fixed values of the contract: longest phrase, least count, rows a language, and the language of null.
 DEPTH, LEAST, TOP, NO_LANG = 5, 100, 2000, "und"
 WORD_BITS, ROUTE_BITS = 24, 26
+SKETCH_BITS, SKETCH_BLOCK = 22, 4096
 BREAK = b"\n"
 # A-Z to a-z, tab to space, every separator of pieces to the break.
 MAPPED = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -161,6 +163,53 @@ def _count_routes(salt: str, word_bits: np.ndarray) -> Callable:
     return run
 
 
+def _triples(flat: np.ndarray, route_bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of alive pairs; which of them an alive pair follows; and the sketch cells of the three words there."""
+    at, route = _routes(flat)
+    at = at[has_bit(route_bits, route)]
+    alive = np.zeros(len(flat) + 1, bool)
+    alive[at] = True
+    on = alive[at + 1]
+    three = at[on]
+    return at, on, mixed(flat[three], flat[three + 1], flat[three + 2]) >> np.uint64(64 - SKETCH_BITS)
+
+
+def _count_triples(salt: str, word_bits: np.ndarray, route_bits: np.ndarray) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        for flat in _suffixes(batches, salt, word_bits):
+            cells, n = np.unique(_triples(flat, route_bits)[2].astype(np.int64), return_counts=True)
+            sketch[cells] += n
+        rows = sketch.reshape(-1, SKETCH_BLOCK)
+        some = np.flatnonzero(rows.any(1))
+        for i in range(0, len(some), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(some[i:i + 64].astype(np.int32)), pa.array(
+                [rows[b].tobytes() for b in some[i:i + 64]], pa.binary())], ["block", "counts"])
+    return run
+
+
+def _summed_triples(least: int) -> Callable:
+    """Sketches of all tasks added up, as one bit per cell; all blocks together are of fixed size."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = np.frombuffer(counts.as_py(), np.int64)
+                sums[block] = sums[block] + found if block in sums else found
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(
+                [np.packbits(x >= least, bitorder="little").tobytes() for x in sums.values()], pa.binary())], ["block", "bits"])
+    return run
+
+
+def sketch_bits(blocks: DataFrame, least: int) -> np.ndarray:
+    found = blocks.repartition("block").mapInArrow(_summed_triples(least), "block int, bits binary").toArrow()
+    out = np.zeros(((1 << SKETCH_BITS) // SKETCH_BLOCK, SKETCH_BLOCK // 8), np.uint8)
+    for block, bits in zip(found["block"].to_pylist(), found["bits"].to_pylist()):
+        out[block] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1).view(np.uint64)
+
+
 def combined(words: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Equal pointers as one with the sum of their weights. A mix brings them together, the words decide equality."""
     order = np.argsort(mixed(*words))
@@ -171,19 +220,18 @@ def combined(words: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray],
     return [w[first] for w in words], np.add.reduceat(n[order], first)
 
 
-def _point(salt: str, word_bits: np.ndarray, route_bits: np.ndarray, heavy: np.ndarray) -> Callable:
+def _point(salt: str, word_bits: np.ndarray, route_bits: np.ndarray, triple_bits: np.ndarray, heavy: np.ndarray) -> Callable:
     """Pointers (part, whole, w0..w4, n): ``whole`` is false where a route is dealt by its third word, too."""
     def pointers(flat: np.ndarray) -> list[np.ndarray] | None:
-        at, route = _routes(flat)
-        at = at[has_bit(route_bits, route)]
+        at, on, cells = _triples(flat, route_bits)
         if not len(at):
             return None
-        goes_on = np.zeros(len(flat) + DEPTH, bool)  # the pair that starts here is alive
-        goes_on[at] = True
+        goes_on = np.zeros(len(flat) + DEPTH, bool)  # the three words that start here are alive
+        goes_on[at[on][has_bit(triple_bits, cells)]] = True
         padded = np.concatenate([flat, np.zeros(DEPTH, np.int64)])
         words, on = [padded[at], padded[at + 1]], np.ones(len(at), bool)
         for d in range(2, DEPTH):
-            on &= goes_on[at + d - 1]
+            on &= goes_on[at + d - 2]
             words.append(np.where(on, padded[at + d], 0))
         return words
 
@@ -313,12 +361,13 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
         F.sum("n").alias("n")).where(F.col("n") >= least), "routes")
     pointers = routes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     route_bits = _bits(routes.withColumn("at", F.col("route").cast("long")), "at", ROUTE_BITS)
+    triple_bits = sketch_bits(docs.mapInArrow(_count_triples(salt, word_bits, route_bits), "block int, counts binary"), least)
     # Routes too large for one task are dealt by a third word; at most 100,000 of them.
     bound = max(POINTERS_A_TASK // 2, pointers // 100_000)
     heavy = routes.where(F.col("n") > bound).select("route").toArrow()["route"].to_numpy().astype(np.uint64)
     spark = docs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pointers // POINTERS_A_TASK))
-    dealt = docs.mapInArrow(_point(salt, word_bits, route_bits, heavy), POINTER_SCHEMA).repartition(tasks, "part")
+    dealt = docs.mapInArrow(_point(salt, word_bits, route_bits, triple_bits, heavy), POINTER_SCHEMA).repartition(tasks, "part")
     lists = dealt.mapInArrow(_sorted_phrases(least), ", ".join(f"w{d} long" for d in range(DEPTH)) + ", a long")
     ids = F.filter(F.array(*[f"w{d}" for d in range(DEPTH)]), lambda w: w != 0)
     return words, stored(lists.groupBy(ids.alias("ids")).agg(F.sum("a").alias("a")).where(F.col("a") >= least), "phrases")
