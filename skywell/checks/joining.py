@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skywell.checks.base import HOURLY, PRED, hourly, observations, predictions, query, r, table, us, with_obs
-from skywell.operators import joins
+from skywell.operators import joins, retrieval
 
 
 @query("hourly_join", with_obs("""
@@ -151,6 +151,25 @@ def _(spark, sf):
                       r(F.col("value")[0], 5).alias("first_value"))
 
 
+@query("retrieval_between_tables", """
+  WITH s AS (
+    SELECT q.vec_id AS qid, m.vec_id AS mid, CAST(m.embedding[1] AS DOUBLE) AS v1,
+      list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(m.embedding[i] AS DOUBLE))) / 8.0 AS score
+    FROM embeddings q, embeddings m),
+  t AS (SELECT *, rank() OVER (PARTITION BY qid ORDER BY score DESC) AS rk FROM s),
+  e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY qid)) AS ex FROM t WHERE rk <= 8),
+  w AS (SELECT *, ex / sum(ex) OVER (PARTITION BY qid) AS weight FROM e)
+  SELECT qid, count(*) AS n_kept, round(max(weight), 5) AS top_weight, round(sum(weight * v1), 5) + 0.0 AS first_value
+  FROM w GROUP BY qid""")
+def _(spark, sf):
+    """Every vector against every vector, over shells of falling length."""
+    vec = F.transform("embedding", lambda x: x.cast("double"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("qid"), vec.alias("q"))
+    out = retrieval.retrieve(e, e.toDF("mid", "v"), 8)
+    return out.select("qid", "n_kept", r(F.col("top_weight"), 5).alias("top_weight"),
+                      r(F.col("value")[0], 5).alias("first_value"))
+
+
 @query("memory_pool", """
   SELECT CASE WHEN label < 2 THEN 'quiet' WHEN label < 4 THEN 'moderate' WHEN label < 6 THEN 'strong'
               WHEN label < 8 THEN 'seasonal' ELSE 'solar' END AS bank, vec_id, label FROM embeddings""")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skywell.checks.base import HOURLY, hourly, observations, query, r, table, us, with_obs
 from skywell.operators import discovery
-from skywell.streaming import monitors as m
+from skywell.streaming import monitors as m, ordered
 
 
 def events_stream(spark, sf):
@@ -52,6 +52,38 @@ def _(spark, sf):
     return out.select("event_id", r(F.col("step")).alias("step"), "negative_topside", "extreme_tec", "massive_jump")
 
 
+# Rows behind the last watermark, with the number of their run: a pause beyond 12 hours starts a new one.
+IN_RUNS = """
+behind AS (SELECT * FROM obs WHERE epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM obs) - 1800000),
+opened AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY station ORDER BY ts, event_id)
+    > 43200000000 THEN 1 ELSE 0 END AS o FROM behind),
+in_runs AS (SELECT *, sum(o) OVER (PARTITION BY station ORDER BY ts, event_id) AS run FROM opened)
+"""
+
+
+@query("stream_steps_in_order", with_obs("""
+  SELECT event_id, round(abs(topside - lag(topside) OVER s), 6) AS step, topside < 0 AS negative_topside,
+    net > 900 AS extreme_tec, coalesce(abs(topside - lag(topside) OVER s) > 600, false) AS massive_jump
+  FROM (SELECT event_id, station, ts, run, topsidetec - 1 AS topside, topsidetec + value AS net FROM in_runs)
+  WINDOW s AS (PARTITION BY station, run ORDER BY ts, event_id)""", IN_RUNS))
+def _(spark, sf):
+    s = events_stream(spark, sf).drop("event_type", "step")
+    out = m.run_available(ordered.steps_in_order(s, cap=900.0, max_step=600.0, idle="12 hours"), spark)
+    return out.select("event_id", r(F.col("step")).alias("step"), "negative_topside", "extreme_tec", "massive_jump")
+
+
+@query("stream_sequences_in_order", with_obs("""
+  SELECT station, start_us, end_us, x_sum FROM (
+    SELECT station, lag(epoch_us(ts), 3) OVER s AS start_us, epoch_us(ts) AS end_us,
+      round(sum(value) OVER (PARTITION BY station, run ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 4) AS x_sum
+    FROM in_runs WINDOW s AS (PARTITION BY station, run ORDER BY ts, event_id)) WHERE start_us IS NOT NULL""", IN_RUNS))
+def _(spark, sf):
+    s = events_stream(spark, sf).select("event_id", "station", "ts", "value")
+    out = m.run_available(ordered.sequences_in_order(s, ["value"], 4, idle="12 hours"), spark)
+    total = F.aggregate(F.flatten("x"), F.lit(0.0), lambda a, b: a + b)
+    return out.select("station", "start_us", "end_us", r(total, 4).alias("x_sum"))
+
+
 @query("stream_readiness", with_obs(f"""
   SELECT epoch_us(s) AS start_us, round(greatest(0, least(100, 100 - (1 - avg(exp(-value / 100))) * 50
       - CASE WHEN bool_or(topsidetec - 1 < 0) THEN 40 ELSE 0 END - CASE WHEN bool_or(topsidetec + value > 900) THEN 20 ELSE 0 END

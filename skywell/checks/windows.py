@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from skywell.checks.base import observations, query, r, table, us, with_obs
-from skywell.operators import features, fills, sequences
+from skywell.operators import features, fills, groups, sequences
 from skywell.operators.ordering import with_average_rank
 from skywell.schema import Settings
 
@@ -49,6 +51,49 @@ def _(spark, sf):
         "event_id", r(F.col("centred") + 1e-9).alias("centred"))
 
 
+def _sum_and_count(rows):
+    return {"s": float(rows["value"].sum()), "c": len(rows)}
+
+
+def _added(a, b):
+    return {"s": a["s"] + b["s"], "c": a["c"] + b["c"]}
+
+
+@query("per_group_centring", with_obs("""
+  SELECT event_id, round(value - avg(value) OVER (PARTITION BY station) + 1e-9, 6) + 0.0 AS centred FROM obs"""))
+def _(spark, sf):
+    """User code per station: a fold for the mean, then a pass over the station's rows."""
+    o = observations(spark, sf).select("Station", "Timestamp", "event_id", "value")
+    means = groups.fold_groups(o, ["Station"], _sum_and_count, _added, "s double, c long", ["value"])
+
+    def centred(batches):
+        for b in batches:
+            mean = pc.divide(b.column("s"), pc.cast(b.column("c"), pa.float64()))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("event_id"), pc.subtract(b.column("value"), mean), b.column("own")], ["event_id", "centred", "own"])
+
+    out = groups.map_groups(o.join(means, "Station"), KEYS, ORDER, centred, "event_id long, centred double")
+    return out.select("event_id", r(F.col("centred") + 1e-9).alias("centred"))
+
+
+@query("per_group_filling", with_obs(f"""
+  SELECT event_id, coalesce(tec, lag(tec, 1) OVER s, lag(tec, 2) OVER s, lag(tec, 3) OVER s) AS filled FROM obs {W}"""))
+def _(spark, sf):
+    """User code per station: the last value, at most three rows old."""
+    def filled(batches):
+        held, age = None, 0
+        for b in batches:
+            out = []
+            for v in b.column("TEC").to_pylist():
+                held, age = (v, 0) if v is not None else (held, age + 1)
+                out.append(held if age <= 3 else None)
+            yield pa.RecordBatch.from_arrays([b.column("event_id"), pa.array(out, pa.float64()), b.column("own")],
+                                             ["event_id", "filled", "own"])
+
+    o = observations(spark, sf).select("Station", "Timestamp", "event_id", "TEC")
+    return groups.map_groups(o, KEYS, ORDER, filled, "event_id long, filled double", before=3)
+
+
 @query("time_gaps", with_obs(f"""
   SELECT event_id, round((epoch_us(ts) - lag(epoch_us(ts)) OVER s) / 1e6, 6) AS delta_s,
     coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER s) / 1e6 > 86400, false) AS is_gap,
