@@ -1,9 +1,12 @@
-"""Order statistics over whole columns, by one plan for every size.
+"""Order statistics over whole columns, by one plan for every size. NaN counts as missing everywhere.
 
-Equal values are counted first (partial aggregation collapses heavy values). The counted values of a group
-fall into bins between approximate quantiles of themselves, so a narrow range of values is spread as evenly
-as a wide one; bins are accumulated in a small table, and only the values inside one bin are ordered
-together. Any edges give exact results. NaN counts as missing everywhere.
+Ranks: equal values are counted once and stored. The counted values of a group fall into bins between
+approximate quantiles of themselves, so a narrow range is spread as evenly as a wide one; bins are accumulated
+in a small table, and only the values inside one bin are ordered together. Any edges give exact results.
+
+Quantiles: each wanted rank has a bracket of values, at first the whole group. One aggregate counts the rows
+below and inside all brackets and proposes edges within; brackets with more than ``BRACKET_ROWS`` shrink around
+their rank and are counted again. What is left inside is ordered. Only bracketed values are ever shuffled.
 """
 
 from __future__ import annotations
@@ -12,8 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from skywell.schema import col
+from skywell.session import written
 
 BINS = 256
+BRACKET_ROWS, EDGES = 1_000_000, 64
 BINS_PER_OCTAVE = 4096
 TIME_BIN_MICROS = 3_600_000_000
 LAST_BIN = 1 << 40
@@ -70,14 +75,17 @@ def _counted(df: DataFrame, by: list[str], value: str, weight: str | None) -> Da
     n = F.sum(col(weight)) if weight else F.count(F.lit(1))
     dtype = df.schema[value].dataType
     keys = [col(k) for k in by]
-    values = df.withColumn(value, present(col(value), dtype)).filter(col(value).isNotNull()).groupBy(
-        *keys, col(value)).agg(n.cast("long").alias("_n"))
+    values = written(df.withColumn(value, present(col(value), dtype)).filter(col(value).isNotNull()).groupBy(
+        *keys, col(value)).agg(n.cast("long").alias("_n")), "counted")
     at = micros(col(value)) if _is_time(dtype) else F.expr(f"try_cast(`{value}` AS double)")
     values = values.withColumn("_at", at)
     fractions = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
     edges = values.groupBy(*keys).agg(F.percentile_approx("_at", fractions, F.lit(16 * BINS)).alias("_e")).select(
         *keys, F.array_distinct("_e").alias("_edges"))
-    below = F.size(F.filter("_edges", lambda e: e < F.col("_at")))
+    # Bisection: how many edges lie below the value.
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(BINS.bit_length()))])
+    below = F.aggregate(halves, F.lit(0), lambda at, step: at + F.when(
+        F.get("_edges", at + step - 1) < F.col("_at"), step).otherwise(F.lit(0)))
     return null_safe_join(values, edges, by).withColumn("_bin", F.coalesce(below, F.lit(0))).drop("_edges", "_at")
 
 
@@ -130,45 +138,87 @@ def _pick(k: Column) -> Column:
     return (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
 
 
+def _rank(p: float, total: Column, up: bool) -> Column:
+    k = F.lit(float(p)) * (total - 1)
+    return (F.ceil(k) if up else F.floor(k)).cast("long")
+
+
+def _brackets(cells: DataFrame, n_columns: int, probs: list[float], by: list[str]) -> DataFrame:
+    """One row per group with an array ``_b`` of distinct brackets (c, lo, hi, below, total), every wanted rank in one."""
+    slots = [(i, j) for i in range(n_columns) for j in range(len(probs))]
+    keys = [col(k) for k in by]
+    grid = F.array(*[F.lit(i / EDGES) for i in range(EDGES + 1)])
+
+    def counted(joined: DataFrame, bounds: list[tuple[Column, Column] | None]) -> DataFrame:
+        aggs = []
+        for s, (i, _) in enumerate(slots):
+            v, bound = F.col(f"_v{i}"), bounds[s]
+            if bound is None:
+                if slots.index((i, 0)) == s:  # the first bracket is the same for all ranks of a column
+                    aggs += [F.count(v).alias(f"_all{i}"), F.percentile_approx(v, grid, F.lit(20 * EDGES)).alias(f"_e{i}")]
+                continue
+            inside = F.when(v.between(*bound), v)
+            aggs += [F.count_if(v < bound[0]).alias(f"_below{s}"), F.count(inside).alias(f"_in{s}"),
+                     F.percentile_approx(inside, grid, F.lit(20 * EDGES)).alias(f"_edges{s}"),
+                     F.first(bound[0]).alias(f"_lo{s}"), F.first(bound[1]).alias(f"_hi{s}"),
+                     F.first(f"_was{s}").alias(f"_was{s}")]
+        return joined.groupBy(*keys).agg(*aggs)
+
+    first = counted(cells, [None] * len(slots))
+    ends = {f"_lo{s}": F.lit(float("-inf")) for s in range(len(slots))} | {f"_hi{s}": F.lit(float("inf")) for s in range(len(slots))}
+    state = written(first.withColumns(ends | {f"_below{s}": F.lit(0).cast("long") for s in range(len(slots))}
+                    | {f"_in{s}": F.col(f"_all{i}") for s, (i, _) in enumerate(slots)}
+                    | {f"_was{s}": F.lit(2 ** 62) for s in range(len(slots))}
+                    | {f"_edges{s}": F.col(f"_e{i}") for s, (i, _) in enumerate(slots)}), "brackets")
+    totals = state.select(*keys, *[f"_all{i}" for i in range(n_columns)])
+    while True:
+        # A bracket that no longer shrinks lies between a few heavy values, which count as one row each below.
+        open_ = [(F.col(f"_in{s}") > BRACKET_ROWS) & (F.col(f"_in{s}") < F.col(f"_was{s}")) for s in range(len(slots))]
+        if state.filter(reduce(lambda a, b: a | b, open_)).isEmpty():
+            break
+        narrowed = {}
+        for s, (i, j) in enumerate(slots):
+            n, below = F.col(f"_in{s}"), F.col(f"_below{s}")
+            at = lambda up: (_rank(probs[j], F.col(f"_all{i}"), up) - below) * F.lit(float(EDGES)) / n
+            step = open_[s]
+            edge = lambda k: F.get(f"_edges{s}", F.greatest(F.lit(0), F.least(F.lit(EDGES), k)).cast("int"))
+            narrowed[f"_lo{s}"] = F.when(step, F.greatest(F.col(f"_lo{s}"), edge(F.floor(at(False)) - 1))).otherwise(F.col(f"_lo{s}"))
+            narrowed[f"_hi{s}"] = F.when(step, F.least(F.col(f"_hi{s}"), edge(F.ceil(at(True)) + 1))).otherwise(F.col(f"_hi{s}"))
+        narrowed |= {f"_was{s}": F.col(f"_in{s}") for s in range(len(slots))}
+        bounds = written(state.withColumns(narrowed).select(*keys, *narrowed), "brackets")
+        joined = null_safe_join(cells, bounds, by)
+        state = written(null_safe_join(counted(joined, [(F.col(f"_lo{s}"), F.col(f"_hi{s}")) for s in range(len(slots))]), totals, by), "brackets")
+    return state.select(*keys, F.array_distinct(F.array(*[F.struct(
+        F.lit(i).alias("c"), F.col(f"_lo{s}").alias("lo"), F.col(f"_hi{s}").alias("hi"), F.col(f"_below{s}").alias("below"),
+        F.col(f"_all{i}").alias("total")) for s, (i, _) in enumerate(slots)])).alias("_b"))
+
+
 def quantiles(df: DataFrame, columns: dict[str, Column], probs, by=()) -> DataFrame:
     """Exact linear-interpolated quantiles, one row per group; nulls for a group without values.
 
-    Output columns are ``<name>__<i>`` for the i-th probability.  Only the bins that hold a wanted
-    rank are ordered; the others are dropped at the bin join.
+    Output columns are ``<name>__<i>`` for the i-th probability.
     """
-    by, names = list(by), list(columns)
-    long = df.select(
-        *[col(k) for k in by],
-        F.explode(F.array(*[
-            F.struct(F.lit(i).alias("c"), columns[n].cast("double").alias("v"))
-            for i, n in enumerate(names)
-        ])).alias("_cell"),
-    ).select(*[col(k) for k in by], F.col("_cell.c").alias("_c"), F.col("_cell.v").alias("_v"))
-    group = [*by, "_c"]
-    values = _counted(long, group, "_v", None)
-
-    def rank(p: float, up: bool) -> Column:
-        k = F.lit(float(p)) * (F.col("_total") - 1)
-        return (F.ceil(k) if up else F.floor(k)).cast("long")
-
-    wanted = [rank(p, up) for p in probs for up in (False, True)]
-    holds = reduce(
-        lambda a, b: a | b,
-        [(F.col("_base") <= k) & (k < F.col("_base") + F.col("_in_bin")) for k in wanted],
-    )
-    picked = _within_bins(values, _bins(values, group).filter(holds), group, "_v")
+    by, names, probs = list(by), list(columns), list(probs)
+    keys = [col(k) for k in by]
+    double = T.DoubleType()
+    cells = written(df.select(*keys, *[present(columns[n].cast("double"), double).alias(f"_v{i}") for i, n in enumerate(names)]), "cells")
+    brackets = _brackets(cells, len(names), probs, by)
+    values = F.array(*[F.col(f"_v{i}") for i in range(len(names))])
+    holding = F.filter("_b", lambda b: F.get(values, b["c"]).between(b["lo"], b["hi"]))
+    held = null_safe_join(cells, brackets, by).select(*keys, values.alias("_v"), F.explode(holding).alias("_k"))
+    counted = held.groupBy(*keys, "_k", F.get("_v", F.col("_k.c")).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    inside = Window.partitionBy(*keys, "_k").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("_before", F.col("_k.below") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     aggs = []
     for i, name in enumerate(names):
+        mine, total = F.col("_k.c") == i, F.col("_k.total")
         for j, p in enumerate(probs):
-            mine = F.col("_c") == i
-            lo = F.max(F.when(mine & _pick(rank(p, False)), F.col("_v")))
-            hi = F.max(F.when(mine & _pick(rank(p, True)), F.col("_v")))
-            k = F.lit(float(p)) * (F.max(F.when(mine, F.col("_total"))) - 1)
+            lo = F.max(F.when(mine & _pick(_rank(p, total, False)), F.col("_x")))
+            hi = F.max(F.when(mine & _pick(_rank(p, total, True)), F.col("_x")))
+            k = F.lit(float(p)) * (F.max(F.when(mine, total)) - 1)
             aggs.append((lo + (hi - lo) * (k - F.floor(k))).alias(f"{name}__{j}"))
-    found = picked.groupBy(*[col(k) for k in by]).agg(*aggs)
-    if not by:
-        return found
-    return null_safe_join(df.select(*[col(k) for k in by]).distinct(), found, by, "left")
+    found = placed.groupBy(*keys).agg(*aggs)
+    return null_safe_join(cells.select(*keys).distinct(), found, by, "left") if by else found
 
 
 def rows_at_rank(df: DataFrame, order: list[str], ranks: dict[str, Column]) -> DataFrame:
