@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import functools
 import zlib
 
 # Fixed value: the published splitting pattern of the vocabulary, written without needless backtracking.
@@ -23,11 +22,17 @@ def rank_file(path: str | None = None) -> bytes:
         return zlib.compress(f.read())
 
 
-@functools.lru_cache(maxsize=4)
 def encoding(packed: bytes, added: tuple[tuple[str, int], ...] = ()):
-    """``added`` texts are found before the pattern splits what lies between them; without any, all text is ordinary."""
+    """``added`` texts are found before the pattern splits what lies between them; without any, all text is ordinary.
+
+    Built once a worker: this function travels with the task, so what it keeps hangs on the library's own module.
+    """
     import tiktoken
 
-    lines = zlib.decompress(packed).splitlines()
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=dict(added))
+    kept = tiktoken.__dict__.setdefault("_built_encodings", {})
+    key = (zlib.crc32(packed), len(packed), added)
+    if key not in kept:
+        lines = zlib.decompress(packed).splitlines()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        kept[key] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=dict(added))
+    return kept[key]
