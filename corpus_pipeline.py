@@ -22,29 +22,49 @@ def _boxed(docs: DataFrame, *without: str) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in without]).alias("_doc"), "doc_id", "text")
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """All columns but the text under numbered names: nothing can clash, and no text travels twice."""
+    names = [c if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language. Texts that are null or without a letter go, as do undecided ones."""
     teachers = docs.select("doc_id", "text", "lang").where(~languages.held_out())
-    named = languages.identify(_boxed(docs), languages.fit(teachers), ["_doc"])
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select("_doc.*")
+    given, names = _renamed(docs)
+    named = languages.identify(given, languages.fit(teachers), names)
+    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(*names).toDF(*docs.columns)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality is predicted as 1."""
+    """Documents whose quality is predicted as 1.
+
+    The scored rows are stored before they are chosen: Spark would move the choice below the statistics and compute
+    them anew for every rule.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return classifier.score_quality(_boxed(docs), labels, ["_doc"]).where("predicted = 1").select("_doc.*")
+    scored = classifier.score_quality(_boxed(docs), labels, ["_doc"]).select("_doc", "predicted")
+    return stored(scored, "scored").where("predicted = 1").select("_doc.*")
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, the one with the smallest doc_id.
+    """One document of each near-duplicate component: the smallest doc_id, null last, then the smallest hash.
 
-    Rows that share a doc_id count as one document, and one stays; rows without a doc_id cannot be told apart
-    and all stay.
+    A document is a doc_id with a text, known by a 64-bit hash of both: rows that share a doc_id but not the text are
+    documents of their own, and so are texts without a doc_id. Of rows equal in both one stays.
     """
-    found = jaccard.near_components(docs.select("doc_id", "text").where("doc_id IS NOT NULL"))
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    key = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")), F.col("text").isNull())
+    rows = stored(docs.select(key.alias("_key"), "doc_id"), "keys").groupBy("_key").agg(
+        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    found = jaccard.near_components(docs.select(key.alias("doc_id"), "text")).groupBy("doc_id").agg(
+        F.min("component_id").alias("component_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    first = rows.join(found.withColumnRenamed("doc_id", "_key"), "_key").groupBy("component_id").agg(
+        F.min_by(F.struct("_key", "n"), order).alias("f"))
+    first = stored(first.select("f._key", "f.n"), "kept")
+    kept = docs.withColumn("_key", key).join(first, "_key")
+    again = kept.where("n > 1").dropDuplicates(["_key"])
+    return kept.where("n = 1").union(again).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
