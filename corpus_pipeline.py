@@ -62,9 +62,9 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = rows.join(found.withColumnRenamed("doc_id", "_key"), "_key").groupBy("component_id").agg(
         F.min_by(F.struct("_key", "n"), order).alias("f"))
     first = stored(first.select("f._key", "f.n"), "kept")
-    kept = docs.withColumn("_key", key).join(first, "_key")
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), key.alias("_key")).join(first, "_key")
     again = kept.where("n > 1").dropDuplicates(["_key"])
-    return kept.where("n = 1").union(again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.where("n = 1").union(again).select("_doc.*")
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
