@@ -73,3 +73,16 @@ def test_stages_handle_nulls_clashes_and_empty_tables(spark, tables):
             before = docs.columns
             docs = stored(stage(spark, docs, SF), name)
             assert name == "best_fit_packing" or docs.columns == before
+
+
+def test_single_tells_documents_by_id_and_text(spark):
+    a, b, c, d = ("".join(f"{w}{i} " for i in range(40)) for w in "abcd")
+    given = [(1, a), (1, b), (2, a + "tail"), (None, c), (None, c), (None, d), (3, None), (3, None), (None, None), (4, ""), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in given], SCHEMA)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.single(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (None, c), (None, d), (3, None), (None, None), (4, ""), (5, "")], key=str)
+
+
+def test_choice_does_not_repeat_the_statistics(spark, tables):
+    plan = corpus_pipeline.good(spark, tables[0], SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 0 and len(plan) < 5000
