@@ -281,7 +281,7 @@ def hypotheses(scores: DataFrame, n_novel: DataFrame, drifting: DataFrame) -> Da
     moved = drifting.filter("is_drifting").select(
         F.lit("The mean state drifts against the stored history.").alias("statement"),
         F.least(F.lit(99.0), F.col("drift_z") * 20.0).alias("confidence"),
-        F.format_string("Z-Score Shift: %.2f", F.col("drift_z")).alias("evidence"))
+        F.format_string("%.2f deviations away", F.col("drift_z")).alias("evidence"))
     return top.unionByName(novel).unionByName(moved)
 
 
