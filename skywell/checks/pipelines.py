@@ -47,7 +47,7 @@ def _(spark, sf):
   WHERE a IS NOT NULL AND b IS NOT NULL""",
     """
 ta AS (SELECT date_trunc('hour', ts) AS ts, round(avg(value) + 1e-9, 4) AS a FROM obs WHERE event_type IN ('click', 'view') GROUP BY 1),
-tb AS (SELECT date_trunc('hour', ts) AS ts, round(avg(kp_raw) + 1e-9, 4) AS b FROM obs WHERE event_type IN ('error', 'view') GROUP BY 1),
+tb AS (SELECT date_trunc('hour', ts) AS ts, round(avg(kp_raw) + 1e-9, 4) AS b FROM obs WHERE event_type <> 'click' GROUP BY 1),
 j AS (SELECT ts, a, b, row_number() OVER (ORDER BY ts) AS i FROM ta FULL JOIN tb USING (ts)),
 g AS (SELECT *, """ + ", ".join(
         f"""last_value(CASE WHEN {c} IS NOT NULL THEN i END IGNORE NULLS) OVER p AS {c}pi, last_value({c} IGNORE NULLS) OVER p AS {c}pv,
@@ -58,9 +58,9 @@ g AS (SELECT *, """ + ", ".join(
 """))
 def _(spark, sf):
     o = observations(spark, sf).withColumn("hour", F.date_trunc("hour", "Timestamp"))
-    side = lambda types, c, out: o.filter(F.col("event_type").isin(types)).groupBy(
+    side = lambda types, c, out: o.filter(types).groupBy(
         F.col("hour").alias("Timestamp")).agg(F.round(F.avg(c) + 1e-9, 4).alias(out))
-    out = jobs.synchronise(side(["click", "view"], "value", "a"), side(["error", "view"], "kp_raw", "b"), ["a", "b"])
+    out = jobs.synchronise(side("event_type IN ('click', 'view')", "value", "a"), side("event_type <> 'click'", "kp_raw", "b"), ["a", "b"])
     return out.select(us(F.col("Timestamp")).alias("ts_us"), r(F.col("a") + 1e-9).alias("a"), r(F.col("b") + 1e-9).alias("b"))
 
 

@@ -238,9 +238,10 @@ def _(spark, sf):
 
 
 @query("station_union", with_obs("""
-  SELECT event_id, tec, CASE WHEN event_type = 'click' THEN kp END AS kp FROM obs WHERE event_type IN ('click', 'view')"""))
+  SELECT event_id, tec, CASE WHEN event_type = 'click' THEN kp END AS kp FROM obs"""))
 def _(spark, sf):
     o = observations(spark, sf)
     frames = [o.filter("event_type = 'click'").select("event_id", "TEC", "Kp"),
-              o.filter("event_type = 'view'").select("event_id", "TEC")]
+              o.filter("event_type = 'view'").select("event_id", "TEC"),
+              o.filter("event_type NOT IN ('click', 'view')").select("TEC", "event_id")]
     return text.union_stations(frames).select("event_id", F.col("TEC").alias("tec"), F.col("Kp").alias("kp"))
