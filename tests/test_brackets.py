@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skywell.operators import ordering
+from skywell.operators import ordering, stats
 
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
 
@@ -64,3 +66,11 @@ def test_quantiles_of_no_rows(spark):
     df = spark.createDataFrame([], "g string, x double")
     assert ordering.quantiles(df, {"x": F.col("x")}, [0.5]).collect()[0]["x__0"] is None
     assert ordering.quantiles(df, {"x": F.col("x")}, [0.5], ["g"]).collect() == []
+
+
+@pytest.mark.parametrize("t", [0.1, 1.0, 1.96, 3.0, 6.0])
+def test_tails_of_many_pairs(t):
+    normal = math.erfc(t / math.sqrt(2))
+    assert stats.t_two_sided(t, 1e13) == normal
+    assert stats.t_two_sided(t, 0.999e6) == pytest.approx(normal, rel=2e-3)
+    assert stats.t_two_sided(t, 0.999e6) > normal
