@@ -312,6 +312,35 @@ def _(spark, sf):
         "n_nonzero", "w_statistic", r(F.col("w_z")).alias("w_z"))
 
 
+# (n, s, c): c subsets of the ranks 1..n have the sum s.
+SUBSETS = """
+subsets AS (
+  WITH RECURSIVE grown AS (
+    SELECT 0 AS n, 0 AS s, CAST(1 AS BIGINT) AS c
+    UNION ALL
+    SELECT n + 1, s + t.up * (n + 1), CAST(sum(c) AS BIGINT) FROM grown, (VALUES (0), (1)) t(up) WHERE n < 50 GROUP BY ALL)
+  SELECT * FROM grown)
+"""
+
+
+@query("wilcoxon_by_day", with_obs("""
+  WITH e AS (SELECT station, day(ts) AS day, round(abs(persistence - y_true) - abs(rolling - y_true), 6) AS d FROM wide),
+  x AS (SELECT * FROM e WHERE d <> 0),
+  k AS (SELECT *, rank() OVER (PARTITION BY station, day ORDER BY abs(d)) + (count(*) OVER (PARTITION BY station, day, abs(d)) - 1) / 2.0 AS rk,
+               count(*) OVER (PARTITION BY station, day, abs(d)) AS t FROM x),
+  s AS (SELECT station, day, count(*) AS n, least(sum(CASE WHEN d > 0 THEN rk ELSE 0 END), sum(CASE WHEN d < 0 THEN rk ELSE 0 END)) AS w,
+               max(t) = 1 AND count(*) <= 50 AS w_exact FROM k GROUP BY station, day)
+  SELECT station, day, n AS n_nonzero, CAST(w AS DOUBLE) AS w_statistic, w_exact, round(CASE WHEN w_exact THEN least(1.0, 2 * (
+    SELECT sum(c) FROM subsets WHERE subsets.n = s.n AND subsets.s <= s.w) / pow(2.0, n)) END, 9) AS exact_p FROM s""", PRED, SUBSETS))
+def _(spark, sf):
+    """The test within each station and day of month: few pairs each, so most p-values are exact."""
+    wide = predictions_wide(spark, sf).withColumn("day", F.dayofmonth("ts").cast("long"))
+    d = wide.select("station", "day", F.round(F.abs(F.col("persistence") - F.col("y_true")) - F.abs(
+        F.col("rolling") - F.col("y_true")), 6).alias("d"))
+    return stats.wilcoxon(d, ["station", "day"]).select("station", "day", "n_nonzero", "w_statistic", "w_exact", r(F.when(
+        F.col("w_exact"), F.col("w_p_value")), 9).alias("exact_p"))
+
+
 @query("cohens_d", with_obs("SELECT round(avg(d) / (stddev_pop(d) + 1e-8), 6) AS cohens_d FROM d", PRED, PAIR))
 def _(spark, sf):
     d = stats.paired_errors(predictions_wide(spark, sf), a="persistence", b="rolling")

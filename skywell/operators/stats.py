@@ -7,7 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skywell.operators.ordering import average_rank, prefix_counts, with_row
+from skywell.operators.ordering import average_rank, null_safe_join, prefix_counts, with_row
 from skywell.schema import col
 
 
@@ -87,10 +87,8 @@ def gamma_tail(x: float, a: float) -> float:
 def t_two_sided(t: float, df: float) -> float:
     """Both tails of Student's t; from a million degrees of freedom on the normal tail, which it then equals to
     about one part in a million where the fraction no longer converges."""
-    if df >= 1e6:
+    if df >= NORMAL_FROM:
         return normal_two_sided(t)
-    if df > NORMAL_FROM:
-        return math.erfc(abs(t) / math.sqrt(2.0))
     return beta_tail(df / (df + t * t), df / 2.0, 0.5)
 
 
@@ -118,21 +116,50 @@ def t_test(d: DataFrame) -> DataFrame:
         "t_tail", t_two_sided, F.col("t_statistic"), (F.col("n") - 1).cast("double")))
 
 
-def wilcoxon(d: DataFrame) -> DataFrame:
-    """Signed-rank statistic with average ranks, normal approximation with tie correction."""
-    signed = d.filter("d <> 0").groupBy(F.abs("d").alias("_abs")).agg(
+# Up to so many pairs the rank sum's own distribution is used: its counts reach 2^50 and stay exact in 64 bits.
+EXACT_PAIRS = 50
+
+
+def rank_sum_share(n: Column, w: Column) -> Column:
+    """Share of the 2^n sign patterns over ranks 1..n whose positive ranks sum to ``w`` or less.
+
+    One fold over the ranks: the number of subsets per sum, each rank adding the same counts shifted by itself.
+    Null without a rank or beyond ``EXACT_PAIRS``.
+    """
+    few = F.when((n >= 1) & (n <= EXACT_PAIRS), n.cast("int"))
+    most = (few * (few + 1) / 2).cast("int")
+    empty = F.transform(F.sequence(F.lit(0), most), lambda s: (s == 0).cast("long"))
+    counts = F.aggregate(F.sequence(F.lit(1), few), empty, lambda acc, rank: F.transform(
+        acc, lambda x, s: x + F.coalesce(F.get(acc, s - rank), F.lit(0).cast("long"))))
+    below = F.aggregate(F.slice(counts, 1, w.cast("int") + 1), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return below / F.pow(F.lit(2.0), few)
+
+
+def wilcoxon(d: DataFrame, by=()) -> DataFrame:
+    """Signed-rank test of the differences ``d``, per group of ``by``: average ranks, zero differences left out.
+
+    The p-value is exact for at most ``EXACT_PAIRS`` differences without ties (``w_exact``), else that of the normal
+    law with tie correction. A group whose differences are all zero or missing has no row; without ``by`` there
+    is always one row.
+    """
+    by = list(by)
+    keys = [col(k) for k in by]
+    signed = d.filter("d <> 0 AND NOT isnan(d)").groupBy(*keys, F.abs("d").alias("_abs")).agg(
         F.count(F.lit(1)).alias("_c"), F.count_if(F.col("d") > 0).alias("_pos"))
-    ranks = prefix_counts(signed, "_abs", (), "_c").select("_abs", "_n", average_rank().alias("_r"))
+    ranks = prefix_counts(signed, "_abs", by, "_c").select(*keys, "_abs", "_n", average_rank().alias("_r"))
     n3 = F.pow(F.col("_n").cast("double"), F.lit(3.0)) - F.col("_n")
-    sums = signed.join(ranks, "_abs").agg(
+    sums = null_safe_join(signed, ranks, [*by, "_abs"]).groupBy(*keys).agg(
         F.sum("_c").alias("n_nonzero"), F.sum(F.col("_r") * F.col("_pos")).alias("_plus"),
         F.sum(F.col("_r") * (F.col("_c") - F.col("_pos"))).alias("_minus"), F.sum(n3).alias("_ties"))
     n = F.col("n_nonzero").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_ties") / 48.0
     w = F.least("_plus", "_minus")
-    out = sums.select("n_nonzero", w.alias("w_statistic"),
-                      F.try_divide(w - n * (n + 1) / 4.0, F.sqrt(var)).alias("w_z"))
-    return out.withColumn("w_p_value", _tail("normal_tail", normal_two_sided, F.col("w_z")))
+    out = sums.select(*keys, "n_nonzero", w.alias("w_statistic"),
+                      F.try_divide(w - n * (n + 1) / 4.0, F.sqrt(var)).alias("w_z"),
+                      F.coalesce((F.col("_ties") == 0) & (F.col("n_nonzero") <= EXACT_PAIRS), F.lit(False)).alias("w_exact"))
+    out = out.withColumn("_normal", _tail("normal_tail", normal_two_sided, F.col("w_z")))
+    exact = F.least(F.lit(1.0), 2 * rank_sum_share(F.col("n_nonzero"), F.col("w_statistic")))
+    return out.withColumn("w_p_value", F.when(F.col("w_exact"), exact).otherwise(F.col("_normal"))).drop("_normal")
 
 
 def cohens_d(d: DataFrame) -> DataFrame:

@@ -133,6 +133,27 @@ def test_wilcoxon_and_friedman_large_paths(spark):
     assert f["p_value"] == pytest.approx(math.exp(-chi / 2))
 
 
+def test_exact_wilcoxon_equals_enumeration(spark):
+    rng = np.random.default_rng(11)
+    groups = {n: np.round(rng.normal(0.3, 1.0, n), 9) for n in (1, 2, 5, 11, 16)}
+    rows = [(n, float(v)) for n, vs in groups.items() for v in vs]
+    rows += [(50, 0.0), (50, float("nan")), (50, None), (51, 1.0), (51, -1.0), (51, 2.0)]
+    rows += [(120, float(v)) for v in rng.normal(0, 1, 120)] + [(None, 4.0)]
+    out = {r["g"]: r for r in stats.wilcoxon(spark.createDataFrame(rows, "g long, d double"), ["g"]).collect()}
+    assert set(out) == {1, 2, 5, 11, 16, 51, 120, None}
+    for n, vs in groups.items():
+        ranks = np.argsort(np.argsort(np.abs(vs))) + 1
+        w = min(ranks[vs > 0].sum(), ranks[vs < 0].sum())
+        signs = (np.arange(2 ** n)[:, None] >> np.arange(n)) & 1
+        share = ((signs * np.arange(1, n + 1)).sum(1) <= w).mean()
+        assert out[n]["w_exact"] and out[n]["w_statistic"] == w
+        assert out[n]["w_p_value"] == pytest.approx(min(1.0, 2 * share), abs=1e-12)
+    assert not out[51]["w_exact"] and not out[120]["w_exact"] and out[None]["w_p_value"] == 1.0
+    assert out[120]["w_p_value"] == pytest.approx(stats.normal_two_sided(out[120]["w_z"]))
+    none = stats.wilcoxon(spark.createDataFrame([], "d double")).first()
+    assert none["n_nonzero"] is None and none["w_p_value"] is None
+
+
 @pytest.mark.parametrize("t,df,p", [(2.0, 10, 0.0733880348), (1.0, 1, 0.5), (2.5705818, 5, 0.05), (0.5, 200, 0.6176283)])
 def test_t_tail(t, df, p):
     assert stats.t_two_sided(t, df) == pytest.approx(p, rel=1e-5)
