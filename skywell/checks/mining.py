@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from skywell.checks.base import PRED, observations, predictions_wide, query, r, table, with_obs
 from skywell.operators import discovery, metrics
 from skywell.schema import col
+from skywell.session import scratch_path
+from skywell.sources import stores
 
 FEATURES = {"Kp": "kp", "Dst": "dst", "F10.7": "f107", "hmF2": "hmf2", "SSN": "ssn"}
 
@@ -186,3 +188,16 @@ def _(spark, sf):
     history = discovery.history_of(m.filter(F.dayofmonth("Timestamp") <= 15), "prediction")
     out = discovery.discover(m, list(FEATURES), "prediction", "Kp", ["event_id"], history)
     return out["events"].groupBy("event_class").agg(F.count("*").alias("n"))
+
+
+@query("discovery_records")
+def _(spark, sf):
+    """What two runs of the whole bundle, the second saved twice, leave in the store: (run, category, payload)."""
+    m = _mining(spark, sf).dropna(subset=["Kp"])
+    root = scratch_path(spark, "discovery")
+    halves = {"2024-01a": F.dayofmonth("Timestamp") <= 15, "2024-01b": F.dayofmonth("Timestamp") > 15}
+    for run in ("2024-01a", "2024-01b", "2024-01b"):
+        found = discovery.discover(m.filter(halves[run]), list(FEATURES), "prediction", "Kp", ["event_id"],
+                                   stores.history_before(spark, root, run), table(spark, sf, "embeddings"))
+        stores.save_discovery(discovery.records(found), root, run)
+    return spark.read.parquet(root).select(F.col("run").cast("string").alias("run"), "category", "payload")

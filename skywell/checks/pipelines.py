@@ -12,6 +12,7 @@ from skywell.operators import features
 from skywell.plans import jobs
 from skywell.schema import Settings, col
 from skywell.session import scratch_path
+from skywell.sources import stores
 
 IDENTITY = ("Station", "Timestamp", "event_id")
 
@@ -131,6 +132,51 @@ def _(spark, sf):
         us(F.col("end_ts")).alias("end_us"), "x", "y")
 
 
+def _short_build(spark, sf, root):
+    """A build with windows short enough for the stations of the given tables, over two columns without gaps."""
+    giro = observations(spark, sf).select("Station", "Timestamp", "event_id", F.col("value").alias("TEC"),
+                                          (100 + 10 * F.sqrt("value")).alias("hmF2"), "Longitude")
+    omni = hourly(spark, sf).select("Timestamp", F.col("idx_ap").alias("Kp"), F.col("idx_dst").alias("Dst"))
+    return jobs.build_dataset(giro, omni, "2024-01-01", "2024-01-31", ["TEC", "hmF2"], ["TEC", "hmF2"], root,
+                              Settings(build_window=6), tie=("event_id",))
+
+
+SHORT = """
+c AS (SELECT station, ts, arg_min(value, event_id) AS tec FROM obs WHERE ts <= TIMESTAMP '2024-01-31 23:59:59' GROUP BY station, ts),
+p AS (SELECT *, 100 + 10 * sqrt(tec) AS hmf2, row_number() OVER (ORDER BY ts, station) - 1 AS i, CAST(count(*) OVER () AS DOUBLE) AS n FROM c),
+t AS (SELECT *, CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.85::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM p),
+f AS (SELECT avg(tec) AS m1, stddev_pop(tec) AS s1, avg(hmf2) AS m2, stddev_pop(hmf2) AS s2 FROM t WHERE split = 'train'),
+z AS (SELECT split, station, ts, (tec - m1) / s1 AS tec, (hmf2 - m2) / s2 AS hmf2 FROM t, f),
+w AS (SELECT split, station, row_number() OVER s - 1 AS start, tec AS first_tec, lead(hmf2, 5) OVER s AS last_hmf2,
+        lead(tec, 6) OVER s AS y_tec, lead(hmf2, 6) OVER s AS y_hmf2 FROM z WINDOW s AS (PARTITION BY split, station ORDER BY ts))
+"""
+
+
+@query("versioned_build_windows", with_obs("""
+  SELECT target, split, station, start, round(first_tec + 1e-9, 5) AS first_tec, round(last_hmf2 + 1e-9, 5) AS last_hmf2,
+         round(CASE target WHEN 'TEC' THEN y_tec ELSE y_hmf2 END + 1e-9, 5) AS y
+  FROM w, (VALUES ('TEC'), ('hmF2')) v(target) WHERE y_tec IS NOT NULL""", SHORT))
+def _(spark, sf):
+    """The windows of both targets in the latest committed version; a later build that was lost before its commit is not it."""
+    root = scratch_path(spark, "build")
+    version = _short_build(spark, sf, root)["version"]
+    stores.write_version(spark.read.parquet(f"{root}/{version}/data"), root, commit=False)
+    found = spark.read.parquet(f"{root}/{stores.latest_version(spark, root)}/sequences")
+    return found.select("target", "split", F.col("Station").alias("station"), F.col("start").cast("long").alias("start"),
+                        r(F.col("x")[0][0] + 1e-9, 5).alias("first_tec"), r(F.col("x")[5][1] + 1e-9, 5).alias("last_hmf2"),
+                        r(F.col("y") + 1e-9, 5).alias("y"))
+
+
+@query("versioned_build_manifest", with_obs("""
+  SELECT 'data' AS part, count(*) AS n_rows, true AS intact FROM t
+  UNION ALL SELECT 'sequences', 2 * count(y_tec), true FROM w
+  UNION ALL SELECT unnest(['feature_scaler', 'target_scaler', 'feeds']), 2, true""", SHORT))
+def _(spark, sf):
+    """Counts and hashes of every part of a version, taken anew from its folder."""
+    root = scratch_path(spark, "build")
+    return stores.check_version(spark, root, _short_build(spark, sf, root)["version"])
+
+
 @query("evaluation_run", with_obs(_metric_sql("model", "SELECT * FROM pred"), PRED))
 def _(spark, sf):
     out = jobs.evaluate(predictions(spark, sf), _phys(spark, sf), order=("ts", "event_id"))

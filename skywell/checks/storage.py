@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from skywell.checks.base import HOURLY, hourly, observations, predictions, query, r, table, us, with_obs, PRED
-from skywell.operators import metrics, scaling, sequences
+from skywell.operators import discovery, metrics, scaling, sequences
 from skywell.operators.ordering import with_row
 from skywell.schema import col
 from skywell.session import scratch_path
@@ -212,11 +214,33 @@ def _(spark, sf):
 def _(spark, sf):
     root = scratch_path(spark, "store")
     counts = observations(spark, sf).groupBy(F.col("Station").alias("station")).agg(F.count("*").alias("n"))
-    stores.save_discovery(counts, root, "counts")
-    stores.save_discovery(counts.filter("n > 60"), root, "busy")
+    for _ in range(2):  # the same run again adds nothing
+        stores.save_discovery({"counts": counts, "busy": counts.filter("n > 60")}, root, "2024-01")
     return stores.read_discovery(spark, root, "counts", "station long, n long").select("station", "n")
 
 
+@query("discovery_history", with_obs("""
+  WITH w AS (SELECT CAST((day(ts) - 1) // 7 AS BIGINT) AS week, value AS x FROM obs),
+  m AS (SELECT week, count(*) AS n, avg(x) AS mean FROM w GROUP BY week),
+  h AS (SELECT m.week, avg(p.x) AS hist_mean, stddev_pop(p.x) AS hist_std FROM m LEFT JOIN w p ON p.week < m.week GROUP BY m.week)
+  SELECT week, n, round(hist_mean, 6) AS hist_mean, round(hist_std, 6) AS hist_std,
+         round(abs((mean - hist_mean) / (hist_std + 1e-8)), 6) AS drift_z FROM m JOIN h USING (week)"""))
+def _(spark, sf):
+    """Weeks as runs of one store: each run's drift is against the values that earlier runs recorded, never its own."""
+    root = scratch_path(spark, "runs")
+    weeks = observations(spark, sf).withColumn("week", F.floor((F.dayofmonth("Timestamp") - 1) / 7).cast("long"))
+    for week in range(5):  # a month has five
+        now = weeks.filter(F.col("week") == week)
+        moved = discovery.drift(now, stores.history_before(spark, root, str(week)), "value", ["week"])
+        found = {"drift": moved, "history": discovery.moments(now, "value")}
+        stores.save_discovery(found, root, str(week))
+    past = [stores.history_before(spark, root, str(week)).withColumn("week", F.lit(week).cast("long")) for week in range(5)]
+    n = stores.read_discovery(spark, root, "history", "n long").select(F.col("run").cast("long").alias("week"), "n")
+    z = stores.read_discovery(spark, root, "drift", "week long, drift_z double").select("week", "drift_z")
+    return z.join(n, "week").join(reduce(DataFrame.unionByName, past), "week").select("week", "n", *[
+        r(F.col(c)).alias(c) for c in ("hist_mean", "hist_std", "drift_z")])
+
+
 @query("metric_log", with_obs("""
   SELECT s AS step, model, round(rmse * s, 5) AS rmse FROM (
     SELECT model, sqrt(avg((y_pred - y_true) * (y_pred - y_true))) AS rmse FROM pred WHERE y_pred IS NOT NULL GROUP BY model), range(1, 3) t(s)""",

@@ -286,22 +286,50 @@ def hypotheses(scores: DataFrame, n_novel: DataFrame, drifting: DataFrame) -> Da
 
 
 def discover(df: DataFrame, features: list[str], prediction: str, kp: str, identity: list[str],
-             history: DataFrame) -> dict[str, DataFrame]:
-    """All discovery results of one window of predictions, as named frames."""
+             history: DataFrame, latent: DataFrame | None = None, latent_key: str = "vec_id",
+             vector: str = "embedding", eps: float = 0.03) -> dict[str, DataFrame]:
+    """All discovery results of one window of predictions, as named frames.
+
+    ``latent`` (key, array of numbers) adds the clusters of its principal plane. Archetypes need at least
+    three complete rows; k-means has no result for an empty window.
+    """
     scores = mutual_information(df, features, prediction)
     novel = novelty(df, [*features, prediction], identity)
     shift = drift(df, history, prediction)
-    return {
+    out = {
         "relationships": scores,
         "edges": relation_edges(scores),
         "novelty": novel,
         "outliers": lof_line(df, prediction),
         "drift": shift,
         "states": behaviour_states(df, prediction),
+        "archetypes": storm_archetypes(df, [kp, prediction]),
         "patterns": dbscan_line(df, prediction),
         "events": novel.withColumn("event_class", event_class(col(kp), F.col("is_novel"))),
         "hypotheses": hypotheses(scores, novel.agg(F.count_if("is_novel").alias("n_novel")), shift),
+        "history": moments(df, prediction),
     }
+    if latent is not None:
+        plane = pca_plane(latent, vector).select(col(latent_key), "pc1", "pc2")
+        out["latent_clusters"] = dbscan_plane(plane, latent_key, "pc1", "pc2", eps, 5)
+    return out
+
+
+def moments(df: DataFrame, value: str) -> DataFrame:
+    """One row (n, mean, m2): what a run leaves for the drift of later ones."""
+    v = col(value).cast("double")
+    return df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2"))
+
+
+def records(found: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The results of :func:`discover` as they go to a store: findings as they are, labels of rows as counts."""
+    sizes = lambda name, label: found[name].groupBy(col(label)).agg(F.count(F.lit(1)).alias("n"))
+    out = {name: found[name] for name in ("relationships", "edges", "drift", "hypotheses", "history")}
+    out |= {"states": sizes("states", "state"), "archetypes": sizes("archetypes", "archetype"),
+            "patterns": cluster_summary(found["patterns"]), "events": sizes("events", "event_class")}
+    if "latent_clusters" in found:
+        out["latent_clusters"] = sizes("latent_clusters", "cluster")
+    return out
 
 
 # --- density in the plane ------------------------------------------------------------------------

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from skywell.functions import rules
@@ -132,28 +130,38 @@ def fill_build(df: DataFrame, columns: list[str], start: str, end: str, settings
 def build_dataset(giro: DataFrame, omni: DataFrame, start: str, end: str, features_in: list[str],
                   targets: list[str], root: str, settings: Settings = Settings(), scaler: str = "standard",
                   key: str = "Station", tie: tuple[str, ...] = ()) -> dict[str, DataFrame | str]:
-    """Versioned dataset: merge, features, fill, split, scale on train, windows, write, report."""
+    """Versioned dataset: merge, features, fill, split, scale on train, windows, write, reports, commit.
+
+    The manifest is written last; a build that ends before it leaves the older version the latest one. Reports
+    cover both sources and the windows written of each target.
+    """
     merged = flag_features(clean_feeds(giro, omni, settings=settings))
     rows = durable(fill_build(merged, features_in, start, end, settings, key, tie))
+    spark = rows.sparkSession
     empty = [r["column"] for r in quality.empty_columns(rows, features_in).collect()]
     use = [f for f in features_in if f not in empty]
     targets = [t for t in targets if t not in empty]
     split = splitting.split_ordered(rows, ["Timestamp", key], *settings.split, truncate_sum=True)
     scaled, f_params, t_params = scaling.fit_on_train(split, use, targets, scaler)
-    version = stores.write_version(scaled, root)
-    done = scaled.sparkSession.read.parquet(f"{root}/{version}/data")
-    stores.save_scaler(f_params, f"{root}/{version}/feature_scaler")
-    stores.save_scaler(t_params, f"{root}/{version}/target_scaler")
-    per_target = [sequences.sequences_ahead(done, use, t, settings.build_window, settings.horizon, keys=["split", key])
-                  .withColumn("target", F.lit(t)) for t in targets]
-    seq = reduce(DataFrame.unionByName, per_target)
-    stores.write_sequences(seq, f"{root}/{version}/sequences")
-    feeds = quality.feed_report(giro, 0, 0.0, FEED_BOUNDS)
-    lost = feeds.first()
+    version = stores.write_version(scaled, root, commit=False)
+    part = lambda name: f"{root}/{version}/{name}"
+    done = spark.read.parquet(part("data"))
+    stores.save_scaler(f_params, part("feature_scaler"))
+    stores.save_scaler(t_params, part("target_scaler"))
+    parts = ["data", "feature_scaler", "target_scaler", "feeds"]
+    for at, t in enumerate(targets):
+        ahead = sequences.sequences_ahead(done, use, t, settings.build_window, settings.horizon, keys=["split", key])
+        ahead.withColumn("target", F.lit(t)).write.mode("append" if at else "overwrite").parquet(part("sequences"))
+    seq = spark.read.parquet(part("sequences")) if targets else None
+    parts += ["sequences"] if targets else []
+    feeds = durable(quality.feed_report(giro, 0, 0.0, FEED_BOUNDS).withColumn("source", F.lit("ionosonde")).unionByName(
+        quality.feed_report(omni, 0, 0.0, FEED_BOUNDS).withColumn("source", F.lit("indices"))))
+    feeds.write.parquet(part("feeds"))
+    lost = feeds.filter("source = 'ionosonde'").first()
     score = quality.quality_score(rows, lost["dropped_quality"], lost["initial_rows"])
-    stores.save_json(stores.metadata(done, use, targets, settings.build_window, settings.horizon),
-                     f"{root}/{version}/metadata")
-    stores.save_json(with_row(score, quality.storm_population(rows)), f"{root}/{version}/quality")
+    stores.save_json(stores.metadata(done, use, targets, settings.build_window, settings.horizon), part("metadata"))
+    stores.save_json(with_row(score, quality.storm_population(rows)), part("quality"))
+    stores.commit_version(spark, root, version, parts)
     return {"version": version, "rows": done, "sequences": seq, "feeds": feeds, "score": score}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -109,16 +110,48 @@ def next_version(spark: SparkSession, root: str) -> str:
     return f"dataset_v{max(found, default=0) + 1}"
 
 
+def committed_versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the versions whose manifest is complete; a version that lost its writer half-way has none."""
+    found = [m for m in (re.fullmatch(r"dataset_v(\d+)", n) for n in _names(spark, root)) if m]
+    return sorted(int(m.group(1)) for m in found if "_SUCCESS" in _names(spark, f"{root}/{m.group(0)}/manifest"))
+
+
 def latest_version(spark: SparkSession, root: str) -> str | None:
-    n = int(next_version(spark, root)[len("dataset_v"):]) - 1
-    return f"dataset_v{n}" if n else None
+    """The highest committed version: writing the manifest, as the last step, is what moves it on."""
+    found = committed_versions(spark, root)
+    return f"dataset_v{found[-1]}" if found else None
+
+
+def _state_of(spark: SparkSession, root: str, version: str, parts: list[str]) -> DataFrame:
+    """(part, n_rows, hash) of the parts as they lie in the folder."""
+    rows = [dataset_hash(spark.read.parquet(f"{root}/{version}/{p}")).select(F.lit(p).alias("part"), "n_rows", "hash") for p in parts]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def commit_version(spark: SparkSession, root: str, version: str, parts: list[str]) -> None:
+    """Make a fully written version the latest one: its manifest holds count and hash of every part."""
+    _state_of(spark, root, version, parts).withColumn("version", F.lit(version)).coalesce(1).write.mode("error").json(
+        f"{root}/{version}/manifest")
 
 
-def write_version(df: DataFrame, root: str, split: str | None = "split") -> str:
-    """Write ``df`` as the next version; the latest version is found by number, nothing is copied."""
+def check_version(spark: SparkSession, root: str, version: str) -> DataFrame:
+    """(part, n_rows, intact): the manifest of a version against what its folder holds now."""
+    manifest = load_json(spark, f"{root}/{version}/manifest", "version string, part string, n_rows long, hash string")
+    parts = [r["part"] for r in manifest.select("part").collect()]
+    now = _state_of(spark, root, version, parts).select("part", F.col("n_rows").alias("_n"), F.col("hash").alias("_h"))
+    return manifest.join(now, "part").select("part", "n_rows", ((F.col("n_rows") == F.col("_n")) & (F.col("hash") == F.col("_h"))).alias("intact"))
+
+
+def write_version(df: DataFrame, root: str, split: str | None = "split", commit: bool = True) -> str:
+    """Write ``df`` as the data of the next version; nothing is copied.
+
+    With ``commit=False`` the version stays invisible to readers until :func:`commit_version`.
+    """
     version = next_version(df.sparkSession, root)
     writer = df.write.mode("error")
     (writer.partitionBy(split) if split else writer).parquet(f"{root}/{version}/data")
+    if commit:
+        commit_version(df.sparkSession, root, version, ["data"])
     return version
 
 
@@ -154,16 +187,41 @@ def metadata(df: DataFrame, features: list[str], targets: list[str], window: int
 
 # --- record stores -----------------------------------------------------------------------------------
 
-def save_discovery(found: DataFrame, root: str, category: str) -> None:
-    """Append records of any shape to the discovery store."""
-    found.select(F.lit(category).alias("category"), F.current_timestamp().alias("saved_at"),
-                 F.to_json(F.struct("*")).alias("payload")
-                 ).write.mode("append").partitionBy("category").parquet(root)
-
-
-def read_discovery(spark: SparkSession, root: str, category: str, schema: str) -> DataFrame:
-    return spark.read.parquet(root).filter(F.col("category") == category).select(
-        "saved_at", F.from_json("payload", schema).alias("r")).select("saved_at", "r.*")
+def save_discovery(found: dict[str, DataFrame], root: str, run: str) -> None:
+    """Store the records of one run, of any shape, by category.
+
+    A run is one write of one folder: all its categories become visible together, and the same run saved again
+    replaces itself. Other runs are not touched, so runs may be saved at the same time. A run's name is letters,
+    digits, dots and dashes.
+    """
+    if not re.fullmatch(r"[\w.-]+", run):
+        raise ValueError(f"not a name of a run: {run!r}")
+    rows = [df.select(F.lit(name).alias("category"), F.current_timestamp().alias("saved_at"),
+                      F.to_json(F.struct(*[col(c) for c in df.columns])).alias("payload")) for name, df in found.items()]
+    reduce(DataFrame.unionByName, rows).write.mode("overwrite").partitionBy("category").parquet(f"{root}/run={run}")
+
+
+def read_discovery(spark: SparkSession, root: str, category: str, schema: str, before: str | None = None) -> DataFrame:
+    """Records of a category with their run; ``before`` leaves the runs named lower (as text) than it."""
+    rows = spark.read.option("basePath", root).schema("saved_at timestamp, payload string, run string, category string").parquet(
+        f"{root}/run=*").filter(F.col("category") == category)
+    if before is not None:
+        rows = rows.filter(F.col("run") < before)
+    return rows.select("run", "saved_at", F.from_json("payload", schema).alias("r")).select("run", "saved_at", "r.*")
+
+
+def history_before(spark: SparkSession, root: str, run: str | None = None) -> DataFrame:
+    """One row (hist_mean, hist_std) over all values that the runs before ``run`` recorded as ``history``.
+
+    The moments of the runs are pooled about the common mean; null without an earlier run.
+    """
+    if not _names(spark, root):
+        return spark.createDataFrame([(None, None)], "hist_mean double, hist_std double")
+    past = read_discovery(spark, root, "history", "n long, mean double, m2 double", run).filter("n > 0")
+    whole = past.agg(F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("hist_mean"))
+    off = F.col("mean") - F.col("hist_mean")
+    return with_row(past, whole).agg(F.max("hist_mean").alias("hist_mean"), F.sqrt(
+        F.sum(F.col("m2") + F.col("n") * off * off) / F.max("_n")).alias("hist_std"))
 
 
 def log_metrics(record: DataFrame, root: str, step: int) -> None:
