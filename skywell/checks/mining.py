@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from skywell.checks.base import PRED, observations, predictions_wide, query, r, table, with_obs
 from skywell.operators import discovery, metrics
+from skywell.operators.ordering import with_row
 from skywell.schema import col
-from skywell.session import scratch_path
+from skywell.session import durable, scratch_path
 from skywell.sources import stores
 
 FEATURES = {"Kp": "kp", "Dst": "dst", "F10.7": "f107", "hmF2": "hmf2", "SSN": "ssn"}
@@ -142,6 +143,73 @@ def _(spark, sf):
         "event_id", "storm_cluster", "archetype")
 
 
+def _misplaced(labelled, label, features):
+    """(n, n_clusters, settled): at most one row in a hundred lies nearer to the mean of another cluster than to its own's.
+
+    The iteration stops before the means stand still, so a few rows between two clusters may.
+    """
+    means = labelled.groupBy(label).agg(F.struct(*[F.avg(col(f)).alias(f"m{i}") for i, f in enumerate(features)]).alias("m"))
+    centres = means.agg(F.collect_list(F.struct(F.col(label).alias("c"), "m")).alias("centres"))  # one per cluster
+    d2 = lambda m: sum(((col(f) - m[f"m{i}"]) * (col(f) - m[f"m{i}"]) for i, f in enumerate(features)), F.lit(0.0))
+    best = F.array_min(F.transform("centres", lambda e: F.struct(d2(e["m"]).alias("d"), e["c"].alias("c"))))["c"]
+    return with_row(labelled, centres).agg(
+        F.count("*").alias("n"), F.countDistinct(label).alias("n_clusters"),
+        (F.count_if(best != F.col(label)) <= F.count("*") * 0.01).alias("settled"))
+
+
+@query("behaviour_states_settled", with_obs("SELECT count(*) AS n, 5 AS n_clusters, true AS settled, true AS ascending FROM obs"))
+def _(spark, sf):
+    """Every row in the state of its nearest mean; states are intervals in rising order."""
+    out = discovery.behaviour_states(_mining(spark, sf), "prediction").select("state", "prediction")
+    spans = out.groupBy("state").agg(F.min("prediction").alias("lo"), F.max("prediction").alias("hi"))
+    row = spans.agg(F.sort_array(F.collect_list(F.struct("state", "lo", "hi"))).alias("s"))
+    rising = F.forall(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.get("s", i)["lo"] > F.get("s", i - 1)["hi"])
+    return with_row(_misplaced(out, "state", ["prediction"]), row.select(rising.alias("ascending")))
+
+
+@query("storm_archetypes_settled", with_obs("""
+  SELECT count(*) AS n, 3 AS n_clusters, true AS settled, 3 AS n_archetypes FROM obs WHERE kp IS NOT NULL"""))
+def _(spark, sf):
+    m = _mining(spark, sf).dropna(subset=["Kp"])
+    out = durable(discovery.storm_archetypes(m, ["Kp", "Dst", "prediction"]).select(
+        "storm_cluster", "archetype", "Kp", "Dst", "prediction"))
+    return with_row(_misplaced(out, "storm_cluster", ["Kp", "Dst", "prediction"]),
+                    out.agg(F.countDistinct("archetype").alias("n_archetypes")))
+
+
+@query("plane_clusters", """
+  WITH RECURSIVE p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+  near AS (SELECT a.id AS a, b.id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, b.x AS px, b.y AS py
+           FROM p a JOIN p b ON b.x BETWEEN a.x - 0.021 AND a.x + 0.021 AND b.y BETWEEN a.y - 0.021 AND a.y + 0.021),
+  link AS (SELECT * FROM near WHERE d2 <= 0.02::DOUBLE * 0.02::DOUBLE),
+  core AS (SELECT a AS id FROM link GROUP BY a HAVING count(*) >= 5),
+  joined AS (SELECT a, b FROM link WHERE a IN (FROM core) AND b IN (FROM core)),
+  reach AS (SELECT a AS root, a AS id FROM joined UNION SELECT r.root, j.b FROM reach r JOIN joined j ON j.a = r.id),
+  label AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+  border AS (SELECT a AS id, arg_min(label.root, {'d2': d2, 'x': px, 'y': py}) AS root FROM link JOIN label ON label.id = link.b
+             WHERE a NOT IN (FROM core) GROUP BY a),
+  named AS (SELECT * FROM label UNION ALL SELECT * FROM border),
+  first AS (SELECT root, row_number() OVER (ORDER BY min(id)) - 1 AS cluster FROM named GROUP BY root)
+  SELECT p.id AS vec_id, coalesce(first.cluster, -1) AS cluster FROM p LEFT JOIN named USING (id) LEFT JOIN first USING (root)""")
+def _(spark, sf):
+    """Density clusters over two coordinates that SQL has too (`latent_clusters` has those of the principal plane)."""
+    p = table(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return discovery.dbscan_plane(p, "vec_id", "x", "y", 0.02, 5)
+
+
+@query("baseline_normal_equations", with_obs("""
+  SELECT count(*) AS n, count(*) FILTER (WHERE split = 'train') AS n_train, true AS centred, true AS orthogonal
+  FROM wide WHERE persistence IS NOT NULL AND rolling IS NOT NULL AND kp IS NOT NULL""", PRED))
+def _(spark, sf):
+    """The linear baseline leaves residuals on the train rows with mean zero, uncorrelated with every feature."""
+    names = ["persistence", "rolling", "kp", "f107"]
+    out = discovery.fit_baseline(predictions_wide(spark, sf), "Linear_Regression", names, "y_true", F.col("split") == "train")
+    rest = F.when(F.col("split") == "train", F.col("y_true") - F.col("y_pred"))
+    return out.agg(
+        F.count("*").alias("n"), F.count(rest).alias("n_train"), (F.abs(F.avg(rest)) < 1e-4 * F.stddev_pop("y_true")).alias("centred"),
+        (F.greatest(*[F.abs(F.corr(rest, F.when(F.col("split") == "train", F.col(f)))) for f in names]) < 1e-4).alias("orthogonal"))
+
+
 @query("novel_events")
 def _(spark, sf):
     out = discovery.novelty(_mining(spark, sf), ["Kp", "Dst", "hmF2", "prediction"], ["event_id"])
