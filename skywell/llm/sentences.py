@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding over a relational lattice (operator 5).
 
 Texts are cut into words that start at a space mark; only different words are encoded. Their substrings of at
-most ``LONGEST`` characters are exploded and equi-joined to the piece table, the edges found are grouped by
+most the longest piece's length are exploded and equi-joined to the piece table, the edges found are grouped by
 word, and a fold over them (Spark's ``aggregate``) picks the segmentation. Two laws fold the same lattice:
 
 * ``viterbi`` (unigram models): the best sum of scores over paths, kept per position;
@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from skywell.llm.common import clean_text, documents, let
+from skywell.llm.common import clean_text, documents, let, stored
 from skywell.llm.registry import query
 
-MARK, LONGEST, BLOCK_BYTES = "▁", 16, 16 << 20
-# One character per piece length, so that a segmentation is a short string.
-LENGTHS = "0123456789ABCDEFG"
+MARK, BLOCK_BYTES = "▁", 16 << 20
+# The code of a length of 0, so that a segmentation is a short string.
+ZERO = ord("0")
 WORD = re.compile(MARK + "+[^" + MARK + "]*|^[^" + MARK + "]+")
 
 
@@ -57,16 +57,16 @@ def words_in(text: Column) -> Column:
         F.array_distinct(F.regexp_extract_all(whole, F.lit(f"{MARK}+[^{MARK}]*"), F.lit(0))))
 
 
-def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
+def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """(word, edges): the substrings of each word that are pieces, as (a, b, score), best first and then leftmost."""
     n = F.length("word")
     starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("a"))
-    spans = starts.select("word", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), n - F.col("a")))).alias("k"))
-    found = spans.withColumn("piece", F.substring(F.col("word"), F.col("a") + 1, F.col("k"))).join(F.broadcast(pieces), "piece")
+    spans = starts.select("word", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("a")))).alias("k"))
+    found = spans.withColumn("piece", F.substring(F.col("word"), F.col("a") + 1, F.col("k"))).join(F.broadcast(pieces), "piece", "left")
     edge = F.struct((-F.col("score")).alias("cost"), F.col("a"), (F.col("a") + F.col("k")).alias("b"))
-    edges = found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    return words.join(edges, "word", "left").select("word", F.coalesce("edges", F.array().cast(
-        "array<struct<cost:double,a:int,b:int>>")).alias("edges"))
+    # The first character stays without a piece too, so that every word comes out and none is looked up again.
+    return found.where("score IS NOT NULL OR (a = 0 AND k = 1)").groupBy("word").agg(
+        F.sort_array(F.collect_list(F.when(F.col("score").isNotNull(), edge))).alias("edges"))
 
 
 def merge_fold(word: Column, edges: Column) -> Column:
@@ -116,30 +116,35 @@ def viterbi_fold(word: Column, edges: Column, unknown: float = 1e6) -> Column:
     return let(best, back)
 
 
-def segmented(words: DataFrame, pieces: DataFrame, law: str = "merges") -> DataFrame:
-    """(word, lens): the lengths of the word's pieces, one character of ``LENGTHS`` each."""
+def segmented(words: DataFrame, pieces: DataFrame, law: str = "merges", longest: int = 16) -> DataFrame:
+    """(word, lens): the lengths of the word's pieces, one character each (``ZERO`` and as many codes on).
+
+    ``longest`` is the length of the longest piece.
+    """
     fold = {"merges": merge_fold, "viterbi": viterbi_fold}[law]
     lens = F.array_join(F.transform(
-        F.filter(F.transform("next", lambda x, i: x - i), lambda d: d > 0),
-        lambda d: F.substring(F.lit(LENGTHS), d + 1, F.lit(1))), "")
-    return lattice(words, pieces).select("word", fold(F.col("word"), F.col("edges")).alias("next")).select("word", lens.alias("lens"))
+        F.filter(F.transform("next", lambda x, i: x - i), lambda d: d > 0), lambda d: F.char(d + ZERO)), "")
+    return lattice(words, pieces, longest).select("word", fold(F.col("word"), F.col("edges")).alias("next")).select("word", lens.alias("lens"))
 
 
 def encode(docs: DataFrame, keep: list[str], model: str | None = None, law: str = "merges", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``keep`` columns plus ids (array of int) for every row of ``docs`` (with ``text``).
 
-    A null or empty text has no ids. Words are never cut, whatever their length; equal rows give equal ids.
+    A null or empty text has no ids; an empty table gives none. Words are never cut, whatever their length; equal
+    rows, null or repeated keys among them, each give their own row of ids.
     """
     spark, table = docs.sparkSession, piece_table(model)
     pieces = spark.createDataFrame([(p, float(s)) for p, _, s in table if not re.fullmatch(r"<0x[0-9A-F]{2}>", p)], "piece string, score double")
+    longest = max((len(p) for p, _, _ in table), default=1)
+    if longest + ZERO > 255:
+        raise ValueError("a piece is too long for a length of one character")
     size = docs.select(F.sum(F.octet_length(clean_text()))).first()[0] or 0
     count = max(1, -(-size // block_bytes))
     cut = docs.select(F.struct(*keep).alias("_keep"), clean_text().alias("text")).withColumn(
-        "block", F.pmod(F.xxhash64("_keep", F.length("text")), F.lit(count))).repartition("block")
-    held = cut.select("block", F.explode(words_in(F.col("text"))).alias("word")).distinct()
-    homes = held.groupBy("word").agg(F.collect_list("block").alias("blocks"))
-    back = segmented(homes.select("word"), pieces, law).join(homes, "word").select(
-        F.explode("blocks").alias("block"), "word", "lens")
+        "block", F.pmod(F.xxhash64("_keep", "text"), F.lit(count)))
+    # Words leave where the text lies; stored, because both their segmentation and its way back read them.
+    held = stored(cut.select("block", F.explode(words_in(F.col("text"))).alias("word")).distinct(), "words")
+    back = held.join(segmented(held.select("word").distinct(), pieces, law, longest), "word").select("block", "word", "lens")
     ids = spark.sparkContext.broadcast({p: i for p, i, _ in table})
 
     def write(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -148,7 +153,7 @@ def encode(docs: DataFrame, keep: list[str], model: str | None = None, law: str
         for word, lens in zip(right.column("word").to_pylist(), right.column("lens").to_pylist()):
             out, at = [], 0
             for c in lens:
-                part = word[at:at + LENGTHS.index(c)]
+                part = word[at:at + ord(c) - ZERO]
                 at += len(part)
                 if part in number:
                     out.append(number[part])

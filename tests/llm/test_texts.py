@@ -192,6 +192,19 @@ def test_pieces_match_library_and_decode(spark):
     assert all(back[3 * i + 1] == (t or "").replace("▁", " ") for i, t in enumerate(rows))
 
 
+def test_pieces_of_odd_tables(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    long = " ".join(["several", "words", "x" * 300] * 2000)
+    rows = [(1, long), (1, "one text"), (1, "one text"), (None, "no id"), (None, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit("clash")).withColumn("word", F.lit("clash"))
+    got = sorted(((r["doc_id"] or 0, r["ids"]) for r in sentences.encode(df, ["doc_id"], block_bytes=2000).collect()))
+    assert got == sorted(((i or 0, m.encode(t or "")) for i, t in rows))
+    assert sentences.encode(df.limit(0), ["doc_id"]).collect() == []
+
+
 def test_viterbi_takes_the_cheapest_path(spark):
     table = [("a", -1.0), ("b", -1.0), ("ab", -1.5), ("abc", -4.0), ("bc", -1.2), ("c", -3.0)]
     words = spark.createDataFrame([("abc",), ("ab",), ("cab",), ("abxbc",)], "word string")
