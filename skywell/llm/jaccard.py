@@ -12,9 +12,14 @@ the smaller. So every class emits a prefix lengthened by ``extension(n)``:
 * a class where even that fails is *dense* and is lengthened to its whole set: partners share at least
   three quarters of it, so unless three quarters are hot among the dense classes one shared shingle is not;
 * what is left, large groups of near copies, is *packed*. Packed classes order their whole sets by frequency
-  and post the hot rest of a plain prefix, which is short as their own edits come first: rounds compare each class with one pivot of its shingle's list, which joins a group of m copies
-  with about m comparisons, and a last pass compares all pairs that share enough shingles but still lie in
-  different components.
+  and post the hot rest of a lengthened prefix, which is short as their own edits come first. Rounds compare each
+  class with one pivot of its shingle's list, the most central class at first, which joins a group of m copies with
+  about m comparisons; they go on while they join components. A last pass takes the pairs in different components
+  that share enough posted shingles.
+
+Packed classes carry ``BITS`` parity bits of their sets. Each shingle of just one of two sets changes one bit, so at
+least as many shingles as bits differ, and alike sets differ in at most (n + n2) / 7: pairs beyond that end within
+the join.
 
 No link between components is lost, so the components are exact; pairs inside a component need not all be
 compared. Candidates are verified on whole sets.
@@ -35,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from skywell.llm.common import LOWER, SHINGLE, UPPER, broadcast_within, components, documents, stored
 from skywell.llm.registry import query
 
-HOT, PIVOTS = 32, 3
+HOT, ROUNDS, PACKED_MORE, BITS = 32, 8, 4, 2048
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -211,6 +216,70 @@ def whole_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.select("c", "text").mapInArrow(cut, "c long, items array<bigint>").dropDuplicates(["c"])
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """``BITS`` parity bits of a set, as 64-bit numbers."""
+    at = (mixed(s.view(np.uint64)) >> np.uint64(20)) % np.uint64(BITS)
+    odd = (np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def signatures(items: DataFrame) -> DataFrame:
+    """(c, sig) of classes with ``items``."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"c": batch.column("c"), "sig": pa.array(
+                [parities(np.asarray(s.values, dtype=np.int64)) for s in batch.column("items")], pa.list_(pa.int64()))})
+
+    return items.select("c", "items").mapInArrow(cut, "c long, sig array<bigint>")
+
+
+def within_bound(n: str, sig: str, n2: str, sig2: str) -> Column:
+    """Whether two sets can be alike by size and parities."""
+    apart = " + ".join(f"bit_count({sig}[{i}] ^ {sig2}[{i}])" for i in range(BITS // 64))
+    return F.expr(f"4 * least({n}, {n2}) >= 3 * greatest({n}, {n2}) AND 7 * ({apart}) <= {n} + {n2}")
+
+
+def packed_links(dense: DataFrame, items: DataFrame, label: DataFrame) -> DataFrame | None:
+    """Links (a, b) that join components of packed classes; none is missing between components, None if there are none.
+
+    ``dense``: (token, c, n, hots, l, sig), the posted shingles; ``label``: (node, component) of the links known before.
+    """
+    state = stored(dense.select("c").distinct().join(label.withColumnRenamed("node", "c"), "c", "left").select(
+        "c", F.coalesce("component", "c").alias("component")), "state")
+    links, turn, last = None, 0, ROUNDS == 0
+    while True:
+        rest = dense.join(state, "c")
+        central = -F.floor(1000 * F.col("hots") / F.col("n")) if turn == 0 else F.xxhash64("c", F.lit(turn))
+        pivot = F.min(F.struct(central.alias("o"), F.col("c").alias("p"), F.col("n").alias("pn"),
+                               F.col("component").alias("pc"), F.col("sig").alias("psig"))).alias("m")
+        lists = rest.groupBy("token").agg(pivot, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        if not last:
+            met = rest.join(lists.select("token", "m.p", "m.pn", "m.pc", "m.psig"), "token").where(
+                (F.col("component") != F.col("pc")) & within_bound("n", "sig", "pn", "psig"))
+            pairs = met.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
+        else:
+            # Pairs that share a shingle that is not posted were compared before.
+            left = rest.join(lists.select("token"), "token").drop("hots")
+            other = left.select("token", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("l").alias("l2"),
+                                F.col("component").alias("k2"), F.col("sig").alias("sig2"))
+            met = left.join(other, "token").where((F.col("component") < F.col("k2")) & within_bound("n", "sig", "n2", "sig2"))
+            pairs = met.groupBy(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).agg(
+                F.count(F.lit(1)).alias("k"), F.first(F.least("l", "l2")).alias("need")).where("k >= need").select("a", "b")
+        found = stored(verified(pairs, items), "links")
+        empty = found.isEmpty()
+        if not empty:
+            links = found if links is None else links.union(found)
+        if last:
+            return links
+        if not empty:
+            ends = found.join(state.toDF("a", "ca"), "a").join(state.toDF("b", "cb"), "b")
+            moved = components(ends, "ca", "cb").toDF("component", "_to")
+            state = stored(state.join(moved, "component", "left").select(
+                "c", F.coalesce("_to", "component").alias("component")), "state")
+        turn += 1
+        last = empty or turn == ROUNDS
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) whose sets are alike: 100 * intersection >= 75 * union."""
     one = pairs.join(sets.select(F.col("c").alias("b"), F.col("items").alias("ib")), "b")
@@ -260,36 +329,22 @@ def near_components(docs: DataFrame) -> DataFrame:
     more = posted.join(right, "token").where((F.col("c") < F.col("c2")) & close).groupBy(
         F.col("c").alias("a"), F.col("c2").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(need).alias("need")).where(
             "k >= need").select("a", "b")
-    # Packed classes in the order (not hot, then hot by frequency): of a plain prefix only its hot rest is posted.
+    # Packed classes in the order (not hot, then hot by frequency): of a lengthened prefix only its hot rest is posted.
     hot = tokens.where("hot").select("token", "c").distinct()
     common = hot.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     counts = hot.groupBy("c").agg(F.count(F.lit(1)).alias("hots"))
     room = F.col("n") - F.ceil(0.75 * F.col("n")) + 1 - (F.col("n") - F.col("hots"))
-    packed = heat.where("4 * hot_all >= 3 * n").select("c", "n").join(counts, "c").select("c", "n", room.alias("room")).where("room > 0")
+    packed = heat.where("4 * hot_all >= 3 * n").select("c", "n").join(counts, "c").select(
+        "c", "n", "hots", room.alias("room"), (1 + F.least(F.floor(F.col("n") / 2), F.lit(PACKED_MORE))).alias("l")).where("room > 0")
     first = Window.partitionBy("c").orderBy("df", "token")  # a class has as many shingles as its text
     dense = stored(hot.join(packed, "c").join(common, "token").withColumn("_r", F.row_number().over(first)).where(
-        "_r <= room").select("token", "c", "n"), "packed")
+        F.col("_r") <= F.col("room") + F.col("l") - 1).select("token", "c", "n", "hots", "l").join(
+        signatures(items.join(packed.select("c"), "c")), "c"), "packed")
     edges = stored(verified(calm.union(more).distinct(), items), "links")
     label = components(edges, "a", "b")
-    for turn in range(0 if dense.isEmpty() else PIVOTS + 1):
-        rest = dense.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-        pivot = F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("o"), F.col("c").alias("p"), F.col("n").alias("pn"),
-                               F.col("component").alias("pc"))).alias("m")
-        open_lists = rest.groupBy("token").agg(pivot, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        if turn < PIVOTS:
-            met = rest.join(open_lists.select("token", "m.p", "m.pn", "m.pc"), "token").where(
-                "component <> pc AND 4 * least(n, pn) >= 3 * greatest(n, pn)")
-            pairs = met.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
-        else:
-            # Every pair still apart that shares a posted shingle; pairs that share others were compared above.
-            left = rest.join(open_lists.select("token"), "token")
-            other = left.select("token", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("component").alias("k2"))
-            pairs = left.join(other, "token").where((F.col("component") < F.col("k2")) & close).select(
-                F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
-        found = stored(verified(pairs, items), "links")
-        if not found.isEmpty():
-            edges = stored(edges.union(found), "links")
-            label = components(edges, "a", "b")
+    found = None if dense.isEmpty() else packed_links(dense, items, label)
+    if found is not None:
+        label = components(edges.union(found), "a", "b")
     label = label.withColumnRenamed("node", "c")
     named = classes.join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

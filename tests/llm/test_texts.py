@@ -59,6 +59,27 @@ def test_components_match_all_pairs(spark, rows):
     assert got == want
 
 
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_packed_classes_lose_no_link_without_pivots(spark, monkeypatch, rounds):
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    rows = near_copies(170, 110, 7, 3) + near_copies(50, 30, 3, 11) + near_copies(90, 200, 14, 12)
+    want = plain_components([(3 * i + 1, t) for i, t in enumerate(rows)])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_components(documents(spark, rows)).collect()}
+    assert got == want
+    assert len({c for _, c in want.values()}) > 3
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 20, 150, 3000):
+        a = np.unique(rng.integers(-2 ** 63, 2 ** 63 - 1, n))
+        b = np.unique(np.concatenate([a[: n - n // 5], rng.integers(-2 ** 63, 2 ** 63 - 1, n // 4)]))
+        x = jaccard.parities(a) ^ jaccard.parities(b)
+        bits = sum(bin(int(v) & (2 ** 64 - 1)).count("1") for v in x)
+        assert len(x) == jaccard.BITS // 64 and bits <= len(np.setxor1d(a, b))
+        assert not (jaccard.parities(a) ^ jaccard.parities(a)).any()
+
+
 def test_prefix_law_holds():
     for n in range(1, 400):
         ext = jaccard.extension(n)
