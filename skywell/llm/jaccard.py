@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from skywell.llm.common import LOWER, SHINGLE, UPPER, broadcast_within, components, documents, stored
 from skywell.llm.registry import query
 
-HOT, ROUNDS, PACKED_MORE, BITS = 32, 8, 4, 2048
+HOT, ROUNDS, PACKED_MORE, BITS = 32, 8, 4, 1024
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -224,18 +224,19 @@ def parities(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(items: DataFrame) -> DataFrame:
-    """(c, sig) of classes with ``items``."""
+    """(c, sig) of classes with ``items``; plain fields, as the join condition must stay short enough to be compiled."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"c": batch.column("c"), "sig": pa.array(
                 [parities(np.asarray(s.values, dtype=np.int64)) for s in batch.column("items")], pa.list_(pa.int64()))})
 
-    return items.select("c", "items").mapInArrow(cut, "c long, sig array<bigint>")
+    rows = items.select("c", "items").mapInArrow(cut, "c long, sig array<bigint>")
+    return rows.select("c", F.struct(*[F.get("sig", F.lit(i)).alias(f"s{i}") for i in range(BITS // 64)]).alias("sig"))
 
 
 def within_bound(n: str, sig: str, n2: str, sig2: str) -> Column:
     """Whether two sets can be alike by size and parities."""
-    apart = " + ".join(f"bit_count({sig}[{i}] ^ {sig2}[{i}])" for i in range(BITS // 64))
+    apart = " + ".join(f"bit_count({sig}.s{i} ^ {sig2}.s{i})" for i in range(BITS // 64))
     return F.expr(f"4 * least({n}, {n2}) >= 3 * greatest({n}, {n2}) AND 7 * ({apart}) <= {n} + {n2}")
 
 
