@@ -36,6 +36,14 @@ def build_session(app: str = "skywell", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
+def keyed_state(spark: SparkSession) -> None:
+    """Queries started from now on keep their state in RocksDB: keyed state with timers needs a store with column
+    families, which Spark's default one lacks, and a session may come without the settings above."""
+    for key, value in SESSION_SETTINGS.items():
+        if key.startswith("spark.sql.streaming.stateStore."):
+            spark.conf.set(key, value)
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from skywell.schema import col
+from skywell.session import keyed_state
 
 AT = "at_us"
 
@@ -98,6 +99,7 @@ def in_order(stream: DataFrame, step: Callable, output: str, keys: list[str], or
     ``output`` is the DDL of what ``step`` returns; the keys come before it. Columns of time type do not reach
     ``step``, which finds the time in microseconds in ``at_us``.
     """
+    keyed_state(stream.sparkSession)
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     plain = [c for c in stream.columns if c != ts and c not in keys
              and not isinstance(stream.schema[c].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))]

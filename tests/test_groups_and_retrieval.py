@@ -187,6 +187,19 @@ def test_sequences_do_not_cross_a_pause(spark, untidy):
     assert {(r["station"], r["end_us"], tuple(c[0] for c in r["x"])) for r in got} == expected
 
 
+def test_keyed_state_in_a_session_with_sparks_own_store(spark, untidy):
+    """A session may come without the settings of `build_session`; Spark's default store cannot hold timers."""
+    stream, want = untidy
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        out = monitors.run_available(ordered.steps_in_order(stream, max_step=20.0, idle="12 hours"), spark)
+        assert out.count() == len(want)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_silent_stations_leave_no_state():
     class Handle:
         def __init__(self):
