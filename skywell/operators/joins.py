@@ -13,6 +13,7 @@ from skywell.operators.ordering import micros, with_row
 from skywell.schema import SPACE_WEATHER, col
 
 SMALL_ROWS = 2_000_000
+ASOF_CHUNK_ROWS = 500_000
 
 
 def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
@@ -38,22 +39,23 @@ def asof_nearest(
     """Nearest right row in time for each left row; the earlier one wins a tie.
 
     Right rows of one key and time are first reduced to the least of them by their columns in order,
-    with a map-side combine. Both sides are then merged in time order and each left row looks at its
-    two neighbours. Null keys match nothing.
+    with a map-side combine. All left rows of one key and time have the same answer, so only the distinct ones,
+    without other columns, are merged with the right side in time order, where each looks at its two neighbours;
+    the answers then go back to the left rows by an equi-join. Null keys match nothing.
     """
     keys = list(keys)
     extra = [c for c in right.columns if c != on and c not in keys]
     payload = F.struct(micros(col(on)).alias("_at"), *[col(c).alias(f"{c}{suffix}") for c in extra])
-    names = [c for c in left.columns if c != on and c not in keys]
-    l = left.select(*[col(k) for k in keys], col(on), F.lit(1).alias("_side"),
-                    F.struct(*[col(c) for c in names]).alias("_l") if names
-                    else F.struct(F.lit(1).alias("_x")).alias("_l"))
     for c in (on, *keys):
         right = right.filter(col(c).isNotNull())
+    l = left.select(*[col(k) for k in keys], col(on))
+    for c in (on, *keys):
+        l = l.filter(col(c).isNotNull())
+    l = l.distinct().withColumn("_side", F.lit(1))
     r = right.groupBy(*[col(k) for k in keys], col(on)).agg(F.min(payload).alias("_r")).withColumn("_side", F.lit(0))
     both = l.unionByName(r, allowMissingColumns=True)
     # Right rows sort first among equal times, so an exact match is always the earlier neighbour.
-    layout = lay_out(both, keys, [on, "_side"], valid=["_r"], chunk_rows=chunk_rows)
+    layout = lay_out(both, keys, [on, "_side"], valid=["_r"], chunk_rows=chunk_rows or ASOF_CHUNK_ROWS)
     is_right = F.col("_side") == 0
     rows = layout.rows.withColumns({
         "_p": last_valid(layout, F.col("_r"), is_right), "_q": next_valid(layout, F.col("_r"), is_right),
@@ -65,10 +67,10 @@ def asof_nearest(
     rows = rows.withColumn("_hit", hit)
     if tolerance_s is not None:
         tol = int(tolerance_s * 1_000_000)
-        rows = rows.withColumn("_hit", F.when(F.abs(F.col("_hit")["_at"] - at) <= tol, F.col("_hit")))
-    return rows.select(
-        *[F.col("_l")[c].alias(c) if c in names else col(c) for c in left.columns],
-        *[F.col("_hit")[f"{c}{suffix}"].alias(f"{c}{suffix}") for c in extra],
+        rows = rows.filter(F.abs(F.col("_hit")["_at"] - at) <= tol)
+    hits = rows.select(*[col(k) for k in keys], col(on), "_hit")
+    return left.join(hits, [*keys, on], "left").select(
+        *[col(c) for c in left.columns], *[F.col("_hit")[f"{c}{suffix}"].alias(f"{c}{suffix}") for c in extra],
     )
 
 

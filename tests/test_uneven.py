@@ -215,6 +215,18 @@ def test_asof_equal_times_and_null_keys(spark):
         assert got == {1: 5.0, 2: None, 3: None}
 
 
+def test_asof_orders_distinct_times_only(spark, monkeypatch):
+    """Copies of a time and the other columns of the left side never reach the windows."""
+    t = lambda s: START + dt.timedelta(seconds=s)
+    left = spark.range(3000).select("id", F.lit(t(50)).alias("Timestamp"), F.repeat(F.lit("x"), 100).alias("wide"))
+    right = spark.createDataFrame([(t(0), 10.0), (t(60), 20.0)], "Timestamp timestamp, v double")
+    seen = []
+    monkeypatch.setattr(joins, "lay_out", lambda df, *a, **k: seen.append(df) or lay_out(df, *a, **k))
+    out = joins.asof_nearest(left, right, "Timestamp", 900.0)
+    assert out.where("v = 20.0 and length(wide) = 100").select("id").distinct().count() == 3000
+    assert seen[0].count() == 3 and not {"id", "wide", "_l"} & set(seen[0].columns)
+
+
 def test_no_lag_crosses_a_station(frame):
     out = features.series_features(frame, order=ORDER)
     layout = lay_out(out, ["Station"], ORDER)
