@@ -10,7 +10,7 @@ from skywell.checks.base import HOURLY, hourly, observations, predictions, query
 from skywell.operators import discovery, metrics, scaling, sequences
 from skywell.operators.ordering import with_row
 from skywell.schema import col
-from skywell.session import scratch_path
+from skywell.session import scratch_path, written
 from skywell.sources import stores, text
 
 
@@ -114,12 +114,12 @@ def _(spark, sf):
   UNION ALL SELECT 'IRI-Plas', row_number() OVER (ORDER BY ts, event_id) - 1, rolling FROM wide""", PRED))
 def _(spark, sf):
     root = scratch_path(spark, "baselines")
-    p = predictions(spark, sf)
+    p = written(predictions(spark, sf).select("model", "ts", "event_id", "y_pred"), "predictions")
     for name, file in (("persistence", "persistence_preds.csv"), ("rolling", "iri_plas_preds.csv")):
         one = p.filter(F.col("model") == name).orderBy("ts", "event_id").select(
             F.coalesce(F.col("y_pred").cast("string"), F.lit("nan")).alias("predicted_tec"))
-        # A prediction file is one file whose row order is the key.
-        one.coalesce(1).write.csv(f"{root}/{file}", header=True, emptyValue="", nullValue="")
+        # The row order of a prediction file is its key; Spark's folder has it in the order of its parts.
+        one.write.csv(f"{root}/{file}", header=True, emptyValue="", nullValue="")
     return text.read_baselines(spark, root, ["Persistence", "IRI-Plas"])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from skywell.functions.rules import TIME_FORMAT
 from skywell.operators.ordering import with_row
 from skywell.schema import CYCLIC_ENGINEERED, GEOPHYSICAL, IONOSONDE, SPACE_WEATHER, TEC_ENGINEERED, TEMPORAL_ENGINEERED, col
-from skywell.session import durable
+from skywell.session import durable, written
 
 
 def _as_text(df: DataFrame) -> DataFrame:
@@ -68,22 +68,40 @@ def export(df: DataFrame, base: str, formats=("csv", "json")) -> dict[str, str]:
 
 # --- landing area ------------------------------------------------------------------------------------
 
+MONTH = ("year", "month")
+
+
 def land(df: DataFrame, root: str, station: str = "Station", ts: str = "Timestamp") -> None:
-    """Write months of stations, replacing only the (station, year, month) folders present in ``df``."""
+    """Write months of stations, replacing only the (station, year, month) sets of rows present in ``df``.
+
+    A folder is a month of all stations, so that their number does not grow with the stations; rows that other
+    stations have in a month are written again with it. One call at a time may write a month.
+    """
+    spark = df.sparkSession
     dated = df.withColumns({"year": F.year(col(ts)), "month": F.month(col(ts))})
+    if _names(spark, root):
+        dated = written(dated, "landing")
+        sets = dated.select(col(station), *MONTH).distinct()
+        touched = sets.select(*MONTH).distinct()
+        before = spark.read.parquet(root)
+        for keys, how in ((MONTH, "left_semi"), ((station, *MONTH), "left_anti")):
+            other = (touched if how == "left_semi" else sets).toDF(*[f"_{i}" for i in range(len(keys))])
+            same = reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)])
+            before = before.join(other, same, how)
+        dated = dated.unionByName(written(before, "landed"), allowMissingColumns=True)
     # Rebalancing gathers the rows of a folder and lets Spark split a folder that is too large.
-    dated.hint("rebalance", station, "year", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        station, "year", "month").parquet(root)
+    dated.hint("rebalance", *MONTH).sortWithinPartitions(*MONTH, col(station)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(*MONTH).parquet(root)
 
 
 def landed(spark: SparkSession, root: str, stations=None, wanted: DataFrame | None = None) -> DataFrame:
-    """Landed rows, pruned to stations and to the (year, month_of_year) rows of ``wanted``."""
+    """Landed rows, of some stations and of the (year, month_of_year) rows of ``wanted``, whose folders alone are read."""
     df = spark.read.parquet(root)
     if stations:
         df = df.filter(F.col("Station").isin(list(stations)))
     if wanted is not None:
         keys = wanted.select("year", F.col("month_of_year").alias("month"))
-        df = df.join(F.broadcast(keys), ["year", "month"], "left_semi")
+        df = df.join(F.broadcast(keys), [*MONTH], "left_semi")
     return df
 
 
