@@ -44,13 +44,21 @@ def norm_index(memory: DataFrame, first_shell: int = FIRST_SHELL) -> tuple[DataF
     return indexed.drop("length"), [(r["shell"], r["rows"], r["most"]) for r in found]
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows, without a Python object per number."""
+    cells = pa.concat_arrays(column.chunks)
+    lengths = np.diff(cells.offsets.to_numpy())
+    if (lengths != lengths[0]).any():
+        raise ValueError("vectors of different lengths")
+    return cells.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(cells), -1)
+
+
 def _products(k: int):
     """Pairs of one block of queries and one of classes that can be among a query's k best."""
     def run(qs: pa.Table, ms: pa.Table) -> pa.Table:
         qid, cid, score, n = [], [], [], []
         if qs.num_rows and ms.num_rows:
-            a = np.array(qs["q"].to_pylist(), float)
-            b = np.array(ms["v"].to_pylist(), float)
+            a, b = _matrix(qs["q"]), _matrix(ms["v"])
             kth, counts = qs["kth"].to_numpy(), ms["n"].to_numpy()
             s = a @ b.T / math.sqrt(a.shape[1])
             keep = min(k, s.shape[1])
