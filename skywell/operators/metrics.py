@@ -9,7 +9,7 @@ from skywell.operators.ordering import (
     average_rank, null_safe_join, prefix_counts, quantiles, with_row,
 )
 from skywell.schema import col
-from skywell.session import durable
+from skywell.session import written
 
 EPS = 1e-8
 METRIC_NAMES = ["n", "rmse", "mae", "mape", "r2", "pearson", "spearman", "median_ae", "p95_ae"]
@@ -66,7 +66,7 @@ def metrics(df: DataFrame, by=(), y: str = "y_true", p: str = "y_pred") -> DataF
     keys = [col(k) for k in by]
     pairs = valid_pairs(df, y, p).select(*keys, col(y), col(p))
     names = [*keys, *METRIC_NAMES]
-    pairs = durable(pairs)
+    pairs = written(pairs, "pairs")
     base = pairs.groupBy(*keys).agg(*moment_columns(y, p)).filter("n > 0")
     ae = quantiles(pairs, {"ae": F.abs(col(p) - col(y))}, [0.5, 0.95], by)
     ae = ae.withColumnsRenamed({"ae__0": "median_ae", "ae__1": "p95_ae"})

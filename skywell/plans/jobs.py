@@ -10,7 +10,7 @@ from skywell.operators.ordering import with_row
 from skywell.schema import (
     FEED_BOUNDS, SPACE_WEATHER, Settings, col, complete, numeric_columns,
 )
-from skywell.session import durable
+from skywell.session import durable, written
 from skywell.sources import stores
 from skywell.sources.text import conform
 
@@ -40,7 +40,7 @@ def preprocess(df: DataFrame, settings: Settings = Settings(), identity=("Statio
                order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Infinities, gaps, outliers, split, scaling: (rows with ``split``, scaler parameters).
 
-    The filled, the treated and the split table are checkpointed once each, because quantiles, masks, boundaries
+    The filled, the treated and the split table are written once each, because quantiles, masks, boundaries
     and scaler each read them several times, and their plans would multiply.
     """
     order = order or list(dict.fromkeys(["Timestamp", "Station", *identity]))
@@ -48,10 +48,10 @@ def preprocess(df: DataFrame, settings: Settings = Settings(), identity=("Statio
     df = df.withColumns({c: rules.finite(col(c)) for c in numeric})
     df = fills.handle_missing(df, settings.fill_strategy, settings.fill_limit, settings.fill_fallback, numeric,
                               ["Station"], [*dict.fromkeys(["Timestamp", *[c for c in identity if c != "Station"]])])
-    df = durable(df)
-    df = durable(outliers.treat_outliers(df, settings, identity))
-    df = durable(splitting.SPLIT_STRATEGIES[settings.split_strategy](
-        df, order, "Station", settings.seed, settings.split))
+    df = written(df, "filled")
+    df = written(outliers.treat_outliers(df, settings, identity), "treated")
+    df = written(splitting.SPLIT_STRATEGIES[settings.split_strategy](
+        df, order, "Station", settings.seed, settings.split), "split")
     scaled = scaling.eligible(df, [*settings.scale_exclude, *identity])
     params = durable(scaling.fit_scaler(df, scaled, settings.scaler, F.col("split") == "train"))
     return scaling.transform(df, params, scaled), params
@@ -169,7 +169,7 @@ def evaluate(predictions: DataFrame, physics: DataFrame | None = None, ours: str
              keys=("station",), order=("ts",)) -> dict[str, DataFrame]:
     """Metrics whole and by stratum, station spread, gap, storm factor and the composite score."""
     p = predictions.filter(F.col("model") == ours) if ours else predictions
-    p = durable(p)
+    p = written(p, "predictions")
     whole = metrics.metrics(p, ["model"])
     storm = metrics.metrics_by(p, "storm", ["model"])
     gap = metrics.generalisation_gap(p, ["model"])
@@ -196,7 +196,7 @@ def benchmark(predictions: DataFrame, ours: str, key: str = "event_id") -> dict[
 
     ``key`` names the observation that several models predict.
     """
-    p = durable(predictions)
+    p = written(predictions, "predictions")
     per_model = metrics.metrics(p, ["model"])
     comparison = durable(metrics.compare(per_model, ours))
     best = comparison.filter("is_best_baseline").select("model").first()["model"]
