@@ -15,7 +15,7 @@ from skywell.operators.forest import isolation_forest
 from skywell.operators.layout import last_valid, lay_out, next_valid
 from skywell.operators.ordering import prefix_counts, quantiles, value_bin, with_row
 from skywell.schema import col, complete
-from skywell.session import durable
+from skywell.session import durable, written
 
 LOF_CHUNK_ROWS = 50_000
 
@@ -291,8 +291,10 @@ def discover(df: DataFrame, features: list[str], prediction: str, kp: str, ident
     """All discovery results of one window of predictions, as named frames.
 
     ``latent`` (key, array of numbers) adds the clusters of its principal plane. Archetypes need at least
-    three complete rows; k-means has no result for an empty window.
+    three complete rows; k-means has no result for an empty window. The window is read by every part, so it is
+    written once, dealt over all cores.
     """
+    df = written(df.repartition(*[col(c) for c in identity]), "window")
     scores = mutual_information(df, features, prediction)
     novel = novelty(df, [*features, prediction], identity)
     shift = drift(df, history, prediction)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from skywell.operators.ordering import quantiles, with_row
 from skywell.schema import col
+from skywell.session import written
 
 SAMPLE = 256
 EULER = 0.5772156649015329
@@ -137,7 +138,8 @@ def isolation_forest(
     scorer = forest_score(nodes, min(SAMPLE, total))
     # The UDF sees 0 in place of null; such rows are blanked again below.
     args = [F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in columns]
-    scored = df.withColumn(score, F.when(whole, scorer(*args)))
+    # Scored once: the cut and every reader of the result would score the rows again.
+    scored = written(df.withColumn(score, F.when(whole, scorer(*args))), "scored")
     cut = quantiles(scored, {"_cut": col(score)}, [1.0 - contamination])
     return with_row(scored, cut).withColumn(
         flag, F.coalesce(col(score) > F.col("_cut__0"), F.lit(False))

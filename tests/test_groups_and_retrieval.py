@@ -233,3 +233,22 @@ def test_silent_stations_leave_no_state():
     assert fire(5000) == [1, 2] and handle.timers == {9001}
     assert fire(9500) == [3] and handle.timers == {10_001}
     assert fire(10_500) == [] and handle.value is None and not handle.timers
+
+
+def test_forest_scores_are_read_not_computed_again(spark):
+    from skywell.operators.forest import isolation_forest
+
+    df = spark.range(200).select("id", (F.col("id") * 7 % 31).cast("double").alias("x"))
+    out = isolation_forest(df, ["x"], ["id"], 0.05, trees=5)
+    assert "EvalPython" not in out._jdf.queryExecution().toString() and out.where("score is null").isEmpty()
+
+
+def test_vectors_of_different_lengths_are_refused():
+    import pyarrow as pa
+
+    from skywell.operators.retrieval import _matrix
+
+    column = lambda rows: pa.chunked_array([pa.array(r, pa.list_(pa.float64())) for r in rows])
+    assert _matrix(column([[[1.0, None]], [[3.0, 4.0], [5.0, 6.0]]])).tolist()[1:] == [[3.0, 4.0], [5.0, 6.0]]
+    with pytest.raises(ValueError):
+        _matrix(column([[[1.0, 2.0], [3.0]], [[4.0]]]))
