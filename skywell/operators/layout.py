@@ -1,7 +1,8 @@
 """Windows over long keyed series whose keys may be very uneven.
 
 A plain ``Window.partitionBy(key)`` sends a whole key to one task.  That is the plan used while a
-counting pass shows every key to be of bounded size.  Keys above the bound are cut into chunks of
+counting pass shows every key to be of bounded size; its keys are dealt over as many tasks as the
+counted rows need, so that a task does not grow with the table.  Keys above the bound are cut into chunks of
 consecutive rows: rows are counted per narrow bucket of the ordering column, buckets are packed
 into chunks, and each chunk also receives the neighbour rows its windows look at (a fixed number
 before and after, plus the nearest bucket that holds a valid value of the named columns).  Window
@@ -10,6 +11,7 @@ expressions are the same in both plans.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
@@ -18,7 +20,8 @@ from skywell.operators.ordering import micros, value_bin, with_row
 from skywell.schema import col
 from skywell.session import durable
 
-CHUNK_ROWS = 4_000_000
+CHUNK_ROWS = 500_000
+ROWS_A_TASK = 250_000
 BUCKETS_PER_CHUNK = 32
 BUCKET_SPLIT = 256
 BROADCAST_ROWS = 1_000_000
@@ -88,12 +91,16 @@ def lay_out(
     tick = micros(col(order[0])) if by_time else value_bin(col(order[0]), df.schema[order[0]].dataType)
     counts = df.groupBy(*[col(k) for k in keys]).agg(
         F.count(F.lit(1)).alias("_lay_rows"), F.min(tick).alias("_lay_lo"), F.max(tick).alias("_lay_hi")
-    ).filter(F.col("_lay_rows") > size)
-    if counts.isEmpty():
+    )
+    total, largest = counts.agg(F.sum("_lay_rows"), F.max("_lay_rows")).first()
+    if (largest or 0) <= size:
+        if keys and (total or 0) > ROWS_A_TASK:
+            tasks = max(math.ceil(total / ROWS_A_TASK), df.sparkSession.sparkContext.defaultParallelism)
+            df = df.repartition(tasks, *[col(k) for k in keys])
         rows = df.withColumn("_pos", (F.row_number().over(_spec(keys, order, False)) - 1).cast("long"))
         return Layout(rows, list(keys), list(order), False)
-    return _chunked(df, list(keys), list(order), tick, durable(counts), before, after,
-                    list(valid or []), size)
+    hot = durable(counts.filter(F.col("_lay_rows") > size))
+    return _chunked(df, list(keys), list(order), tick, hot, before, after, list(valid or []), size)
 
 
 def _chunked(df, keys, order, tick, hot, before, after, valid, size) -> Layout:

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skywell.operators import features, fills, joins, sequences
+from skywell.operators import features, fills, joins, layout as layout_module, sequences
 from skywell.operators.layout import lay_out
 from skywell.schema import Settings
 
@@ -227,6 +227,16 @@ def test_asof_orders_distinct_times_only(spark, monkeypatch):
     assert seen[0].count() == 3 and not {"id", "wide", "_l"} & set(seen[0].columns)
 
 
+def test_rows_of_a_task_are_bounded(spark, monkeypatch):
+    """Short keys are dealt over as many tasks as their rows need, whatever the session would gather."""
+    df = spark.range(4000).select("id", (F.col("id") % 200).alias("Station"), F.timestamp_seconds("id").alias("Timestamp"))
+    monkeypatch.setattr(layout_module, "ROWS_A_TASK", 100)
+    layout = lay_out(df, ["Station"], ORDER)
+    out = layout.finish(layout.rows, "pos").withColumn("task", F.spark_partition_id())
+    assert not layout.chunked and out.where("pos = (id - Station) / 200").count() == 4000
+    assert out.groupBy("task").count().agg(F.max("count")).first()[0] <= 300
+
+
 def test_no_lag_crosses_a_station(frame):
     out = features.series_features(frame, order=ORDER)
     layout = lay_out(out, ["Station"], ORDER)
