@@ -22,7 +22,7 @@ Identifiers are 64 bits at each of two levels (q-gram, then run or start), 128 b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skywell.llm.common import broadcast_within, clean_text, documents, stored
 from skywell.llm.registry import query
 
-LENGTH, BLOCK, CLASSES = 200, 1 << 20, 16
+LENGTH, BLOCK, CLASSES = 200, 1 << 18, 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BYTES = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
 
@@ -101,7 +101,7 @@ def runs_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return k, starts, span, low[first].view(np.int64), run.view(np.int64)
 
 
-def blocks(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+def blocks(texts: Iterable[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """(text numbers, offsets, pieces) of about ``BLOCK`` bytes; a long text is cut with an overlap that keeps every string."""
     numbers, offsets, parts, size = [], [], [], 0
     for k, t in enumerate(texts):
@@ -125,7 +125,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ths = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th"))
-            texts = [t.as_py().encode() for t in batch.column("text")]
+            texts = (t.as_py().encode() for t in batch.column("text"))  # one block's texts are held at a time
             for numbers, offsets, parts in blocks(texts, length):
                 k, start, span, gram, run = runs_of(parts, length)
                 own = np.array(numbers)[k]

@@ -117,6 +117,18 @@ def test_removal_matches_plain_version(spark, length, monkeypatch):
     assert got == want
 
 
+def test_a_block_of_suffixes_is_small():
+    """A task holds one block of texts and its identifiers, not those of a batch."""
+    import tracemalloc
+
+    rows = (random.Random(i).randbytes(2000) for i in range(1000))
+    tracemalloc.start()
+    runs = sum(len(suffixes.runs_of(parts, 200)[0]) for _, _, parts in suffixes.blocks(rows, 200))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert runs > 1000 and peak < 20 << 20
+
+
 def test_removal_with_repeated_and_null_ids(spark):
     long = sentence(random.Random(1), 60)
     df = spark.createDataFrame([(1, long), (1, long), (1, "short"), (None, long + "x"), (None, None)], "doc_id long, text string")
