@@ -11,8 +11,9 @@ the smaller. So every class emits a prefix lengthened by ``extension(n)``:
   leaves at least one that is not hot as long as it has fewer hot shingles than the least l of any partner;
 * a class where even that fails is *dense* and is lengthened to its whole set: partners share at least
   three quarters of it, so unless three quarters are hot among the dense classes one shared shingle is not;
-* what is left, large groups of near copies, is *packed*. Packed classes order their whole sets by frequency
-  and post the hot rest of a lengthened prefix, which is short as their own edits come first. Rounds compare each
+* what is left, large groups of near copies, is *packed*. Packed classes order their whole sets by frequency (that of
+  the shingle's cell in a table of fixed size; what is not hot comes first, but for shared cells) and post the hot
+  rest of a lengthened prefix, which is short as their own edits come first. Rounds compare each
   class with one pivot of its shingle's list, the most central class at first, which joins a group of m copies with
   about m comparisons; they go on while they join components. A last pass takes the pairs in different components
   that share enough posted shingles.
@@ -27,25 +28,26 @@ compared. Candidates are verified on whole sets.
 
 from __future__ import annotations
 
-
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skywell.llm.common import LOWER, SHINGLE, UPPER, broadcast_within, components, documents, stored
 from skywell.llm.registry import query
 
 HOT, ROUNDS, PACKED_MORE, BITS = 32, 8, 4, 1024
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+CHUNK_BYTES, LONG_WORD, CELL_BITS = 1 << 18, 64, 20
+_GAP = np.zeros(256, bool)
+_GAP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 MARK = -2 ** 63
-SETS = "doc_id long, n int, c long, plain array<bigint>, longer array<bigint>, hot array<bigint>"
+PARTS = "plain array<bigint>, longer array<bigint>, hot_plain int, hot_all int, burning array<bigint>, times array<bigint>"
+SETS = f"doc_id long, n int, c long, {PARTS}"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -53,23 +55,57 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(text: str | None, size: int = SHINGLE, known: dict[bytes, int] | None = None) -> np.ndarray:
-    """Sorted distinct shingle hashes of the lowered words; one shingle for a shorter text, none for no words.
-
-    ``known`` remembers word hashes from text to text; it is emptied when it grows.
-    """
-    words = WORD.findall(text.encode().translate(_LOWER)) if text else []
-    if not words:
-        return np.zeros(0, dtype=np.int64)
-    known = {} if known is None else known
-    if len(known) > 200_000:
-        known.clear()
-    h = np.fromiter((known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words), dtype=np.uint64, count=len(words))
-    n = max(1, len(h) - size + 1)
-    out = np.full(n, min(size, len(h)), dtype=np.uint64)
-    for j in range(min(size, len(h))):
+def word_hashes(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the words of a lowered text that begins and ends with a space."""
+    gap = _GAP[np.frombuffer(body, np.uint8)]
+    turns = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    starts, ends = turns[::2], turns[1::2]
+    size = ends - starts
+    eights = np.ndarray(len(body), "<u8", body + bytes(8), strides=(1,))  # the eight bytes from every place on
+    h = size.astype(np.uint64)
+    for at in range(0, LONG_WORD, 8):
+        on = np.flatnonzero(size > at) if at else slice(None)
+        left = np.minimum(size[on] - at, 8).astype(np.uint64)
+        if not len(left):
+            break
+        part = eights[starts[on] + at] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * left))
+        h[on] = mixed(h[on] * _MIX + part)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(body[starts[i]:ends[i]])
+    return starts, h
+
+
+def shingled(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all ``size`` words in a row."""
+    n = max(0, len(h) - size + 1)
+    out = np.full(n, size, dtype=np.uint64)
+    for j in range(size):
         out = mixed(out * _MIX + h[j:j + n])
-    return np.unique(out.view(np.int64))
+    return out.view(np.int64)
+
+
+def shingle_sets(texts: Iterable[bytes | None], size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Per text, the sorted distinct shingle hashes of the lowered words; one shingle for a shorter text, none for no
+    words. Texts of about ``CHUNK_BYTES`` are hashed together."""
+    def sets(held: list[bytes]) -> Iterator[np.ndarray]:
+        starts, h = word_hashes((b" " + b" ".join(held) + b" ").translate(_LOWER))
+        ends = np.searchsorted(starts, 1 + np.cumsum([len(x) + 1 for x in held])).tolist()
+        whole, a = shingled(h, size), 0
+        for b in ends:
+            s = np.sort(whole[a:b - size + 1]) if b - a >= size else shingled(h[a:b], b - a) if b > a else whole[:0]
+            new = s[1:] != s[:-1]
+            yield s if new.all() else s[np.concatenate(([True], new))]
+            a = b
+
+    held, length = [], 0
+    for text in texts:
+        held.append(text or b"")
+        length += len(held[-1])
+        if length > CHUNK_BYTES:
+            yield from sets(held)
+            held, length = [], 0
+    if held:
+        yield from sets(held)
 
 
 def shortfall(n: int) -> int:
@@ -90,14 +126,22 @@ def class_of(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), seed=len(s)) - 2 ** 63 if len(s) else 0
 
 
-def hot_apart(parts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(plain, longer, hot) per class from its plain and longer part: shingles in more than ``HOT`` of these classes
-    go to ``hot``, which starts with the number of them that lie in the plain part."""
+def hot_apart(parts: list[np.ndarray]) -> dict[str, pa.Array]:
+    """The columns ``PARTS`` of classes from their plain and longer parts.
+
+    Shingles in more than ``HOT`` of these classes are hot: a class only counts them, and the first row names each of
+    them (``burning``) with its number of classes (``times``).
+    """
     ends = np.cumsum([len(x) for x in parts])
-    _, at, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    hot = np.split(count[at] > HOT, ends[:-1])
-    return [(a[~x], b[~y], np.concatenate([[x.sum()], a[x], b[y]]) if x.any() or y.any() else a[:0])
-            for a, b, x, y in zip(parts[::2], parts[1::2], hot[::2], hot[1::2])]
+    token, at, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    split = [(x[~y], int(y.sum())) for x, y in zip(parts, np.split(count[at] > HOT, ends[:-1]))]
+    burning = count > HOT
+    kinds = pa.list_(pa.int64())
+    none = [np.zeros(0, np.int64)] * (len(parts) // 2 - 1)
+    return {"plain": pa.array([x for x, _ in split[::2]], kinds), "longer": pa.array([x for x, _ in split[1::2]], kinds),
+            "hot_plain": pa.array([k for _, k in split[::2]], pa.int32()),
+            "hot_all": pa.array([k + k2 for (_, k), (_, k2) in zip(split[::2], split[1::2])], pa.int32()),
+            "burning": pa.array([token[burning], *none], kinds), "times": pa.array([count[burning].astype(np.int64), *none], kinds)}
 
 
 def whole_prefixes(items: DataFrame) -> DataFrame:
@@ -106,43 +150,36 @@ def whole_prefixes(items: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 parts = [x for s in batch.column("items") for x in (np.asarray(s.values, dtype=np.int64), np.zeros(0, dtype=np.int64))]
-                rows = hot_apart(parts)
-                yield pa.RecordBatch.from_pydict({"c": batch.column("c"), **{
-                    name: pa.array([r[k].astype(np.int64) for r in rows], pa.list_(pa.int64()))
-                    for k, name in enumerate(("plain", "longer", "hot"))}})
+                yield pa.RecordBatch.from_pydict({"c": batch.column("c"), **hot_apart(parts)})
 
-    return items.select("c", "items").mapInArrow(cut, "c long, plain array<bigint>, longer array<bigint>, hot array<bigint>")
+    return items.select("c", "items").mapInArrow(cut, f"c long, {PARTS}")
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
     """One row per document: set size, class, and the class's prefix the first time a task meets it.
 
-    Shingles that are hot within one Arrow batch already go to ``hot``: they need no further counting, and a
+    Shingles that are hot within one Arrow batch stay behind: their number is all that is asked of a class, and a
     hot shingle's rows do not meet in one task.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        known: dict[bytes, int] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             sizes, classes, parts = [], [], []
             if len(seen) > 500_000:
                 seen = set()
-            for text in batch.column("text"):
-                s = shingle_set(text.as_py(), known=known)
+            for s in shingle_sets(x.as_py() for x in batch.column("body")):
                 c, p = class_of(s), shortfall(len(s)) + 1
                 new = len(s) > 0 and c not in seen
                 seen.add(c)
                 sizes.append(len(s)), classes.append(c)
                 parts += [s[:p], s[p:p + extension(len(s))]] if new else [s[:0], s[:0]]
-            rows = hot_apart(parts)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int32()), "c": pa.array(classes, pa.int64()),
-                **{name: pa.array([r[k].astype(np.int64) for r in rows], pa.list_(pa.int64()))
-                   for k, name in enumerate(("plain", "longer", "hot"))}})
+                **hot_apart(parts)})
 
-    return docs.select("doc_id", "text").mapInArrow(cut, SETS)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("body")).mapInArrow(cut, SETS)
 
 
 def shared_tokens(sets: DataFrame) -> DataFrame:
@@ -153,10 +190,8 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
     """
     tokens = sets.select("c", F.explode("plain").alias("token"), F.lit(True).alias("plain")).union(
         sets.select("c", F.explode("longer").alias("token"), F.lit(False).alias("plain")))
-    ready = sets.where(F.size("hot") > 0).select(
-        "c", F.posexplode(F.slice("hot", 2, F.size("hot"))).alias("i", "token"), F.get("hot", F.lit(0)).alias("k")
-    ).select("token", "c", (F.col("i") < F.col("k")).alias("plain"), F.lit(True).alias("hot")).distinct()
-    marks = ready.select(F.lit(MARK).alias("c"), "token", F.lit(True).alias("plain")).distinct()
+    marks = sets.where(F.size("burning") > 0).select(F.explode("burning").alias("token")).distinct().select(
+        F.lit(MARK).alias("c"), "token", F.lit(True).alias("plain"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # classes of the current token so far, while it may still be unshared or calm
@@ -197,23 +232,73 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
         if len(held) > 1:
             yield released(held, False)
 
-    met = tokens.union(marks).repartition("token").sortWithinPartitions("token", "c").mapInArrow(
+    return tokens.unionByName(marks).repartition("token").sortWithinPartitions("token", "c").mapInArrow(
         keep, "token long, c long, plain boolean, hot boolean")
-    return met.union(ready)
+
+
+def hot_counts(sets: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(c, hot_plain, hot_all): at least as many hot shingles as the class has, and the exact numbers if its shingles
+    left one task only; of all classes with shared shingles."""
+    here = sets.where("hot_all > 0").groupBy("c").agg(F.max("hot_plain").alias("hot_plain"), F.max("hot_all").alias("hot_all"))
+    there = tokens.groupBy("c").agg(F.count_if(F.col("hot") & F.col("plain")).alias("hot_plain"), F.count_if("hot").alias("hot_all"))
+    return here.unionByName(there).groupBy("c").agg(F.sum("hot_plain").alias("hot_plain"), F.sum("hot_all").alias("hot_all"))
+
+
+def cell_of(tokens: np.ndarray) -> np.ndarray:
+    return (mixed(tokens.view(np.uint64) ^ _MIX) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def hot_cells(sets: DataFrame, tokens: DataFrame) -> np.ndarray:
+    """How many classes hold the hot shingles of a cell; 2 ** CELL_BITS cells, whatever the size of the input."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"cell": cell_of(batch.column("token").to_numpy()), "k": batch.column("k")})
+
+    here = sets.where(F.size("burning") > 0).select(F.explode(F.arrays_zip("burning", "times")).alias("x")).select(
+        F.col("x.burning").alias("token"), F.col("x.times").alias("k"))
+    there = tokens.where("hot").groupBy("token").agg(F.count(F.lit(1)).alias("k"))
+    found = here.unionByName(there).mapInArrow(cut, "cell long, k long").groupBy("cell").agg(F.sum("k").alias("k")).toArrow()
+    cells = np.zeros(1 << CELL_BITS, np.int64)
+    cells[found["cell"].to_numpy()] = found["k"].to_numpy()
+    return cells
+
+
+def posted_shingles(packed: DataFrame, cells: np.ndarray) -> DataFrame:
+    """(token, c, n, hots, l, sig) of packed classes (c, n, hots, items): the shingles with a cell that is not empty among the
+    first n - ceil(0.75 n) + l, in the order of their cells' counts."""
+    known = packed.sparkSession.sparkContext.broadcast(cells)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = known.value
+        for batch in batches:
+            least, tokens, sigs = [], [], []
+            for s in batch.column("items"):
+                s = np.asarray(s.values, dtype=np.int64)
+                k, l = counts[cell_of(s)], 1 + min(len(s) // 2, PACKED_MORE)
+                first = np.lexsort((s, k))[:shortfall(len(s)) + l]
+                least.append(l), tokens.append(s[first][k[first] > 0]), sigs.append(parities(s))
+            yield pa.RecordBatch.from_pydict({
+                "c": batch.column("c"), "n": batch.column("n"), "hots": batch.column("hots"), "l": pa.array(least, pa.int64()),
+                "tokens": pa.array(tokens, pa.list_(pa.int64())), "sig": pa.array(sigs, pa.list_(pa.int64()))})
+
+    rows = packed.select("c", "n", F.col("hots").cast("long").alias("hots"), "items").mapInArrow(
+        cut, "c long, n int, hots long, l long, tokens array<bigint>, sig array<bigint>")
+    # Plain fields, as the join condition must stay short enough to be compiled.
+    sig = F.struct(*[F.get("sig", F.lit(i)).alias(f"s{i}") for i in range(BITS // 64)]).alias("sig")
+    return rows.select(F.explode("tokens").alias("token"), "c", "n", "hots", "l", sig)
 
 
 def whole_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """(c, items) of the chosen (c, doc_id)."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         for batch in batches:
-            found = [(c, s) for c, s in zip(batch.column("c").to_pylist(), (
-                shingle_set(t.as_py(), known=known) for t in batch.column("text"))) if c == class_of(s)]
+            sets = shingle_sets(x.as_py() for x in batch.column("body"))
+            found = [(c, s) for c, s in zip(batch.column("c").to_pylist(), sets) if c == class_of(s)]
             yield pa.RecordBatch.from_pydict({"c": pa.array([x[0] for x in found], pa.int64()),
                                               "items": pa.array([x[1] for x in found], pa.list_(pa.int64()))})
 
-    rows = docs.select("doc_id", "text").join(broadcast_within(chosen, 24), "doc_id")
-    return rows.select("c", "text").mapInArrow(cut, "c long, items array<bigint>").dropDuplicates(["c"])
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("body")).join(broadcast_within(chosen, 24), "doc_id")
+    return rows.select("c", "body").mapInArrow(cut, "c long, items array<bigint>").dropDuplicates(["c"])
 
 
 def parities(s: np.ndarray) -> np.ndarray:
@@ -223,17 +308,6 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def signatures(items: DataFrame) -> DataFrame:
-    """(c, sig) of classes with ``items``; plain fields, as the join condition must stay short enough to be compiled."""
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"c": batch.column("c"), "sig": pa.array(
-                [parities(np.asarray(s.values, dtype=np.int64)) for s in batch.column("items")], pa.list_(pa.int64()))})
-
-    rows = items.select("c", "items").mapInArrow(cut, "c long, sig array<bigint>")
-    return rows.select("c", F.struct(*[F.get("sig", F.lit(i)).alias(f"s{i}") for i in range(BITS // 64)]).alias("sig"))
-
-
 def within_bound(n: str, sig: str, n2: str, sig2: str) -> Column:
     """Whether two sets can be alike by size and parities."""
     apart = " + ".join(f"bit_count({sig}.s{i} ^ {sig2}.s{i})" for i in range(BITS // 64))
@@ -302,8 +376,7 @@ def near_components(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "classes")
     tokens = stored(shared_tokens(sets), "tokens")
     least = matches(F.ceil(0.75 * F.col("n")))
-    heat = tokens.groupBy("c").agg(F.count_if(F.col("hot") & F.col("plain")).alias("hot_plain"),
-                                   F.count_if("hot").alias("hot_all")).join(classes.select("c", "n"), "c")
+    heat = hot_counts(sets, tokens).join(classes.select("c", "n"), "c")
     level = (F.when(F.col("hot_plain") == 0, 0).when(F.col("hot_all") < least, 1).otherwise(2))
     heat = stored(heat.select("c", "n", "hot_all", level.alias("level")), "heat")
 
@@ -322,25 +395,18 @@ def near_components(docs: DataFrame) -> DataFrame:
 
     # Dense classes by their whole sets; those with too few shingles that are not hot even so are packed.
     whole = items.join(heat.where("level = 2").select("c"), "c")
-    tokens = stored(shared_tokens(whole_prefixes(whole)), "tokens")
-    heat = stored(tokens.groupBy("c").agg(F.count_if("hot").alias("hot_all")).join(classes.select("c", "n"), "c"), "heat")
+    sorts = stored(whole_prefixes(whole), "whole")
+    tokens = stored(shared_tokens(sorts), "tokens")
+    heat = stored(hot_counts(sorts, tokens).select("c", "hot_all").join(classes.select("c", "n"), "c"), "heat")
     posted = tokens.where("NOT hot").join(heat, "c").select("token", "c", "n", "hot_all")
     right = posted.select("token", *[F.col(x).alias(x + "2") for x in ("c", "n", "hot_all")])
     need = F.greatest(F.lit(1), F.ceil(0.75 * F.greatest("n", "n2")) - F.least("hot_all", "hot_all2"))
     more = posted.join(right, "token").where((F.col("c") < F.col("c2")) & close).groupBy(
         F.col("c").alias("a"), F.col("c2").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(need).alias("need")).where(
             "k >= need").select("a", "b")
-    # Packed classes in the order (not hot, then hot by frequency): of a lengthened prefix only its hot rest is posted.
-    hot = tokens.where("hot").select("token", "c").distinct()
-    common = hot.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    counts = hot.groupBy("c").agg(F.count(F.lit(1)).alias("hots"))
-    room = F.col("n") - F.ceil(0.75 * F.col("n")) + 1 - (F.col("n") - F.col("hots"))
-    packed = heat.where("4 * hot_all >= 3 * n").select("c", "n").join(counts, "c").select(
-        "c", "n", "hots", room.alias("room"), (1 + F.least(F.floor(F.col("n") / 2), F.lit(PACKED_MORE))).alias("l")).where("room > 0")
-    first = Window.partitionBy("c").orderBy("df", "token")  # a class has as many shingles as its text
-    dense = stored(hot.join(packed, "c").join(common, "token").withColumn("_r", F.row_number().over(first)).where(
-        F.col("_r") <= F.col("room") + F.col("l") - 1).select("token", "c", "n", "hots", "l").join(
-        signatures(items.join(packed.select("c"), "c")), "c"), "packed")
+    # Of the lengthened prefix of a packed class only the hot rest is posted: pairs that share another shingle were met.
+    packed = heat.where("4 * hot_all >= 3 * n").select("c", "n", F.col("hot_all").alias("hots"))
+    dense = stored(posted_shingles(packed.join(items, "c"), hot_cells(sorts, tokens)), "packed")
     edges = stored(verified(calm.union(more).distinct(), items), "links")
     label = components(edges, "a", "b")
     found = None if dense.isEmpty() else packed_links(dense, items, label)

@@ -80,6 +80,25 @@ def test_parities_never_exceed_the_difference():
         assert not (jaccard.parities(a) ^ jaccard.parities(a)).any()
 
 
+def test_words_hash_by_their_bytes_alone():
+    words = ["a", "aaaaaaaa", "aaaaaaaaa", "\0", "\0\0", "é" * 40, "x" * 64, "x" * 65, "x" * 70_000, "Abc", "abc", "\xa0", "b\x00"]
+    known = {w: next(iter(jaccard.shingle_sets([w.encode()]))).tolist() for w in words}
+    assert known["Abc"] == known["abc"] and len({tuple(x) for x in known.values()}) == len(words) - 1
+    rows = [t.encode() if t is not None else None for t in texts(8, 80)] + [b" \x0b".join(w.encode() for w in words)] * 2
+    together, alone = list(jaccard.shingle_sets(rows)), [next(iter(jaccard.shingle_sets([r]))) for r in rows]
+    assert all(a.tolist() == b.tolist() for a, b in zip(together, alone, strict=True))
+    assert [len(s) for s in together] == [len(shingles(None if r is None else r.decode())) for r in rows]
+
+
+def test_hot_shingles_leave_a_batch_once(spark):
+    for n in (200, 400):
+        docs = documents(spark, near_copies(n, 110, 3)).coalesce(1)
+        sets = jaccard.prefixes(docs).cache()
+        named = [t for r in sets.where("size(burning) > 0").collect() for t in r["burning"]]
+        assert len(named) == len(set(named)) < 110 and sets.where("hot_all > 5").count() > 0.5 * n
+        assert sets.where("hot_all < hot_plain OR size(plain) + hot_plain > n").isEmpty()
+
+
 def test_prefix_law_holds():
     for n in range(1, 400):
         ext = jaccard.extension(n)
