@@ -86,12 +86,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         else:
             out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
                 low.select("u", F.col("m").alias("v")))
-        return out.where("u <> v").distinct()
+        return out.where("u <> v")
 
     e = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
     last = digest(e)
     while True:
-        e = stored(star(star(e, True), False), "edges")
+        e = stored(star(star(e, True), False).distinct(), "edges")
         now = digest(e)
         if now == last:
             return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

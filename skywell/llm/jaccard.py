@@ -314,14 +314,14 @@ def within_bound(n: str, sig: str, n2: str, sig2: str) -> Column:
     return F.expr(f"4 * least({n}, {n2}) >= 3 * greatest({n}, {n2}) AND 7 * ({apart}) <= {n} + {n2}")
 
 
-def packed_links(dense: DataFrame, items: DataFrame, label: DataFrame) -> DataFrame | None:
-    """Links (a, b) that join components of packed classes; none is missing between components, None if there are none.
+def packed_moves(dense: DataFrame, items: DataFrame, label: DataFrame) -> DataFrame | None:
+    """(component, to): the components that links of packed classes join; None if there are none.
 
     ``dense``: (token, c, n, hots, l, sig), the posted shingles; ``label``: (node, component) of the links known before.
     """
     state = stored(dense.select("c").distinct().join(label.withColumnRenamed("node", "c"), "c", "left").select(
         "c", F.coalesce("component", "c").alias("component")), "state")
-    links, turn, last = None, 0, ROUNDS == 0
+    first, joined, turn, last = state, False, 0, ROUNDS == 0
     while True:
         rest = dense.join(state, "c")
         central = -F.floor(1000 * F.col("hots") / F.col("n")) if turn == 0 else F.xxhash64("c", F.lit(turn))
@@ -342,15 +342,15 @@ def packed_links(dense: DataFrame, items: DataFrame, label: DataFrame) -> DataFr
                 F.count(F.lit(1)).alias("k"), F.first(F.least("l", "l2")).alias("need")).where("k >= need").select("a", "b")
         found = stored(verified(pairs, items), "links")
         empty = found.isEmpty()
-        if not empty:
-            links = found if links is None else links.union(found)
-        if last:
-            return links
         if not empty:
             ends = found.join(state.toDF("a", "ca"), "a").join(state.toDF("b", "cb"), "b")
             moved = components(ends, "ca", "cb").toDF("component", "_to")
             state = stored(state.join(moved, "component", "left").select(
                 "c", F.coalesce("_to", "component").alias("component")), "state")
+            joined = True
+        if last:
+            return first.join(state.withColumnRenamed("component", "to"), "c").where("component <> to").select(
+                "component", "to").distinct() if joined else None
         turn += 1
         last = empty or turn == ROUNDS
 
@@ -409,11 +409,11 @@ def near_components(docs: DataFrame) -> DataFrame:
     dense = stored(posted_shingles(packed.join(items, "c"), hot_cells(sorts, tokens)), "packed")
     edges = stored(verified(calm.union(more).distinct(), items), "links")
     label = components(edges, "a", "b")
-    found = None if dense.isEmpty() else packed_links(dense, items, label)
-    if found is not None:
-        label = components(edges.union(found), "a", "b")
+    moved = None if dense.isEmpty() else packed_moves(dense, items, label)
     label = label.withColumnRenamed("node", "c")
     named = classes.join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    if moved is not None:
+        named = named.join(moved, "component", "left").withColumn("component", F.coalesce("to", "component"))
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = named.join(lowest, "component").select("c", "component_id")
     members = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("c")).alias("c"))
