@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skywell.llm import classifier, jaccard, languages, packing, suffixes
-from skywell.llm.common import stored
+from skywell.llm.common import small_batches, stored
 
 # A document stays if one language holds at least this share of its pooled probability.
 LEAST_LANGUAGE = 0.4
@@ -82,12 +82,20 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs.select("doc_id", "text"), added=packing.ADDED)
 
 
+def lean(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with small Arrow batches: executors are shared by all stages, and a worker keeps what its largest took."""
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+    return run
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", identified),
-    ("quality_classifier", good),
-    ("ngram_jaccard_join", single),
-    ("suffix_array_dedup", unrepeated),
-    ("best_fit_packing", packed),
+    ("language_id", lean(identified)),
+    ("quality_classifier", lean(good)),
+    ("ngram_jaccard_join", lean(single)),
+    ("suffix_array_dedup", lean(unrepeated)),
+    ("best_fit_packing", lean(packed)),
 ]
 # Trained models and byte strings are beyond SQL; tests hold every stage against a plain version.
 ORACLE_SQL = None

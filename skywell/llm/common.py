@@ -13,12 +13,20 @@ from skywell.session import scratch_path
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHINGLE = 5
+# Bytes of an Arrow batch on its way to Python or back (Spark's default: 64 MB).
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches end at ``BATCH_BYTES``, as an executor holds several copies of a batch
+    for each running task, in the JVM and in Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: later jobs re-read the same rows, whoever is lost."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)

@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skywell.llm.common import LOWER, SHINGLE, UPPER, broadcast_within, components, documents, stored
+from skywell.llm.common import LOWER, SHINGLE, UPPER, broadcast_within, components, documents, small_batches, stored
 from skywell.llm.registry import query
 
 HOT, ROUNDS, PACKED_MORE, BITS = 32, 8, 4, 1024
@@ -370,6 +370,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     component is their own doc_id. Repeated rows share a component; a null doc_id has null as component
     unless linked to others. Extra columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.coalesce("doc_id", F.lit(MARK)).alias("doc_id"), "text")
     sets = stored(prefixes(docs), "sets")
     classes = stored(sets.where("n > 0").groupBy("c").agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,20 @@ def test_single_tells_documents_by_id_and_text(spark):
 def test_choice_does_not_repeat_the_statistics(spark, tables):
     plan = corpus_pipeline.good(spark, tables[0], SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 0 and len(plan) < 5000
+
+
+def test_stages_send_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    texts = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("word "), 200_000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    try:
+        spark.conf.set(name, str(64 << 20))
+        corpus_pipeline.STAGES[0][1](spark, spark.createDataFrame([], SCHEMA), SF)
+        assert max(r["n"] for r in texts.mapInArrow(sizes, "n long").collect()) <= 8 << 20
+    finally:
+        spark.conf.set(name, before)
