@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from skywell.llm.bytetexts import slices
-from skywell.llm.common import broadcast_within, documents, stored
+from skywell.llm.common import broadcast_within, documents, small_batches, stored
 from skywell.llm.registry import query
 
 # Fixed values of the contract: longest phrase, least count, rows a language, and the language of null.
 DEPTH, LEAST, TOP, NO_LANG = 5, 100, 2000, "und"
 WORD_BITS, ROUTE_BITS = 24, 26
-SKETCH_BITS, SKETCH_BLOCK = 22, 4096
+SKETCH_BITS, SKETCH_BLOCK = 22, 256
 BREAK = b"\n"
 # A-Z to a-z, tab to space, every separator of pieces to the break.
 MAPPED = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -91,8 +91,6 @@ class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > HELD:
-            self.start()
         h = xxh64_intdigest(self.lead + word, 42)
         h = self[word] = h - (1 << 64) if h >> 63 else h
         return h
@@ -118,6 +116,9 @@ def _suffixes(batches: Iterator[pa.RecordBatch], salt: str, word_bits: np.ndarra
             for part in tokens(body.as_py()):
                 held.append(np.fromiter(map(known.__getitem__, part), np.int64, len(part)))
                 size += len(part)
+                if sum(map(len, ids.values())) > HELD:  # of all languages together
+                    for x in ids.values():
+                        x.start()
             if size > BLOCK_WORDS:
                 yield block()
                 held, size = [], 0
@@ -182,9 +183,9 @@ def _count_triples(salt: str, word_bits: np.ndarray, route_bits: np.ndarray) ->
             sketch[cells] += n
         rows = sketch.reshape(-1, SKETCH_BLOCK)
         some = np.flatnonzero(rows.any(1))
-        for i in range(0, len(some), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(some[i:i + 64].astype(np.int32)), pa.array(
-                [rows[b].tobytes() for b in some[i:i + 64]], pa.binary())], ["block", "counts"])
+        for i in range(0, len(some), 1024):
+            yield pa.RecordBatch.from_arrays([pa.array(some[i:i + 1024].astype(np.int32)), pa.array(
+                [rows[b].tobytes() for b in some[i:i + 1024]], pa.binary())], ["block", "counts"])
     return run
 
 
@@ -351,6 +352,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
 
     ``docs`` has lang (not null) and body (bytes).
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("lang", "body")
     counts = docs.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(
         F.sum("n").alias("n"))

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -251,6 +252,23 @@ def test_collocations_match_brute_force(spark, monkeypatch, tight):
     assert got == plain_collocations(rows, 12, 90)
 
 
+def test_a_batch_of_sketches_and_the_known_words_are_small(monkeypatch):
+    rng = random.Random(4)
+    bodies = [" ".join(rng.choices("abcdefgh", k=2000)).encode() for _ in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 20), pa.array(bodies, pa.binary())], ["lang", "body"])
+    every = np.full(1 << 20, ~np.uint64(0), np.uint64)
+    found = [len(x.as_py()) for b in collocations._count_triples("", every, every)(iter([batch])) for x in b.column("counts")]
+    assert found and 10_000 * max(found) <= 32 << 20  # Spark's largest Arrow batch has 10,000 rows
+
+    made = []
+    monkeypatch.setattr(collocations, "HELD", 100)
+    monkeypatch.setattr(collocations, "_Ids", lambda lead, kind=collocations._Ids: made.append(kind(lead)) or made[-1])
+    rows = [(f"l{k % 10}", " ".join(f"w{k}x{i}" for i in range(20)).encode()) for k in range(40)]
+    words = pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows]), pa.array([x[1] for x in rows], pa.binary())], ["lang", "body"])
+    flat = np.concatenate(list(collocations._suffixes(iter([words]), "", every)))
+    assert len(np.unique(flat)) == 801 and sum(map(len, made)) <= 140
+
+
 def test_quicksort_counts_all_phrases():
     rng = np.random.default_rng(2)
     words = [rng.integers(1, 5, 3000) for _ in range(5)]
