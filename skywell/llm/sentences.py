@@ -9,26 +9,27 @@ word, and a fold over them (Spark's ``aggregate``) picks the segmentation. Two l
   leftmost among equals, until none is left. A BPE model's scores are ranks, and the path with the best
   sum of ranks is not its segmentation, so its texts are folded by ``merges``.
 
-Documents are grouped into blocks of bounded size by a hash. A block's different words meet the global word
-table and come back with their segmentation, one small row per (block, word), and the block's documents are
-then written out as ids. Characters that no piece covers become the ids of their bytes.
+Documents are grouped into blocks of bounded size by a hash; their texts are shuffled once, compressed. A block asks
+for its different words, one row per bucket of words, and each bucket looks up every word once. The answer has the
+words' segmentations in the order asked, without the words, as the block lists them anew when its documents are
+written out as ids. Characters that no piece covers become the ids of their bytes.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from skywell.llm.common import clean_text, documents, let, stored
+from skywell.llm.common import clean_text, documents, let
 from skywell.llm.registry import query
 
-MARK, BLOCK_BYTES = "▁", 16 << 20
+MARK, BLOCK_BYTES, BUCKETS = "▁", 8 << 20, 4
 # The code of a length of 0, so that a segmentation is a short string.
 ZERO = ord("0")
 WORD = re.compile(MARK + "+[^" + MARK + "]*|^[^" + MARK + "]+")
@@ -50,23 +51,26 @@ def marked(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-def words_in(text: Column) -> Column:
-    """Different words of a text, each starting at its space marks."""
-    whole = F.concat(F.lit(MARK), F.translate(text, " ", MARK))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.regexp_extract_all(whole, F.lit(f"{MARK}+[^{MARK}]*"), F.lit(0))))
+def listed(texts: Iterable[str], buckets: int) -> dict[int, list[str]]:
+    """Different words of the texts, ascending, by a hash of the word. No word has a space."""
+    out: dict[int, list[str]] = {}
+    for word in sorted({w for t in texts for w in WORD.findall(marked(t))}):
+        out.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
+    return out
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, edges): the substrings of each word that are pieces, as (a, b, score), best first and then leftmost."""
-    n = F.length("word")
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("a"))
-    spans = starts.select("word", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("a")))).alias("k"))
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, least: int = 1) -> DataFrame:
+    """The different ``words`` (word and, if given, columns that depend on it) with edges: the substrings of each that are
+    pieces of at least ``least`` characters, as (a, b, score), best first and then leftmost."""
+    n, keys = F.length("word"), words.columns
+    starts = words.select(*keys, F.explode(F.sequence(F.lit(0), n - 1)).alias("a"))
+    spans = starts.select(*keys, "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("a")))).alias("k"))
     found = spans.withColumn("piece", F.substring(F.col("word"), F.col("a") + 1, F.col("k"))).join(F.broadcast(pieces), "piece", "left")
     edge = F.struct((-F.col("score")).alias("cost"), F.col("a"), (F.col("a") + F.col("k")).alias("b"))
     # The first character stays without a piece too, so that every word comes out and none is looked up again.
-    return found.where("score IS NOT NULL OR (a = 0 AND k = 1)").groupBy("word").agg(
-        F.sort_array(F.collect_list(F.when(F.col("score").isNotNull(), edge))).alias("edges"))
+    taken = F.col("score").isNotNull() & (F.col("k") >= least)
+    return found.where(taken | F.expr("a = 0 AND k = 1")).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.when(taken, edge))).alias("edges"))
 
 
 def merge_fold(word: Column, edges: Column) -> Column:
@@ -117,14 +121,15 @@ def viterbi_fold(word: Column, edges: Column, unknown: float = 1e6) -> Column:
 
 
 def segmented(words: DataFrame, pieces: DataFrame, law: str = "merges", longest: int = 16) -> DataFrame:
-    """(word, lens): the lengths of the word's pieces, one character each (``ZERO`` and as many codes on).
+    """The ``words`` with lens: the lengths of the word's pieces, one character each (``ZERO`` and as many codes on).
 
     ``longest`` is the length of the longest piece.
     """
-    fold = {"merges": merge_fold, "viterbi": viterbi_fold}[law]
+    fold, least = {"merges": (merge_fold, 2), "viterbi": (viterbi_fold, 1)}[law]  # single characters need no merge
     lens = F.array_join(F.transform(
         F.filter(F.transform("next", lambda x, i: x - i), lambda d: d > 0), lambda d: F.char(d + ZERO)), "")
-    return lattice(words, pieces, longest).select("word", fold(F.col("word"), F.col("edges")).alias("next")).select("word", lens.alias("lens"))
+    return lattice(words, pieces, longest, least).select(*words.columns, fold(F.col("word"), F.col("edges")).alias("next")).select(
+        *words.columns, lens.alias("lens"))
 
 
 def encode(docs: DataFrame, keep: list[str], model: str | None = None, law: str = "merges", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -142,29 +147,65 @@ def encode(docs: DataFrame, keep: list[str], model: str | None = None, law: str
     count = max(1, -(-size // block_bytes))
     cut = docs.select(F.struct(*keep).alias("_keep"), clean_text().alias("text")).withColumn(
         "block", F.pmod(F.xxhash64("_keep", "text"), F.lit(count)))
-    # Words leave where the text lies; stored, because both their segmentation and its way back read them.
-    held = stored(cut.select("block", F.explode(words_in(F.col("text"))).alias("word")).distinct(), "words")
-    back = held.join(segmented(held.select("word").distinct(), pieces, law, longest), "word").select("block", "word", "lens")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count)
+    buckets = BUCKETS * parts
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            block = batch.column("block").to_numpy()
+            order = np.argsort(block, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else ():
+                sink, own = pa.BufferOutputStream(), rows.select(["_keep", "text"]).take(at)
+                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(own)
+                yield pa.RecordBatch.from_pydict({"block": block[at[:1]], "body": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    def unpacked(rows: pa.Table) -> pa.Table:
+        return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in rows.column("body")])
+
+    def ask(rows: pa.Table) -> pa.Table:
+        asked = listed((t.as_py() for t in unpacked(rows).column("text")), buckets)
+        own = str(rows["block"][0].as_py())
+        return pa.table({"bucket": pa.array(list(asked), pa.int32()), "words": pa.array([" ".join([own, *x]) for x in asked.values()], pa.string())})
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        lens = dict(zip(right.column("word").to_pylist(), right.column("lens").to_pylist()))
+        blocks, found = [], []
+        for x in left.column("words"):
+            block, *words = x.as_py().split(" ")
+            blocks.append(int(block)), found.append(" ".join([lens[w] for w in words]))
+        return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": left["bucket"], "lens": pa.array(found, pa.string())})
+
+    # Both readers of the texts, and both of the words, share one shuffle, as both take all of its columns: so the number
+    # of the block leads its words. Lattice and answer need no shuffle of their own.
+    texts = cut.mapInArrow(pack, "block long, body binary").repartition(parts, "block")
+    asked = texts.groupBy("block").applyInArrow(ask, "bucket int, words string").repartition(parts, "bucket")
+    words = asked.select(F.col("bucket").alias("own"), F.explode(F.slice(F.split("words", " "), 2, 1 << 30)).alias("word")).distinct()
+    back = asked.groupBy("bucket").cogroup(segmented(words, pieces, law, longest).groupBy("own")).applyInArrow(
+        answer, "block long, bucket int, lens string")
     ids = spark.sparkContext.broadcast({p: i for p, i, _ in table})
 
     def write(left: pa.Table, right: pa.Table) -> pa.Table:
-        number = ids.value
-        spell: dict[str, list[int]] = {}
-        for word, lens in zip(right.column("word").to_pylist(), right.column("lens").to_pylist()):
-            out, at = [], 0
-            for c in lens:
-                part = word[at:at + ord(c) - ZERO]
-                at += len(part)
-                if part in number:
-                    out.append(number[part])
-                else:
-                    out += [number[f"<0x{b:02X}>"] for b in part.encode()]
-            spell[word] = out
-        made = [np.array([i for w in WORD.findall(marked(t)) for i in spell[w]], dtype=np.int32) for t in left.column("text").to_pylist()]
-        return pa.table({"_keep": left.column("_keep"), "ids": pa.array(made, pa.list_(pa.int32()))})
+        number, rows = ids.value, unpacked(left)
+        asked = listed((t.as_py() for t in rows.column("text")), buckets)
+        spell: dict[str, bytes] = {}
+        for bucket, lists in zip(right.column("bucket").to_pylist(), right.column("lens")):
+            for word, lens in zip(asked.pop(bucket), lists.as_py().split(" ")):
+                out, at = [], 0
+                for c in lens:
+                    part = word[at:at + ord(c) - ZERO]
+                    at += len(part)
+                    if part in number:
+                        out.append(number[part])
+                    else:
+                        out += [number[f"<0x{b:02X}>"] for b in part.encode()]
+                spell[word] = np.array(out, dtype=np.int32).tobytes()
+        made = [np.frombuffer(b"".join([spell[w] for w in WORD.findall(marked(t.as_py()))]), dtype=np.int32) for t in rows.column("text")]
+        return pa.table({"_keep": rows.column("_keep"), "ids": pa.array(made, pa.list_(pa.int32()))})
 
     kept = docs.select(F.struct(*keep).alias("_keep")).schema
-    out = cut.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(write, kept.add("ids", ArrayType(IntegerType())))
+    out = texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(write, kept.add("ids", ArrayType(IntegerType())))
     return out.select("_keep.*", "ids")
 
 

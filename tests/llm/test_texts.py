@@ -3,6 +3,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -257,6 +258,16 @@ def test_pieces_of_odd_tables(spark):
     assert sentences.encode(df.limit(0), ["doc_id"]).collect() == []
 
 
+def test_texts_and_words_are_shuffled_once(spark):
+    coded = sentences.encode(documents(spark, texts(9, 12)), ["doc_id"], block_bytes=4000)
+    coded.collect()
+    plan = coded._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    shuffles = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "Reused" not in x]
+    # Texts, words asked for and answers move once each.
+    assert [sum(f"hashpartitioning({c}" in x for x in shuffles) for c in ("block", "bucket", "word")] == [2, 1, 0], plan
+    assert plan.count("ReusedExchange") == 2 and "parquet" not in plan.lower()
+
+
 def test_viterbi_takes_the_cheapest_path(spark):
     table = [("a", -1.0), ("b", -1.0), ("ab", -1.5), ("abc", -4.0), ("bc", -1.2), ("c", -3.0)]
     words = spark.createDataFrame([("abc",), ("ab",), ("cab",), ("abxbc",)], "word string")
