@@ -15,9 +15,10 @@ from skywell.operators.forest import isolation_forest
 from skywell.operators.layout import last_valid, lay_out, next_valid
 from skywell.operators.ordering import prefix_counts, quantiles, value_bin, with_row
 from skywell.schema import col, complete
-from skywell.session import durable
+from skywell.session import durable, written
 
 LOF_CHUNK_ROWS = 50_000
+PAIRS_A_TASK = 10_000
 
 
 # --- relations -----------------------------------------------------------------------------------
@@ -28,20 +29,22 @@ def mutual_information(df: DataFrame, features: list[str], target: str, bins: in
     rows = complete(df, names)
     edges = quantiles(rows, {f"e{i}": col(c) for i, c in enumerate(names)},
                       [j / bins for j in range(1, bins)])
-    packed = edges.select(F.array(*[
-        F.array(*[F.col(f"e{i}__{j}") for j in range(bins - 1)]) for i in range(len(names))]).alias("_edges"))
-
-    def slot(x: Column, i: Column) -> Column:
-        return sum(((x > F.get(F.get("_edges", i), F.lit(j))).cast("int") for j in range(bins - 1)), F.lit(0))
-
-    x = lambda c: col(c).cast("double")
-    cells = with_row(rows.select(
-        x(target).alias("_y"),
-        F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f).alias("feature"), x(f).alias("x"))
-                            for i, f in enumerate(features)])).alias("r"),
-    ), packed).select("r.feature", slot(F.col("r.x"), F.col("r.i")).alias("a"),
-                      slot(F.col("_y"), F.lit(len(features))).alias("b"))
-    joint = cells.groupBy("feature", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    edges = edges.first()
+
+    def slot(i: int, c: str) -> Column:
+        """How many edges lie below, by comparing with the highest first; NaN counts as the highest."""
+        x, found = col(c).cast("double"), None
+        at = sorted((edges[f"e{i}__{j}"] for j in range(bins - 1) if edges[f"e{i}__{j}"] is not None), key=lambda e: (e != e, e))
+        for n in range(len(at), 0, -1):
+            above = x > F.lit(at[n - 1])
+            found = F.when(above, n) if found is None else found.when(above, n)
+        return F.lit(0) if found is None else found.otherwise(0)
+
+    binned = rows.select(*[slot(i, c).alias(f"_s{i}") for i, c in enumerate(names)])
+    cells = binned.select(F.col(f"_s{len(features)}").alias("b"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(f"_s{i}").alias("a")) for i in range(len(features))])).alias("r"))
+    joint = cells.groupBy("r.i", "r.a", "b").agg(F.count(F.lit(1)).alias("n")).select(
+        F.get(F.array(*[F.lit(f) for f in features]), F.col("i")).alias("feature"), "a", "b", "n")
     # At most bins^2 cells per feature from here on.
     whole, left, right = (Window.partitionBy("feature"), Window.partitionBy("feature", "a"),
                           Window.partitionBy("feature", "b"))
@@ -293,7 +296,9 @@ def discover(df: DataFrame, features: list[str], prediction: str, kp: str, ident
     ``latent`` (key, array of numbers) adds the clusters of its principal plane. Archetypes need at least
     three complete rows; k-means has no result for an empty window.
     """
-    scores = mutual_information(df, features, prediction)
+    # Every step reads the window, most of them several times; three results read the scores.
+    df = written(df, "window", in_order=True)
+    scores = durable(mutual_information(df, features, prediction))
     novel = novelty(df, [*features, prediction], identity)
     shift = drift(df, history, prediction)
     out = {
@@ -416,14 +421,19 @@ def _linked_cells(core: DataFrame, eps: float, side: float, split: int = 8) -> D
         sure = pairs.filter(F.col("_far2") <= eps * eps).select("a_cx", "a_cy", "b_cx", "b_cy").distinct()
         found = sure if found is None else found.unionByName(sure)
         open_pairs = pairs.join(sure, ["a_cx", "a_cy", "b_cx", "b_cy"], "left_anti").drop("_near2", "_far2")
-        if open_pairs.isEmpty():
+        n = open_pairs.count()
+        if n == 0:
             return found
+        # Few rows make many: sized by bytes, all pairs of the round would be compared in one task.
+        tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, -(-n // PAIRS_A_TASK))
         size = size / split
         still = open_pairs.select(F.col("a_cx").alias("_cx"), F.col("a_cy").alias("_cy")).unionByName(
             open_pairs.select(F.col("b_cx").alias("_cx"), F.col("b_cy").alias("_cy"))).distinct()
         fine = durable(core.join(still, ["_cx", "_cy"], "left_semi").groupBy("_cx", "_cy", F.floor(F.col("_x") / size).alias("_sx"),
                                     F.floor(F.col("_y") / size).alias("_sy")).agg(*_extent()))
-        pairs = _refine(_refine(open_pairs, fine, "a", split), fine, "b", split)
+        # The boxes of one side that are too far from the whole other side need not meet its boxes.
+        half = _refine(open_pairs, fine, "a", tasks)
+        pairs = _refine(half.filter(_gap2(half, min_gap=True) <= eps * eps), fine, "b", tasks)
 
 
 def _extent() -> list[Column]:
@@ -440,14 +450,14 @@ def _gap2(pairs: DataFrame, min_gap: bool) -> Column:
     return total
 
 
-def _refine(pairs: DataFrame, fine: DataFrame, tag: str, split: int) -> DataFrame:
+def _refine(pairs: DataFrame, fine: DataFrame, tag: str, tasks: int) -> DataFrame:
     """Replace one side's boxes by the boxes of the finer grid inside them."""
     ren = fine.select(*[F.col(c).alias(f"n{c}") for c in fine.columns])
     inside = ((F.col(f"{tag}_cx") == F.col("n_cx")) & (F.col(f"{tag}_cy") == F.col("n_cy"))
               & (F.col("n_x0") >= F.col(f"{tag}_x0")) & (F.col("n_x1") <= F.col(f"{tag}_x1"))
               & (F.col("n_y0") >= F.col(f"{tag}_y0")) & (F.col("n_y1") <= F.col(f"{tag}_y1")))
     swap = ("_x0", "_x1", "_y0", "_y1")
-    return pairs.join(ren, inside).select(
+    return pairs.repartition(tasks, f"{tag}_cx", f"{tag}_cy").join(ren, inside).select(
         *[c for c in pairs.columns if c not in {f"{tag}{s}" for s in swap}],
         *[F.col(f"n{s}").alias(f"{tag}{s}") for s in swap])
 

@@ -14,6 +14,7 @@ from skywell.schema import col
 from skywell.session import written
 
 SAMPLE = 256
+BLOCK = 2048
 EULER = 0.5772156649015329
 
 
@@ -53,14 +54,15 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
 def _samples(df: DataFrame, columns, identity, total: int, trees: int, seed: int, sample: int = SAMPLE) -> DataFrame:
     """At most ``sample`` rows per tree by one rule for every size: a hash of (row, tree) against a share.
 
-    A row is copied only for the trees that take it.
+    A row is copied only for the trees that take it; generated code meets all trees of a row one after the other.
     """
     share = sample * 1.3 / max(total, 1)
     picked = df.select(*[col(c) for c in columns], *[col(c).alias(f"_id{i}") for i, c in enumerate(identity)])
     ids = [F.col(f"_id{i}") for i in range(len(identity))]
     h = lambda salt: F.pmod(F.xxhash64(*ids, salt), F.lit(1 << 30)) / float(1 << 30)
-    takers = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: h(t + seed) < share)
-    picked = picked.withColumn("_tree", F.explode(takers))
+    picked = picked.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).filter(h(F.col("_tree") + seed) < share)
+    # A few hundred rows a tree; without the number AQE would grow all trees in one task.
+    picked = picked.repartition(max(1, min(trees, df.sparkSession.sparkContext.defaultParallelism)), "_tree")
     order = F.xxhash64(*ids, F.col("_tree"), F.lit(seed + 2))
     first = Window.partitionBy("_tree").orderBy(order, *ids)
     return picked.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= sample)
@@ -92,30 +94,45 @@ def grow_forest(df: DataFrame, columns, identity, total: int, trees=100, seed=42
 
 
 def _pack(nodes: pd.DataFrame):
+    """Arrays (feature, cut, next, path) of each tree: from node n a row goes to next[2 n] or, not below the cut, to next[2 n + 1].
+
+    A leaf leads to itself, so that all rows take the same number of steps.
+    """
     out = []
     for _, t in nodes.groupby("tree"):
         t = t.sort_values("node")
-        out.append(tuple(t[c].to_numpy() for c in ("feature", "cut", "left", "right", "path")))
+        feature, left, right, own = (t[c].to_numpy(dtype=np.intp) for c in ("feature", "left", "right", "node"))
+        leaf = feature < 0
+        ahead = np.column_stack([np.where(leaf, own, left), np.where(leaf, own, right)]).ravel()
+        depth, level = 0, np.array([0])
+        while (level := level[~leaf[level]]).size:
+            depth, level = depth + 1, np.concatenate([left[level], right[level]])
+        out.append((np.maximum(feature, 0), t["cut"].to_numpy(dtype=float), ahead, t["path"].to_numpy(dtype=float), depth))
     return out
 
 
+def _path_sums(x: np.ndarray, trees) -> np.ndarray:
+    """Summed path lengths of the rows of ``x``, in blocks of rows that stay in a core's cache."""
+    n, width = x.shape
+    total = np.zeros(n)
+    for start in range(0, n, BLOCK):
+        block = np.ascontiguousarray(x[start:start + BLOCK])
+        flat, base, part = block.ravel(), np.arange(len(block)) * width, total[start:start + BLOCK]
+        for feature, cut, ahead, path, depth in trees:
+            at = np.zeros(len(block), dtype=np.intp)
+            for _ in range(depth):
+                at = ahead[2 * at + ~(flat[base + feature[at]] < cut[at])]
+            part += path[at]
+    return total
+
+
 def forest_score(nodes: pd.DataFrame, sample: int):
     """Pandas UDF over the feature columns: anomaly score in (0, 1)."""
     trees, norm = _pack(nodes), float(average_path(sample)) or 1.0
 
     def score(*series: pd.Series) -> pd.Series:
         x = np.column_stack([s.to_numpy(dtype=float) for s in series])
-        total = np.zeros(len(x))
-        for feature, cut, left, right, path in trees:
-            at = np.zeros(len(x), dtype=np.int64)
-            active = np.flatnonzero(feature[at] >= 0)
-            while active.size:
-                here = at[active]
-                goes_left = x[active, feature[here]] < cut[here]
-                at[active] = np.where(goes_left, left[here], right[here])
-                active = active[feature[at[active]] >= 0]
-            total += path[at]
-        return pd.Series(np.power(2.0, -total / max(len(trees), 1) / norm))
+        return pd.Series(np.power(2.0, -_path_sums(x, trees) / max(len(trees), 1) / norm))
 
     return F.pandas_udf(score, "double")
 
@@ -139,7 +156,7 @@ def isolation_forest(
     # The UDF sees 0 in place of null; such rows are blanked again below.
     args = [F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in columns]
     # Scored once: the cut and every reader of the result would score the rows again.
-    scored = written(df.withColumn(score, F.when(whole, scorer(*args))), "scored")
+    scored = written(df.withColumn(score, F.when(whole, scorer(*args))), "scored", in_order=True)
     cut = quantiles(scored, {"_cut": col(score)}, [1.0 - contamination])
     return with_row(scored, cut).withColumn(
         flag, F.coalesce(col(score) > F.col("_cut__0"), F.lit(False))

@@ -138,59 +138,54 @@ def _pick(k: Column) -> Column:
     return (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
 
 
-def _rank(p: float, total: Column, up: bool) -> Column:
-    k = F.lit(float(p)) * (total - 1)
+def _rank(p: Column, total: Column, up: bool) -> Column:
+    k = p * (total - 1)
     return (F.ceil(k) if up else F.floor(k)).cast("long")
 
 
+def _met(cells: DataFrame, brackets: DataFrame, n_columns: int, by: list[str]) -> DataFrame:
+    """Each row with each bracket ``_k`` of its group, and the value ``_x`` of the bracket's column.
+
+    Generated code goes through the brackets of a row; a filter over their array, or an expression for each, is slower.
+    """
+    keys = [col(k) for k in by]
+    values = F.array(*[F.col(f"_v{i}") for i in range(n_columns)])
+    met = null_safe_join(cells, brackets, by).select(*keys, values.alias("_v"), F.explode("_b").alias("_k"))
+    return met.withColumn("_x", F.get("_v", F.col("_k.c")))
+
+
 def _brackets(cells: DataFrame, n_columns: int, probs: list[float], by: list[str]) -> DataFrame:
     """One row per group with an array ``_b`` of distinct brackets (c, lo, hi, below, total), every wanted rank in one."""
-    slots = [(i, j) for i in range(n_columns) for j in range(len(probs))]
-    keys = [col(k) for k in by]
+    keys, slot = [col(k) for k in by], ["c", "j"]
     grid = F.array(*[F.lit(i / EDGES) for i in range(EDGES + 1)])
-
-    def counted(joined: DataFrame, bounds: list[tuple[Column, Column] | None]) -> DataFrame:
-        aggs = []
-        for s, (i, _) in enumerate(slots):
-            v, bound = F.col(f"_v{i}"), bounds[s]
-            if bound is None:
-                if slots.index((i, 0)) == s:  # the first bracket is the same for all ranks of a column
-                    aggs += [F.count(v).alias(f"_all{i}"), F.percentile_approx(v, grid, F.lit(20 * EDGES)).alias(f"_e{i}")]
-                continue
-            inside = F.when(v.between(*bound), v)
-            aggs += [F.count_if(v < bound[0]).alias(f"_below{s}"), F.count(inside).alias(f"_in{s}"),
-                     F.percentile_approx(inside, grid, F.lit(20 * EDGES)).alias(f"_edges{s}"),
-                     F.first(bound[0]).alias(f"_lo{s}"), F.first(bound[1]).alias(f"_hi{s}"),
-                     F.first(f"_was{s}").alias(f"_was{s}")]
-        return joined.groupBy(*keys).agg(*aggs)
-
-    first = counted(cells, [None] * len(slots))
-    ends = {f"_lo{s}": F.lit(float("-inf")) for s in range(len(slots))} | {f"_hi{s}": F.lit(float("inf")) for s in range(len(slots))}
-    state = written(first.withColumns(ends | {f"_below{s}": F.lit(0).cast("long") for s in range(len(slots))}
-                    | {f"_in{s}": F.col(f"_all{i}") for s, (i, _) in enumerate(slots)}
-                    | {f"_was{s}": F.lit(2 ** 62) for s in range(len(slots))}
-                    | {f"_edges{s}": F.col(f"_e{i}") for s, (i, _) in enumerate(slots)}), "brackets")
-    totals = state.select(*keys, *[f"_all{i}" for i in range(n_columns)])
-    while True:
-        # A bracket that no longer shrinks lies between a few heavy values, which count as one row each below.
-        open_ = [(F.col(f"_in{s}") > BRACKET_ROWS) & (F.col(f"_in{s}") < F.col(f"_was{s}")) for s in range(len(slots))]
-        if state.filter(reduce(lambda a, b: a | b, open_)).isEmpty():
-            break
-        narrowed = {}
-        for s, (i, j) in enumerate(slots):
-            n, below = F.col(f"_in{s}"), F.col(f"_below{s}")
-            at = lambda up: (_rank(probs[j], F.col(f"_all{i}"), up) - below) * F.lit(float(EDGES)) / n
-            step = open_[s]
-            edge = lambda k: F.get(f"_edges{s}", F.greatest(F.lit(0), F.least(F.lit(EDGES), k)).cast("int"))
-            narrowed[f"_lo{s}"] = F.when(step, F.greatest(F.col(f"_lo{s}"), edge(F.floor(at(False)) - 1))).otherwise(F.col(f"_lo{s}"))
-            narrowed[f"_hi{s}"] = F.when(step, F.least(F.col(f"_hi{s}"), edge(F.ceil(at(True)) + 1))).otherwise(F.col(f"_hi{s}"))
-        narrowed |= {f"_was{s}": F.col(f"_in{s}") for s in range(len(slots))}
-        bounds = written(state.withColumns(narrowed).select(*keys, *narrowed), "brackets")
-        joined = null_safe_join(cells, bounds, by)
-        state = written(null_safe_join(counted(joined, [(F.col(f"_lo{s}"), F.col(f"_hi{s}")) for s in range(len(slots))]), totals, by), "brackets")
-    return state.select(*keys, F.array_distinct(F.array(*[F.struct(
-        F.lit(i).alias("c"), F.col(f"_lo{s}").alias("lo"), F.col(f"_hi{s}").alias("hi"), F.col(f"_below{s}").alias("below"),
-        F.col(f"_all{i}").alias("total")) for s, (i, _) in enumerate(slots)])).alias("_b"))
+    edges_of = lambda v: F.percentile_approx(v, grid, F.lit(20 * EDGES))
+    first = written(cells.groupBy(*keys).agg(*[F.struct(
+        F.lit(i).alias("c"), F.count(f"_v{i}").alias("total"), edges_of(F.col(f"_v{i}")).alias("edges")).alias(f"_c{i}")
+        for i in range(n_columns)]), "brackets")
+    # One row per bracket. The first bracket is the whole group for all ranks of a column.
+    ranks = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p")) for j, p in enumerate(probs)])
+    state = first.select(*keys, F.explode(F.array(*[F.col(f"_c{i}") for i in range(n_columns)])).alias("_c")).select(
+        *keys, "_c.*", F.explode(ranks).alias("_r")).select(
+        *keys, "c", "_r.j", "_r.p", F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"),
+        F.lit(0).cast("long").alias("below"), F.col("total").alias("inside"), F.lit(2 ** 62).alias("was"), "total", "edges")
+    # A bracket that no longer shrinks lies between a few heavy values, which count as one row each below.
+    open_ = (F.col("inside") > BRACKET_ROWS) & (F.col("inside") < F.col("was"))
+    bracket = lambda *more: F.struct("c", *more, "lo", "hi")
+    held = F.col("_x").between(F.col("_k.lo"), F.col("_k.hi"))
+    while not (going := state.filter(open_)).isEmpty():
+        meet = lambda b: _met(cells, b.groupBy(*keys).agg(F.collect_list(bracket("j")).alias("_b")), n_columns, by).groupBy(
+            *keys, F.col("_k.c").alias("c"), F.col("_k.j").alias("j"))
+        if "edges" not in state.columns:
+            going = null_safe_join(going, meet(going).agg(edges_of(F.when(held, F.col("_x"))).alias("edges")), [*by, *slot])
+        at = lambda up: (_rank(F.col("p"), F.col("total"), up) - F.col("below")) * F.lit(float(EDGES)) / F.col("inside")
+        edge = lambda k: F.get("edges", F.greatest(F.lit(0), F.least(F.lit(EDGES), k)).cast("int"))
+        narrowed = written(going.select(
+            *keys, *slot, "p", F.greatest("lo", edge(F.floor(at(False)) - 1)).alias("lo"),
+            F.least("hi", edge(F.ceil(at(True)) + 1)).alias("hi"), F.col("inside").alias("was"), "total"), "brackets")
+        counts = meet(narrowed).agg(F.count_if(F.col("_x") < F.col("_k.lo")).alias("below"), F.count_if(held).alias("inside"))
+        settled = state.filter(~open_).drop("edges")
+        state = written(settled.unionByName(null_safe_join(narrowed, counts, [*by, *slot])), "brackets")
+    return state.groupBy(*keys).agg(F.collect_set(bracket("below", "total")).alias("_b"))
 
 
 def quantiles(df: DataFrame, columns: dict[str, Column], probs, by=()) -> DataFrame:
@@ -202,22 +197,21 @@ def quantiles(df: DataFrame, columns: dict[str, Column], probs, by=()) -> DataFr
     keys = [col(k) for k in by]
     double = T.DoubleType()
     cells = written(df.select(*keys, *[present(columns[n].cast("double"), double).alias(f"_v{i}") for i, n in enumerate(names)]), "cells")
-    brackets = _brackets(cells, len(names), probs, by)
-    values = F.array(*[F.col(f"_v{i}") for i in range(len(names))])
-    holding = F.filter("_b", lambda b: F.get(values, b["c"]).between(b["lo"], b["hi"]))
-    held = null_safe_join(cells, brackets, by).select(*keys, values.alias("_v"), F.explode(holding).alias("_k"))
-    counted = held.groupBy(*keys, "_k", F.get("_v", F.col("_k.c")).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    held = _met(cells, _brackets(cells, len(names), probs, by), len(names), by).filter(
+        F.col("_x").between(F.col("_k.lo"), F.col("_k.hi")))
+    counted = held.groupBy(*keys, "_k", "_x").agg(F.count(F.lit(1)).alias("_n"))
     inside = Window.partitionBy(*keys, "_k").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("_before", F.col("_k.below") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    aggs = []
-    for i, name in enumerate(names):
-        mine, total = F.col("_k.c") == i, F.col("_k.total")
-        for j, p in enumerate(probs):
-            lo = F.max(F.when(mine & _pick(_rank(p, total, False)), F.col("_x")))
-            hi = F.max(F.when(mine & _pick(_rank(p, total, True)), F.col("_x")))
-            k = F.lit(float(p)) * (F.max(F.when(mine, total)) - 1)
-            aggs.append((lo + (hi - lo) * (k - F.floor(k))).alias(f"{name}__{j}"))
-    found = placed.groupBy(*keys).agg(*aggs)
+    wanted = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p")) for j, p in enumerate(probs)]))
+    lo, hi = (_pick(_rank(F.col("_w.p"), F.col("_k.total"), up)) for up in (False, True))
+    ends = placed.withColumn("_w", wanted).filter(lo | hi).groupBy(*keys, "_k.c", "_w", "_k.total").agg(
+        F.max(F.when(lo, F.col("_x"))).alias("_lo"), F.max(F.when(hi, F.col("_x"))).alias("_hi"))
+    k = F.col("_w.p") * (F.col("total") - 1)
+    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (k - F.floor(k))
+    found = ends.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(
+        F.col("c") * len(probs) + F.col("_w.j"), value))).alias("_at"))
+    found = found.select(*keys, *[F.try_element_at("_at", F.lit(i * len(probs) + j)).alias(f"{name}__{j}")
+                                  for i, name in enumerate(names) for j in range(len(probs))])
     return null_safe_join(cells.select(*keys).distinct(), found, by, "left") if by else found
 
 

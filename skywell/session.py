@@ -77,8 +77,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage with a Parquet table in the shared folder; later jobs read its columns as they need them."""
-    path = scratch_path(df.sparkSession, name)
+def written(df: DataFrame, name: str, in_order: bool = False) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder; later jobs read its columns as they need them.
+
+    ``in_order``: files of one size are read in the order of their tasks, not as the file system lists them, so
+    that the same rows come in the same order each time.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files = [path]
+    if in_order:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+        files = sorted(f.getPath().toString() for f in found if f.getPath().getName().startswith("part-")) or files
+    return spark.read.schema(df.schema).parquet(*files)

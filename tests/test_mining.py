@@ -162,3 +162,41 @@ def test_pca_plane(spark):
     for j in range(2):
         axis = vt[j] * np.sign(vt[j][np.abs(vt[j]).argmax()])
         np.testing.assert_allclose(got[:, j], c @ axis, atol=1e-6)
+
+
+def test_bundle_computes_its_window_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x: pd.Series) -> pd.Series:
+        seen.add(len(x))
+        return x
+
+    rng = np.random.default_rng(4)
+    rows = [(i, float(a), float(b), float(3 * a + b)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, p double").withColumn("a", F.pandas_udf(counted, "double")("a"))
+    found = discovery.discover(df, ["a", "b"], "p", "a", ["id"], discovery.history_of(df.limit(0).select("p"), "p"))
+    before = seen.value
+    assert before == 400
+    for part in discovery.records(found).values():
+        assert part.collect()
+    assert seen.value == before
+
+
+def test_path_sums_equal_walks(monkeypatch):
+    monkeypatch.setattr(forest, "BLOCK", 7)
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(60, 3)), 1)
+    trees = [forest._grow(x[rng.choice(60, n)], rng, 6) for n in (1, 2, 40, 60)]
+    nodes = pd.DataFrame([(t, *n) for t, tree in enumerate(trees) for n in tree],
+                         columns=["tree", "node", "feature", "cut", "left", "right", "path"])
+
+    def walk(tree, row):
+        at = {n[0]: n[1:] for n in tree}
+        feature, cut, left, right, path = at[0]
+        while feature >= 0:
+            feature, cut, left, right, path = at[left if row[feature] < cut else right]
+        return path
+
+    x[3, 1] = np.nan
+    want = [sum(walk(tree, row) for tree in trees) for row in x]
+    np.testing.assert_allclose(forest._path_sums(x, forest._pack(nodes)), want, rtol=1e-12)
