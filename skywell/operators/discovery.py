@@ -15,7 +15,7 @@ from skywell.operators.forest import isolation_forest
 from skywell.operators.layout import last_valid, lay_out, next_valid
 from skywell.operators.ordering import prefix_counts, quantiles, value_bin, with_row
 from skywell.schema import col, complete
-from skywell.session import durable, written
+from skywell.session import durable, side_by_side, written
 
 LOF_CHUNK_ROWS = 50_000
 PAIRS_A_TASK = 10_000
@@ -298,25 +298,32 @@ def discover(df: DataFrame, features: list[str], prediction: str, kp: str, ident
     """
     # Every step reads the window, most of them several times; three results read the scores.
     df = written(df, "window", in_order=True)
-    scores = durable(mutual_information(df, features, prediction))
-    novel = novelty(df, [*features, prediction], identity)
+    points = lambda: pca_plane(latent, vector).select(col(latent_key), "pc1", "pc2")
+    # The plane comes first, as its steps take longest.
+    plane, scores, novel, outliers, states, archetypes, patterns = side_by_side(
+        lambda: None if latent is None else dbscan_plane(points(), latent_key, "pc1", "pc2", eps, 5),
+        lambda: durable(mutual_information(df, features, prediction)),
+        lambda: novelty(df, [*features, prediction], identity),
+        lambda: lof_line(df, prediction),
+        lambda: behaviour_states(df, prediction),
+        lambda: storm_archetypes(df, [kp, prediction]),
+        lambda: dbscan_line(df, prediction))
     shift = drift(df, history, prediction)
     out = {
         "relationships": scores,
         "edges": relation_edges(scores),
         "novelty": novel,
-        "outliers": lof_line(df, prediction),
+        "outliers": outliers,
         "drift": shift,
-        "states": behaviour_states(df, prediction),
-        "archetypes": storm_archetypes(df, [kp, prediction]),
-        "patterns": dbscan_line(df, prediction),
+        "states": states,
+        "archetypes": archetypes,
+        "patterns": patterns,
         "events": novel.withColumn("event_class", event_class(col(kp), F.col("is_novel"))),
         "hypotheses": hypotheses(scores, novel.agg(F.count_if("is_novel").alias("n_novel")), shift),
         "history": moments(df, prediction),
     }
-    if latent is not None:
-        plane = pca_plane(latent, vector).select(col(latent_key), "pc1", "pc2")
-        out["latent_clusters"] = dbscan_plane(plane, latent_key, "pc1", "pc2", eps, 5)
+    if plane is not None:
+        out["latent_clusters"] = plane
     return out
 
 

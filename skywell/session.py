@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import skywell
-from pyspark import cloudpickle
+from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 # Functions of this package travel to the Python workers with the task, so executors need no copy of it.
@@ -91,3 +93,9 @@ def written(df: DataFrame, name: str, in_order: bool = False) -> DataFrame:
         found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
         files = sorted(f.getPath().toString() for f in found if f.getPath().getName().startswith("part-")) or files
     return spark.read.schema(df.schema).parquet(*files)
+
+
+def side_by_side(*steps: Callable) -> list:
+    """Results of independent steps: their jobs share the executors instead of each waiting for the last task of the one before."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [done.result() for done in [pool.submit(inheritable_thread_target(step)) for step in steps]]
