@@ -301,6 +301,7 @@ def discover(df: DataFrame, features: list[str], prediction: str, kp: str, ident
     points = lambda: pca_plane(latent, vector).select(col(latent_key), "pc1", "pc2")
     # The plane comes first, as its steps take longest.
     plane, scores, novel, outliers, states, archetypes, patterns = side_by_side(
+        df.sparkSession,
         lambda: None if latent is None else dbscan_plane(points(), latent_key, "pc1", "pc2", eps, 5),
         lambda: durable(mutual_information(df, features, prediction)),
         lambda: novelty(df, [*features, prediction], identity),

@@ -95,7 +95,7 @@ def written(df: DataFrame, name: str, in_order: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(*files)
 
 
-def side_by_side(*steps: Callable) -> list:
+def side_by_side(spark: SparkSession, *steps: Callable) -> list:
     """Results of independent steps: their jobs share the executors instead of each waiting for the last task of the one before."""
     with ThreadPoolExecutor(len(steps)) as pool:
-        return [done.result() for done in [pool.submit(inheritable_thread_target(step)) for step in steps]]
+        return [done.result() for done in [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]]
